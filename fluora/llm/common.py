@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,6 +62,35 @@ def fresh(taken: list[str], name: str) -> str:
     return name
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once for a row, also where ``use`` has lambdas."""
+    return F.transform(F.array(value), use)[0]
+
+
+def window_hashes(w: Column, k: int) -> Column:
+    """A 64-bit hash of every window of k words; one window at least, so test the number of words first."""
+    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(w) - k))
+    return F.transform(starts, lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(k)]))
+
+
 def uniform(*cols: Column | str, seed: int) -> Column:
     """A number in [0, 1) that depends on the values and the seed only."""
     return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *cols), 11) / F.lit(float(1 << 53))
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, comp) of the undirected graph of (a, b): comp is the smallest node that can be reached.
+
+    Each round takes the smallest label among neighbours and then the label of the label, so chains shorten fast.
+    """
+    both = edges.select("a", "b").where("a != b")
+    both = checkpoint(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = checkpoint(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("comp")))
+    while True:
+        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("near"))
+        step = labels.join(near, "node").select("node", F.least("comp", "near").alias("comp"), F.col("comp").alias("old"))
+        jump = labels.select(F.col("node").alias("comp"), F.col("comp").alias("up"))
+        step = checkpoint(step.join(jump, "comp").select("node", F.least("comp", "up").alias("comp"), (F.least("comp", "up") < F.col("old")).alias("moved")))
+        labels = step.select("node", "comp")
+        if step.where("moved").isEmpty():
+            return labels

@@ -24,7 +24,7 @@ from math import log2
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fluora.llm.common import checkpoint, cut, fresh, words
+from fluora.llm.common import checkpoint, cut, fresh, let, window_hashes, words
 
 SHINGLE = 5
 BUCKETS = 1 << 16
@@ -36,24 +36,26 @@ BROADCAST = 2_000_000
 
 def shingles(line: Column) -> Column:
     """Distinct 57-bit hashes of the five-word windows of a line."""
-    w = words(line)
-    n = F.size(w)
-    windows = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), n - (SHINGLE - 1))), lambda i: F.shiftrightunsigned(F.xxhash64(F.slice(w, i, SHINGLE)), 7))
-    return F.when(n >= SHINGLE, F.array_distinct(windows))
+    return let(words(line), lambda w: F.when(F.size(w) >= SHINGLE, F.array_distinct(F.transform(window_hashes(w, SHINGLE), lambda h: F.shiftrightunsigned(h, 7)))))
 
 
-def lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, line_no, hashes) of all lines of docs (doc_id, text) that have shingles."""
+def _lines(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    rows = rows.where(F.length("line") >= 2 * SHINGLE - 1).select("doc_id", "line_no", shingles(F.col("line")).alias("hashes"))
-    return rows.where("hashes is not null")
+    return rows.where(F.length("line") >= 2 * SHINGLE - 1)
+
+
+def lines(docs: DataFrame) -> DataFrame:
+    """(doc_id, line_no, hashes) of the lines of docs (doc_id, text); hashes are null where a line has no shingle."""
+    return _lines(docs).select("doc_id", "line_no", shingles(F.col("line")).alias("hashes"))
 
 
-def rarity(hashes: DataFrame) -> bytes:
-    """For each bucket a byte that grows with the logarithm of its count of shingles."""
-    counts = hashes.select(F.explode("hashes").alias("h")).groupBy((F.col("h") % BUCKETS).alias("bucket")).count()
+def rarity(docs: DataFrame) -> bytes:
+    """For each bucket a byte that grows with the logarithm of its count of shingles in all lines."""
+    rows = _lines(docs).select(words("line").alias("w"))
+    rows = rows.select("w", F.explode(F.when(F.size("w") >= SHINGLE, F.sequence(F.lit(0), F.size("w") - SHINGLE))).alias("i"))
+    h = F.shiftrightunsigned(F.xxhash64(*[F.get("w", F.col("i") + j) for j in range(SHINGLE)]), 7)
     table = bytearray(b"\x01" * BUCKETS)
-    for bucket, n in counts.collect():
+    for bucket, n in rows.groupBy((h % BUCKETS).alias("bucket")).count().collect():
         table[bucket] = min(63, 1 + int(2 * log2(1 + n)))
     return bytes(table)
 
@@ -86,7 +88,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def removed(docs: DataFrame) -> DataFrame:
     """(doc_id, line_no) of all lines of docs (doc_id, text) that have an earlier match."""
-    table = rarity(lines(docs))
+    table = rarity(docs)
     rows = ordered(lines(docs), table)
     entries = rows.select(F.struct("doc_id", "line_no").alias("place"), "set_id", "n", F.posexplode(F.slice("tokens", F.lit(1), _prefix(F.col("n")))).alias("at", "token")).withColumn("at", F.col("at") + 1)
     by_token, by_set = Window.partitionBy("token"), Window.partitionBy("token", "set_id")
@@ -137,7 +139,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias(record), F.col("doc_id").alias(ident))
     out = rows.join(F.broadcast(gone) if few else gone, F.col(ident).eqNullSafe(F.col("gone_id")), "left")
     split = F.split(F.col(record)["text"], "\n")
-    kept = F.array_join(F.filter(split, lambda line, i: ~F.array_contains("removed", i)), "\n")
+    kept = F.array_join(F.filter(split, lambda _, i: ~F.array_contains("removed", i)), "\n")
     text = F.when(F.col("removed").isNull(), F.col(record)["text"]).otherwise(kept)
     return out.select(F.col(record).alias("record"), text.alias("text"), F.coalesce(F.size(split), F.lit(0)).alias("n_lines"), F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
 

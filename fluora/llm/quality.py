@@ -23,11 +23,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fluora.llm.common import checkpoint, cut, fresh, small, words
+from fluora.llm.common import checkpoint, cut, fresh, let, small, window_hashes, words
 
 WINDOW = 8
 MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
-SYMBOLS = "#*$%&|<>"
 #: The transformed statistics, and the spread that each has at least in part.
 SPREADS = {"length": 1.0, "word": 0.35, "symbols": 0.5, "repeats": 0.1}
 #: Share of vectors that the estimate rests on; factor by which their covariance is too small for normal vectors:
@@ -42,38 +41,37 @@ P = len(NAMES)
 
 
 def repeated(w: Column) -> Column:
-    """Words in windows of 8 that the text has twice or more."""
-    n = F.size(w)
-    seen = F.when(n >= WINDOW, F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), n - (WINDOW - 1))), lambda i: F.xxhash64(F.slice(w, i, WINDOW)))).otherwise(F.array().cast("array<bigint>"))
-    return seen
+    """How many words lie in windows of 8 that the text has twice or more."""
 
+    def total(hashes: Column) -> Column:
+        pairs = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+        twice = let(pairs, lambda s: F.filter(F.zip_with(s, F.slice(s, 2, F.size(s)), lambda a, b: F.when(a["h"] == b["h"], F.array(a["i"], b["i"]))), lambda x: x.isNotNull()))
+        places = F.sort_array(F.array_distinct(F.flatten(twice)))
+        start = F.struct(F.lit(-WINDOW).alias("last"), F.lit(0).alias("n"))
+        return F.aggregate(places, start, lambda acc, i: F.struct(i.alias("last"), (acc["n"] + F.least(F.lit(WINDOW), i - acc["last"])).alias("n")), lambda acc: acc["n"])
 
-def covered(hashes: Column) -> Column:
-    """Of window hashes by place: how many words lie in windows whose hash is there twice or more."""
-    pairs = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    both = F.zip_with(pairs, F.slice(pairs, 2, F.size(pairs)), lambda a, b: F.when(a["h"] == b["h"], F.array(a["i"], b["i"])))
-    places = F.sort_array(F.array_distinct(F.flatten(F.filter(both, lambda x: x.isNotNull()))))
-    start = F.struct(F.lit(-WINDOW).alias("last"), F.lit(0).alias("n"))
-    total = F.aggregate(places, start, lambda acc, i: F.struct(i.alias("last"), (acc["n"] + F.least(F.lit(WINDOW), i - acc["last"])).alias("n")), lambda acc: acc["n"])
-    return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0)).otherwise(total)
+    found = let(window_hashes(w, WINDOW), lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(total(h)))
+    return F.when(F.size(w) > WINDOW, found).otherwise(F.lit(0))
 
 
-def statistics(docs: DataFrame) -> DataFrame:
-    """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed; needs a column ``text``."""
+def statistics(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """``keep`` with key, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed and the vector z_*.
+
+    Computed once, in the shared folder: the counts of a text come out of one expression over its words.
+    """
     t = F.coalesce("text", F.lit(""))
-    lines = F.filter(F.split(t, "\n"), lambda x: F.length(F.translate(x, " \t\n\x0b\x0c\r", "")) > 0)
-    out = docs.withColumn("_w", words("text")).withColumn("_l", lines)
-    out = out.withColumn("_h", repeated(F.col("_w")))
-    out = out.select(
-        *docs.columns,
-        F.size("_w").cast("long").alias("n_words"),
-        F.length(F.array_join("_w", "")).cast("long").alias("word_chars"),
+    lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    counts = let(words("text"), lambda w: F.struct(F.size(w).alias("n_words"), F.length(F.array_join(w, "")).alias("word_chars"), repeated(w).alias("n_repeat_words")))
+    counted = cut(docs.select(
+        *keep,
+        group_key().alias("key"),
+        counts.alias("counts"),
         (F.length(t) - F.length(F.regexp_replace(t, "[#*$%&|<>]+", ""))).cast("long").alias("n_symbols"),
-        (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
-        covered(F.col("_h")).cast("long").alias("n_repeat_words"),
-    )
+        let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
+    ))
+    out = counted.select(*keep, "key", "n_symbols", "n_dup_lines", *[F.col(f"counts.{c}").cast("long").alias(c) for c in ("n_words", "word_chars", "n_repeat_words")])
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    return out.withColumn("base_failed", failed)
+    return out.withColumn("base_failed", failed).select("*", *vector())
 
 
 def group_key() -> Column:
@@ -136,8 +134,7 @@ def estimate(stats: DataFrame, steps: int = STEPS) -> DataFrame:
 
 def judged(docs: DataFrame, keep: list[str]) -> DataFrame:
     """The columns ``keep`` of all documents with statistics, base_failed, distance and kept; docs has text, lang, source."""
-    stats = statistics(docs).withColumn("key", group_key())
-    stats = cut(stats.select(*keep, "key", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", *vector()))
+    stats = statistics(docs, keep)
     model = small(estimate(stats))
     out = stats.join(model, "key", "left").withColumn("distance", _distance())
     return out.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance") <= CUTOFF, F.lit(True)))
