@@ -39,7 +39,7 @@ FREQUENT = 50_000
 SMOOTH = 0.1
 DIM, NOISE, ROUNDS, RATE = 24, 8, 4, 0.1
 #: Distinct trigrams that a training task takes; there are at most CLASSES ** 3 of them.
-SHARE = 500_000
+SHARE = 150_000
 BATCH, STEP = 512, 4096
 
 
