@@ -1,15 +1,366 @@
-"""The queries of the library, and SQL that gives the same rows."""
+"""The queries of the library on the driver's tables, and SQL that gives the same rows."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from fluora.functions import columns
+from fluora.operators import association, filters, graph, imaging, spikes, traces
+from fluora.sources import sinks, tables
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+BINS = 8
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def keep(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql is not None:
+            _SQL[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def r(col: str, digits: int = 6) -> Column:
+    """Rounded, with the sign of zero removed."""
+    return (F.round(col, digits) + F.lit(0.0)).alias(col)
+
+
+T1 = "t AS (SELECT user_id AS trace, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS frame, value AS y FROM events)"
+T2 = "t AS (SELECT event_type AS trace, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS frame, value AS y FROM events)"
+T3 = "t AS (SELECT vec_id AS trace, generate_subscripts(embedding, 1) - 1 AS frame, unnest(embedding)::DOUBLE AS y FROM embeddings)"
+PX = "px AS (SELECT vec_id AS frame, generate_subscripts(embedding, 1) - 1 AS pixel, unnest(embedding)::DOUBLE AS v FROM embeddings)"
+
+
+def robust_sql(k: float) -> str:
+    return f"""b AS (SELECT trace, median(y) AS baseline, stddev_pop(y) AS sd FROM t GROUP BY trace),
+d AS (SELECT t.trace, median(abs(y - baseline)) AS mad FROM t JOIN b USING (trace) GROUP BY t.trace),
+lim AS (SELECT b.trace, baseline, CASE WHEN 1.4826 * mad > 0 THEN 1.4826 * mad ELSE sd END AS sigma,
+  baseline + {k} * (CASE WHEN 1.4826 * mad > 0 THEN 1.4826 * mad ELSE sd END) AS threshold FROM b JOIN d USING (trace))"""
+
+
+RUNS = """up AS (SELECT trace, frame FROM t JOIN lim USING (trace) WHERE y > threshold),
+isl AS (SELECT trace, frame - row_number() OVER (PARTITION BY trace ORDER BY frame) AS island FROM up),
+len AS (SELECT trace, island, count(*) AS n FROM isl GROUP BY 1, 2),
+runs AS (SELECT lim.trace, threshold, coalesce(max(n), 0)::BIGINT AS longest FROM lim LEFT JOIN len USING (trace) GROUP BY 1, 2)"""
+
+
+@query(f"WITH {T1}, {robust_sql(2.5)}, {RUNS} SELECT trace, longest, round(threshold, 8) AS threshold FROM runs WHERE longest >= 2")
+def active_traces(spark, sf_dir):
+    """Flagship: traces that stay above their robust threshold for two frames."""
+    return traces.active(tables.event_traces(spark, sf_dir), 2.5, 2).select("trace", "longest", r("threshold", 8))
+
+
+@query(f"WITH {T1}, {robust_sql(2.5)} SELECT trace, round(baseline, 8) AS baseline, round(sigma, 8) AS sigma, round(threshold, 8) AS threshold FROM lim")
+def robust_threshold(spark, sf_dir):
+    return traces.robust(tables.event_traces(spark, sf_dir), 2.5).select("trace", r("baseline", 8), r("sigma", 8), r("threshold", 8))
+
+
+@query(f"WITH {T2}, {robust_sql(1.0)}, {RUNS} SELECT trace, longest FROM runs")
+def longest_run(spark, sf_dir):
+    rows = tables.event_traces(spark, sf_dir, "event_type")
+    return traces.longest_runs(rows, traces.robust(rows, 1.0)).select("trace", "longest")
+
+
+GAPS = "g AS (SELECT trace, frame, CASE WHEN frame % 7 = 3 OR frame % 11 < 2 THEN NULL ELSE y END AS y FROM t)"
+
+
+def gappy(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("y", F.when((F.col("frame") % 7 != 3) & (F.col("frame") % 11 >= 2), F.col("y")))
+
+
+@query(f"""WITH {T1}, {GAPS}, w AS (SELECT *, max(CASE WHEN y IS NOT NULL THEN frame END) OVER (PARTITION BY trace ORDER BY frame ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS fa,
+min(CASE WHEN y IS NOT NULL THEN frame END) OVER (PARTITION BY trace ORDER BY frame ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS fb FROM g)
+SELECT w.trace, w.frame, round(CASE WHEN w.y IS NOT NULL THEN w.y WHEN fa IS NULL THEN b.y WHEN fb IS NULL THEN a.y ELSE a.y + (w.frame - fa) * (b.y - a.y) / (fb - fa) END, 8) AS filled
+FROM w LEFT JOIN g a ON a.trace = w.trace AND a.frame = fa LEFT JOIN g b ON b.trace = w.trace AND b.frame = fb""")
+def gap_filled(spark, sf_dir):
+    return traces.gap_filled(gappy(tables.event_traces(spark, sf_dir))).select("trace", "frame", r("filled", 8))
+
+
+@query(f"WITH {T1}, s AS (SELECT trace, avg(y) AS m, stddev_samp(y) AS s FROM t GROUP BY 1) SELECT trace, frame, round(CASE WHEN s > 0 THEN (y - m) / s ELSE y END, 6) AS z FROM t JOIN s USING (trace)")
+def zscore_traces(spark, sf_dir):
+    return traces.zscored(tables.event_traces(spark, sf_dir)).select("trace", "frame", r("z"))
+
+
+@query(f"""WITH {T2}, n AS (SELECT trace, count(*) AS n FROM t GROUP BY 1), i AS (SELECT unnest(range(0, 800)) AS i),
+p AS (SELECT DISTINCT trace, CASE WHEN n <= 800 THEN -1 ELSE (i * (n - 1)) // 799 END AS frame FROM n CROSS JOIN i)
+SELECT t.trace, t.frame, y FROM t JOIN n USING (trace) WHERE n <= 800 OR EXISTS (SELECT 1 FROM p WHERE p.trace = t.trace AND p.frame = t.frame)""")
+def decimated_traces(spark, sf_dir):
+    return traces.decimated(tables.event_traces(spark, sf_dir, "event_type")).select("trace", "frame", "y")
+
+
+@query(f"WITH {T1} SELECT a.trace, a.frame, round(median(b.y), 6) AS median FROM t a JOIN t b ON a.trace = b.trace AND b.frame BETWEEN a.frame - 3 AND a.frame + 3 GROUP BY 1, 2")
+def sliding_median(spark, sf_dir):
+    return traces.sliding_median(tables.event_traces(spark, sf_dir), 7).select("trace", "frame", r("median"))
+
+
+@query(f"WITH {PX} SELECT frame, (pixel // 8 + 1)::INT AS roi_id, round(max(v), 6) AS max, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std, round(sum(v), 6) AS int FROM px GROUP BY 1, 2")
+def roi_metrics(spark, sf_dir):
+    out = imaging.roi_metrics(tables.vector_frames(spark, sf_dir), tables.block_masks(spark))
+    return out.select("frame", "roi_id", r("max"), r("mean"), r("std"), r("int"))
+
+
+@query(f"WITH {PX} SELECT pixel::INT AS pixel, round(avg(v), 6) AS mean, round(max(v), 6) AS max, round(stddev_pop(v), 6) AS std FROM px GROUP BY 1")
+def projection_mean_max_std(spark, sf_dir):
+    return imaging.projection(tables.vector_frames(spark, sf_dir)).select("pixel", r("mean"), r("max"), r("std"))
+
+
+@query(f"""WITH {PX}, p AS (SELECT pixel::INT AS pixel, max(v) AS m FROM px GROUP BY 1), s AS (SELECT min(m) AS lo, max(m) AS hi FROM p)
+SELECT pixel, floor(CASE WHEN hi > lo THEN (m - lo) / (hi - lo) * 255 ELSE 0 END)::INT AS u8 FROM p, s""")
+def projection_u8(spark, sf_dir):
+    return imaging.to_u8(imaging.projection(tables.vector_frames(spark, sf_dir)), "max")
+
+
+@query(f"WITH {PX} SELECT pixel::INT AS pixel, round(median(v), 6) AS median FROM px GROUP BY 1")
+def global_median(spark, sf_dir):
+    return imaging.median_background(tables.vector_frames(spark, sf_dir)).select("pixel", r("median"))
+
+
+@query(f"""WITH {PX}, m AS (SELECT pixel, median(v) AS m FROM px GROUP BY 1), d AS (SELECT frame, abs(v - m) AS d FROM px JOIN m USING (pixel)),
+l AS (SELECT frame, avg(d) + 2.0 * greatest(stddev_pop(d), 1e-6) AS l FROM d GROUP BY 1)
+SELECT frame, sum(CASE WHEN d > l THEN 1 ELSE 0 END)::BIGINT AS n FROM d JOIN l USING (frame) GROUP BY 1""")
+def frame_outliers(spark, sf_dir):
+    return imaging.outlier_pixels(tables.vector_frames(spark, sf_dir), 2.0)
+
+
+@query("SELECT unnest(range(0, 48))::INT AS pixel")
+def mask_union(spark, sf_dir):
+    return imaging.mask_union(tables.block_masks(spark, 0, 3).unionByName(tables.block_masks(spark, 2, 5)))
+
+
+@query("SELECT unnest(range(0, 16))::INT AS pixel")
+def mask_difference(spark, sf_dir):
+    return imaging.mask_difference(tables.block_masks(spark, 0, 3), tables.block_masks(spark, 2, 5))
+
+
+@query("""WITH s AS (SELECT s_suppkey AS id, (s_suppkey * 7) % 40 - 4 AS x, (s_suppkey * 5) % 30 - 3 AS y, 1 + s_suppkey % 9 AS w, 1 + s_suppkey % 6 AS h FROM supplier),
+g AS (SELECT a.range AS px, b.range AS py FROM range(32) a CROSS JOIN range(24) b)
+SELECT id AS roi_id, (py * 32 + px)::INT AS pixel FROM s JOIN g ON px >= x AND px < x + w AND py >= y AND py < y + h""")
+def rect_masks(spark, sf_dir):
+    s, k = spark.read.parquet(f"{sf_dir}/supplier.parquet"), F.col("s_suppkey")
+    rois = s.select(k.alias("roi_id"), (k * 7 % 40 - 4).alias("left"), (k * 5 % 30 - 3).alias("top"), (1 + k % 9).alias("width"), (1 + k % 6).alias("height"))
+    return imaging.rect_pixels(rois, 24, 32).select("roi_id", F.col("pixel").cast("int").alias("pixel"))
+
+
+@query("""WITH s AS (SELECT s_suppkey AS id, (s_suppkey * 7) % 20 + 0.5 AS x, (s_suppkey * 5) % 14 + 0.5 AS y, 2 + s_suppkey % 7 AS a FROM supplier),
+g AS (SELECT p.range AS px, q.range AS py FROM range(32) p CROSS JOIN range(24) q)
+SELECT id AS roi_id, (py * 32 + px)::INT AS pixel FROM s JOIN g ON px > x AND py > y AND (px - x) + (py - y) < a""")
+def polygon_masks(spark, sf_dir):
+    s, k = spark.read.parquet(f"{sf_dir}/supplier.parquet"), F.col("s_suppkey")
+    x, y, a = (k * 7 % 20 + 0.5).cast("double"), (k * 5 % 14 + 0.5).cast("double"), (2 + k % 7).cast("double")
+    rois = s.select(k.alias("roi_id"), F.array(x, x + a, x).alias("xs"), F.array(y, y, y + a).alias("ys"))
+    return imaging.polygon_pixels(rois, 24, 32).select("roi_id", F.col("pixel").cast("int").alias("pixel"))
+
+
+PAIRS = f"""{T3}, m AS (SELECT trace, avg(y) AS m FROM t GROUP BY 1), c AS (SELECT trace, frame, y - m AS y FROM t JOIN m USING (trace)),
+n AS (SELECT trace, sqrt(sum(y * y)) AS n FROM c GROUP BY 1), dot AS (SELECT a.trace AS i, b.trace AS j, sum(a.y * b.y) AS d FROM c a JOIN c b ON a.frame = b.frame AND a.trace < b.trace GROUP BY 1, 2),
+e AS (SELECT i AS source, j AS target, round(CASE WHEN p.n * q.n > 0 THEN least(greatest(d / (p.n * q.n), -1), 1) ELSE 0 END, 6) AS weight FROM dot JOIN n p ON p.trace = i JOIN n q ON q.trace = j)"""
+
+
+def weights(spark, sf_dir) -> DataFrame:
+    return graph.edges(association.pearson(tables.vector_traces(spark, sf_dir))).select("source", "target", r("weight"))
+
+
+@query(f"WITH {PAIRS} SELECT source AS i, target AS j, weight AS value FROM e")
+def pearson_matrix(spark, sf_dir):
+    return association.pearson(tables.vector_traces(spark, sf_dir)).select("i", "j", r("value"))
+
+
+CODES = f"""{T3}, s AS (SELECT trace, min(y) AS lo, max(y) AS hi FROM t GROUP BY 1),
+c AS (SELECT trace, frame, least({BINS - 1}, floor((y - lo) / (CASE WHEN hi > lo THEN hi - lo ELSE 1 END) * {BINS}))::INT AS bin FROM t JOIN s USING (trace)),
+h AS (SELECT trace, ln(sum(n)) - sum(n * ln(n)) / sum(n) AS h FROM (SELECT trace, bin, count(*) AS n FROM c GROUP BY 1, 2) GROUP BY 1)"""
+
+
+@query(f"WITH {CODES} SELECT trace, frame, bin FROM c")
+def trace_bins(spark, sf_dir):
+    return association.binned(tables.vector_traces(spark, sf_dir), BINS)
+
+
+@query(f"WITH {CODES} SELECT trace, round(h, 6) AS entropy FROM h")
+def trace_entropy(spark, sf_dir):
+    return association.entropies(tables.vector_traces(spark, sf_dir), BINS).select("trace", r("entropy"))
+
+
+@query(f"""WITH {CODES}, k AS (SELECT a.trace AS i, b.trace AS j, a.bin AS p, b.bin AS q, count(*) AS n FROM c a JOIN c b ON a.frame = b.frame AND a.trace < b.trace GROUP BY 1, 2, 3, 4),
+x AS (SELECT i, j, ln(sum(n)) - sum(n * ln(n)) / sum(n) AS h FROM k GROUP BY 1, 2)
+SELECT i, j, round(CASE WHEN a.h > 0 AND b.h > 0 THEN least(greatest((a.h + b.h - x.h) / sqrt(a.h * b.h), 0), 1) ELSE 0 END, 6) AS value FROM x JOIN h a ON a.trace = i JOIN h b ON b.trace = j""")
+def nmi_matrix(spark, sf_dir):
+    return association.nmi(tables.vector_traces(spark, sf_dir), BINS).select("i", "j", r("value"))
+
+
+@query(f"WITH {PAIRS} SELECT source, target, weight FROM e")
+def graph_edges(spark, sf_dir):
+    return weights(spark, sf_dir)
+
+
+ENDS = "z AS (SELECT source AS id, target AS other, weight FROM e UNION ALL SELECT target, source, weight FROM e)"
+
+
+@query(f"WITH {PAIRS}, {ENDS} SELECT id, round(sum(abs(weight)), 6) AS strength FROM z GROUP BY 1")
+def node_strength(spark, sf_dir):
+    return graph.strengths(weights(spark, sf_dir)).select("id", r("strength"))
+
+
+@query(f"WITH {PAIRS}, {ENDS} SELECT vec_id AS id, sum(CASE WHEN abs(weight) >= 0.3 THEN 1 ELSE 0 END)::BIGINT AS degree FROM embeddings LEFT JOIN z ON z.id = vec_id GROUP BY 1")
+def node_degree(spark, sf_dir):
+    nodes = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("id"))
+    return graph.degrees(weights(spark, sf_dir), nodes, 0.3)
+
+
+@query(f"WITH {PAIRS} SELECT source, target, weight FROM e ORDER BY abs(weight) DESC, source, target LIMIT 40000")
+def graph_topk_edges(spark, sf_dir):
+    return graph.strongest(weights(spark, sf_dir), 40_000)
+
+
+@query(f"""WITH {PAIRS}, w AS (SELECT abs(weight) AS w FROM e ORDER BY 1 DESC LIMIT 2000), s AS (SELECT min(w) AS w, max(w) AS m FROM w)
+SELECT round(round_even(w / m * 1000, 0) / 1000 * m, 6) AS threshold FROM s""")
+def graph_initial_threshold(spark, sf_dir):
+    return graph.initial_threshold(weights(spark, sf_dir)).select(r("threshold"))
+
+
+@query(f"""WITH {PAIRS}, {ENDS}, o AS (SELECT id, other, weight, row_number() OVER (PARTITION BY id ORDER BY abs(weight) DESC, other)::INT AS rank FROM z)
+SELECT id, rank, other, weight FROM o WHERE rank <= 6""")
+def neighbours_of(spark, sf_dir):
+    return graph.neighbours(weights(spark, sf_dir))
+
+
+@query(f"""WITH {PAIRS}, mx AS (SELECT max(abs(weight)) AS m FROM e), h AS (SELECT least(63, floor(abs(weight) / m * 64))::INT AS bin, count(*)::BIGINT AS n FROM e, mx GROUP BY 1)
+SELECT bin, n, round(ln(1 + n) / (SELECT ln(1 + max(n)) FROM h), 6) AS height FROM h""")
+def weight_histogram(spark, sf_dir):
+    return graph.histogram(weights(spark, sf_dir)).select("bin", "n", r("height"))
+
+
+@query(f"""WITH {PAIRS}, mx AS (SELECT max(abs(weight)) AS m FROM e)
+SELECT weight < 0 AS negative, least(15, floor((abs(weight) - 0.1) / (m - 0.1) * 16))::INT AS bucket, count(*)::BIGINT AS n FROM e, mx WHERE abs(weight) >= 0.1 GROUP BY 1, 2""")
+def edge_buckets(spark, sf_dir):
+    return graph.buckets(weights(spark, sf_dir), 0.1)
+
+
+@query(f"WITH {PAIRS} SELECT count(*)::BIGINT AS edge_count, round(max(abs(weight)), 4) AS max_abs_weight FROM e")
+def graph_summary(spark, sf_dir):
+    return graph.summary(weights(spark, sf_dir))
+
+
+@query(f"WITH {PAIRS} SELECT source, target, printf('%.6f', weight) AS weight FROM e WHERE abs(weight) >= 0.5")
+def network_edges(spark, sf_dir):
+    nodes = spark.range(0).select("id")
+    return sinks.network(nodes.selectExpr("id", "'' AS label", "0D AS x", "0D AS y"), weights(spark, sf_dir), 0.5)[0]
+
+
+@query("""WITH l AS (SELECT row_number() OVER (ORDER BY s_suppkey) - 1 AS ord, s_suppkey FROM supplier), n AS (SELECT count(*) AS n, count(*) // 2 AS k FROM l),
+k AS (SELECT ord, ((ord * 13) % 50)::DOUBLE AS x, ((ord * 29) % 70)::DOUBLE AS y FROM l, n WHERE ord < k),
+s AS (SELECT avg(x) AS cx, avg(y) AS cy, 0.75 * greatest(max(x) - min(x), max(y) - min(y), 1) AS r FROM k)
+SELECT l.ord, round(coalesce(x, cx + r * cos(2 * pi() * l.ord / n)), 6) AS x, round(coalesce(y, cy + r * sin(2 * pi() * l.ord / n)), 6) AS y FROM l CROSS JOIN n CROSS JOIN s LEFT JOIN k ON k.ord = l.ord""")
+def node_positions(spark, sf_dir):
+    from pyspark.sql import Window
+
+    s = spark.read.parquet(f"{sf_dir}/supplier.parquet")
+    ord_ = F.row_number().over(Window.orderBy("s_suppkey")).cast("long") - 1
+    labels = s.select(ord_.alias("ord"), F.concat(F.lit("cell"), F.col("s_suppkey").cast("string")).alias("label"))
+    half = labels.agg(F.expr("count(*) div 2").alias("k"))
+    known = labels.join(F.broadcast(half)).where("ord < k").select((F.col("ord") + 1).cast("int").alias("roi_id"), (F.col("ord") * 13 % 50).cast("double").alias("x"), (F.col("ord") * 29 % 70).cast("double").alias("y"))
+    return graph.positions(graph.map_to_rois(labels, known.select("roi_id")), known).select("ord", r("x"), r("y"))
+
+
+SPIKES = f"""{T2}, {robust_sql(1.5)},
+up AS (SELECT trace, frame, y FROM t JOIN lim USING (trace) WHERE sigma > 0 AND y > threshold),
+isl AS (SELECT *, frame - row_number() OVER (PARTITION BY trace ORDER BY frame) AS g FROM up),
+top AS (SELECT *, row_number() OVER (PARTITION BY trace, g ORDER BY y DESC, frame) AS n, count(*) OVER (PARTITION BY trace, g) AS size FROM isl),
+apex AS (SELECT trace, row_number() OVER (PARTITION BY trace ORDER BY frame)::INT AS spike, frame, y FROM top WHERE n = 1 AND size >= 2),
+ext AS (SELECT trace, max(frame) AS last FROM t GROUP BY 1),
+seg AS (SELECT a.trace, a.spike, a.frame AS f1, b.frame AS f2 FROM apex a JOIN apex b ON a.trace = b.trace AND b.spike = a.spike + 1),
+low AS (SELECT trace, spike, frame FROM (SELECT s.trace, s.spike, t.frame, row_number() OVER (PARTITION BY s.trace, s.spike ORDER BY t.y, t.frame) AS n FROM seg s JOIN t ON t.trace = s.trace AND t.frame BETWEEN f1 AND f2) WHERE n = 1),
+bound AS (SELECT a.trace, a.spike, a.frame AS apex, a.y AS top, baseline, coalesce(l.frame, 0) AS low, coalesce(h.frame, last) AS high
+  FROM apex a JOIN ext USING (trace) JOIN lim USING (trace) LEFT JOIN low l ON l.trace = a.trace AND l.spike = a.spike - 1 LEFT JOIN low h ON h.trace = a.trace AND h.spike = a.spike)"""
+
+
+def spike_traces(spark, sf_dir) -> DataFrame:
+    return tables.event_traces(spark, sf_dir, "event_type").withColumn("t", F.col("frame").cast("double"))
+
+
+@query(f"WITH {SPIKES} SELECT trace, spike, frame, y FROM apex")
+def spike_apexes(spark, sf_dir):
+    return spikes.apexes(spike_traces(spark, sf_dir), 1.5, 2).select("trace", "spike", "frame", "y")
+
+
+@query(f"WITH {SPIKES} SELECT trace, spike, low, high FROM bound")
+def spike_bounds(spark, sf_dir):
+    rows = spike_traces(spark, sf_dir)
+    return spikes.bounds(rows, spikes.apexes(rows, 1.5, 2)).select("trace", "spike", "low", "high")
+
+
+@query(f"""WITH {SPIKES}, lv AS (SELECT *, baseline + 0.5 * (top - baseline) AS lev FROM bound),
+jk AS (SELECT v.trace, v.spike, max(CASE WHEN t.frame < apex AND t.y <= lev THEN t.frame END) AS j, min(CASE WHEN t.frame > apex AND t.y <= lev THEN t.frame END) AS k
+  FROM lv v JOIN t ON t.trace = v.trace AND t.frame BETWEEN low AND high GROUP BY 1, 2),
+p AS (SELECT v.*, j, k, CASE WHEN j IS NULL THEN low ELSE j + (lev - a.y) / (b.y - a.y) END AS s, CASE WHEN k IS NULL THEN high ELSE k - 1 + (lev - c.y) / (d.y - c.y) END AS e,
+  CASE WHEN j IS NULL THEN l.y ELSE lev END AS sy, CASE WHEN k IS NULL THEN h.y ELSE lev END AS ey
+  FROM lv v JOIN jk USING (trace, spike) LEFT JOIN t a ON a.trace = v.trace AND a.frame = j LEFT JOIN t b ON b.trace = v.trace AND b.frame = j + 1
+  LEFT JOIN t c ON c.trace = v.trace AND c.frame = k - 1 LEFT JOIN t d ON d.trace = v.trace AND d.frame = k LEFT JOIN t l ON l.trace = v.trace AND l.frame = low LEFT JOIN t h ON h.trace = v.trace AND h.frame = high),
+pt AS (SELECT trace, spike, 0 AS o, s AS x, sy - baseline AS y FROM p UNION ALL SELECT trace, spike, 2, e, ey - baseline FROM p
+  UNION ALL SELECT p.trace, spike, 1, t.frame, t.y - baseline FROM p JOIN t ON t.trace = p.trace AND t.frame > coalesce(j, low) AND t.frame < coalesce(k, high)),
+ar AS (SELECT trace, spike, sum((x2 - x) * (y + y2) / 2) AS auc FROM (SELECT trace, spike, x, y, lead(x) OVER w AS x2, lead(y) OVER w AS y2 FROM pt WINDOW w AS (PARTITION BY trace, spike ORDER BY o, x)) GROUP BY 1, 2)
+SELECT trace, spike AS spike_index, round(s, 6) AS start_s, round(e, 6) AS end_s, round(e - s, 6) AS width_s, apex::DOUBLE AS spike_time_s, round(top - baseline, 6) AS max_height, round(auc, 6) AS auc, j IS NULL OR k IS NULL AS truncated FROM p JOIN ar USING (trace, spike)""")
+def spike_table(spark, sf_dir):
+    out = spikes.spikes(spike_traces(spark, sf_dir), 1.5, 0.5, 2)
+    return out.select("trace", "spike_index", r("start_s"), r("end_s"), r("width_s"), "spike_time_s", r("max_height"), r("auc"), "truncated")
+
+
+NAMES = "h AS (SELECT (p_partkey - 1)::INT AS col_ord, CASE p_partkey % 6 WHEN 0 THEN 'Mean' || p_partkey WHEN 1 THEN p_partkey || '_mean' WHEN 2 THEN 'Std Dev ' || p_partkey WHEN 3 THEN 'IntDen-' || p_partkey WHEN 4 THEN 'baseline_filt_' || p_partkey ELSE 'frame' END AS name FROM part)"
+
+
+def name_table(spark, sf_dir) -> DataFrame:
+    k = F.col("p_partkey").cast("string")
+    kind = F.col("p_partkey") % 6
+    name = F.when(kind == 0, F.concat(F.lit("Mean"), k)).when(kind == 1, F.concat(k, F.lit("_mean"))).when(kind == 2, F.concat(F.lit("Std Dev "), k)).when(kind == 3, F.concat(F.lit("IntDen-"), k)).when(kind == 4, F.concat(F.lit("baseline_filt_"), k)).otherwise("frame")
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select((F.col("p_partkey") - 1).cast("int").alias("col_ord"), name.alias("name"))
+
+
+@query(f"""WITH {NAMES} SELECT col_ord, name, CASE WHEN name LIKE 'Mean%' THEN 'Mean' WHEN name LIKE '%_mean' THEN 'mean' ELSE 'baseline_filt_' END AS metric, (col_ord + 1)::INT AS neuron
+FROM h WHERE name <> 'frame' AND name NOT LIKE 'Std%' AND name NOT LIKE 'Int%'""")
+def signal_columns(spark, sf_dir):
+    return columns.signal_columns(name_table(spark, sf_dir))
+
+
+@query(f"WITH {NAMES} SELECT (col_ord + 1)::INT AS neuron, name, 'IntDen' AS metric FROM h WHERE name LIKE 'IntDen%'")
+def select_metric_columns(spark, sf_dir):
+    return columns.select_metric(name_table(spark, sf_dir), "Int")
+
+
+@query()
+def als_smoothed(spark, sf_dir):
+    return filters.als_filtered(tables.event_traces(spark, sf_dir))
+
+
+@query(f"""WITH {T3}, n AS (SELECT trace, frame, y FROM t), f AS (SELECT range AS f FROM range(0, 43)),
+pad AS (SELECT range AS i, CASE WHEN range < 10 THEN 10 - range WHEN range < 74 THEN range - 10 ELSE 2 * 63 - (range - 10) END AS frame FROM range(0, 84)),
+v AS (SELECT trace, i, y FROM pad JOIN n USING (frame)),
+g AS (SELECT f, CASE WHEN f = 0 THEN 0 ELSE 1 / sqrt(1 + pow(f * 10.0 / 84 / 3.0, 4)) / sqrt(1 + pow(0.1 / (f * 10.0 / 84), 4)) * (CASE WHEN f = 42 THEN 1 ELSE 2 END) END AS g FROM f),
+c AS (SELECT trace, f, sum(y * cos(2 * pi() * f * i / 84)) AS re, sum(y * sin(2 * pi() * f * i / 84)) AS im FROM v CROSS JOIN f GROUP BY 1, 2)
+SELECT trace, (k.range)::BIGINT AS frame, round(sum(g / 84 * (re * cos(2 * pi() * c.f * (k.range + 10) / 84) + im * sin(2 * pi() * c.f * (k.range + 10) / 84))) + 0.0, 6) AS filtered FROM c JOIN g USING (f) CROSS JOIN range(0, 64) k GROUP BY 1, 2""")
+def bandpass_traces(spark, sf_dir):
+    return filters.band_pass(tables.vector_traces(spark, sf_dir)).select("trace", "frame", r("filtered"))
+
+
+@query()
+def preview_spikes(spark, sf_dir):
+    """Spikes of traces cut down to 200 points, where durations count points."""
+    from pyspark.sql import Window
+
+    rows = traces.decimated(tables.event_traces(spark, sf_dir, "event_type"), 200)
+    place = F.row_number().over(Window.partitionBy("trace").orderBy("frame")).cast("long") - 1
+    rows = rows.withColumn("frame", place).withColumn("t", F.col("frame").cast("double"))
+    return spikes.spikes(rows, 1.5, 0.5, 2)
