@@ -1,21 +1,21 @@
-"""Helpers that several operators share: word splitting, the shared folder, cut points and size-checked broadcasts."""
+"""Helpers that several operators share: word splitting and hashing, size-checked broadcasts, components; and those of the shared folder."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fluora.functions.shared import checkpoint, cut, shared_dir
+
+__all__ = ["checkpoint", "components", "cut", "fresh", "let", "shared_dir", "small", "uniform", "window_hashes", "words"]
+
 #: Word separators: space and the control characters tab to carriage return.
 GAP = r"[\x20\x09-\x0D]+"
 #: Most rows of a per-group parameter table that are broadcast (each row is below 1 KB).
 BROADCAST_ROWS = 10_000
 
-_own_dir: str | None = None
-
 
 def words(text: Column | str) -> Column:
     """The words ``[^\\x20\\x09-\\x0D]+`` of a text in order; none for null."""
@@ -23,32 +23,6 @@ def words(text: Column | str) -> Column:
     return F.array_remove(F.split(F.coalesce(col, F.lit("")), GAP), "")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is configured (tests)."""
-    global _own_dir
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if _own_dir is None:
-            _own_dir = "file://" + tempfile.mkdtemp(prefix="fluora-")
-        path = _own_dir
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(path)
-    return path.rstrip("/")
-
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Computes a small table once, in the shared folder; Spark deletes it with the last reference."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Writes a table as Parquet to the shared folder and reads it back, which ends its lineage."""
-    path = f"{shared_dir(df.sparkSession)}/fluora-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """The (already computed) table with a broadcast hint if it has at most ``rows`` rows, else as it is."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
