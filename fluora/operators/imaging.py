@@ -109,6 +109,23 @@ def reading_order(points: DataFrame) -> DataFrame:
     return points.withColumn("ord", F.row_number().over(Window.orderBy("y", "x", "roi_id")))
 
 
+def _labels(at: np.ndarray, width: int) -> np.ndarray:
+    """For sorted pixels the least pixel of their 8-connected blob."""
+    x, label = at % width, at.copy()
+    while True:
+        new = label.copy()
+        for dy in (-1, 0, 1):
+            for dx in (-1, 0, 1):
+                to = np.searchsorted(at, at + dy * width + dx)
+                ok = (to < len(at)) & (x + dx >= 0) & (x + dx < width)
+                ok[ok] &= at[to[ok]] == (at + dy * width + dx)[ok]
+                new[ok] = np.minimum(new[ok], label[to[ok]])
+        new = np.minimum(new, new[np.searchsorted(at, new)])
+        if (new == label).all():
+            return label
+        label = new
+
+
 def blobs(masks: DataFrame, width: int) -> DataFrame:
     """(image, blob, area, x, y) of 8-connected pixels (image, pixel): blob is the least pixel of each.
 
@@ -118,19 +135,7 @@ def blobs(masks: DataFrame, width: int) -> DataFrame:
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         at = np.sort(rows.pixel.unique())
         y, x = np.divmod(at, width)
-        label = at.copy()
-        while True:
-            new = label.copy()
-            for dy in (-1, 0, 1):
-                for dx in (-1, 0, 1):
-                    to = np.searchsorted(at, at + dy * width + dx)
-                    ok = (to < len(at)) & (x + dx >= 0) & (x + dx < width)
-                    ok[ok] &= at[to[ok]] == (at + dy * width + dx)[ok]
-                    new[ok] = np.minimum(new[ok], label[to[ok]])
-            new = np.minimum(new, new[np.searchsorted(at, new)])
-            if (new == label).all():
-                break
-            label = new
+        label = _labels(at, width)
         out = pd.DataFrame({"blob": label, "x": x, "y": y}).groupby("blob").agg(area=("x", "size"), x=("x", "mean"), y=("y", "mean")).reset_index()
         return out.assign(image=rows.image.iloc[0])[["image", "blob", "area", "x", "y"]]
 
@@ -183,3 +188,107 @@ def soma_forest(samples: DataFrame, features: list[str], seed: int = 0):
 
     rows = VectorAssembler(inputCols=features, outputCol="features").transform(samples)
     return RandomForestClassifier(numTrees=40, maxDepth=10, minInstancesPerNode=4, featureSubsetStrategy="sqrt", seed=seed).fit(rows)
+
+
+def oval_pixels(rois: DataFrame, height: int, width: int) -> DataFrame:
+    """(roi_id, pixel) inside the ellipses of rois (roi_id, left, top, width, height), as polygons of 360 corners."""
+    turn = F.transform(F.sequence(F.lit(0), F.lit(359)), lambda i: i * float(np.pi / 180))
+    cx, cy = F.col("left") + F.col("width") / 2, F.col("top") + F.col("height") / 2
+    xs, ys = F.transform(turn, lambda a: cx + F.col("width") / 2 * F.cos(a)), F.transform(turn, lambda a: cy + F.col("height") / 2 * F.sin(a))
+    return polygon_pixels(rois.select("roi_id", xs.alias("xs"), ys.alias("ys")), height, width)
+
+
+def roi_pixels(rois: DataFrame, height: int, width: int) -> DataFrame:
+    """(roi_id, pixel) of regions of any kind; ids keep their gaps where a region has no pixels."""
+    rect = rect_pixels(rois.where("kind = 'rect'"), height, width)
+    oval = oval_pixels(rois.where("kind = 'oval'"), height, width)
+    return rect.unionByName(oval).unionByName(polygon_pixels(rois.where("kind not in ('rect', 'oval')"), height, width))
+
+
+def neighbours_in(masks: DataFrame, width: int, height: int, cross: bool = True) -> DataFrame:
+    """(image, pixel, near): the pixels of masks (image, pixel) with each place next to them, themselves included."""
+    steps = [(0, 0), (1, 0), (-1, 0), (0, 1), (0, -1)] + ([] if cross else [(1, 1), (1, -1), (-1, 1), (-1, -1)])
+    x, y = F.col("pixel") % width, F.expr(f"pixel div {width}")
+    step = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in steps]))
+    rows = masks.select("image", "pixel", x.alias("x"), y.alias("y"), step.alias("s"))
+    rows = rows.select("image", "pixel", (F.col("x") + F.col("s.a")).alias("x"), (F.col("y") + F.col("s.b")).alias("y"))
+    return rows.select("image", "pixel", F.when(F.col("x").between(0, width - 1) & F.col("y").between(0, height - 1), F.col("y") * width + F.col("x")).alias("near"))
+
+
+def dilated(masks: DataFrame, width: int, height: int) -> DataFrame:
+    """Masks grown by one pixel up, down, left and right (the elliptical 3 by 3 element)."""
+    return neighbours_in(masks, width, height).where("near is not null").select("image", F.col("near").alias("pixel")).distinct()
+
+
+def eroded(masks: DataFrame, width: int, height: int) -> DataFrame:
+    """Masks shrunk likewise; places outside the image don't count against a pixel."""
+    near = neighbours_in(masks, width, height).where("near is not null")
+    gone = near.join(masks.select("image", F.col("pixel").alias("near")), ["image", "near"], "left_anti").select("image", "pixel").distinct()
+    return masks.join(gone, ["image", "pixel"], "left_anti")
+
+
+def opened(masks: DataFrame, width: int, height: int) -> DataFrame:
+    return dilated(eroded(masks, width, height), width, height)
+
+
+def floater_masks(frames: DataFrame, width: int, height: int, k: float = 3.0, least: int = 2, most: int = 200) -> DataFrame:
+    """(image, pixel) of moving particles: outliers against the temporal median, opened, of fitting size, grown by one."""
+    diff = pixels(frames).join(median_background(frames), "pixel").select("frame", "pixel", F.abs(F.col("v") - F.col("median")).alias("d"))
+    limit = diff.groupBy("frame").agg((F.avg("d") + k * F.greatest(F.stddev_pop("d"), F.lit(1e-6))).alias("limit"))
+    masks = opened(diff.join(limit, "frame").where("d > limit").select(F.col("frame").alias("image"), F.col("pixel").cast("long").alias("pixel")), width, height)
+    fit = labelled(masks, width)
+    sizes = fit.groupBy("image", "blob").agg(F.count("*").alias("area"))
+    kept = sizes.where((F.col("area") >= least) & ((F.lit(most) == 0) | (F.col("area") <= most)))
+    return dilated(fit.join(kept, ["image", "blob"]).select("image", "pixel"), width, height)
+
+
+def labelled(masks: DataFrame, width: int) -> DataFrame:
+    """(image, pixel, blob) of 8-connected pixels; one image is one group."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        at = np.sort(rows.pixel.unique())
+        return pd.DataFrame({"image": rows.image.iloc[0], "pixel": at, "blob": _labels(at, width)})
+
+    return masks.groupBy("image").applyInPandas(run, f"image {masks.schema['image'].dataType.simpleString()}, pixel long, blob long")
+
+
+def background_filled(frames: DataFrame, masks: DataFrame) -> DataFrame:
+    """(frame, pixel, v): masked pixels (image, pixel) take the temporal median, the others stay."""
+    rows = pixels(frames).join(masks.select(F.col("image").alias("frame"), "pixel", F.lit(True).alias("hit")), ["frame", "pixel"], "left")
+    return rows.join(median_background(frames), "pixel").select("frame", "pixel", F.when(F.col("hit"), F.col("median")).otherwise(F.col("v")).alias("v"))
+
+
+def somas(image: DataFrame, width: int, height: int, threshold: float = 0.5, least: float = 5, most: float = 40, round_: float = 0.5) -> DataFrame:
+    """(blob, area, x, y) of cell bodies in a probability image (image, pixel, v).
+
+    Pixels at the threshold or above are opened and joined to blobs; of these the ones stay whose equivalent diameter
+    and circularity (4 pi area over the squared number of outer pixel sides) fit.
+    """
+    masks = opened(image.where(F.col("v") >= threshold).select("image", F.col("pixel").cast("long").alias("pixel")), width, height)
+    blobs_ = labelled(masks, width)
+    near = neighbours_in(masks, width, height).join(masks.select("image", F.col("pixel").alias("near"), F.lit(1).alias("in")), ["image", "near"], "left")
+    sides = near.groupBy("image", "pixel").agg((5 - F.count("in")).alias("sides"))
+    rows = blobs_.join(sides, ["image", "pixel"]).groupBy("image", "blob").agg(F.count("*").alias("area"), F.sum("sides").alias("sides"), F.avg(F.col("pixel") % width).alias("x"), F.avg(F.expr(f"pixel div {width}")).alias("y"))
+    size = 2 * F.sqrt(F.col("area") / float(np.pi))
+    circle = 4 * float(np.pi) * F.col("area") / (F.col("sides") * F.col("sides")) * (16 / float(np.pi) ** 2)
+    return rows.where(size.between(least, most) & (circle >= round_)).select("image", "blob", "area", "x", "y")
+
+
+def warped(image: np.ndarray, matrix: np.ndarray) -> np.ndarray:
+    """An image seen through a 2 by 3 affine map of target to source places: bilinear, zero outside."""
+    h, w = image.shape
+    y, x = np.mgrid[:h, :w]
+    sx, sy = (m[0] * x + m[1] * y + m[2] for m in np.asarray(matrix, float))
+    x0, y0 = np.floor(sx).astype(int), np.floor(sy).astype(int)
+    wide, out = np.pad(image, 1), np.zeros(image.shape)
+    for dy in (0, 1):
+        for dx in (0, 1):
+            share = np.abs(1 - dx - (sx - x0)) * np.abs(1 - dy - (sy - y0))
+            out += share * wide[np.clip(y0 + dy + 1, 0, h + 1), np.clip(x0 + dx + 1, 0, w + 1)]
+    return out
+
+
+def summed_steps(steps: DataFrame) -> DataFrame:
+    """(frame, dy, dx) against frame 0 from moves of each frame against the one before."""
+    order = Window.orderBy("frame").rowsBetween(Window.unboundedPreceding, 0)
+    return steps.select("frame", F.sum("dy").over(order).alias("dy"), F.sum("dx").over(order).alias("dx"))
