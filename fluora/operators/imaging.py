@@ -57,11 +57,20 @@ def median_background(frames: DataFrame) -> DataFrame:
     return pixels(frames).groupBy("pixel").agg(F.median("v").alias("median"))
 
 
+def _differences(frames: DataFrame, k: float) -> DataFrame:
+    diff = pixels(frames).join(median_background(frames), "pixel").select("frame", "pixel", F.abs(F.col("v") - F.col("median")).alias("d"))
+    limit = diff.groupBy("frame").agg((F.avg("d") + k * F.greatest(F.stddev_pop("d"), F.lit(1e-6))).alias("limit"))
+    return diff.join(limit, "frame")
+
+
 def outlier_pixels(frames: DataFrame, k: float = 3.0) -> DataFrame:
     """(frame, n): pixels that differ from the temporal median by more than mean + k population deviations of a frame."""
-    diff = pixels(frames).join(median_background(frames), "pixel").select("frame", F.abs(F.col("v") - F.col("median")).alias("d"))
-    limit = diff.groupBy("frame").agg((F.avg("d") + k * F.greatest(F.stddev_pop("d"), F.lit(1e-6))).alias("limit"))
-    return diff.join(limit, "frame").groupBy("frame").agg(F.count_if(F.col("d") > F.col("limit")).alias("n"))
+    return _differences(frames, k).groupBy("frame").agg(F.count_if(F.col("d") > F.col("limit")).alias("n"))
+
+
+def outliers(frames: DataFrame, k: float = 3.0) -> DataFrame:
+    """(image, pixel) of these pixels."""
+    return _differences(frames, k).where("d > limit").select(F.col("frame").alias("image"), F.col("pixel").cast("long").alias("pixel"))
 
 
 def rect_pixels(rois: DataFrame, height: int, width: int) -> DataFrame:
@@ -233,9 +242,7 @@ def opened(masks: DataFrame, width: int, height: int) -> DataFrame:
 
 def floater_masks(frames: DataFrame, width: int, height: int, k: float = 3.0, least: int = 2, most: int = 200) -> DataFrame:
     """(image, pixel) of moving particles: outliers against the temporal median, opened, of fitting size, grown by one."""
-    diff = pixels(frames).join(median_background(frames), "pixel").select("frame", "pixel", F.abs(F.col("v") - F.col("median")).alias("d"))
-    limit = diff.groupBy("frame").agg((F.avg("d") + k * F.greatest(F.stddev_pop("d"), F.lit(1e-6))).alias("limit"))
-    masks = opened(diff.join(limit, "frame").where("d > limit").select(F.col("frame").alias("image"), F.col("pixel").cast("long").alias("pixel")), width, height)
+    masks = opened(outliers(frames, k), width, height)
     fit = labelled(masks, width)
     sizes = fit.groupBy("image", "blob").agg(F.count("*").alias("area"))
     kept = sizes.where((F.col("area") >= least) & ((F.lit(most) == 0) | (F.col("area") <= most)))

@@ -364,3 +364,48 @@ def preview_spikes(spark, sf_dir):
     place = F.row_number().over(Window.partitionBy("trace").orderBy("frame")).cast("long") - 1
     rows = rows.withColumn("frame", place).withColumn("t", F.col("frame").cast("double"))
     return spikes.spikes(rows, 1.5, 0.5, 2)
+
+
+@query(f"""WITH {PX}, m AS (SELECT pixel, median(v) AS m FROM px GROUP BY 1), d AS (SELECT frame, pixel, v, m, abs(v - m) AS d FROM px JOIN m USING (pixel)),
+l AS (SELECT frame, avg(d) + 2.0 * greatest(stddev_pop(d), 1e-6) AS l FROM d GROUP BY 1)
+SELECT frame, pixel::INT AS pixel, round(CASE WHEN d > l THEN m ELSE v END, 6) AS v FROM d JOIN l USING (frame)""")
+def background_filled(spark, sf_dir):
+    frames = tables.vector_frames(spark, sf_dir)
+    return imaging.background_filled(frames, imaging.outliers(frames, 2.0)).select("frame", "pixel", r("v"))
+
+
+@query(f"""WITH {PX}, a AS (SELECT frame AS image, pixel FROM px WHERE v >= 0.1), s AS (SELECT * FROM (VALUES (0, 0), (1, 0), (-1, 0), (0, 1), (0, -1)) AS s(dx, dy)),
+n AS (SELECT image, pixel % 8 + dx AS x, pixel // 8 + dy AS y FROM a CROSS JOIN s)
+SELECT DISTINCT image, (y * 8 + x)::INT AS pixel FROM n WHERE x BETWEEN 0 AND 7 AND y BETWEEN 0 AND 7""")
+def dilated_masks(spark, sf_dir):
+    masks = imaging.pixels(tables.vector_frames(spark, sf_dir)).where("v >= 0.1").select(F.col("frame").alias("image"), "pixel")
+    return imaging.dilated(masks, 8, 8).select("image", F.col("pixel").cast("int").alias("pixel"))
+
+
+@query(f"""WITH {PX}, a AS (SELECT frame AS image, pixel, pixel % 8 AS x, pixel // 8 AS y FROM px WHERE v >= 0), s AS (SELECT * FROM (VALUES (0, 0), (1, 0), (-1, 0), (0, 1), (0, -1)) AS s(dx, dy)),
+n AS (SELECT a.image, a.pixel, b.image IS NULL AS gone FROM a CROSS JOIN s LEFT JOIN a b ON b.image = a.image AND b.x = a.x + dx AND b.y = a.y + dy WHERE a.x + dx BETWEEN 0 AND 7 AND a.y + dy BETWEEN 0 AND 7)
+SELECT image, pixel::INT AS pixel FROM n GROUP BY 1, 2 HAVING NOT bool_or(gone)""")
+def eroded_masks(spark, sf_dir):
+    masks = imaging.pixels(tables.vector_frames(spark, sf_dir)).where("v >= 0").select(F.col("frame").alias("image"), "pixel")
+    return imaging.eroded(masks, 8, 8).select("image", F.col("pixel").cast("int").alias("pixel"))
+
+
+@query()
+def mask_blobs(spark, sf_dir):
+    masks = imaging.pixels(tables.vector_frames(spark, sf_dir)).where("v >= 0.1").select(F.col("frame").alias("image"), "pixel")
+    return imaging.blobs(masks, 8)
+
+
+@query(f"WITH {NAMES}, p AS (SELECT * FROM h WHERE name <> 'frame' AND name NOT LIKE 'Std%' AND name NOT LIKE 'Int%') SELECT col_ord AS ord, name AS label, (col_ord + 1)::INT AS roi_id FROM p")
+def spike_roi_map(spark, sf_dir):
+    """Columns to regions by the neuron of their names, as all have one within the regions."""
+    labels = columns.signal_columns(name_table(spark, sf_dir)).select(F.col("col_ord").alias("ord"), F.col("name").alias("label"))
+    rois = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("roi_id"))
+    return graph.map_to_rois(labels, rois, leading=False)
+
+
+@query(f"WITH {T1}, x AS (SELECT frame FROM t WHERE y < 1) SELECT t.trace, t.frame, y FROM t WHERE frame NOT IN (SELECT frame FROM x)")
+def complete_frames(spark, sf_dir):
+    """Frames in which no trace lacks a sample; samples below 1 count as missing."""
+    rows = tables.event_traces(spark, sf_dir)
+    return traces.complete_frames(rows.withColumn("y", F.when(F.col("y") >= 1, F.col("y")))).select("trace", "frame", "y")
