@@ -30,7 +30,7 @@ SHINGLE = 5
 BUCKETS = 1 << 16
 #: Lines just before a line in a shingle's list that it is compared with at first, besides the earliest.
 NEAR = 3
-#: Removed lines (12 bytes each) and documents to fetch (8 bytes each) that are broadcast at most.
+#: Removed lines and lines to fetch (12 bytes each) that are broadcast at most.
 BROADCAST = 2_000_000
 
 
@@ -73,16 +73,16 @@ def _prefix(n: Column) -> Column:
 
 
 def _filtered(pairs: DataFrame) -> DataFrame:
-    """Pairs (a, b) of sets from rows of shared tokens (a, n, at, b, n2, at2), after the positional filter."""
+    """Pairs (a, b, n, n2, c) of sets, c the shared prefix tokens, from rows of shared tokens (a, n, at, b, n2, at2), after the positional filter."""
     met = pairs.where("5 * n >= 4 * n2 and 5 * n2 >= 4 * n").groupBy("a", "b", "n", "n2").agg(F.count("*").alias("c"), F.max("at").alias("at"), F.max("at2").alias("at2"))
-    return met.where("9 * (c + least(n - at, n2 - at2)) >= 4 * (n + n2)").select("a", "b", "n", "n2")
+    return met.where("9 * (c + least(n - at, n2 - at2)) >= 4 * (n + n2)").select("a", "b", "n", "n2", "c")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The a of all pairs whose sets are similar."""
     left = sets.select(F.col("set_id").alias("a"), F.col("tokens").alias("t"))
     right = sets.select(F.col("set_id").alias("b"), F.col("tokens").alias("t2"))
-    both = pairs.join(left, "a").join(right, "b").withColumn("o", F.size(F.array_intersect("t", "t2")))
+    both = pairs.select("a", "b", "n", "n2").join(left, "a").join(right, "b").withColumn("o", F.size(F.array_intersect("t", "t2")))
     return both.where("9 * o >= 4 * (n + n2)").select("a").distinct()
 
 
@@ -97,14 +97,17 @@ def removed(docs: DataFrame) -> DataFrame:
     listed = cut(listed.where((copy & (F.col("at") == 1)) | (F.col("many") & ~copy)).withColumn("copy", copy))
     copies = listed.where("copy and at = 1").select("place.*")
     shared = listed.where("many and not copy").select("token", "place", "set_id", "n", "at").distinct()
-    # compared with few lines at first
+    # compared with few lines at first, the one with most shared tokens before the others
     order = Window.partitionBy("token").orderBy("place", "set_id")
     set_of = F.struct(F.col("set_id").alias("b"), F.col("n").alias("n2"), F.col("at").alias("at2"))
     some = shared.withColumn("others", F.array_distinct(F.array(F.first(set_of).over(order), *[F.lag(set_of, k).over(order) for k in range(1, NEAR + 1)])))
     some = some.select(F.col("set_id").alias("a"), "n", "at", F.explode("others").alias("o")).select("a", "n", "at", "o.*").where("b is not null and a != b")
     sets = _sets(docs, table, shared)
     tried = cut(_filtered(some))
-    found = checkpoint(_verified(tried, sets))
+    best = tried.groupBy("a").agg(F.max(F.struct("c", "b", "n", "n2")).alias("m")).select("a", "m.b", "m.n", "m.n2")
+    found = checkpoint(_verified(best, sets))
+    others = tried.join(found, "a", "left_anti").join(best.select("a", "b"), ["a", "b"], "left_anti")
+    found = checkpoint(found.unionByName(_verified(others, sets)).distinct())
     # what stays open, with every earlier candidate
     left = shared.select(F.col("set_id").alias("a"), "n", "at", "token", "place").join(found, "a", "left_anti")
     right = shared.select(F.col("set_id").alias("b"), F.col("n").alias("n2"), F.col("at").alias("at2"), "token", F.col("place").alias("place2"))
@@ -118,13 +121,13 @@ def removed(docs: DataFrame) -> DataFrame:
 def _sets(docs: DataFrame, table: bytes, shared: DataFrame) -> DataFrame:
     """(set_id, tokens) of the first lines of all sets that share a prefix token with another one."""
     wanted = shared.select("place.*").distinct()
-    ids = wanted.select("doc_id").distinct()
-    if ids.count() <= BROADCAST:
-        ids = F.broadcast(ids)
-    some = docs.join(ids, docs["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi")
-    rows = ordered(lines(some), table)
-    kept = rows.join(wanted, rows["doc_id"].eqNullSafe(wanted["doc_id"]) & (rows["line_no"] == wanted["line_no"]), "left_semi")
-    return cut(kept.select("set_id", "tokens").dropDuplicates(["set_id"]))
+    few = wanted.count() <= BROADCAST
+    wanted = wanted.groupBy(F.col("doc_id").alias("wanted_id")).agg(F.collect_list("line_no").alias("wanted"))
+    some = docs.join(F.broadcast(wanted) if few else wanted, docs["doc_id"].eqNullSafe(F.col("wanted_id")))
+    picked = let(F.split("text", "\n"), lambda x: F.transform("wanted", lambda i: F.struct(i.alias("line_no"), F.get(x, i).alias("line"))))
+    rows = some.select("doc_id", F.explode(picked).alias("p")).select("doc_id", "p.line_no", shingles(F.col("p.line")).alias("hashes"))
+    rows = ordered(rows, table)
+    return cut(rows.select("set_id", "tokens").dropDuplicates(["set_id"]))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
