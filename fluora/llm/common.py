@@ -55,16 +55,17 @@ def uniform(*cols: Column | str, seed: int) -> Column:
 def components(edges: DataFrame) -> DataFrame:
     """(node, comp) of the undirected graph of (a, b): comp is the smallest node that can be reached.
 
-    Each round takes the smallest label among neighbours and then the label of the label, so chains shorten fast.
+    Each round points nodes to their smallest neighbour, and that one's, and merges nodes that point to the same: edges
+    within a merged node go, so a large group costs one pass over its edges.
     """
-    both = edges.select("a", "b").where("a != b")
-    both = checkpoint(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = checkpoint(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("comp")))
-    while True:
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("near"))
-        step = labels.join(near, "node").select("node", F.least("comp", "near").alias("comp"), F.col("comp").alias("old"))
-        jump = labels.select(F.col("node").alias("comp"), F.col("comp").alias("up"))
-        step = checkpoint(step.join(jump, "comp").select("node", F.least("comp", "up").alias("comp"), (F.least("comp", "up") < F.col("old")).alias("moved")))
-        labels = step.select("node", "comp")
-        if step.where("moved").isEmpty():
-            return labels
+    one = edges.select("a", "b").where("a != b")
+    one = checkpoint(one.unionByName(one.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = one.select(F.col("a").alias("node"), F.col("a").alias("comp")).distinct()
+    while not one.isEmpty():
+        points = checkpoint(one.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("to")))
+        next_ = points.select(F.col("node").alias("to"), F.col("to").alias("far"))
+        points = checkpoint(points.join(next_, "to").select("node", F.col("far").alias("to")))
+        labels = checkpoint(labels.join(points.select(F.col("node").alias("comp"), "to"), "comp", "left").select("node", F.coalesce("to", "comp").alias("comp")))
+        ends = one.join(points.select(F.col("node").alias("a"), F.col("to").alias("a2")), "a").join(points.select(F.col("node").alias("b"), F.col("to").alias("b2")), "b")
+        one = checkpoint(ends.select(F.col("a2").alias("a"), F.col("b2").alias("b")).where("a != b").distinct())
+    return labels
