@@ -55,16 +55,20 @@ def uniform(*cols: Column | str, seed: int) -> Column:
 def components(edges: DataFrame) -> DataFrame:
     """(node, comp) of the undirected graph of (a, b): comp is the smallest node that can be reached.
 
-    Each round points nodes to their smallest neighbour, and that one's, and merges nodes that point to the same: edges
-    within a merged node go, so a large group costs one pass over its edges.
+    Each round points nodes to their smallest neighbour, follows pointers to their ends and merges nodes that end at the
+    same one: edges within a merged node go, so a large group costs one pass over its edges.
     """
     one = edges.select("a", "b").where("a != b")
     one = checkpoint(one.unionByName(one.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = one.select(F.col("a").alias("node"), F.col("a").alias("comp")).distinct()
     while not one.isEmpty():
         points = checkpoint(one.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("to")))
-        next_ = points.select(F.col("node").alias("to"), F.col("to").alias("far"))
-        points = checkpoint(points.join(next_, "to").select("node", F.col("far").alias("to")))
+        while True:  # follow pointers to their ends; each turn doubles the way
+            far = points.select(F.col("node").alias("to"), F.col("to").alias("far"))
+            jumped = checkpoint(points.join(far, "to").select("node", F.col("far").alias("to"), (F.col("far") < F.col("to")).alias("moved")))
+            points = jumped.select("node", "to")
+            if jumped.where("moved").isEmpty():
+                break
         labels = checkpoint(labels.join(points.select(F.col("node").alias("comp"), "to"), "comp", "left").select("node", F.coalesce("to", "comp").alias("comp")))
         ends = one.join(points.select(F.col("node").alias("a"), F.col("to").alias("a2")), "a").join(points.select(F.col("node").alias("b"), F.col("to").alias("b2")), "b")
         one = checkpoint(ends.select(F.col("a2").alias("a"), F.col("b2").alias("b")).where("a != b").distinct())
