@@ -213,6 +213,23 @@ def trained(counts: DataFrame, unigram: np.ndarray) -> Model:
     return model
 
 
+def _frequent(counts: DataFrame) -> list[tuple[str, int, int]]:
+    """The words whose counts only ``FREQUENT`` words reach, most frequent first.
+
+    The least such count comes from how many words have each count, so no task sends more than these words.
+    """
+    least, room = None, FREQUENT
+    for c, n in counts.groupBy("c").agg(F.count("*").alias("n")).orderBy(F.desc("c")).limit(FREQUENT).collect():
+        room -= n
+        if room < 0:
+            break
+        least = c
+    if least is None:
+        return []
+    rows = counts.where(F.col("c") >= least).collect()
+    return [(r["word"], r["class"], r["c"]) for r in sorted(rows, key=lambda r: (-r["c"], r["word"].encode()))]
+
+
 _tables: dict[str, np.ndarray] = {}
 
 
@@ -233,7 +250,7 @@ def scored(docs: DataFrame) -> DataFrame:
     texts = train.count()
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n, v = total["n"] + texts, total["v"] + (texts > 0)
-    frequent = [(r["word"], r["class"], r["c"]) for r in counts.orderBy(F.desc("c"), "word").limit(FREQUENT).collect()]
+    frequent = _frequent(counts)
     top = [w for w, _, _ in frequent[:TOP]]
     rest = {r["class"]: (r["n"], r["v"]) for r in counts.where(~F.col("word").isin(top)).groupBy("class").agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()}
     lexicon = Lexicon(frequent, rest, texts)
