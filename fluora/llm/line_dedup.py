@@ -62,8 +62,8 @@ def rarity(docs: DataFrame) -> bytes:
 
 def ordered(rows: DataFrame, table: bytes) -> DataFrame:
     """(doc_id, line_no, set_id, n, tokens): tokens are hashes with their rarity in front, rarest first."""
-    lit = F.lit(table)
-    rank = lambda h: F.ascii(F.substring(lit, (h % BUCKETS).cast("int") + 1, 1).cast("string")).cast("long")
+    ranks = F.split(F.lit(",".join(map(str, table))), ",").cast("array<bigint>")  # folded into one literal
+    rank = lambda h: F.get(ranks, (h % BUCKETS).cast("int"))
     rows = rows.withColumn("tokens", F.sort_array(F.transform("hashes", lambda h: F.shiftleft(rank(h), 57).bitwiseOR(h))))
     return rows.select("doc_id", "line_no", F.xxhash64("tokens").alias("set_id"), F.size("tokens").alias("n"), "tokens")
 
