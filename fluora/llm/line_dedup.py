@@ -24,7 +24,7 @@ from math import log2
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fluora.llm.common import checkpoint, cut, fresh, let, window_hashes, words
+from fluora.llm.common import checkpoint, cut, fresh, let, small, window_hashes, words
 
 SHINGLE = 5
 BUCKETS = 1 << 16
@@ -90,37 +90,41 @@ def removed(docs: DataFrame) -> DataFrame:
     """(doc_id, line_no) of all lines of docs (doc_id, text) that have an earlier match."""
     table = rarity(docs)
     rows = ordered(lines(docs), table)
-    entries = rows.select(F.struct("doc_id", "line_no").alias("place"), "set_id", "n", F.posexplode(F.slice("tokens", F.lit(1), _prefix(F.col("n")))).alias("at", "token")).withColumn("at", F.col("at") + 1)
+    entries = rows.select("set_id", "doc_id", "line_no", "n", F.posexplode(F.slice("tokens", F.lit(1), _prefix(F.col("n")))).alias("at", "token")).withColumn("at", F.col("at") + 1)
     by_token, by_set = Window.partitionBy("token"), Window.partitionBy("token", "set_id")
-    listed = entries.repartition(F.col("token")).withColumn("first", F.min("place").over(by_set)).withColumn("many", F.min("set_id").over(by_token) != F.max("set_id").over(by_token))
-    copy = F.col("first") < F.col("place")
-    listed = cut(listed.where((copy & (F.col("at") == 1)) | (F.col("many") & ~copy)).withColumn("copy", copy))
+    # most tokens have one entry and go at once; what follows keeps the partitioning by token
+    met = entries.repartition(F.col("token")).withColumn("met", F.count("*").over(by_token)).where("met > 1")
+    met = met.select("token", "set_id", F.struct("doc_id", "line_no").alias("place"), "n", "at")
+    listed = met.withColumn("first", F.min("place").over(by_set)).withColumn("many", F.min("set_id").over(by_token) != F.max("set_id").over(by_token))
+    listed = listed.withColumn("copy", F.col("first") < F.col("place")).where("(copy and at = 1) or (many and not copy)")
+    listed = cut(listed.select("token", "set_id", "place", "n", "at", "many", "copy").distinct())
     copies = listed.where("copy and at = 1").select("place.*")
-    shared = listed.where("many and not copy").select("token", "place", "set_id", "n", "at").distinct()
+    shared = listed.where("many and not copy").select("token", "place", "set_id", "n", "at")
+    firsts = cut(shared.groupBy("set_id").agg(F.min("place").alias("place")))
     # compared with few lines at first, the one with most shared tokens before the others
     order = Window.partitionBy("token").orderBy("place", "set_id")
     set_of = F.struct(F.col("set_id").alias("b"), F.col("n").alias("n2"), F.col("at").alias("at2"))
     some = shared.withColumn("others", F.array_distinct(F.array(F.first(set_of).over(order), *[F.lag(set_of, k).over(order) for k in range(1, NEAR + 1)])))
     some = some.select(F.col("set_id").alias("a"), "n", "at", F.explode("others").alias("o")).select("a", "n", "at", "o.*").where("b is not null and a != b")
-    sets = _sets(docs, table, shared)
     tried = cut(_filtered(some))
+    sets = _sets(docs, table, tried, firsts)
     best = tried.groupBy("a").agg(F.max(F.struct("c", "b", "n", "n2")).alias("m")).select("a", "m.b", "m.n", "m.n2")
     found = checkpoint(_verified(best, sets))
-    others = tried.join(found, "a", "left_anti").join(best.select("a", "b"), ["a", "b"], "left_anti")
+    others = tried.join(small(found, BROADCAST), "a", "left_anti").join(best.select("a", "b"), ["a", "b"], "left_anti")
     found = checkpoint(found.unionByName(_verified(others, sets)).distinct())
     # what stays open, with every earlier candidate
-    left = shared.select(F.col("set_id").alias("a"), "n", "at", "token", "place").join(found, "a", "left_anti")
+    left = shared.select(F.col("set_id").alias("a"), "n", "at", "token", "place").join(small(found, BROADCAST), "a", "left_anti")
     right = shared.select(F.col("set_id").alias("b"), F.col("n").alias("n2"), F.col("at").alias("at2"), "token", F.col("place").alias("place2"))
     rest = left.join(right, "token").where("place2 < place and a != b").where("5 * n >= 4 * n2 and 5 * n2 >= 4 * n")
-    rest = _filtered(rest.select("a", "n", "at", "b", "n2", "at2")).join(tried.select("a", "b"), ["a", "b"], "left_anti")
-    similar = found.unionByName(_verified(rest, sets)).distinct()
-    firsts = shared.select(F.col("set_id").alias("a"), "place").distinct().join(similar, "a").select("place.*")
-    return copies.unionByName(firsts).distinct()
+    rest = cut(_filtered(rest.select("a", "n", "at", "b", "n2", "at2")).join(tried.select("a", "b"), ["a", "b"], "left_anti"))
+    similar = found.unionByName(_verified(rest, _sets(docs, table, rest, firsts))).distinct()
+    return copies.unionByName(firsts.join(similar, firsts["set_id"] == similar["a"]).select("place.*")).distinct()
 
 
-def _sets(docs: DataFrame, table: bytes, shared: DataFrame) -> DataFrame:
-    """(set_id, tokens) of the first lines of all sets that share a prefix token with another one."""
-    wanted = shared.select("place.*").distinct()
+def _sets(docs: DataFrame, table: bytes, pairs: DataFrame, firsts: DataFrame) -> DataFrame:
+    """(set_id, tokens) of the sets in ``pairs``, read from their first lines (set_id, place)."""
+    ids = pairs.select(F.col("a").alias("set_id")).unionByName(pairs.select(F.col("b").alias("set_id"))).distinct()
+    wanted = cut(firsts.join(ids, "set_id", "left_semi").select("place.*").distinct())
     few = wanted.count() <= BROADCAST
     wanted = wanted.groupBy(F.col("doc_id").alias("wanted_id")).agg(F.collect_list("line_no").alias("wanted"))
     some = docs.join(F.broadcast(wanted) if few else wanted, docs["doc_id"].eqNullSafe(F.col("wanted_id")))
