@@ -6,9 +6,9 @@ nearest in Mahalanobis distance and takes their mean and covariance, which never
 beyond ``CUTOFF`` are rejected.
 
 A step is one aggregation of moments by (pair, bin of distance); the nearest bins that hold the share are then merged.
-Moments are sums of fixed-point integers, so results don't depend on the order of rows. Vectors count once however many
-documents have them, so that a mass of copies doesn't shrink the scatter; documents that fail the base limits don't
-count. Scatter is shrunk towards fixed spreads with the weight of ``PRIOR`` vectors, and has them as a floor in part, so
+Moments are sums of fixed-point integers, so results don't depend on the order of rows. A vector weighs as many as the
+distinct texts that have it, so the estimate is the same at every size of a corpus, and a mass of exact copies doesn't
+shrink the scatter; documents that fail the base limits don't count. Texts are told apart by a 64-bit hash. Scatter is shrunk towards fixed spreads with the weight of ``PRIOR`` texts, and has them as a floor in part, so
 small groups and constant statistics need no special case.
 
 Edge cases: null and empty texts have no words and fail the base limits; null language or source is a value of its own;
@@ -29,7 +29,7 @@ WINDOW = 8
 MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
 #: The transformed statistics, and the spread that each has at least in part.
 SPREADS = {"length": 1.0, "word": 0.35, "symbols": 0.5, "repeats": 0.1}
-#: Share of vectors that the estimate rests on; factor by which their covariance is too small for normal vectors:
+#: Share of texts, by their vectors, that the estimate rests on; factor by which their covariance is too small for normal vectors:
 #: share / P(chi2 with p + 2 degrees <= the chi2 quantile of the share with p degrees), p = 4.
 SHARE, CONSISTENCY = 0.75, 1.486
 STEPS, PRIOR, FLOOR = 8, 50, 0.5
@@ -55,7 +55,7 @@ def repeated(w: Column) -> Column:
 
 
 def statistics(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """``keep`` with key, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed and the vector z_*.
+    """``keep`` with key, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, text_hash, base_failed and the vector z_*.
 
     Computed once, in the shared folder: the counts of a text come out of one expression over its words.
     """
@@ -65,11 +65,12 @@ def statistics(docs: DataFrame, keep: list[str]) -> DataFrame:
     counted = cut(docs.select(
         *keep,
         group_key().alias("key"),
+        F.xxhash64(t).alias("text_hash"),
         counts.alias("counts"),
         (F.length(t) - F.length(F.regexp_replace(t, "[#*$%&|<>]+", ""))).cast("long").alias("n_symbols"),
         let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
     ))
-    out = counted.select(*keep, "key", "n_symbols", "n_dup_lines", *[F.col(f"counts.{c}").cast("long").alias(c) for c in ("n_words", "word_chars", "n_repeat_words")])
+    out = counted.select(*keep, "key", "text_hash", "n_symbols", "n_dup_lines", *[F.col(f"counts.{c}").cast("long").alias(c) for c in ("n_words", "word_chars", "n_repeat_words")])
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     return out.withColumn("base_failed", failed).select("*", *vector())
 
@@ -112,17 +113,18 @@ def _factor(df: DataFrame, n: Column, mean: list[Column], cov) -> DataFrame:
 
 
 def estimate(stats: DataFrame, steps: int = STEPS) -> DataFrame:
-    """Location and Cholesky factor for each key of ``stats`` (key, z_*, base_failed)."""
+    """Location and Cholesky factor for each key of ``stats`` (key, text_hash, z_*, base_failed)."""
     z = [f"z_{k}" for k in NAMES]
-    vectors = cut(stats.where("not base_failed").groupBy("key", *z).agg(F.lit(1).alias("one")).drop("one"))
-    quart = vectors.groupBy("key").agg(*[F.percentile_approx(c, [0.25, 0.5, 0.75], 1000).alias(c) for c in z])
+    texts = stats.where("not base_failed").select("key", "text_hash", *z).distinct()
+    vectors = cut(texts.groupBy("key", *z).agg(F.count("*").alias("weight")))
+    quart = vectors.groupBy("key").agg(*[F.percentile(c, [0.25, 0.5, 0.75], F.col("weight")).alias(c) for c in z])
     spread = [F.greatest((F.col(c)[2] - F.col(c)[0]) / FIXED / 1.349, F.lit(0.0)) for c in z]
     model = checkpoint(_factor(quart, F.lit(1000.0), [F.col(c)[1] / FIXED for c in z], lambda i, j: spread[i] ** 2 if i == j else F.lit(0.0)))
     cells = [(i, j) for i in range(P) for j in range(i + 1)]
-    product = lambda i, j: (F.col(z[i]) * F.col(z[j])).cast("decimal(24,0)")
+    product = lambda i, j: (F.col(z[i]) * F.col(z[j])).cast("decimal(24,0)") * F.col("weight").cast("decimal(12,0)")
     for _ in range(steps):
         near = vectors.join(small(model), "key").withColumn("bin", F.floor(8 * F.log2(_distance() + 2.0**-10)).cast("int"))
-        bins = near.groupBy("key", "bin").agg(F.count("*").alias("n"), *[F.sum(F.col(c)).alias(f"a_{i}") for i, c in enumerate(z)], *[F.sum(product(i, j)).alias(f"b_{i}_{j}") for i, j in cells])
+        bins = near.groupBy("key", "bin").agg(F.sum("weight").alias("n"), *[F.sum(F.col(c) * F.col("weight")).alias(f"a_{i}") for i, c in enumerate(z)], *[F.sum(product(i, j)).alias(f"b_{i}_{j}") for i, j in cells])
         before = F.coalesce(F.sum("n").over(Window.partitionBy("key").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         bins = bins.withColumn("before", before).withColumn("all", F.sum("n").over(Window.partitionBy("key")))
         kept = bins.where(F.col("before") < SHARE * F.col("all")).groupBy("key").agg(F.sum("n").cast("double").alias("n"), *[F.sum(f"a_{i}").cast("double").alias(f"a_{i}") for i in range(P)], *[F.sum(f"b_{i}_{j}").cast("double").alias(f"b_{i}_{j}") for i, j in cells])

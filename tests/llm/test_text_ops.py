@@ -142,6 +142,24 @@ def test_quality_finds_outliers(spark):
     assert sum(got[i] for i in range(300)) >= 299 and not any(got[1000 + i] for i in range(40)) and got[2000]
 
 
+def test_quality_model_is_the_same_at_every_size(spark):
+    """Draws from one distribution, where most texts share few vectors and the others are spread."""
+
+    def model(n):
+        rnd = random.Random(6)
+        rows = []
+        for i in range(n):
+            many = rnd.random() < 0.9
+            z = (5000 + rnd.randrange(6), 4000 + rnd.randrange(6), 0, 0) if many else (rnd.randrange(4000, 6000), rnd.randrange(3500, 4500), rnd.randrange(1, 3000), rnd.randrange(300))
+            rows += [("k", i, *map(int, z), False)] * (1 + 50 * (i == 7))  # one text has exact copies
+        kind = "key string, text_hash long, " + ", ".join(f"z_{k} long" for k in quality.NAMES) + ", base_failed boolean"
+        return quality.estimate(spark.createDataFrame(rows, kind)).first().asDict()
+
+    small, large = model(1000), model(100_000)
+    assert all(small[k] == pytest.approx(large[k], abs=0.05) for k in small if k != "key")
+    assert abs(large["m_2"]) < 0.01 and large["m_0"] == pytest.approx(5002.5 / 1024, abs=0.01)
+
+
 def similar(a, b):
     return 9 * len(a & b) >= 4 * (len(a) + len(b))
 
