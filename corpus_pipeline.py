@@ -1,7 +1,7 @@
 """The corpus pipeline: documents from quality rules to token ids, one operator a stage.
 
-Rows are kept or dropped by a stage's decision only. Rows that share a doc_id count as one document where a stage keeps
-one of a group; documents that mixing takes twice come out as two rows.
+Rows are kept or dropped by a stage's decision only. Rows that share a doc_id, or have none, are told apart by their
+texts; only rows of one id and one text count as one document where a stage keeps one of a group. Documents that mixing takes twice come out as two rows.
 """
 
 from __future__ import annotations
@@ -28,11 +28,15 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def join_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: the smallest id of a class; of rows that share that id, one."""
-    kept = cut(ngram_join.linked(docs).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("doc_id").agg(F.count("*").alias("n")))
-    ident = fresh(docs.columns, "kept_id")
-    one = docs.join(kept.select(F.col("doc_id").alias(ident)), docs["doc_id"].eqNullSafe(F.col(ident)), "left_semi")
-    return one if kept.where("n > 1").isEmpty() else one.dropDuplicates(["doc_id"])
+    """One document of each group: the smallest id of a class, then the smallest hash of a text; of equal texts with that id, one."""
+    classes = ngram_join.classed(docs).where(F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("tid") == F.col("class_tid")))
+    kept = cut(classes.groupBy("doc_id", "tid").agg(F.count("*").alias("n")))
+    ident, tid = fresh(docs.columns, "kept_id"), fresh(docs.columns, "kept_tid")
+    same = docs["doc_id"].eqNullSafe(F.col(ident)) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col(tid))
+    one = docs.join(kept.select(F.col("doc_id").alias(ident), F.col("tid").alias(tid)), same, "left_semi")
+    if kept.where("n > 1").isEmpty():
+        return one
+    return one.withColumn(tid, F.xxhash64(F.coalesce("text", F.lit("")))).dropDuplicates(["doc_id", tid]).drop(tid)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -208,6 +208,11 @@ def _cells(shared: DataFrame) -> DataFrame:
 
 def linked(docs: DataFrame, target: float = TARGET) -> DataFrame:
     """(doc_id, text_id, n_copies, n_links, class_id) for all rows of docs (doc_id, text)."""
+    return classed(docs, target).select("doc_id", "text_id", "n_copies", "n_links", "class_id")
+
+
+def classed(docs: DataFrame, target: float = TARGET) -> DataFrame:
+    """``linked`` with the text's hash tid, and class_tid: the smallest hash of the texts that have the class's smallest id."""
     docs = docs.select("doc_id", "text")
     sigs = cut(signatures(docs, depth(target)))
     texts = sigs.groupBy("tid").agg(F.min("doc_id").alias("text_id"), F.count("*").alias("n_copies"))
@@ -242,9 +247,10 @@ def linked(docs: DataFrame, target: float = TARGET) -> DataFrame:
     classes = components(found.where("to is not null").select(F.col("tid").alias("a"), F.col("to").alias("b")))
     links = found.groupBy("tid").agg(F.sum("links").alias("n_links"))
     known = texts.join(links, "tid", "left").join(classes.withColumnRenamed("node", "tid"), "tid", "left").withColumn("comp", F.coalesce("comp", "tid"))
-    least = known.groupBy("comp").agg(F.min("text_id").alias("class_id"))
-    known = known.join(least, "comp").select("tid", "text_id", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"), "class_id")
-    return sigs.select("doc_id", "tid").join(known, "tid").select("doc_id", "text_id", "n_copies", "n_links", "class_id")
+    least = known.groupBy("comp").agg(F.min(F.struct(F.col("text_id").isNull(), "text_id", "tid")).alias("least"))
+    least = least.select("comp", F.col("least.text_id").alias("class_id"), F.col("least.tid").alias("class_tid"))
+    known = known.join(least, "comp").select("tid", "text_id", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"), "class_id", "class_tid")
+    return sigs.select("doc_id", "tid").join(known, "tid").select("doc_id", "tid", "text_id", "n_copies", "n_links", "class_id", "class_tid")
 
 
 def op2_ngram_join(spark, sf_dir: str) -> DataFrame:

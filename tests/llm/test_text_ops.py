@@ -219,6 +219,23 @@ def test_ngram_join(docs, none, block, monkeypatch):
         assert ngram_join.recall(ngram_join.depth()) >= ngram_join.TARGET > ngram_join.recall(ngram_join.depth() + 1)
 
 
+def test_join_near_keeps_one_row_of_each_class(spark):
+    """Rows without an id, or with a shared one, are kept or dropped by their texts."""
+    import corpus_pipeline
+
+    rnd = random.Random(8)
+    line = lambda: " ".join(str(rnd.random()) for _ in range(60))
+    own, shared, base = [line() for _ in range(9)], [line() for _ in range(9)], line()
+    near = base + " end"
+    rows = [(None, t) for t in own] + [(7, t) for t in shared] + [(None, own[0]), (7, shared[0])]
+    rows += [(3, base), (None, base), (9, near), (7, near)]  # one class: the row of id 3 stays
+    rows += [(5, t + x) for t in [line()] for x in ("", " a", " b")]  # one class under one id: one row stays
+    out = corpus_pipeline.join_near(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    got = Counter(map(tuple, out))
+    assert all(got[None, t] == 1 for t in own) and all(got[7, t] == 1 for t in shared)
+    assert got[3, base] == 1 and sum(d == 5 for d, _ in out) == 1 and len(out) == 20
+
+
 def lm_rows():
     rnd = random.Random(5)
     out = make()
