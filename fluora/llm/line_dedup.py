@@ -2,8 +2,8 @@
 
 A line is the set of its five-word shingles. Shingles are ordered by rarity, then by hash; two lines of Jaccard
 similarity 0.8 or more share a shingle among the first ``n - ceil(0.8 n) + 1`` of each (prefix filter). Candidates pass
-the length and positional filters and are verified. A line goes if an earlier line (by document id, then line number)
-has the same set or a similar one; whether that earlier line goes itself doesn't matter.
+the length and positional filters and are verified. A line goes if an earlier line (by document id, then hash of the
+text, then line number) has the same set or a similar one; whether that earlier line goes itself doesn't matter.
 
 Equal sets are one from the first exchange on. To find out whether a line has a similar earlier one, it is compared with
 few lines first: per shingle with the earliest one and those just before it. Only lines that stay open are compared with
@@ -13,8 +13,9 @@ Rarity comes from a table of shingle counts by hash bucket (2**16 buckets, over
 result, a better one fewer candidates. A shingle is 57 bits of a hash, with its rarity in front.
 
 Edge cases: lines of less than five words have no shingle and always stay; null and empty texts stay as they are; rows
-with one document id count as one document, whose lines don't match themselves by number; a document can end with an
-empty text; an empty table gives an empty result.
+with one document id and one text count as one document, whose lines don't match themselves by number; rows that share
+an id or have none are told apart by a 64-bit hash of their texts; a document can end with an empty text; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ SHINGLE = 5
 BUCKETS = 1 << 16
 #: Lines just before a line in a shingle's list that it is compared with at first, besides the earliest.
 NEAR = 3
-#: Removed lines and lines to fetch (12 bytes each) that are broadcast at most.
+#: Removed lines and lines to fetch (20 bytes each) that are broadcast at most.
 BROADCAST = 2_000_000
 
 
@@ -39,14 +40,18 @@ def shingles(line: Column) -> Column:
     return let(words(line), lambda w: F.when(F.size(w) >= SHINGLE, F.array_distinct(F.transform(window_hashes(w, SHINGLE), lambda h: F.shiftrightunsigned(h, 7)))))
 
 
+def text_hash(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def _lines(docs: DataFrame) -> DataFrame:
-    rows = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    rows = docs.select("doc_id", text_hash(F.col("text")).alias("text_hash"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     return rows.where(F.length("line") >= 2 * SHINGLE - 1)
 
 
 def lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, line_no, hashes) of the lines of docs (doc_id, text); hashes are null where a line has no shingle."""
-    return _lines(docs).select("doc_id", "line_no", shingles(F.col("line")).alias("hashes"))
+    """(doc_id, text_hash, line_no, hashes) of the lines of docs (doc_id, text); hashes are null where a line has no shingle."""
+    return _lines(docs).select("doc_id", "text_hash", "line_no", shingles(F.col("line")).alias("hashes"))
 
 
 def rarity(docs: DataFrame) -> bytes:
@@ -61,11 +66,11 @@ def rarity(docs: DataFrame) -> bytes:
 
 
 def ordered(rows: DataFrame, table: bytes) -> DataFrame:
-    """(doc_id, line_no, set_id, n, tokens): tokens are hashes with their rarity in front, rarest first."""
+    """(doc_id, text_hash, line_no, set_id, n, tokens): tokens are hashes with their rarity in front, rarest first."""
     ranks = F.split(F.lit(",".join(map(str, table))), ",").cast("array<bigint>")  # folded into one literal
     rank = lambda h: F.get(ranks, (h % BUCKETS).cast("int"))
     rows = rows.withColumn("tokens", F.sort_array(F.transform("hashes", lambda h: F.shiftleft(rank(h), 57).bitwiseOR(h))))
-    return rows.select("doc_id", "line_no", F.xxhash64("tokens").alias("set_id"), F.size("tokens").alias("n"), "tokens")
+    return rows.select("doc_id", "text_hash", "line_no", F.xxhash64("tokens").alias("set_id"), F.size("tokens").alias("n"), "tokens")
 
 
 def _prefix(n: Column) -> Column:
@@ -87,14 +92,14 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def removed(docs: DataFrame) -> DataFrame:
-    """(doc_id, line_no) of all lines of docs (doc_id, text) that have an earlier match."""
+    """(doc_id, text_hash, line_no) of all lines of docs (doc_id, text) that have an earlier match."""
     table = rarity(docs)
     rows = ordered(lines(docs), table)
-    entries = rows.select("set_id", "doc_id", "line_no", "n", F.posexplode(F.slice("tokens", F.lit(1), _prefix(F.col("n")))).alias("at", "token")).withColumn("at", F.col("at") + 1)
+    entries = rows.select("set_id", "doc_id", "text_hash", "line_no", "n", F.posexplode(F.slice("tokens", F.lit(1), _prefix(F.col("n")))).alias("at", "token")).withColumn("at", F.col("at") + 1)
     by_token, by_set = Window.partitionBy("token"), Window.partitionBy("token", "set_id")
     # most tokens have one entry and go at once; what follows keeps the partitioning by token
     met = entries.repartition(F.col("token")).withColumn("met", F.count("*").over(by_token)).where("met > 1")
-    met = met.select("token", "set_id", F.struct("doc_id", "line_no").alias("place"), "n", "at")
+    met = met.select("token", "set_id", F.struct("doc_id", "text_hash", "line_no").alias("place"), "n", "at")
     listed = met.withColumn("first", F.min("place").over(by_set)).withColumn("many", F.min("set_id").over(by_token) != F.max("set_id").over(by_token))
     listed = listed.withColumn("copy", F.col("first") < F.col("place")).where("(copy and at = 1) or (many and not copy)")
     listed = cut(listed.select("token", "set_id", "place", "n", "at", "many", "copy").distinct())
@@ -126,10 +131,11 @@ def _sets(docs: DataFrame, table: bytes, pairs: DataFrame, firsts: DataFrame) ->
     ids = pairs.select(F.col("a").alias("set_id")).unionByName(pairs.select(F.col("b").alias("set_id"))).distinct()
     wanted = cut(firsts.join(ids, "set_id", "left_semi").select("place.*").distinct())
     few = wanted.count() <= BROADCAST
-    wanted = wanted.groupBy(F.col("doc_id").alias("wanted_id")).agg(F.collect_list("line_no").alias("wanted"))
-    some = docs.join(F.broadcast(wanted) if few else wanted, docs["doc_id"].eqNullSafe(F.col("wanted_id")))
+    wanted = wanted.groupBy(F.col("doc_id").alias("wanted_id"), F.col("text_hash").alias("wanted_hash")).agg(F.collect_list("line_no").alias("wanted"))
+    here = docs["doc_id"].eqNullSafe(F.col("wanted_id")) & (text_hash(docs["text"]) == F.col("wanted_hash"))
+    some = docs.join(F.broadcast(wanted) if few else wanted, here)
     picked = let(F.split("text", "\n"), lambda x: F.transform("wanted", lambda i: F.struct(i.alias("line_no"), F.get(x, i).alias("line"))))
-    rows = some.select("doc_id", F.explode(picked).alias("p")).select("doc_id", "p.line_no", shingles(F.col("p.line")).alias("hashes"))
+    rows = some.select("doc_id", F.col("wanted_hash").alias("text_hash"), F.explode(picked).alias("p")).select("doc_id", "text_hash", "p.line_no", shingles(F.col("p.line")).alias("hashes"))
     rows = ordered(rows, table)
     return cut(rows.select("set_id", "tokens").dropDuplicates(["set_id"]))
 
@@ -141,10 +147,11 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     """
     gone = cut(removed(docs.select("doc_id", "text")))
     few = gone.count() <= BROADCAST
-    gone = gone.groupBy(F.col("doc_id").alias("gone_id")).agg(F.sort_array(F.collect_set("line_no")).alias("removed"))
+    gone = gone.groupBy(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash")).agg(F.sort_array(F.collect_set("line_no")).alias("removed"))
     record, ident = fresh(docs.columns, "record"), fresh(docs.columns, "ident")
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias(record), F.col("doc_id").alias(ident))
-    out = rows.join(F.broadcast(gone) if few else gone, F.col(ident).eqNullSafe(F.col("gone_id")), "left")
+    here = F.col(ident).eqNullSafe(F.col("gone_id")) & (text_hash(F.col(record)["text"]) == F.col("gone_hash"))
+    out = rows.join(F.broadcast(gone) if few else gone, here, "left")
     split = F.split(F.col(record)["text"], "\n")
     kept = F.array_join(F.filter(split, lambda _, i: ~F.array_contains("removed", i)), "\n")
     text = F.when(F.col("removed").isNull(), F.col(record)["text"]).otherwise(kept)

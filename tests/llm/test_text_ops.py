@@ -190,6 +190,27 @@ def test_line_dedup_without_near_hits(docs, monkeypatch):
     assert {(r.record.doc_id, tuple(r.removed)) for r in line_dedup.deduplicated(docs).collect()} == want
 
 
+def test_line_dedup_tells_rows_of_one_id_apart(spark):
+    """Rows that share an id or have none lose the lines that match earlier ones, and no others."""
+    rnd = random.Random(9)
+    line = lambda: " ".join(str(rnd.random()) for _ in range(100))
+    base, near = line(), []
+    for k in range(4):
+        w = base.split(" ")
+        w[5 + 20 * k] = "other"
+        near.append(" ".join(w))
+    rows = [(d, "\n".join([line(), base if k == 0 else line(), line()])) for d in (None, 7) for k in range(4)]
+    rows += [(8, x) for x in near[:2]] + [(None, near[2]), (None, near[3]), rows[2], rows[5]]
+    out = line_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(out) == len(rows)
+    having = [r for r in out if any(similar(shingles(x), shingles(base)) for x in r.record.text.split("\n"))]
+    lost = [r for r in out if len(r.removed)]
+    assert all(r in having for r in lost) and len(having) == 6 and len(lost) == 5
+    for r in lost:
+        gone = [r.record.text.split("\n")[i] for i in r.removed]
+        assert len(gone) == 1 and similar(shingles(gone[0]), shingles(base))
+
+
 def brute_links(rows):
     by = {}
     for d, t, *_ in rows:
