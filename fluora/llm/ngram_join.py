@@ -1,8 +1,9 @@
-"""N-gram Jaccard join of documents by a MinHash LSH forest with exact verification.
+"""N-gram Jaccard join of documents by banded MinHash LSH with exact verification.
 
-A text is the set of its five-word shingles. Each tree of the forest labels a text with ``LONGEST`` min-hashes; in the
-sorted trie of a tree, texts under one prefix are candidates of each other. Prefixes are shortened from the longest one
-until a pair at the threshold meets in some tree with the target recall, and candidates are verified on whole sets.
+A text is the set of its five-word shingles. Each of ``TREES`` bands hashes ``depth()`` min-hashes of a text, and texts
+with one hash are candidates of each other. The depth is the largest, up to ``LONGEST``, at which a pair at the threshold
+meets in some band with the target recall; it doesn't depend on the input, and there is no sorted trie as in an LSH
+forest. Candidates are verified on whole sets.
 
 Equal texts are one node. Candidates are linked to the smallest text of their prefix, so a large group costs a link a
 member, and the components of these links are verified as a whole: small ones in one go, larger ones by pairs of blocks
