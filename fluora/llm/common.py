@@ -11,16 +11,21 @@ from fluora.functions.shared import checkpoint, cut, shared_dir
 
 __all__ = ["checkpoint", "components", "cut", "fresh", "let", "shared_dir", "small", "uniform", "window_hashes", "words"]
 
-#: Word separators: space and the control characters tab to carriage return.
-GAP = r"[\x20\x09-\x0D]+"
+#: Word separators besides the space: the control characters tab to carriage return.
+GAPS = "\t\n\x0b\x0c\r"
 #: Most rows of a per-group parameter table that are broadcast (each row is below 1 KB).
 BROADCAST_ROWS = 10_000
 
 
 def words(text: Column | str) -> Column:
-    """The words ``[^\\x20\\x09-\\x0D]+`` of a text in order; none for null."""
-    col = F.col(text) if isinstance(text, str) else text
-    return F.array_remove(F.split(F.coalesce(col, F.lit("")), GAP), "")
+    """The words ``[^\\x20\\x09-\\x0D]+`` of a text in order; none for null.
+
+    All separators become spaces first, as splitting at one plain character needs no regular expression.
+    """
+    col = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
+    for gap in GAPS:
+        col = F.replace(col, F.lit(gap), F.lit(" "))
+    return F.array_remove(F.split(col, " "), "")
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

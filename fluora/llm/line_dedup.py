@@ -1,43 +1,53 @@
 """Line dedup by an exact set-similarity join.
 
-A line is the set of its five-word shingles. Shingles are ordered by rarity, then by hash; two lines of Jaccard
-similarity 0.8 or more share a shingle among the first ``n - ceil(0.8 n) + 1`` of each (prefix filter). Candidates pass
-the length and positional filters and are verified. A line goes if an earlier line (by document id, then hash of the
-text, then line number) has the same set or a similar one; whether that earlier line goes itself doesn't matter.
-
-Equal sets are one from the first exchange on. To find out whether a line has a similar earlier one, it is compared with
-few lines first: per shingle with the earliest one and those just before it. Only lines that stay open are compared with
-every earlier candidate, so a large group of near copies isn't expanded into pairs.
+A line is the set of its five-word shingles; a line of one to four words has one shingle of all its words. Shingles are
+ordered by rarity, then by hash; two lines of Jaccard similarity 0.8 or more share a shingle among the first
+``n - ceil(0.8 n) + 1`` of each (prefix filter). Candidates pass the length and positional filters and are verified. A
+line goes if an earlier line (by document id, then hash of the text, then line number) has the same set or a similar
+one; whether that earlier line goes itself doesn't matter.
+
+Equal lines are one set before anything is joined: an aggregation by set finds the first line of each, and only that
+line's prefix takes part. Prefix shingles that one set alone has go; of several shingles that the same sets share one is
+enough. What remains is a left semi join of the lines with themselves by shingle, whose condition filters and verifies:
+it has one row for each line and shingle at most, never rows of pairs. Large groups are salted: their right side is dealt
+into blocks of ``BLOCK`` lines and the left side repeated for each.
 
 Rarity comes from a table of shingle counts by hash bucket (2**16 buckets, over all lines): any order gives the same
 result, a better one fewer candidates. A shingle is 57 bits of a hash, with its rarity in front.
 
-Edge cases: lines of less than five words have no shingle and always stay; null and empty texts stay as they are; rows
-with one document id and one text count as one document, whose lines don't match themselves by number; rows that share
-an id or have none are told apart by a 64-bit hash of their texts; a document can end with an empty text; an empty table
-gives an empty result.
+Edge cases: lines without words always stay; null and empty texts stay as they are; rows with one document id and one
+text count as one document, whose lines don't match themselves by number; rows that share an id or have none are told
+apart by a 64-bit hash of their texts; a document can end with an empty text; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import operator
+from functools import reduce
 from math import log2
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fluora.llm.common import checkpoint, cut, fresh, let, small, window_hashes, words
+from fluora.llm.common import cut, fresh, let, small, window_hashes, words
 
 SHINGLE = 5
 BUCKETS = 1 << 16
-#: Lines just before a line in a shingle's list that it is compared with at first, besides the earliest.
-NEAR = 3
-#: Removed lines and lines to fetch (20 bytes each) that are broadcast at most.
-BROADCAST = 2_000_000
+#: Lines of a shingle's group that a task compares a line with at most.
+BLOCK = 1024
+#: Lines (40 bytes each at most) that are broadcast at most.
+BROADCAST = 1_000_000
+#: Longs of a set's bitmap, by which the size of the difference of two sets is bounded from below.
+BITS = 4
+
+
+def word_hashes(line: Column) -> Column:
+    return F.transform(words(line), lambda w: F.xxhash64(w))
 
 
 def shingles(line: Column) -> Column:
-    """Distinct 57-bit hashes of the five-word windows of a line."""
-    return let(words(line), lambda w: F.when(F.size(w) >= SHINGLE, F.array_distinct(F.transform(window_hashes(w, SHINGLE), lambda h: F.shiftrightunsigned(h, 7)))))
+    """Distinct 57-bit hashes of the five-word windows of a line; null for a line without words."""
+    return let(word_hashes(line), lambda h: F.when(F.size(h) > 0, F.array_distinct(F.transform(window_hashes(h, SHINGLE), lambda x: F.shiftrightunsigned(x, 7)))))
 
 
 def text_hash(text: Column) -> Column:
@@ -46,98 +56,96 @@ def text_hash(text: Column) -> Column:
 
 def _lines(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", text_hash(F.col("text")).alias("text_hash"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return rows.where(F.length("line") >= 2 * SHINGLE - 1)
-
-
-def lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, line_no, hashes) of the lines of docs (doc_id, text); hashes are null where a line has no shingle."""
-    return _lines(docs).select("doc_id", "text_hash", "line_no", shingles(F.col("line")).alias("hashes"))
+    return rows.where(F.length("line") > 0)
 
 
 def rarity(docs: DataFrame) -> bytes:
     """For each bucket a byte that grows with the logarithm of its count of shingles in all lines."""
-    rows = _lines(docs).select(words("line").alias("w"))
-    rows = rows.select("w", F.explode(F.when(F.size("w") >= SHINGLE, F.sequence(F.lit(0), F.size("w") - SHINGLE))).alias("i"))
-    h = F.shiftrightunsigned(F.xxhash64(*[F.get("w", F.col("i") + j) for j in range(SHINGLE)]), 7)
+    rows = _lines(docs).select(word_hashes(F.col("line")).alias("h")).where(F.size("h") > 0)
+    rows = rows.select("h", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("h") - SHINGLE))).alias("i"))
+    h = F.shiftrightunsigned(F.xxhash64(*[F.get("h", F.col("i") + j) for j in range(SHINGLE)]), 7)
     table = bytearray(b"\x01" * BUCKETS)
     for bucket, n in rows.groupBy((h % BUCKETS).alias("bucket")).count().collect():
         table[bucket] = min(63, 1 + int(2 * log2(1 + n)))
     return bytes(table)
 
 
-def ordered(rows: DataFrame, table: bytes) -> DataFrame:
-    """(doc_id, text_hash, line_no, set_id, n, tokens): tokens are hashes with their rarity in front, rarest first."""
+def ranked(hashes: Column, table: bytes) -> Column:
+    """The hashes with their rarity in front, rarest first."""
     ranks = F.split(F.lit(",".join(map(str, table))), ",").cast("array<bigint>")  # folded into one literal
-    rank = lambda h: F.get(ranks, (h % BUCKETS).cast("int"))
-    rows = rows.withColumn("tokens", F.sort_array(F.transform("hashes", lambda h: F.shiftleft(rank(h), 57).bitwiseOR(h))))
-    return rows.select("doc_id", "text_hash", "line_no", F.xxhash64("tokens").alias("set_id"), F.size("tokens").alias("n"), "tokens")
+    return F.sort_array(F.transform(hashes, lambda h: F.shiftleft(F.get(ranks, (h % BUCKETS).cast("int")), 57).bitwiseOR(h)))
 
 
 def _prefix(n: Column) -> Column:
     return n - F.floor((4 * n + 4) / 5).cast("int") + 1
 
 
-def _filtered(pairs: DataFrame) -> DataFrame:
-    """Pairs (a, b, n, n2, c) of sets, c the shared prefix tokens, from rows of shared tokens (a, n, at, b, n2, at2), after the positional filter."""
-    met = pairs.where("5 * n >= 4 * n2 and 5 * n2 >= 4 * n").groupBy("a", "b", "n", "n2").agg(F.count("*").alias("c"), F.max("at").alias("at"), F.max("at2").alias("at2"))
-    return met.where("9 * (c + least(n - at, n2 - at2)) >= 4 * (n + n2)").select("a", "b", "n", "n2", "c")
+def prefixes(docs: DataFrame) -> DataFrame:
+    """(line, doc_id, text_hash, line_no, set_id, n, prefix) of all lines with words, computed once; ``line`` numbers them."""
+    table = rarity(docs)
+    rows = _lines(docs).select("doc_id", "text_hash", "line_no", shingles(F.col("line")).alias("hashes")).where("hashes is not null")
+    rows = rows.select("doc_id", "text_hash", "line_no", ranked(F.col("hashes"), table).alias("tokens"))
+    n = F.size("tokens")
+    return cut(rows.select(F.monotonically_increasing_id().alias("line"), "doc_id", "text_hash", "line_no", F.xxhash64("tokens").alias("set_id"), n.alias("n"), F.slice("tokens", F.lit(1), _prefix(n)).alias("prefix")))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The a of all pairs whose sets are similar."""
-    left = sets.select(F.col("set_id").alias("a"), F.col("tokens").alias("t"))
-    right = sets.select(F.col("set_id").alias("b"), F.col("tokens").alias("t2"))
-    both = pairs.select("a", "b", "n", "n2").join(left, "a").join(right, "b").withColumn("o", F.size(F.array_intersect("t", "t2")))
-    return both.where("9 * o >= 4 * (n + n2)").select("a").distinct()
+def _bits(tokens: str, k: int) -> Column:
+    """The k-th long of a set's bitmap."""
+    bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(h, 8).bitwiseAND(F.lit(63)).cast("int"))
+    return F.aggregate(tokens, F.lit(0).cast("long"), lambda acc, h: F.when(h % BITS == k, acc.bitwiseOR(bit(h))).otherwise(acc))
 
 
-def removed(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, line_no) of all lines of docs (doc_id, text) that have an earlier match."""
-    table = rarity(docs)
-    rows = ordered(lines(docs), table)
-    entries = rows.select("set_id", "doc_id", "text_hash", "line_no", "n", F.posexplode(F.slice("tokens", F.lit(1), _prefix(F.col("n")))).alias("at", "token")).withColumn("at", F.col("at") + 1)
-    by_token, by_set = Window.partitionBy("token"), Window.partitionBy("token", "set_id")
-    # most tokens have one entry and go at once; what follows keeps the partitioning by token
-    met = entries.repartition(F.col("token")).withColumn("met", F.count("*").over(by_token)).where("met > 1")
-    met = met.select("token", "set_id", F.struct("doc_id", "text_hash", "line_no").alias("place"), "n", "at")
-    listed = met.withColumn("first", F.min("place").over(by_set)).withColumn("many", F.min("set_id").over(by_token) != F.max("set_id").over(by_token))
-    listed = listed.withColumn("copy", F.col("first") < F.col("place")).where("(copy and at = 1) or (many and not copy)")
-    listed = cut(listed.select("token", "set_id", "place", "n", "at", "many", "copy").distinct())
-    copies = listed.where("copy and at = 1").select("place.*")
-    shared = listed.where("many and not copy").select("token", "place", "set_id", "n", "at")
-    firsts = cut(shared.groupBy("set_id").agg(F.min("place").alias("place")))
-    # compared with few lines at first, the one with most shared tokens before the others
-    order = Window.partitionBy("token").orderBy("place", "set_id")
-    set_of = F.struct(F.col("set_id").alias("b"), F.col("n").alias("n2"), F.col("at").alias("at2"))
-    some = shared.withColumn("others", F.array_distinct(F.array(F.first(set_of).over(order), *[F.lag(set_of, k).over(order) for k in range(1, NEAR + 1)])))
-    some = some.select(F.col("set_id").alias("a"), "n", "at", F.explode("others").alias("o")).select("a", "n", "at", "o.*").where("b is not null and a != b")
-    tried = cut(_filtered(some))
-    sets = _sets(docs, table, tried, firsts)
-    best = tried.groupBy("a").agg(F.max(F.struct("c", "b", "n", "n2")).alias("m")).select("a", "m.b", "m.n", "m.n2")
-    found = checkpoint(_verified(best, sets))
-    others = tried.join(small(found, BROADCAST), "a", "left_anti").join(best.select("a", "b"), ["a", "b"], "left_anti")
-    found = checkpoint(found.unionByName(_verified(others, sets)).distinct())
-    # what stays open, with every earlier candidate
-    left = shared.select(F.col("set_id").alias("a"), "n", "at", "token", "place").join(small(found, BROADCAST), "a", "left_anti")
-    right = shared.select(F.col("set_id").alias("b"), F.col("n").alias("n2"), F.col("at").alias("at2"), "token", F.col("place").alias("place2"))
-    rest = left.join(right, "token").where("place2 < place and a != b").where("5 * n >= 4 * n2 and 5 * n2 >= 4 * n")
-    rest = cut(_filtered(rest.select("a", "n", "at", "b", "n2", "at2")).join(tried.select("a", "b"), ["a", "b"], "left_anti"))
-    similar = found.unionByName(_verified(rest, _sets(docs, table, rest, firsts))).distinct()
-    return copies.unionByName(firsts.join(similar, firsts["set_id"] == similar["a"]).select("place.*")).distinct()
-
-
-def _sets(docs: DataFrame, table: bytes, pairs: DataFrame, firsts: DataFrame) -> DataFrame:
-    """(set_id, tokens) of the sets in ``pairs``, read from their first lines (set_id, place)."""
-    ids = pairs.select(F.col("a").alias("set_id")).unionByName(pairs.select(F.col("b").alias("set_id"))).distinct()
-    wanted = cut(firsts.join(ids, "set_id", "left_semi").select("place.*").distinct())
+def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(line, place, tokens, bits) of the lines ``wanted`` (line, doc_id, text_hash, line_no), read from their documents once."""
     few = wanted.count() <= BROADCAST
-    wanted = wanted.groupBy(F.col("doc_id").alias("wanted_id"), F.col("text_hash").alias("wanted_hash")).agg(F.collect_list("line_no").alias("wanted"))
+    by_text = wanted.groupBy(F.col("doc_id").alias("wanted_id"), F.col("text_hash").alias("wanted_hash")).agg(F.collect_set(F.struct("line_no", "line")).alias("wanted"))
     here = docs["doc_id"].eqNullSafe(F.col("wanted_id")) & (text_hash(docs["text"]) == F.col("wanted_hash"))
-    some = docs.join(F.broadcast(wanted) if few else wanted, here)
-    picked = let(F.split("text", "\n"), lambda x: F.transform("wanted", lambda i: F.struct(i.alias("line_no"), F.get(x, i).alias("line"))))
-    rows = some.select("doc_id", F.col("wanted_hash").alias("text_hash"), F.explode(picked).alias("p")).select("doc_id", "text_hash", "p.line_no", shingles(F.col("p.line")).alias("hashes"))
-    rows = ordered(rows, table)
-    return cut(rows.select("set_id", "tokens").dropDuplicates(["set_id"]))
+    some = docs.join(F.broadcast(by_text) if few else by_text, here)
+    picked = let(F.split("text", "\n"), lambda x: F.transform("wanted", lambda i: F.struct(i["line_no"].alias("line_no"), i["line"].alias("line"), F.get(x, i["line_no"]).alias("words"))))
+    rows = some.select("doc_id", F.col("wanted_hash").alias("text_hash"), F.explode(picked).alias("p"))
+    rows = rows.select(F.col("p.line").alias("line"), F.struct("doc_id", "text_hash", "p.line_no").alias("place"), shingles(F.col("p.words")).alias("tokens"))
+    return cut(rows.select("line", "place", "tokens", *[_bits("tokens", k).alias(f"bits_{k}") for k in range(BITS)]))
+
+
+def similar_lines(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, line_no) of the lines of ``rows``, one for each set, that have a similar earlier one."""
+    by_token = Window.partitionBy("token")
+    entries = rows.select("line", "n", F.posexplode("prefix").alias("at", "token")).withColumn("at", F.col("at") + 1)
+    # most tokens have one entry and go at once
+    met = entries.repartition(F.col("token")).withColumn("size", F.count("*").over(by_token)).where("size > 1")
+    shared = cut(met.withColumn("members", F.bit_xor(F.xxhash64("line")).over(by_token)))
+    groups = shared.groupBy("size", "members").agg(F.min("token").alias("token")).select("token")
+    shared = cut(shared.join(groups, "token", "left_semi").select("token", "line", "n", "at", "size"))
+    sets = _sets(docs, cut(rows.join(small(cut(shared.select("line").distinct()), BROADCAST), "line", "left_semi").select("line", "doc_id", "text_hash", "line_no")))
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    full = shared.withColumn("blocks", blocks).drop("size").join(sets, "line")
+    left = full.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).alias("a")
+    right = full.withColumn("block", F.pmod(F.xxhash64("line"), F.col("blocks")).cast("int")).alias("b")
+    a, b = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
+    both = a("n") + b("n")
+    apart = reduce(operator.add, [F.bit_count(a(f"bits_{k}").bitwiseXOR(b(f"bits_{k}"))) for k in range(BITS)])
+    hit = (
+        (a("token") == b("token"))
+        & (a("block") == b("block"))
+        & (b("place") < a("place"))
+        & (5 * a("n") >= 4 * b("n"))
+        & (5 * b("n") >= 4 * a("n"))
+        & (9 * (F.least(a("at"), b("at")) + F.least(a("n") - a("at"), b("n") - b("at"))) >= 4 * both)
+        & (9 * apart <= both)
+        & (9 * F.size(F.array_intersect(a("tokens"), b("tokens"))) >= 4 * both)
+    )
+    return cut(left.join(right, hit, "left_semi").select("place.*"))
+
+
+def removed(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, line_no) of all lines of docs (doc_id, text) that have an earlier match; may hold one twice."""
+    rows = prefixes(docs)
+    place = F.struct("doc_id", "text_hash", "line_no")
+    firsts = rows.groupBy("set_id").agg(F.min(F.struct(place.alias("place"), "line")).alias("first"), F.count("*").alias("many")).where("many > 1")
+    firsts = small(cut(firsts.select("set_id", "first")), BROADCAST)
+    copies = rows.select("set_id", place.alias("place")).join(firsts, "set_id").where("place > first.place").select("place.*")
+    alone = rows.join(firsts, "set_id", "left").where("first is null or line = first.line").drop("first", "set_id")
+    return copies.unionByName(similar_lines(docs, alone))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:

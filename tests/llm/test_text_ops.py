@@ -9,6 +9,7 @@ from array import array
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from fluora.llm import line_dedup, lm_scoring, mixing, ngram_join, quality, sentencepiece_bpe, sharding
 
@@ -168,8 +169,8 @@ def test_line_dedup(docs, none):
     first, gone = [], {}
     for d, t in sorted({(r[0], r[1]) for r in make()}, key=lambda r: (r[0] is not None, r[0] or 0)):
         for i, x in enumerate((t or "").split("\n")):
-            if len(WORD.findall(x)) >= 5:
-                s = shingles(x)
+            s = shingles(x)
+            if s:
                 if any(similar(s, o) for o in first):
                     gone.setdefault(d, []).append(i)
                 first.append(s)
@@ -183,11 +184,27 @@ def test_line_dedup(docs, none):
     assert line_dedup.deduplicated(none).count() == 0
 
 
-def test_line_dedup_without_near_hits(docs, monkeypatch):
-    """The exact pass alone gives the same as both passes."""
-    want = {(r.record.doc_id, tuple(r.removed)) for r in line_dedup.deduplicated(docs).collect()}
-    monkeypatch.setattr(line_dedup, "NEAR", 0)
-    assert {(r.record.doc_id, tuple(r.removed)) for r in line_dedup.deduplicated(docs).collect()} == want
+def test_line_dedup_of_large_groups(spark, monkeypatch):
+    """Near copies of one line that match few others, in salted blocks; copies of short lines."""
+    monkeypatch.setattr(line_dedup, "BLOCK", 100)
+    rnd = random.Random(11)
+    base = [str(rnd.random()) for _ in range(50)]
+    rows = []
+    for i in range(2000):
+        w = list(base)
+        for _ in range(rnd.randint(1, 2)):
+            w[rnd.randrange(50)] = str(rnd.random())
+        rows.append((i, " ".join(w)))
+    rows += [(3000 + i, f"buy it now\n{rnd.random()}\nbuy it") for i in range(30)]
+    seen, want = [], set()
+    for i, t in rows[:2000]:
+        s = shingles(t)
+        if any(similar(s, o) for o in seen):
+            want.add((i, (0,)))
+        seen.append(s)
+    want |= {(3000 + i, (0, 2)) for i in range(1, 30)}
+    out = line_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).where(F.size("removed") > 0).collect()
+    assert {(r.record.doc_id, tuple(r.removed)) for r in out} == want and len(want) > 500
 
 
 def test_line_dedup_tells_rows_of_one_id_apart(spark):
