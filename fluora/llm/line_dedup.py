@@ -13,7 +13,8 @@ it has one row for each line and shingle at most, never rows of pairs. Large gro
 into blocks of ``BLOCK`` lines and the left side repeated for each.
 
 Rarity comes from a table of shingle counts by hash bucket (2**16 buckets, over all lines): any order gives the same
-result, a better one fewer candidates. A shingle is 57 bits of a hash, with its rarity in front.
+result, a better one fewer candidates. In a prefix a shingle is 57 bits of
+its 64-bit hash, with its rarity in front.
 
 Edge cases: lines without words always stay; null and empty texts stay as they are; rows with one document id and one
 text count as one document, whose lines don't match themselves by number; rows that share an id or have none are told
@@ -22,8 +23,6 @@ apart by a 64-bit hash of their texts; a document can end with an empty text; an
 
 from __future__ import annotations
 
-import operator
-from functools import reduce
 from math import log2
 
 from pyspark.sql import Column, DataFrame, Window
@@ -37,8 +36,6 @@ BUCKETS = 1 << 16
 BLOCK = 1024
 #: Lines (40 bytes each at most) that are broadcast at most.
 BROADCAST = 1_000_000
-#: Longs of a set's bitmap, by which the size of the difference of two sets is bounded from below.
-BITS = 4
 
 
 def word_hashes(line: Column) -> Column:
@@ -46,8 +43,8 @@ def word_hashes(line: Column) -> Column:
 
 
 def shingles(line: Column) -> Column:
-    """Distinct 57-bit hashes of the five-word windows of a line; null for a line without words."""
-    return let(word_hashes(line), lambda h: F.when(F.size(h) > 0, F.array_distinct(F.transform(window_hashes(h, SHINGLE), lambda x: F.shiftrightunsigned(x, 7)))))
+    """Distinct 64-bit hashes of the five-word windows of a line; null for a line without words."""
+    return F.array_distinct(let(word_hashes(line), lambda h: F.when(F.size(h) > 0, window_hashes(h, SHINGLE))))
 
 
 def text_hash(text: Column) -> Column:
@@ -61,19 +58,19 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 def rarity(docs: DataFrame) -> bytes:
     """For each bucket a byte that grows with the logarithm of its count of shingles in all lines."""
-    rows = _lines(docs).select(word_hashes(F.col("line")).alias("h")).where(F.size("h") > 0)
-    rows = rows.select("h", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("h") - SHINGLE))).alias("i"))
-    h = F.shiftrightunsigned(F.xxhash64(*[F.get("h", F.col("i") + j) for j in range(SHINGLE)]), 7)
+    rows = _lines(docs).select(word_hashes(F.col("line")).alias("h"))
+    rows = rows.select("h", F.explode(F.when(F.size("h") > 0, F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("h") - SHINGLE)))).alias("i"))
+    h = F.xxhash64(*[F.get("h", F.col("i") + j) for j in range(SHINGLE)])
     table = bytearray(b"\x01" * BUCKETS)
-    for bucket, n in rows.groupBy((h % BUCKETS).alias("bucket")).count().collect():
+    for bucket, n in rows.groupBy(h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("bucket")).count().collect():
         table[bucket] = min(63, 1 + int(2 * log2(1 + n)))
     return bytes(table)
 
 
 def ranked(hashes: Column, table: bytes) -> Column:
-    """The hashes with their rarity in front, rarest first."""
+    """57 bits of the hashes with their rarity in front, rarest first."""
     ranks = F.split(F.lit(",".join(map(str, table))), ",").cast("array<bigint>")  # folded into one literal
-    return F.sort_array(F.transform(hashes, lambda h: F.shiftleft(F.get(ranks, (h % BUCKETS).cast("int")), 57).bitwiseOR(h)))
+    return F.sort_array(F.transform(hashes, lambda h: F.shiftleft(F.get(ranks, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")), 57).bitwiseOR(F.shiftrightunsigned(h, 7))))
 
 
 def _prefix(n: Column) -> Column:
@@ -83,28 +80,39 @@ def _prefix(n: Column) -> Column:
 def prefixes(docs: DataFrame) -> DataFrame:
     """(line, doc_id, text_hash, line_no, set_id, n, prefix) of all lines with words, computed once; ``line`` numbers them."""
     table = rarity(docs)
-    rows = _lines(docs).select("doc_id", "text_hash", "line_no", shingles(F.col("line")).alias("hashes")).where("hashes is not null")
-    rows = rows.select("doc_id", "text_hash", "line_no", ranked(F.col("hashes"), table).alias("tokens"))
+    rows = _lines(docs).select("doc_id", "text_hash", "line_no", ranked(shingles(F.col("line")), table).alias("tokens"))
     n = F.size("tokens")
-    return cut(rows.select(F.monotonically_increasing_id().alias("line"), "doc_id", "text_hash", "line_no", F.xxhash64("tokens").alias("set_id"), n.alias("n"), F.slice("tokens", F.lit(1), _prefix(n)).alias("prefix")))
+    rows = cut(rows.select(F.monotonically_increasing_id().alias("line"), "doc_id", "text_hash", "line_no", F.xxhash64("tokens").alias("set_id"), n.alias("n"), F.slice("tokens", F.lit(1), _prefix(n)).alias("prefix")))
+    return rows.where("n > 0")  # after the cut: a filter before it would split all lines twice
 
 
-def _bits(tokens: str, k: int) -> Column:
-    """The k-th long of a set's bitmap."""
-    bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(h, 8).bitwiseAND(F.lit(63)).cast("int"))
-    return F.aggregate(tokens, F.lit(0).cast("long"), lambda acc, h: F.when(h % BITS == k, acc.bitwiseOR(bit(h))).otherwise(acc))
+def _met(left: DataFrame, right: DataFrame, earlier: bool, exact: bool) -> DataFrame:
+    """The rows of ``left`` that meet a row of ``right`` on an earlier (or later) line: a semi join in salted groups.
+
+    Both have (token, place, n, at, blocks), and tokens where the match is to be ``exact``; else the filters decide.
+    """
+    left = left.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).alias("a")
+    right = right.withColumn("block", F.pmod(F.xxhash64("place"), F.col("blocks")).cast("int")).alias("b")
+    a, b = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
+    both = a("n") + b("n")
+    hit = (a("token") == b("token")) & (a("block") == b("block")) & (b("place") < a("place") if earlier else b("place") > a("place"))
+    hit = hit & (5 * a("n") >= 4 * b("n")) & (5 * b("n") >= 4 * a("n"))
+    hit = hit & (9 * (F.least(a("at"), b("at")) + F.least(a("n") - a("at"), b("n") - b("at"))) >= 4 * both)
+    if exact:
+        hit = hit & (9 * F.size(F.array_intersect(a("tokens"), b("tokens"))) >= 4 * both)
+    return left.join(right, hit, "left_semi").drop("block")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(line, place, tokens, bits) of the lines ``wanted`` (line, doc_id, text_hash, line_no), read from their documents once."""
+    """(place, tokens, entries) of the lines of ``wanted`` (place, entry), read from their documents once."""
     few = wanted.count() <= BROADCAST
-    by_text = wanted.groupBy(F.col("doc_id").alias("wanted_id"), F.col("text_hash").alias("wanted_hash")).agg(F.collect_set(F.struct("line_no", "line")).alias("wanted"))
+    by_line = wanted.groupBy("place").agg(F.collect_set("entry").alias("entries")).select("place.*", "entries")
+    by_text = by_line.groupBy(F.col("doc_id").alias("wanted_id"), F.col("text_hash").alias("wanted_hash")).agg(F.collect_list(F.struct("line_no", "entries")).alias("wanted"))
     here = docs["doc_id"].eqNullSafe(F.col("wanted_id")) & (text_hash(docs["text"]) == F.col("wanted_hash"))
     some = docs.join(F.broadcast(by_text) if few else by_text, here)
-    picked = let(F.split("text", "\n"), lambda x: F.transform("wanted", lambda i: F.struct(i["line_no"].alias("line_no"), i["line"].alias("line"), F.get(x, i["line_no"]).alias("words"))))
+    picked = let(F.split("text", "\n"), lambda x: F.transform("wanted", lambda w: F.struct(w["line_no"].alias("line_no"), w["entries"].alias("entries"), F.get(x, w["line_no"]).alias("words"))))
     rows = some.select("doc_id", F.col("wanted_hash").alias("text_hash"), F.explode(picked).alias("p"))
-    rows = rows.select(F.col("p.line").alias("line"), F.struct("doc_id", "text_hash", "p.line_no").alias("place"), shingles(F.col("p.words")).alias("tokens"))
-    return cut(rows.select("line", "place", "tokens", *[_bits("tokens", k).alias(f"bits_{k}") for k in range(BITS)]))
+    return cut(rows.select(F.struct("doc_id", "text_hash", "p.line_no").alias("place"), shingles(F.col("p.words")).alias("tokens"), F.col("p.entries").alias("entries")))
 
 
 def similar_lines(docs: DataFrame, rows: DataFrame) -> DataFrame:
@@ -116,25 +124,12 @@ def similar_lines(docs: DataFrame, rows: DataFrame) -> DataFrame:
     shared = cut(met.withColumn("members", F.bit_xor(F.xxhash64("line")).over(by_token)))
     groups = shared.groupBy("size", "members").agg(F.min("token").alias("token")).select("token")
     shared = cut(shared.join(groups, "token", "left_semi").select("token", "line", "n", "at", "size"))
-    sets = _sets(docs, cut(rows.join(small(cut(shared.select("line").distinct()), BROADCAST), "line", "left_semi").select("line", "doc_id", "text_hash", "line_no")))
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    full = shared.withColumn("blocks", blocks).drop("size").join(sets, "line")
-    left = full.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).alias("a")
-    right = full.withColumn("block", F.pmod(F.xxhash64("line"), F.col("blocks")).cast("int")).alias("b")
-    a, b = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
-    both = a("n") + b("n")
-    apart = reduce(operator.add, [F.bit_count(a(f"bits_{k}").bitwiseXOR(b(f"bits_{k}"))) for k in range(BITS)])
-    hit = (
-        (a("token") == b("token"))
-        & (a("block") == b("block"))
-        & (b("place") < a("place"))
-        & (5 * a("n") >= 4 * b("n"))
-        & (5 * b("n") >= 4 * a("n"))
-        & (9 * (F.least(a("at"), b("at")) + F.least(a("n") - a("at"), b("n") - b("at"))) >= 4 * both)
-        & (9 * apart <= both)
-        & (9 * F.size(F.array_intersect(a("tokens"), b("tokens"))) >= 4 * both)
-    )
-    return cut(left.join(right, hit, "left_semi").select("place.*"))
+    some = cut(rows.join(small(cut(shared.select("line").distinct()), BROADCAST), "line", "left_semi").select("line", F.struct("doc_id", "text_hash", "line_no").alias("place")))
+    light = cut(shared.join(some, "line").select("token", "place", "n", "at", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")))
+    sides = [_met(light, light, side == "left", False).select("place", F.struct("token", "at", "n", "blocks", F.lit(side).alias("side")).alias("entry")) for side in ("left", "right")]
+    sets = _sets(docs, cut(sides[0].unionByName(sides[1])))
+    full = sets.select("place", "tokens", F.explode("entries").alias("e")).select("place", "tokens", "e.*")
+    return cut(_met(full.where("side = 'left'"), full.where("side = 'right'"), True, True).select("place.*"))
 
 
 def removed(docs: DataFrame) -> DataFrame:
