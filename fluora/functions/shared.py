@@ -8,13 +8,17 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own_dir: str | None = None
+#: Tables that ``cut`` has written and ``drop_cuts`` has not deleted.
+_cuts: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where none is configured (tests)."""
+    """The folder in spark.checkpoint.dir; a temporary one only where none is configured and Spark runs in one process (tests)."""
     global _own_dir
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not (spark.sparkContext.master + "[").startswith("local["):
+            raise ValueError("spark.checkpoint.dir names no folder; on a cluster it must be one that driver and executors share")
         if _own_dir is None:
             _own_dir = "file://" + tempfile.mkdtemp(prefix="fluora-")
         path = _own_dir
@@ -32,5 +36,13 @@ def checkpoint(df: DataFrame) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """Writes a table as Parquet to the shared folder and reads it back, which ends its lineage."""
     path = f"{shared_dir(df.sparkSession)}/fluora-{uuid.uuid4().hex}"
+    _cuts.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_cuts(spark: SparkSession) -> None:
+    """Deletes all tables that ``cut`` has written so far: for chains whose results so far are written elsewhere."""
+    while _cuts:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_cuts.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
