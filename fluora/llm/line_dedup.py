@@ -34,7 +34,7 @@ SHINGLE = 5
 BUCKETS = 1 << 16
 #: Lines of a shingle's group that a task compares a line with at most.
 BLOCK = 1024
-#: Lines (40 bytes each at most) that are broadcast at most.
+#: Lines (40 bytes each and 24 for each shingle that they share) that are broadcast at most.
 BROADCAST = 1_000_000
 
 
@@ -105,8 +105,8 @@ def _met(left: DataFrame, right: DataFrame, earlier: bool, exact: bool) -> DataF
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(place, tokens, entries) of the lines of ``wanted`` (place, entry), read from their documents once."""
-    few = wanted.count() <= BROADCAST
-    by_line = wanted.groupBy("place").agg(F.collect_set("entry").alias("entries")).select("place.*", "entries")
+    by_line = cut(wanted.groupBy("place").agg(F.collect_set("entry").alias("entries")).select("place.*", "entries"))
+    few = by_line.count() <= BROADCAST
     by_text = by_line.groupBy(F.col("doc_id").alias("wanted_id"), F.col("text_hash").alias("wanted_hash")).agg(F.collect_list(F.struct("line_no", "entries")).alias("wanted"))
     here = docs["doc_id"].eqNullSafe(F.col("wanted_id")) & (text_hash(docs["text"]) == F.col("wanted_hash"))
     some = docs.join(F.broadcast(by_text) if few else by_text, here)
@@ -127,7 +127,7 @@ def similar_lines(docs: DataFrame, rows: DataFrame) -> DataFrame:
     some = cut(rows.join(small(cut(shared.select("line").distinct()), BROADCAST), "line", "left_semi").select("line", F.struct("doc_id", "text_hash", "line_no").alias("place")))
     light = cut(shared.join(some, "line").select("token", "place", "n", "at", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")))
     sides = [_met(light, light, side == "left", False).select("place", F.struct("token", "at", "n", "blocks", F.lit(side).alias("side")).alias("entry")) for side in ("left", "right")]
-    sets = _sets(docs, cut(sides[0].unionByName(sides[1])))
+    sets = _sets(docs, sides[0].unionByName(sides[1]))
     full = sets.select("place", "tokens", F.explode("entries").alias("e")).select("place", "tokens", "e.*")
     return cut(_met(full.where("side = 'left'"), full.where("side = 'right'"), True, True).select("place.*"))
 
