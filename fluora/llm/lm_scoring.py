@@ -1,16 +1,19 @@
 """LM scoring with a log-bilinear neural model that is trained by noise-contrastive estimation.
 
-Words are counted over all training documents. The model predicts a word's class from the classes of the two words
-before: the most frequent words and the end of a text are classes of their own, all other words fall into classes by
-their last bytes. A class of many words gives its probability to its words by smoothed counts, with a share for unknown
-words, so token probabilities sum to one. The score of a class is ``b_w + q_w . (c1 * r_v + c2 * r_u)``.
+Words are counted over all training documents. Those with at least ``sqrt(tokens) / SPARSE`` occurrences are items of
+their own, so the vocabulary grows about as the root of the corpus; all other words fall into classes by their last three
+bytes, and the end of a text is an item. Items are dealt into groups: a word group for every ``sqrt(words)`` words, and a
+group of its own for each class and the end. A context is ``sum_j c_j * r_(word j before)`` over the last ``CONTEXT``
+tokens; groups score ``b_g + q_g . context``, items likewise, and a token's probability is that of its group among all
+groups times that of its item among the group's items, by batched matrix products. A class gives its probability to its
+words by counts less a discount, and the discounted mass to one unknown word, so token probabilities sum to one.
 
-Training takes the counts of all class trigrams of all training documents. Tasks run noise-contrastive gradient steps
-over their shares of them in numpy, the driver averages the parameters (a few thousand numbers), for some rounds. For
-scoring, batched matrix products give the normalised log-probabilities of all classes after all pairs of classes.
+Texts are encoded once, as item numbers. Every training token takes part in noise-contrastive steps: tasks pass over
+their texts in numpy, with noise shared by a batch, and parameters and step sizes are averaged by Spark in pieces between
+``ROUNDS`` rounds, each over its share of the texts. Small corpora are passed until ``EXAMPLES`` tokens are seen.
 
-Counts of the ``FREQUENT`` most frequent words travel with the tasks; the other words of a text are joined with the
-table of counts, whatever its size.
+Counts of up to ``FREQUENT`` of the most frequent words travel with the tasks; the other words of a text are joined with
+the table of counts, whatever its size.
 
 Edge cases: null is an empty text, which has the end token only; a null id counts as the empty text for the split; rows
 that share an id are scored each; with no training text at all every token is unknown; an empty table gives an empty
@@ -23,7 +26,7 @@ import uuid
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from math import log10
+from math import ceil, log10, sqrt
 
 import numpy as np
 import pandas as pd
@@ -32,19 +35,22 @@ from pyspark.sql import functions as F
 
 from fluora.llm.common import cut
 
-#: Classes: words of their own, the end of a text, and classes of words by their last three bytes.
-TOP, LASTS = 191, 64
-END, CLASSES = TOP, TOP + 1 + LASTS
-FREQUENT = 50_000
+#: A word is an item of its own from the root of the tokens divided by this on.
+SPARSE = 8
+#: Classes of the other words, by their last three bytes.
+LASTS = 256
+FREQUENT = 200_000
 SMOOTH = 0.1
-DIM, NOISE, ROUNDS, RATE = 24, 8, 4, 0.1
-#: Distinct trigrams that a training task takes; there are at most CLASSES ** 3 of them.
-SHARE = 150_000
-BATCH, STEP = 512, 4096
+CONTEXT, DIM, NOISE, ROUNDS, RATE = 4, 24, 64, 4, 0.15
+#: Training tokens to see at least, over several passes of a small corpus.
+EXAMPLES = 4_000_000
+BATCH, STEP, CHUNK = 512, 2048, 4096
+#: Parameters in a piece that is averaged.
+PIECE = 1 << 14
 
 
 def last_class(word: bytes) -> int:
-    return TOP + 1 + zlib.crc32(word[-3:]) % LASTS
+    return zlib.crc32(word[-3:]) % LASTS
 
 
 def _batches(parts: Iterator) -> Iterator:
@@ -72,7 +78,7 @@ def word_counts(train: DataFrame) -> DataFrame:
         for part in _batches(parts):
             for t in part.column(0).to_pylist():
                 count.update(tokens(t))
-            if len(count) > 100_000:
+            if len(count) > 400_000:
                 yield out(count)
                 count = Counter()
         yield out(count)
@@ -81,135 +87,207 @@ def word_counts(train: DataFrame) -> DataFrame:
 
 
 class Lexicon:
-    """Classes and counts of the frequent words, and what other words need."""
-
-    def __init__(self, frequent: list[tuple[str, int, int]], rest: dict[int, tuple[int, int]], texts: int):
-        self.count = {w.encode(): c for w, _, c in frequent}
-        self.cls = {w.encode(): (i if i < TOP else k) for i, (w, k, _) in enumerate(frequent)}
-        self.texts = texts
-        self.within = np.zeros(CLASSES)  # log10 of a class's denominator
-        for k, (n, v) in rest.items():
-            self.within[k] = log10(n + SMOOTH * (v + 1))
-        for k in range(TOP + 1, CLASSES):
-            if k not in rest:
-                self.within[k] = log10(SMOOTH)
+    """Item numbers of the words: words of their own, then the end, then the classes; counts of the frequent words."""
+
+    def __init__(self, own: list[tuple[str, int]], frequent: list[tuple[str, int, int]], texts: int, rest: dict[int, tuple[int, int]], discount: float):
+        self.item = {w.encode(): i for i, (w, _) in enumerate(own)}
+        self.end, self.texts, self.discount = len(own), texts, discount
+        self.count = {w.encode(): c for w, _, c in frequent} | {w.encode(): c for w, c in own}
+        self.log_n = np.array([log10(rest[k][0]) if k in rest else 0.0 for k in range(LASTS)])
+        self.log_miss = [log10(discount * rest[k][1]) if k in rest else 0.0 for k in range(LASTS)]
+        unigram = [c for _, c in own] + [texts] + [rest[k][0] if k in rest else 0 for k in range(LASTS)]
+        self.unigram = (np.array(unigram, np.float64) + 0.5) / (sum(unigram) + 0.5 * len(unigram))
+        # groups: words in runs of equal length by frequency, then one for each other item
+        size = max(1, ceil(sqrt(len(own))))
+        words = np.arange(len(own)) // size
+        first = int(words[-1]) + 1 if len(own) else 0
+        self.group = np.concatenate([words, first + np.arange(1 + LASTS)]).astype(np.int64)
+        self.words = first  # the number of groups of words
+        self.edges = [*range(0, len(own), size), len(own)]
         self.seen: dict[bytes, int] = {}
 
-    def classes(self, words: list[bytes]) -> list[int]:
-        cls, seen = self.cls, self.seen
+    def items(self, words: list[bytes]) -> list[int]:
+        item, seen = self.item, self.seen
         if len(seen) > 300_000:
             seen.clear()
         out = []
         for w in words:
-            k = cls.get(w)
+            k = item.get(w)
             if k is None:
                 k = seen.get(w)
                 if k is None:
-                    k = seen[w] = last_class(w)
+                    k = seen[w] = self.end + 1 + last_class(w)
             out.append(k)
         return out
 
 
-def trigrams(train: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """(code, n): how often a class follows two others, over all texts."""
-
-    def run(parts: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        for part in _batches(parts):
-            codes = []
-            for t in part.column(0).to_pylist():
-                k = np.array([END, END, *lexicon.classes(tokens(t)), END], np.int32)
-                codes.append((k[:-2] * CLASSES + k[1:-1]) * CLASSES + k[2:])
-            code, n = np.unique(np.concatenate(codes), return_counts=True) if codes else (np.zeros(0, np.int32), np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(code, pa.int32()), pa.array(n, pa.int64())], ["code", "n"])
-
-    return train.select("text").mapInArrow(run, "code int, n long").groupBy("code").agg(F.sum("n").alias("n"))
+def contexts(ids: np.ndarray, starts: np.ndarray, end: int) -> np.ndarray:
+    """For each token of joined texts the CONTEXT tokens before it, the nearest first; the end stands before a text."""
+    out = np.full((len(ids), CONTEXT), end, np.int64)
+    place = np.arange(len(ids)) - np.repeat(starts, np.diff(np.append(starts, len(ids))))
+    for j in range(CONTEXT):
+        at = np.flatnonzero(place > j)
+        out[at, j] = ids[at - j - 1]
+    return out
 
 
 class Model:
-    """Parameters of the log-bilinear model."""
+    """Parameters of the log-bilinear model, with the running squares of their steps."""
 
-    NAMES = ("r", "q", "c1", "c2", "b")
+    NAMES = ("r", "q", "b", "gq", "gb", "c", "sr", "sq", "sgq")
 
-    def __init__(self, unigram: np.ndarray, seed: int = 3):
+    def __init__(self, lexicon: Lexicon, seed: int = 3):
         rng = np.random.default_rng(seed)
-        self.noise = unigram
-        self.r = rng.normal(0, 0.1, (CLASSES, DIM))
-        self.q = rng.normal(0, 0.1, (CLASSES, DIM))
-        self.c1, self.c2 = np.full(DIM, 0.5), np.full(DIM, 0.5)
-        self.b = np.log(unigram)
-
-    def pack(self) -> bytes:
-        return b"".join(getattr(self, k).astype(np.float64).tobytes() for k in self.NAMES)
-
-    def unpack(self, data: np.ndarray) -> None:
+        n, groups = len(lexicon.group), int(lexicon.group[-1]) + 1
+        self.group, self.end, self.words, self.edges = lexicon.group, lexicon.end, lexicon.words, lexicon.edges
+        self.noise = lexicon.unigram
+        self.group_noise = np.bincount(lexicon.group, lexicon.unigram, groups)
+        normal = lambda *shape: rng.normal(0, 0.1, shape).astype(np.float32)
+        self.r, self.q, self.gq = normal(n, DIM), normal(n, DIM), normal(groups, DIM)
+        self.b, self.gb = np.log(self.noise).astype(np.float32), np.log(self.group_noise).astype(np.float32)
+        self.c = np.full((CONTEXT, DIM), 1 / CONTEXT, np.float32)
+        self.sr, self.sq, self.sgq = (np.full(k, 1e-4, np.float32) for k in (n, n, groups))
+
+    def pack(self) -> np.ndarray:
+        return np.concatenate([getattr(self, k).ravel() for k in self.NAMES])
+
+    def unpack(self, data: np.ndarray) -> Model:
         at = 0
         for k in self.NAMES:
             shape = getattr(self, k).shape
             n = int(np.prod(shape))
-            setattr(self, k, data[at : at + n].reshape(shape).copy())
+            setattr(self, k, data[at : at + n].reshape(shape).astype(np.float32))
             at += n
+        return self
+
+    def made(self, before: np.ndarray) -> np.ndarray:
+        out = self.c[0] * self.r[before[:, 0]]
+        for j in range(1, CONTEXT):
+            out += self.c[j] * self.r[before[:, j]]
+        return out
 
-    def train(self, code: np.ndarray, n: np.ndarray, seed: int, rate: float = RATE) -> None:
-        """One pass of noise-contrastive steps over weighted trigrams, in random order, with Adagrad."""
+    def _contrast(self, made: np.ndarray, target: np.ndarray, q: str, b: str, s: str, noise: np.ndarray, edges: np.ndarray, rate: float, rng) -> np.ndarray:
+        """A step of one output layer; returns the slope for the contexts."""
+        weights, bias, past = getattr(self, q), getattr(self, b), getattr(self, s)
+        drawn = np.minimum(np.searchsorted(edges, rng.random(NOISE)), len(edges) - 1)
+        log_noise = np.log(NOISE * noise)
+        sigmoid = lambda x: 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+        up = 1 - sigmoid((made * weights[target]).sum(1) + bias[target] - log_noise[target])
+        down = sigmoid(made @ weights[drawn].T + bias[drawn] - log_noise[drawn])
+        back = up[:, None] * weights[target] - down @ weights[drawn]
+        rows = np.concatenate([target, drawn])
+        grad = np.concatenate([up[:, None] * made, -(down.T @ made)])
+        self._move(weights, past, rows, grad, rate, bias, np.concatenate([up, -down.sum(0)]))
+        return back
+
+    @staticmethod
+    def _move(weights: np.ndarray, past: np.ndarray, rows: np.ndarray, grad: np.ndarray, rate: float, bias: np.ndarray | None = None, slope: np.ndarray | None = None) -> None:
+        """Adagrad by rows: sums the gradients of equal rows, then moves each row once."""
+        order = np.argsort(rows, kind="stable")
+        rows = rows[order]
+        first = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
+        rows, total = rows[first], np.add.reduceat(grad[order], first, axis=0)
+        past[rows] += (total * total).mean(1)
+        size = rate / np.sqrt(past[rows])
+        weights[rows] += size[:, None] * total
+        if bias is not None:
+            bias[rows] += size * np.add.reduceat(slope[order], first)
+
+    def train(self, ids: np.ndarray, starts: np.ndarray, seed: int, rate: float) -> None:
+        """Noise-contrastive steps over all tokens of the joined texts, in random order."""
         rng = np.random.default_rng(seed)
-        past = {k: np.full(getattr(self, k).shape, 1e-6) for k in self.NAMES}
-        order, log_noise = rng.permutation(len(code)), np.log(NOISE * self.noise)
-        edges = np.cumsum(self.noise)
+        before, order = contexts(ids, starts, self.end), rng.permutation(len(ids))
+        edges, group_edges = np.cumsum(self.noise), np.cumsum(self.group_noise)
+        log = lambda x: x.astype(np.float32)
+        noise, group_noise = log(self.noise), log(self.group_noise)
         for low in range(0, len(order), STEP):
             at = order[low : low + STEP]
-            u, v, w = code[at] // CLASSES**2, code[at] // CLASSES % CLASSES, code[at] % CLASSES
-            weight = n[at] / n[at].sum()
-            words = np.concatenate([w[:, None], np.minimum(np.searchsorted(edges, rng.random((len(at), NOISE))), CLASSES - 1)], 1)
-            made = self.c1 * self.r[v] + self.c2 * self.r[u]
-            q = self.q[words]
-            logit = np.einsum("bd,bkd->bk", made, q) + self.b[words] - log_noise[words]
-            slope = -1 / (1 + np.exp(-np.clip(logit, -30, 30)))
-            slope[:, 0] += 1
-            slope *= weight[:, None]
-            back = np.einsum("bk,bkd->bd", slope, q)
-            grad = {k: np.zeros(getattr(self, k).shape) for k in self.NAMES}
-            np.add.at(grad["q"], words.ravel(), (slope[:, :, None] * made[:, None, :]).reshape(-1, DIM))
-            np.add.at(grad["b"], words.ravel(), slope.ravel())
-            np.add.at(grad["r"], v, back * self.c1)
-            np.add.at(grad["r"], u, back * self.c2)
-            grad["c1"], grad["c2"] = (back * self.r[v]).sum(0), (back * self.r[u]).sum(0)
-            for k in self.NAMES:
-                past[k] += grad[k] ** 2
-                setattr(self, k, getattr(self, k) + rate * grad[k] / np.sqrt(past[k]))
-
-    def table(self) -> np.ndarray:
-        """log10 probability of every class after every two classes (u, v), by batched matrix products."""
-        out = np.empty((CLASSES, CLASSES, CLASSES), np.float32)
-        for u in range(CLASSES):
-            s = (self.c1 * self.r + self.c2 * self.r[u]) @ self.q.T + self.b
-            s -= s.max(1, keepdims=True)
-            out[u] = (s - np.log(np.exp(s).sum(1, keepdims=True))) / np.log(10)
-        return out
-
-
-def _pass(model: Model, turn: int):
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("code")
-        own = Model(model.noise)
-        own.unpack(np.frombuffer(model.pack()))
-        own.train(rows.code.to_numpy(np.int64), rows.n.to_numpy(np.float64), 1000 * turn + int(rows.lot.iloc[0]), RATE / (1 + turn))
-        return pd.DataFrame({"lot": [rows.lot.iloc[0]], "n": [float(rows.n.sum())], "data": [own.pack()]})
-
-    return run
-
-
-def trained(counts: DataFrame, unigram: np.ndarray) -> Model:
-    """The model after rounds of parallel passes over all trigram counts (code, n), averaged by their tokens."""
-    model = Model(unigram)
-    lots = max(1, -(-counts.count() // SHARE))
-    rows = counts.withColumn("lot", F.pmod(F.xxhash64("code"), F.lit(lots)).cast("int"))
+            u, w = before[at], ids[at]
+            made = self.made(u)
+            back = self._contrast(made, w, "q", "b", "sq", noise, edges, rate, rng)
+            back += self._contrast(made, self.group[w], "gq", "gb", "sgq", group_noise, group_edges, rate, rng)
+            for j in range(CONTEXT):
+                slope = back * self.r[u[:, j]]
+                self._move(self.r, self.sr, u[:, j], back * self.c[j], rate)
+                self.c[j] += rate * slope.mean(0)
+
+    def log_probs(self, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """log10 probability of every token of the joined texts, normalised over groups and over the items of a group."""
+        before, out = contexts(ids, starts, self.end), np.zeros(len(ids))
+        for low in range(0, len(ids), CHUNK):
+            w = ids[low : low + CHUNK]
+            made, g = self.made(before[low : low + CHUNK]), self.group[w]
+            score = made @ self.gq.T + self.gb
+            part = _taken(score, g)
+            order = np.argsort(g, kind="stable")
+            cuts = np.searchsorted(g[order], np.arange(self.words + 1))
+            for k in np.flatnonzero(np.diff(cuts)):
+                at, a, b = order[cuts[k] : cuts[k + 1]], self.edges[k], self.edges[k + 1]
+                part[at] += _taken(made[at] @ self.q[a:b].T + self.b[a:b], w[at] - a)
+            out[low : low + CHUNK] = part
+        return out / np.log(10)
+
+
+def _taken(score: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The log softmax of each row at one place."""
+    score = score - score.max(1, keepdims=True)
+    return (score[np.arange(len(at)), at] - np.log(np.exp(score).sum(1))).astype(np.float64)
+
+
+def _joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    parts = [np.frombuffer(t, np.int32) for t in texts]
+    starts = np.cumsum([0] + [len(p) for p in parts[:-1]])
+    return np.concatenate(parts).astype(np.int64), starts
+
+
+def trained(encoded: DataFrame, lexicon: Lexicon, tokens: int) -> Model:
+    """The model after rounds over all training texts (row, held_out, ids); tasks' parameters are averaged by their tokens."""
+    model = Model(lexicon)
+    if not tokens:
+        return model
+    passes = max(1, ceil(EXAMPLES / tokens))
+    lots = max(1, min(encoded.sparkSession.sparkContext.defaultParallelism, ceil(passes * tokens / EXAMPLES)))
+    texts = encoded.where("not held_out")
     for turn in range(ROUNDS):
-        made = rows.groupBy("lot").applyInPandas(_pass(model, turn), "lot int, n double, data binary").orderBy("lot").collect()
+        share = texts.where(F.pmod(F.xxhash64("row"), F.lit(ROUNDS)) == turn).select("ids").coalesce(lots)
+        packed, rate = model.pack(), RATE / (1 + turn) ** 0.5
+
+        def run(parts: Iterator, packed=packed, rate=rate, turn=turn) -> Iterator:
+            import pyarrow as pa
+
+            own, seen, held = Model(lexicon).unpack(packed), 0, []
+
+            def step() -> None:
+                nonlocal seen
+                ids, starts = _joined(held)
+                for p in range(passes):
+                    own.train(ids, starts, 1000 * turn + p, rate)
+                seen += len(ids)
+                held.clear()
+
+            room = 0
+            for part in _batches(parts):
+                for t in part.column(0).to_pylist():
+                    held.append(t)
+                    room += len(t)
+                    if room > 1 << 20:
+                        step()
+                        room = 0
+            if held:
+                step()
+            if seen:
+                data = own.pack()
+                pieces = [data[i : i + PIECE].tobytes() for i in range(0, len(data), PIECE)]
+                yield pa.RecordBatch.from_arrays([pa.array(range(len(pieces)), pa.int32()), pa.array([float(seen)] * len(pieces)), pa.array(pieces, pa.binary())], ["piece", "n", "data"])
+
+        def mean(rows: pd.DataFrame) -> pd.DataFrame:
+            rows, total = rows.sort_values(["n", "data"]), rows.n.sum()
+            data = sum(np.frombuffer(d, np.float32) * (n / total) for d, n in zip(rows.data, rows.n, strict=True))
+            return pd.DataFrame({"piece": [rows.piece.iloc[0]], "data": [data.astype(np.float32).tobytes()]})
+
+        made = share.mapInArrow(run, "piece int, n double, data binary").groupBy("piece").applyInPandas(mean, "piece int, data binary").collect()
         if made:
-            total = sum(r.n for r in made)
-            model.unpack(sum(np.frombuffer(r.data) * (r.n / total) for r in made))
+            model.unpack(np.concatenate([np.frombuffer(r.data, np.float32) for r in sorted(made, key=lambda r: r.piece)]))
     return model
 
 
@@ -230,15 +308,41 @@ def _frequent(counts: DataFrame) -> list[tuple[str, int, int]]:
     return [(r["word"], r["class"], r["c"]) for r in sorted(rows, key=lambda r: (-r["c"], r["word"].encode()))]
 
 
-_tables: dict[str, np.ndarray] = {}
+def encode(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """(row, doc_id, held_out, n_tokens, known, base, inner, ids, rare) of docs (row, doc_id, held_out, text).
 
+    known, base and inner count the words that travel with the lexicon; rare has the others, with their class's miss.
+    """
 
-def _table(model: Model, name: str) -> np.ndarray:
-    """The model's table, made once for a worker process."""
-    if name not in _tables:
-        _tables.clear()
-        _tables[name] = model.table()
-    return _tables[name]
+    def run(parts: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        log_count = {w: log10(c + SMOOTH) for w, c in lexicon.count.items()}
+        less = {w: log10(c - lexicon.discount) for w, c in lexicon.count.items() if w not in lexicon.item}
+        end, first = log10(lexicon.texts + SMOOTH), lexicon.end + 1
+        rare_type = pa.list_(pa.struct([("word", pa.string()), ("n", pa.int32()), ("miss", pa.float64())]))
+        for part in _batches(parts):
+            cols: list[list] = [[] for _ in range(6)]
+            for t in part.column(3).to_pylist():
+                words = tokens(t)
+                items = lexicon.items(words)
+                known = [log_count.get(w) for w in words]
+                rare = Counter(w for w, c in zip(words, known, strict=True) if c is None)
+                sums = [c for c in known if c is not None]
+                ids = np.array([*items, lexicon.end], np.int32)
+                inner = sum(less.get(w, 0.0) for w, k in zip(words, items, strict=True) if k >= first) - lexicon.log_n[ids[ids >= first] - first].sum()
+                miss = lexicon.log_miss
+                more = [{"word": w.decode("utf-8", "replace"), "n": c, "miss": miss[last_class(w)]} for w, c in rare.items()]
+                for col, x in zip(cols, (len(ids), len(sums) + (lexicon.texts > 0), sum(sums) + end, float(inner), ids.tobytes(), more), strict=True):
+                    col.append(x)
+            types = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), rare_type)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), *[pa.array(c, t) for c, t in zip(cols, types, strict=True)]], ["row", "doc_id", "held_out", "n_tokens", "known", "base", "inner", "ids", "rare"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.mapInArrow(run, f"row long, doc_id {kind}, held_out boolean, n_tokens long, known long, base double, inner double, ids binary, rare array<struct<word: string, n: int, miss: double>>")
+
+
+_models: dict[str, Model] = {}
 
 
 def scored(docs: DataFrame) -> DataFrame:
@@ -248,53 +352,36 @@ def scored(docs: DataFrame) -> DataFrame:
     train = docs.where("not held_out")
     counts = cut(word_counts(train))
     texts = train.count()
-    total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    n, v = total["n"] + texts, total["v"] + (texts > 0)
-    frequent = _frequent(counts)
-    top = [w for w, _, _ in frequent[:TOP]]
-    rest = {r["class"]: (r["n"], r["v"]) for r in counts.where(~F.col("word").isin(top)).groupBy("class").agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()}
-    lexicon = Lexicon(frequent, rest, texts)
-    unigram = np.full(CLASSES, 0.1)
-    for i, (_, _, c) in enumerate(frequent[:TOP]):
-        unigram[i] += c
-    unigram[END] += texts
-    for k, (c, _) in rest.items():
-        unigram[k] += c
-    model = trained(cut(trigrams(train, lexicon)), unigram / unigram.sum())
-    name, floor = uuid.uuid4().hex, log10(n + SMOOTH * (v + 1))
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    told = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v"), F.count_if(F.col("c") == 1).alias("once"), F.count_if(F.col("c") == 2).alias("twice")).first()
+    n, v = told["n"] + texts, told["v"] + (texts > 0)
+    discount = min(0.9, max(0.1, told["once"] / max(1, told["once"] + 2 * told["twice"])))
+    least = max(2, ceil(sqrt(n) / SPARSE))
+    own = sorted(((r["word"], r["c"]) for r in counts.where(F.col("c") >= least).collect()), key=lambda r: (-r[1], r[0].encode()))
+    rest = {r["class"]: (r["n"], r["v"]) for r in counts.where(F.col("c") < least).groupBy("class").agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()}
+    lexicon = Lexicon(own, _frequent(counts), texts, rest, discount)
+    encoded = cut(encode(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", "text"), lexicon))
+    model = trained(encoded, lexicon, n)
+    name, packed = uuid.uuid4().hex, model.pack()
 
     def run(parts: Iterator) -> Iterator:
         import pyarrow as pa
 
-        table, within = _table(model, name), lexicon.within
-        log_count = {w: log10(c + SMOOTH) for w, c in lexicon.count.items()}
-        end = log10(lexicon.texts + SMOOTH)
+        if name not in _models:
+            _models.clear()
+            _models[name] = Model(lexicon).unpack(packed)
         for part in _batches(parts):
-            cols: list[list] = [[] for _ in range(5)]
-            for t in part.column(3).to_pylist():
-                words = tokens(t)
-                k = np.array([END, END, *lexicon.classes(words), END], np.int64)
-                lm = float(table[k[:-2], k[1:-1], k[2:]].sum(dtype=np.float64))
-                lm -= float(within[k[2:]].sum())
-                known = [log_count.get(w) for w in words]
-                rare = Counter(w for w, c in zip(words, known, strict=True) if c is None)
-                sums = [c for c in known if c is not None]
-                inner = sum(c for c, j in zip(known, k[2:-1].tolist(), strict=True) if c is not None and j > END)
-                row = (len(words) + 1, len(sums) + (lexicon.texts > 0), sum(sums) + end, lm + inner, [(w.decode("utf-8", "replace"), c) for w, c in rare.items()])
-                for col, x in zip(cols, row, strict=True):
-                    col.append(x)
-            rare_type = pa.list_(pa.struct([("word", pa.string()), ("n", pa.int32())]))
-            rare = pa.array([[{"word": w, "n": c} for w, c in x] for x in cols[4]], rare_type)
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), *[pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=False)], rare], ["row", "doc_id", "held_out", "n_tokens", "known", "base", "lm", "rare"])
-
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", "text")
-    rows = cut(rows.mapInArrow(run, f"row long, doc_id {kind}, held_out boolean, n_tokens long, known long, base double, lm double, rare array<struct<word: string, n: int>>"))
-    rare = rows.select("row", F.explode("rare").alias("r")).select("row", "r.*").join(counts.select("word", "c"), "word", "left")
-    sums = rare.groupBy("row").agg(F.sum(F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + SMOOTH)).alias("sum"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("more"))
-    out = rows.drop("rare").join(sums, "row", "left")
-    more, known = F.coalesce("sum", F.lit(0.0)), F.col("known") + F.coalesce("more", F.lit(0))
-    return out.select("doc_id", "held_out", "n_tokens", known.cast("long").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), (F.col("base") + more - F.col("n_tokens") * F.lit(floor)).alias("base_score"), (F.col("lm") + more).alias("score"))
+            ids, starts = _joined(part.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.add.reduceat(_models[name].log_probs(ids, starts), starts))], ["row", "lm"])
+
+    lm = encoded.select("row", "ids").mapInArrow(run, "row long, lm double")
+    rare = encoded.select("row", F.explode("rare").alias("r")).select("row", "r.*").join(counts.select("word", "c"), "word", "left")
+    known = F.coalesce(F.col("c"), F.lit(0))
+    sums = rare.groupBy("row").agg(F.sum(F.col("n") * F.log10(known + SMOOTH)).alias("sum"), F.sum(F.when(known > 0, F.col("n")).otherwise(0)).alias("more"), F.sum(F.col("n") * F.when(known > 0, F.log10(known - discount)).otherwise(F.col("miss"))).alias("within"))
+    out = encoded.drop("rare", "ids").join(lm, "row").join(sums, "row", "left")
+    zero, floor = F.lit(0.0), log10(n + SMOOTH * (v + 1))
+    base = F.col("base") + F.coalesce("sum", zero) - F.col("n_tokens") * F.lit(floor)
+    score = F.col("lm") + F.col("inner") + F.coalesce("within", zero)
+    return out.select("doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).cast("long").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), score.alias("score"))
 
 
 def op3_lm_scoring(spark, sf_dir: str) -> DataFrame:

@@ -300,7 +300,33 @@ def test_lm_scoring(spark, none):
 
 
 def test_lm_probabilities_sum_to_one():
+    """Over all words of a small vocabulary and the unknown one, after any context; words of a class share its probability."""
     import numpy as np
 
-    model = lm_scoring.Model(np.full(lm_scoring.CLASSES, 1 / lm_scoring.CLASSES))
-    assert np.allclose((10.0 ** model.table()[3, 5]).sum(), 1, atol=1e-4)
+    own = [(f"w{i}", 100 - i) for i in range(10)]
+    rare = [(f"r{i}", 1 + i % 3) for i in range(40)]
+    rest = {}
+    for w, c in rare:
+        k = lm_scoring.last_class(w.encode())
+        n, v = rest.get(k, (0, 0))
+        rest[k] = (n + c, v + 1)
+    lexicon = lm_scoring.Lexicon(own, [], 7, rest, 0.6)
+    model = lm_scoring.Model(lexicon)
+    rng = np.random.default_rng(1)
+    ids = rng.integers(0, len(lexicon.group), 3000)
+    model.train(ids, np.array([0]), 1, 0.1)
+    n = len(lexicon.group)
+    texts = np.concatenate([np.array([3, 12, 5, 1, w]) for w in range(n)])
+    p = 10.0 ** model.log_probs(texts, np.arange(n) * 5)[4::5]
+    assert np.isclose(p.sum(), 1, atol=1e-4)
+    # within the classes: known words less the discount, and the unknown one
+    for k, (c, v) in rest.items():
+        inner = sum(10.0 ** (math.log10(x - 0.6) - lexicon.log_n[k]) for w, x in rare if lm_scoring.last_class(w.encode()) == k)
+        assert np.isclose(inner + 10.0 ** (lexicon.log_miss[k] - lexicon.log_n[k]), 1) and v and c
+    # brute force for one token
+    r, before = model, [1, 5, 12, 3]
+    made = sum(r.c[j] * r.r[before[j]] for j in range(4))
+    groups, w = np.exp(made @ r.gq.T + r.gb), 6
+    same = np.flatnonzero(r.group == r.group[w])
+    items = np.exp(made @ r.q[same].T + r.b[same])
+    assert np.isclose(p[w], groups[r.group[w]] / groups.sum() * items[list(same).index(w)] / items.sum(), rtol=1e-3)
