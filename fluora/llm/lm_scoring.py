@@ -26,6 +26,7 @@ import uuid
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 from math import ceil, log10, sqrt
 
 import numpy as np
@@ -38,13 +39,13 @@ from fluora.llm.common import cut
 #: A word is an item of its own from the root of the tokens divided by this on.
 SPARSE = 8
 #: Classes of the other words, by their last three bytes.
-LASTS = 256
+LASTS = 96
 FREQUENT = 200_000
 SMOOTH = 0.1
-CONTEXT, DIM, NOISE, ROUNDS, RATE = 4, 24, 64, 4, 0.15
+CONTEXT, DIM, NOISE, ROUNDS, RATE = 3, 16, 48, 4, 0.15
 #: Training tokens to see at least, over several passes of a small corpus.
 EXAMPLES = 4_000_000
-BATCH, STEP, CHUNK = 512, 2048, 4096
+BATCH, STEP, CHUNK = 512, 4096, 4096
 #: Parameters in a piece that is averaged.
 PIECE = 1 << 14
 
@@ -104,21 +105,13 @@ class Lexicon:
         self.group = np.concatenate([words, first + np.arange(1 + LASTS)]).astype(np.int64)
         self.words = first  # the number of groups of words
         self.edges = [*range(0, len(own), size), len(own)]
-        self.seen: dict[bytes, int] = {}
-
-    def items(self, words: list[bytes]) -> list[int]:
-        item, seen = self.item, self.seen
-        if len(seen) > 300_000:
-            seen.clear()
-        out = []
-        for w in words:
-            k = item.get(w)
-            if k is None:
-                k = seen.get(w)
-                if k is None:
-                    k = seen[w] = self.end + 1 + last_class(w)
-            out.append(k)
-        return out
+        # one number for each counted word, and what the number stands for
+        counted = list(self.count)
+        self.number = {w: i for i, w in enumerate(counted)}
+        c = np.array([self.count[w] for w in counted], np.float64)
+        self.item_of = np.array([self.item[w] if w in self.item else self.end + 1 + last_class(w) for w in counted], np.int32)
+        self.log_count = np.log10(c + SMOOTH)
+        self.less = np.where(self.item_of > self.end, np.log10(np.maximum(c - discount, 1e-9)), 0.0)
 
 
 def contexts(ids: np.ndarray, starts: np.ndarray, end: int) -> np.ndarray:
@@ -206,10 +199,8 @@ class Model:
             made = self.made(u)
             back = self._contrast(made, w, "q", "b", "sq", noise, edges, rate, rng)
             back += self._contrast(made, self.group[w], "gq", "gb", "sgq", group_noise, group_edges, rate, rng)
-            for j in range(CONTEXT):
-                slope = back * self.r[u[:, j]]
-                self._move(self.r, self.sr, u[:, j], back * self.c[j], rate)
-                self.c[j] += rate * slope.mean(0)
+            self._move(self.r, self.sr, u.T.ravel(), (self.c[:, None, :] * back).reshape(-1, DIM), rate)
+            self.c += rate * np.stack([(back * self.r[u[:, j]]).mean(0) for j in range(CONTEXT)])
 
     def log_probs(self, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """log10 probability of every token of the joined texts, normalised over groups and over the items of a group."""
@@ -230,8 +221,9 @@ class Model:
 
 def _taken(score: np.ndarray, at: np.ndarray) -> np.ndarray:
     """The log softmax of each row at one place."""
-    score = score - score.max(1, keepdims=True)
-    return (score[np.arange(len(at)), at] - np.log(np.exp(score).sum(1))).astype(np.float64)
+    own = score[np.arange(len(at)), at].astype(np.float64)
+    np.exp(np.minimum(score, 80, out=score), out=score)
+    return np.minimum(own, 80) - np.log(score.sum(1))
 
 
 def _joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -317,23 +309,22 @@ def encode(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     def run(parts: Iterator) -> Iterator:
         import pyarrow as pa
 
-        log_count = {w: log10(c + SMOOTH) for w, c in lexicon.count.items()}
-        less = {w: log10(c - lexicon.discount) for w, c in lexicon.count.items() if w not in lexicon.item}
-        end, first = log10(lexicon.texts + SMOOTH), lexicon.end + 1
+        end, first, miss, number = log10(lexicon.texts + SMOOTH), lexicon.end + 1, lexicon.log_miss, lexicon.number.get
         rare_type = pa.list_(pa.struct([("word", pa.string()), ("n", pa.int32()), ("miss", pa.float64())]))
         for part in _batches(parts):
             cols: list[list] = [[] for _ in range(6)]
             for t in part.column(3).to_pylist():
                 words = tokens(t)
-                items = lexicon.items(words)
-                known = [log_count.get(w) for w in words]
-                rare = Counter(w for w, c in zip(words, known, strict=True) if c is None)
-                sums = [c for c in known if c is not None]
-                ids = np.array([*items, lexicon.end], np.int32)
-                inner = sum(less.get(w, 0.0) for w, k in zip(words, items, strict=True) if k >= first) - lexicon.log_n[ids[ids >= first] - first].sum()
-                miss = lexicon.log_miss
-                more = [{"word": w.decode("utf-8", "replace"), "n": c, "miss": miss[last_class(w)]} for w, c in rare.items()]
-                for col, x in zip(cols, (len(ids), len(sums) + (lexicon.texts > 0), sum(sums) + end, float(inner), ids.tobytes(), more), strict=True):
+                at = np.fromiter(map(number, words, repeat(-1)), np.int64, len(words))
+                known, other = at[at >= 0], np.flatnonzero(at < 0)
+                ids = np.full(len(words) + 1, lexicon.end, np.int32)
+                ids[np.flatnonzero(at >= 0)] = lexicon.item_of[known]
+                rare: Counter = Counter(words[i] for i in other.tolist())
+                cls = {w: last_class(w) for w in rare}
+                ids[other] = [first + cls[words[i]] for i in other.tolist()]
+                inner = lexicon.less[known].sum() - lexicon.log_n[ids[ids >= first] - first].sum()
+                more = [{"word": w.decode("utf-8", "replace"), "n": c, "miss": miss[cls[w]]} for w, c in rare.items()]
+                for col, x in zip(cols, (len(ids), len(known) + (lexicon.texts > 0), float(lexicon.log_count[known].sum()) + end, float(inner), ids.tobytes(), more), strict=True):
                     col.append(x)
             types = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), rare_type)
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), *[pa.array(c, t) for c, t in zip(cols, types, strict=True)]], ["row", "doc_id", "held_out", "n_tokens", "known", "base", "inner", "ids", "rare"])

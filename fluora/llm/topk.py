@@ -8,7 +8,7 @@ tasks' best by rank.
 
 Edge cases: vectors that are null, hold a null or non-finite component take no part; missing dimensions of shorter
 vectors count as zero; ties go to the smaller id; rows that share an id are candidates each, but never for a query of
-that id; queries with no other vector give no row; scores are 64-bit integers, weights beyond 2**31 are refused.
+that id; queries with no other vector give no row; scores are 64-bit integers, and larger ones are refused.
 """
 
 from __future__ import annotations
@@ -41,8 +41,6 @@ def dense(rows: pd.Series) -> np.ndarray:
     out = np.zeros((len(rows), max((len(r) for r in rows), default=0)), np.int64)
     for i, r in enumerate(rows):
         out[i, : len(r)] = r
-    if out.size and np.abs(out).max() >= 1 << 31:
-        raise OverflowError("a weight is beyond 2**31")
     return out
 
 
@@ -55,6 +53,10 @@ def best(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, weights: n
         at = np.flatnonzero(weights[:, d])
         postings.append((None if len(at) == len(ids) else at, weights[at, d]))
     found = []
+    d = min(queries.shape[1], weights.shape[1])
+    size = lambda m: np.abs(m[:, :d].astype(np.float64))
+    if size(queries).max(initial=0) * size(weights).max(initial=0) * d >= 2**63 and np.where(query_ids[:, None] == ids, 0, size(queries) @ size(weights).T).max() >= 2**63:
+        raise OverflowError("a score is beyond 64 bits")
     scores = np.zeros(len(ids), np.int64)
     for qid, query in zip(query_ids, queries, strict=True):
         scores[:] = 0

@@ -72,6 +72,8 @@ def test_topk(spark):
             want = [sorted(((-sum(a * b for a, b in zip(v, c)), i) for i, c in whole if i != q))[:10] for v in vs]
             assert any([(n, i, -s) for n, (s, i) in enumerate(w, 1)] == sorted(out[q]) for w in want)
     assert topk.search(terms.limit(0), terms.limit(0)).count() == 0
+    large = topk.terms(spark.createDataFrame([(0, [3e6]), (1, [2e6])], "vec_id long, embedding array<float>"))
+    assert [r.score for r in topk.search(large, large.where("vec_id = 0")).collect()] == [1024 * 3_000_000 * 1024 * 2_000_000]
 
 
 def test_chat(spark):
