@@ -8,7 +8,7 @@ one; whether that earlier line goes itself doesn't matter.
 
 Equal lines are one set before anything is joined: an aggregation by set finds the first line of each, and only that
 line's prefix takes part. Prefix shingles that one set alone has go; of several shingles that the same sets share one is
-enough. What remains is a left semi join of the lines with themselves by shingle, whose condition filters and verifies:
+enough. Bitmaps of 256 bits drop most of the other pairs that can't be similar. What remains is a left semi join of the lines with themselves by shingle, whose condition filters and verifies:
 it has one row for each line and shingle at most, never rows of pairs. Large groups are salted: their right side is dealt
 into blocks of ``BLOCK`` lines and the left side repeated for each.
 
@@ -26,7 +26,9 @@ apart by a 64-bit hash of their texts; a document can end with an empty text; an
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from math import log2
+from operator import add
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -34,11 +36,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from fluora.llm.common import cut, fresh, let, small
-from fluora.llm.line_shingles import Lines, chunks, mixed
+from fluora.llm.line_shingles import Lines, bitmaps, chunks, mixed
 
 BUCKETS = 1 << 16
 #: Lines of a shingle's group that a task compares a line with at most.
 BLOCK = 1024
+#: Bitmaps of a set: 256 bits in all.
+SKETCH = ("bits_0", "bits_1", "bits_2", "bits_3")
 #: Lines (40 bytes each and 24 for each shingle that they share) that are broadcast at most.
 BROADCAST = 1_000_000
 
@@ -77,7 +81,7 @@ def _prefix(n):
 
 
 def prefixes(docs: DataFrame) -> DataFrame:
-    """(line, doc_id, text_hash, line_no, set_id, n, prefix) of all lines with words, computed once; ``line`` numbers them."""
+    """(line, doc_id, text_hash, line_no, set_id, n, prefix, bits_*) of all lines with words, computed once; ``line`` numbers them."""
     table = rarity(docs)
 
     def run(parts: Iterator) -> Iterator:
@@ -97,11 +101,12 @@ def prefixes(docs: DataFrame) -> DataFrame:
                 prefix = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(take)]).astype(np.int32), pa.array(keys[some].view(np.int64)))
                 at = pa.array(lines.text + low)
                 columns = [part.column(0).take(at), part.column(1).take(at), pa.array(lines.number), pa.array(set_id.view(np.int64)), pa.array(n.astype(np.int32)), prefix]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "line_no", "set_id", "n", "prefix"])
+                columns += [pa.array(b.view(np.int64)) for b in bitmaps(keys, starts[:-1], len(SKETCH))]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "line_no", "set_id", "n", "prefix", *SKETCH])
 
     rows = docs.select("doc_id", text_hash(F.col("text")).alias("text_hash"), _bytes("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = rows.mapInArrow(run, f"doc_id {kind}, text_hash long, line_no int, set_id long, n int, prefix array<long>")
+    rows = rows.mapInArrow(run, f"doc_id {kind}, text_hash long, line_no int, set_id long, n int, prefix array<long>, {', '.join(f'{b} long' for b in SKETCH)}")
     return cut(rows.select(F.monotonically_increasing_id().alias("line"), "*"))
 
 
@@ -127,7 +132,8 @@ def _tokens(rows: DataFrame) -> DataFrame:
 def _met(left: DataFrame, right: DataFrame, earlier: bool, exact: bool) -> DataFrame:
     """The rows of ``left`` that meet a row of ``right`` on an earlier (or later) line: a semi join in salted groups.
 
-    Both have (token, place, n, at, blocks), and tokens where the match is to be ``exact``; else the filters decide.
+    Both have (token, place, n, at, blocks), and tokens where the match is to be ``exact``; else the filters decide, with
+    the bitmaps of both: sets of similarity 0.8 differ in at most a ninth of their shingles, so their bitmaps do.
     """
     left = left.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).alias("a")
     right = right.withColumn("block", F.pmod(F.xxhash64("place"), F.col("blocks")).cast("int")).alias("b")
@@ -136,7 +142,9 @@ def _met(left: DataFrame, right: DataFrame, earlier: bool, exact: bool) -> DataF
     hit = (a("token") == b("token")) & (a("block") == b("block")) & (b("place") < a("place") if earlier else b("place") > a("place"))
     hit = hit & (5 * a("n") >= 4 * b("n")) & (5 * b("n") >= 4 * a("n"))
     hit = hit & (9 * (F.least(a("at"), b("at")) + F.least(a("n") - a("at"), b("n") - b("at"))) >= 4 * both)
-    if exact:
+    if not exact:
+        hit = hit & (9 * reduce(add, [F.bit_count(a(c).bitwiseXOR(b(c))) for c in SKETCH]) <= both)
+    else:
         hit = hit & (9 * F.size(F.array_intersect(a("tokens"), b("tokens"))) >= 4 * both)
     return left.join(right, hit, "left_semi").drop("block")
 
@@ -162,8 +170,8 @@ def similar_lines(docs: DataFrame, rows: DataFrame) -> DataFrame:
     shared = cut(met.withColumn("members", F.bit_xor(F.xxhash64("line")).over(by_token)))
     groups = shared.groupBy("size", "members").agg(F.min("token").alias("token")).select("token")
     shared = cut(shared.join(groups, "token", "left_semi").select("token", "line", "n", "at", "size"))
-    some = cut(rows.join(small(cut(shared.select("line").distinct()), BROADCAST), "line", "left_semi").select("line", F.struct("doc_id", "text_hash", "line_no").alias("place")))
-    light = cut(shared.join(some, "line").select("token", "place", "n", "at", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")))
+    some = cut(rows.join(small(cut(shared.select("line").distinct()), BROADCAST), "line", "left_semi").select("line", F.struct("doc_id", "text_hash", "line_no").alias("place"), *SKETCH))
+    light = cut(shared.join(some, "line").select("token", "place", "n", "at", *SKETCH, F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")))
     sides = [_met(light, light, side == "left", False).select("place", F.struct("token", "at", "n", "blocks", F.lit(side).alias("side")).alias("entry")) for side in ("left", "right")]
     sets = _sets(docs, sides[0].unionByName(sides[1]))
     full = sets.select("place", "tokens", F.explode("entries").alias("e")).select("place", "tokens", "e.*")

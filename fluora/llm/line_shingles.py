@@ -100,6 +100,14 @@ class Lines:
         return keys[new], np.searchsorted(line[new], np.arange(len(self.text) + 1))
 
 
+def bitmaps(keys: np.ndarray, starts: np.ndarray, n: int) -> Iterator[np.ndarray]:
+    """n words of 64 bits for each set, with the bits that its shingles choose."""
+    bit = keys >> _U(16)
+    one, word = _U(1) << (bit & _U(63)), bit >> _U(6) & _U(n - 1)
+    for i in range(n):
+        yield np.bitwise_or.reduceat(np.where(word == _U(i), one, _U(0)), starts)
+
+
 def chunks(texts: list[bytes]) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about ``CHUNK`` bytes."""
     at, size = 0, 0
