@@ -10,7 +10,7 @@ Sums are made of integers, so results don't depend on the order of rows or on pa
 
 Edge cases: a null source is a source of its own, sorted last; documents of size 0 count nothing and take nothing; a
 source whose target is ``cap`` times its size has every document ``cap`` times; rows with one doc_id get the same
-number of copies if their sizes are equal; an empty table gives an empty result.
+number of copies if their texts are equal; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -66,7 +66,7 @@ def _tokens(value: Column) -> Column:
 
 
 def fit(sized: DataFrame, goals: DataFrame, cap: int = 2, seed: int = 17) -> DataFrame:
-    """Finds (key, total, target, lam, threshold) for each source of ``sized`` (doc_id, key, size).
+    """Finds (key, total, target, lam, threshold) for each source of ``sized`` (doc_id, key, size, tie).
 
     ``goals`` has (key, total, target). ``threshold`` is the rounding code under which a copy is taken.
     """
@@ -103,7 +103,7 @@ def fit(sized: DataFrame, goals: DataFrame, cap: int = 2, seed: int = 17) -> Dat
 
 def _codes(cap: int, seed: int) -> Column:
     """Codes of the shifts at which a document gains its copies: j - rate - a seeded number, in fixed point."""
-    first = ((1 + cap - rate(F.col("lam"), F.col("size").cast("double"), cap) - uniform(F.col("doc_id"), F.col("size"), seed=seed)) * UNIT).cast("long")
+    first = ((1 + cap - rate(F.col("lam"), F.col("size").cast("double"), cap) - uniform(F.col("doc_id"), F.col("size"), F.col("tie"), seed=seed)) * UNIT).cast("long")
     return F.array(*[first + F.lit(j * UNIT).cast("long") for j in range(cap)])
 
 
@@ -135,24 +135,24 @@ def _edge(sized: DataFrame, model: DataFrame, bits: int | None, cap: int, seed:
 
 
 def copies(cap: int = 2, seed: int = 17) -> Column:
-    """The number of copies of a row that has doc_id, size and its source's lam, threshold, total and target."""
+    """The number of copies of a row that has doc_id, size, tie and its source's lam, threshold, total and target."""
     under = F.size(F.filter(_codes(cap, seed), lambda c: c < F.col("threshold")))
     return F.when(F.col("target") >= F.col("total") * cap, F.lit(cap)).otherwise(F.coalesce(under, F.lit(0)))
 
 
 def sized(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """(doc_id, key, size) of all documents, computed once."""
-    return cut(docs.select(F.col(doc_id).alias("doc_id"), source_key(source).alias("key"), F.size(words(text)).cast("long").alias("size")))
+    """(doc_id, key, size, tie) of all documents, computed once; ``tie`` is the text's hash and tells rows of one id apart."""
+    return cut(docs.select(F.col(doc_id).alias("doc_id"), source_key(source).alias("key"), F.size(words(text)).cast("long").alias("size"), F.xxhash64(F.col(text)).alias("tie")))
 
 
 def plan(rows: DataFrame, weights=(5, 2, 1), share: float = 1.5, cap: int = 2, seed: int = 17) -> DataFrame:
-    """The fitted mix of ``rows`` (doc_id, key, size): one row per source."""
+    """The fitted mix of ``rows`` (doc_id, key, size, tie): one row per source."""
     totals = rows.groupBy("key").agg(F.sum("size").alias("total"))
     return fit(rows, checkpoint(targets(totals, weights, share, float(cap))), cap, seed)
 
 
 def apply(rows: DataFrame, model: DataFrame, cap: int = 2, seed: int = 17) -> DataFrame:
-    """Adds total, target, lam, rate and copies to rows that have doc_id, key and size."""
+    """Adds total, target, lam, rate and copies to rows that have doc_id, key, size and tie."""
     out = rows.join(small(model), "key")
     rates = F.when(F.col("target") >= F.col("total") * cap, F.lit(float(cap))).otherwise(rate(F.col("lam"), F.col("size").cast("double"), cap))
     return out.withColumn("copies", copies(cap, seed)).withColumn("rate", rates)
@@ -162,7 +162,7 @@ def mix(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, cap: int = 2, se
     """The mixed documents: every row as often as its copies say, with the columns of ``docs``."""
     model = plan(sized(docs), weights, share, cap, seed)
     row = fresh(docs.columns, "row")
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias(row), F.col("doc_id"), source_key("source").alias("key"), F.size(words("text")).cast("long").alias("size"))
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias(row), F.col("doc_id"), source_key("source").alias("key"), F.size(words("text")).cast("long").alias("size"), F.xxhash64("text").alias("tie"))
     taken = apply(rows, model, cap, seed).where("copies > 0")
     return taken.select(row, F.explode(F.array_repeat(F.lit(0), F.col("copies")))).select(f"{row}.*")
 

@@ -1,6 +1,6 @@
 """Sharding by a two-pass external shuffle.
 
-Pass one scatters records by a seeded hash of their id into buckets, as many as make one bucket fit in memory. Pass two
+Pass one scatters records by a seeded hash of their id and text into buckets, as many as make one bucket fit in memory. Pass two
 puts each bucket into canonical order, permutes it by Fisher-Yates (Spark's ``shuffle`` of an array) and hands it on.
 Buckets in order form one random order of all records; shard k takes the k-th run of it, so a bucket goes to one or two
 neighbouring shards without a further exchange, counts differ by one at most (law ``rows``) and slots have no gaps.
@@ -8,7 +8,7 @@ neighbouring shards without a further exchange, counts differ by one at most (la
 A retried task makes the same records in the same order, as buckets have their own partitions and are sorted first.
 
 Edge cases: a null text counts no bytes and has the checksum of an empty one; a null id is a value like any other; rows
-that are equal in id land in one bucket; an empty table gives an empty result.
+that are equal in id and text land in one bucket; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ def shuffled(docs: DataFrame, shards: int = 40, seed: int = 5, bucket_bytes: int
     """
     total = docs.agg(F.sum(record_bytes(text)).alias("bytes"), F.count("*").alias("n")).first()
     n, buckets = total["n"], max(1, -(-(total["bytes"] or 0) // bucket_bytes))
-    key = F.xxhash64(F.lit(seed), F.col(doc_id))
+    key = F.xxhash64(F.lit(seed), F.col(doc_id), F.col(text))
     bucket = F.pmod(key, F.lit(buckets)).cast("int")
     counts = docs.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("count"))
     starts = counts.select("bucket", (F.sum("count").over(Window.orderBy("bucket")) - F.col("count")).alias("start"))

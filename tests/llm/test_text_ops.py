@@ -330,3 +330,19 @@ def test_lm_probabilities_sum_to_one():
     same = np.flatnonzero(r.group == r.group[w])
     items = np.exp(made @ r.q[same].T + r.b[same])
     assert np.isclose(p[w], groups[r.group[w]] / groups.sum() * items[list(same).index(w)] / items.sum(), rtol=1e-3)
+
+
+def test_mixing_rounds_rows_of_one_id_apart(spark):
+    rows = [(1, f"w{i} " + "x " * (40 + i % 3), "a") for i in range(200)] + [(i + 2, "y " * 30, "b") for i in range(300)]
+    sized = mixing.sized(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    out = mixing.apply(sized, mixing.plan(sized)).collect()
+    for key in {r.key for r in out}:
+        some = [r for r in out if r.key == key]
+        assert abs(sum(r.size * r.copies for r in some) - some[0].target) <= 45
+
+
+def test_sharding_scatters_rows_of_one_id(spark):
+    rows = spark.range(3000).select(F.lit(7).cast("long").alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text"))
+    out = sharding.shuffled(rows, 3, bucket_bytes=8000).withColumn("part", F.spark_partition_id())
+    assert out.groupBy("part").count().agg(F.max("count")).first()[0] < 1000
+    assert sorted((r.shard, r.slot) for r in out.collect()) == [(s, i) for s in range(3) for i in range(1000)]
