@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fluora.functions.shared import checkpoint
+from fluora.functions.shared import checkpoint, cut
 from fluora.operators.traces import robust
 
 
@@ -47,14 +47,16 @@ def _cross(t: Column, y: Column, t2: Column, y2: Column, level: Column) -> Colum
 
 def spikes(traces: DataFrame, k: float = 3.0, fraction: float = 0.5, duration: int = 3) -> DataFrame:
     """One row per spike: times, width, height, area and whether it is cut by its bounds."""
+    traces = cut(traces.select("trace", "frame", "t", "y"))
     tops = checkpoint(bounds(traces, checkpoint(apexes(traces, k, duration)))).withColumnRenamed("frame", "apex").withColumnRenamed("y", "top")
     order = Window.partitionBy("trace").orderBy("frame")
     near = traces.select("trace", "frame", "t", "y", *[f(c).over(order).alias(n) for c in ("t", "y") for f, n in ((F.lag, f"{c}_before"), (F.lead, f"{c}_after"))])
-    # a spike's frames: from its lower bound on, by filling forward; the upper bound belongs to two spikes
+    # a spike's frames: from its lower bound on, by filling forward; an upper bound that the next spike begins with belongs to both
     starts = tops.select("trace", F.col("low").alias("frame"), F.col("spike").alias("start"))
     own = near.join(starts, ["trace", "frame"], "left").withColumn("spike", F.last("start", True).over(order)).drop("start")
-    shared = near.join(tops.select("trace", F.col("high").alias("frame"), "spike"), ["trace", "frame"]).select(own.columns)
-    rows = own.unionByName(shared).where("spike is not null").distinct().join(tops, ["trace", "spike"]).where("frame between low and high")
+    both = tops.withColumn("next", F.lead("spike").over(Window.partitionBy("trace").orderBy("spike"))).where("next is not null")
+    shared = near.join(both.select("trace", F.col("high").alias("frame"), "spike"), ["trace", "frame"]).select(own.columns)
+    rows = own.unionByName(shared).where("spike is not null").join(tops, ["trace", "spike"]).where("frame between low and high")
     level = F.col("baseline") + fraction * (F.col("top") - F.col("baseline"))
     rows = rows.withColumn("level", level)
     here = F.struct("frame", "t", "y", "t_after", "y_after", "t_before", "y_before")
