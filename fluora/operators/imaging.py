@@ -5,19 +5,26 @@ Videos come as frames (frame, px ARRAY<DOUBLE>) or pixels (frame, pixel, v); reg
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Frames whose moves are summed in one task.
+STEPS = 1 << 14
+
 
 def pixels(frames: DataFrame) -> DataFrame:
     """(frame, pixel, v) of frames (frame, px)."""
     return frames.select("frame", F.posexplode("px").alias("pixel", "v"))
 
 
-def roi_metrics(frames: DataFrame, masks: DataFrame) -> DataFrame:
-    """(frame, roi_id, max, mean, std, int) of the pixels of each region; std is the population one.
+def roi_metrics(frames: DataFrame, masks: DataFrame, more: dict[str, Callable[[Column], Column]] | None = None) -> DataFrame:
+    """(frame, roi_id, max, mean, std, int, *more) of the pixels of each region; std is the population one.
+
+    ``more`` has further metrics by name: functions from the array of a region's values to a number.
 
     Region masks are packed into arrays and meet the frames once, so pixels are never shuffled; regions without pixels
     have null metrics.
@@ -29,7 +36,7 @@ def roi_metrics(frames: DataFrame, masks: DataFrame) -> DataFrame:
     total = F.aggregate("v", F.lit(0.0), lambda a, v: a + v)
     rows = rows.withColumn("total", total).withColumn("mean", F.try_divide("total", F.col("n")))
     square = F.aggregate("v", F.lit(0.0), lambda a, v: a + (v - F.col("mean")) * (v - F.col("mean")))
-    return rows.select("frame", "roi_id", F.array_max("v").alias("max"), "mean", F.sqrt(F.try_divide(square, F.col("n"))).alias("std"), F.when(F.col("n") > 0, F.col("total")).alias("int"))
+    return rows.select("frame", "roi_id", F.array_max("v").alias("max"), "mean", F.sqrt(F.try_divide(square, F.col("n"))).alias("std"), F.when(F.col("n") > 0, F.col("total")).alias("int"), *[F.when(F.col("n") > 0, f(F.col("v"))).alias(k) for k, f in (more or {}).items()])
 
 
 def projection(frames: DataFrame) -> DataFrame:
@@ -57,20 +64,41 @@ def median_background(frames: DataFrame) -> DataFrame:
     return pixels(frames).groupBy("pixel").agg(F.median("v").alias("median"))
 
 
-def _differences(frames: DataFrame, k: float) -> DataFrame:
-    diff = pixels(frames).join(median_background(frames), "pixel").select("frame", "pixel", F.abs(F.col("v") - F.col("median")).alias("d"))
+def with_background(frames: DataFrame, window: int = 0) -> DataFrame:
+    """(frame, pixel, v, median): pixels with their temporal median over all frames, or over ``window`` frames around each.
+
+    A window reaches window // 2 frames to either side and is cut at the ends; from the number of frames on it is all of
+    them. A pixel's frames are cut into blocks that take along the frames their windows reach into, so a long video isn't
+    one task's work a pixel.
+    """
+    if window <= 0 or window >= frames.count():
+        return pixels(frames).join(median_background(frames), "pixel").select("frame", "pixel", "v", "median")
+    half, block = window // 2, max(1024, 4 * window)
+    first = frames.agg(F.min("frame").alias("a"), F.max("frame").alias("b"), F.count("*").alias("n")).first()
+    if first["b"] - first["a"] + 1 != first["n"]:
+        raise ValueError("a windowed background needs frames numbered without gaps")
+    at = F.col("frame") - first["a"]
+    blocks = F.sequence(F.floor(F.greatest(at - half, F.lit(0)) / block), F.floor((at + half) / block))
+    rows = frames.select("frame", F.explode(blocks).alias("block"), "px").select("frame", "block", F.posexplode("px").alias("pixel", "v"))
+    around = Window.partitionBy("pixel", "block").orderBy("frame").rowsBetween(-half, half)
+    rows = rows.withColumn("median", F.percentile("v", 0.5).over(around))
+    return rows.where(F.floor((F.col("frame") - first["a"]) / block) == F.col("block")).select("frame", "pixel", "v", "median")
+
+
+def _differences(frames: DataFrame, k: float, window: int = 0) -> DataFrame:
+    diff = with_background(frames, window).select("frame", "pixel", F.abs(F.col("v") - F.col("median")).alias("d"))
     limit = diff.groupBy("frame").agg((F.avg("d") + k * F.greatest(F.stddev_pop("d"), F.lit(1e-6))).alias("limit"))
     return diff.join(limit, "frame")
 
 
-def outlier_pixels(frames: DataFrame, k: float = 3.0) -> DataFrame:
+def outlier_pixels(frames: DataFrame, k: float = 3.0, window: int = 0) -> DataFrame:
     """(frame, n): pixels that differ from the temporal median by more than mean + k population deviations of a frame."""
-    return _differences(frames, k).groupBy("frame").agg(F.count_if(F.col("d") > F.col("limit")).alias("n"))
+    return _differences(frames, k, window).groupBy("frame").agg(F.count_if(F.col("d") > F.col("limit")).alias("n"))
 
 
-def outliers(frames: DataFrame, k: float = 3.0) -> DataFrame:
+def outliers(frames: DataFrame, k: float = 3.0, window: int = 0) -> DataFrame:
     """(image, pixel) of these pixels."""
-    return _differences(frames, k).where("d > limit").select(F.col("frame").alias("image"), F.col("pixel").cast("long").alias("pixel"))
+    return _differences(frames, k, window).where("d > limit").select(F.col("frame").alias("image"), F.col("pixel").cast("long").alias("pixel"))
 
 
 def rect_pixels(rois: DataFrame, height: int, width: int) -> DataFrame:
@@ -177,17 +205,50 @@ def shift_between(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
     return tuple(int(p - n if p > n // 2 else p) for p, n in zip(peak, a.shape, strict=True))
 
 
-def registered(frames: DataFrame, height: int, width: int) -> DataFrame:
-    """(frame, dy, dx) of frames (frame, px) against the mean frame; frame 0 isn't moved."""
-    mean = [r["m"] for r in pixels(frames).groupBy("pixel").agg(F.avg("v").alias("m")).orderBy("pixel").collect()]  # one image
-    target = np.array(mean, float).reshape(height, width)
+def _moves(rows: DataFrame, height: int, width: int) -> DataFrame:
+    """(frame, dy, dx) of rows (frame, px, ref), where null references give no move."""
 
     def run(parts):
         for part in parts:
-            moves = [shift_between(target, np.array(p, float).reshape(height, width)) if f else (0, 0) for f, p in zip(part.frame, part.px, strict=True)]
+            image = lambda p: np.array(p, float).reshape(height, width)
+            moves = [(0, 0) if r is None else shift_between(image(r), image(p)) for p, r in zip(part.px, part.ref, strict=True)]
             yield pd.DataFrame({"frame": part.frame, "dy": [m[0] for m in moves], "dx": [m[1] for m in moves]})
 
-    return frames.select("frame", "px").mapInPandas(run, "frame long, dy int, dx int")
+    return rows.select("frame", "px", "ref").mapInPandas(run, "frame long, dy int, dx int")
+
+
+def registered(frames: DataFrame, height: int, width: int, reference: str = "mean") -> DataFrame:
+    """(frame, dy, dx) of frames (frame, px) against a reference; the first frame isn't moved.
+
+    The reference is the mean frame, the first one, or the previous one, whose moves are summed up to the first frame. A
+    frame meets the previous one by an equal-key join of (number, frame), as windows over whole frames would sort them in one task.
+    """
+    if reference not in ("mean", "first", "previous"):
+        raise ValueError(f"no such reference: {reference}")
+    start = frames.agg(F.min("frame")).first()[0]
+    if start is None:
+        return frames.select(F.col("frame").cast("long").alias("frame"), F.lit(0).alias("dy"), F.lit(0).alias("dx"))
+    if reference == "previous":
+        before = frames.select((F.col("frame") + 1).alias("frame"), F.col("px").alias("ref"))
+        return summed_steps(_moves(frames.join(before, "frame", "left"), height, width))
+    if reference == "first":
+        image = frames.where(F.col("frame") == start).select(F.col("px").alias("ref"))
+    else:
+        means = pixels(frames).groupBy("pixel").agg(F.avg("v").alias("m"))
+        image = means.agg(F.sort_array(F.collect_list(F.struct("pixel", "m"))).alias("s")).select(F.col("s.m").alias("ref"))
+    rows = frames.join(F.broadcast(image))  # one image
+    return _moves(rows.withColumn("ref", F.when(F.col("frame") > start, F.col("ref"))), height, width)
+
+
+def moved(frames: DataFrame, moves: DataFrame, height: int, width: int) -> DataFrame:
+    """(frame, px): frames (frame, px) moved by (frame, dy, dx), bilinear, zero outside."""
+
+    def run(parts):
+        for part in parts:
+            px = [warped(np.array(p, float).reshape(height, width), np.array([[1, 0, -x], [0, 1, -y]])).ravel().tolist() for p, y, x in zip(part.px, part.dy, part.dx, strict=True)]
+            yield pd.DataFrame({"frame": part.frame, "px": px})
+
+    return frames.join(moves, "frame").select("frame", "px", "dy", "dx").mapInPandas(run, "frame long, px array<double>")
 
 
 def soma_forest(samples: DataFrame, features: list[str], seed: int = 0):
@@ -240,9 +301,9 @@ def opened(masks: DataFrame, width: int, height: int) -> DataFrame:
     return dilated(eroded(masks, width, height), width, height)
 
 
-def floater_masks(frames: DataFrame, width: int, height: int, k: float = 3.0, least: int = 2, most: int = 200) -> DataFrame:
+def floater_masks(frames: DataFrame, width: int, height: int, k: float = 3.0, least: int = 2, most: int = 200, window: int = 0) -> DataFrame:
     """(image, pixel) of moving particles: outliers against the temporal median, opened, of fitting size, grown by one."""
-    masks = opened(outliers(frames, k), width, height)
+    masks = opened(outliers(frames, k, window), width, height)
     fit = labelled(masks, width)
     sizes = fit.groupBy("image", "blob").agg(F.count("*").alias("area"))
     kept = sizes.where((F.col("area") >= least) & ((F.lit(most) == 0) | (F.col("area") <= most)))
@@ -259,10 +320,10 @@ def labelled(masks: DataFrame, width: int) -> DataFrame:
     return masks.groupBy("image").applyInPandas(run, f"image {masks.schema['image'].dataType.simpleString()}, pixel long, blob long")
 
 
-def background_filled(frames: DataFrame, masks: DataFrame) -> DataFrame:
+def background_filled(frames: DataFrame, masks: DataFrame, window: int = 0) -> DataFrame:
     """(frame, pixel, v): masked pixels (image, pixel) take the temporal median, the others stay."""
-    rows = pixels(frames).join(masks.select(F.col("image").alias("frame"), "pixel", F.lit(True).alias("hit")), ["frame", "pixel"], "left")
-    return rows.join(median_background(frames), "pixel").select("frame", "pixel", F.when(F.col("hit"), F.col("median")).otherwise(F.col("v")).alias("v"))
+    hit = masks.select(F.col("image").alias("frame"), "pixel", F.lit(True).alias("hit"))
+    return with_background(frames, window).join(hit, ["frame", "pixel"], "left").select("frame", "pixel", F.when(F.col("hit"), F.col("median")).otherwise(F.col("v")).alias("v"))
 
 
 def somas(image: DataFrame, width: int, height: int, threshold: float = 0.5, least: float = 5, most: float = 40, round_: float = 0.5) -> DataFrame:
@@ -296,6 +357,14 @@ def warped(image: np.ndarray, matrix: np.ndarray) -> np.ndarray:
 
 
 def summed_steps(steps: DataFrame) -> DataFrame:
-    """(frame, dy, dx) against frame 0 from moves of each frame against the one before."""
-    order = Window.orderBy("frame").rowsBetween(Window.unboundedPreceding, 0)
-    return steps.select("frame", F.sum("dy").over(order).alias("dy"), F.sum("dx").over(order).alias("dx"))
+    """(frame, dy, dx) against frame 0 from moves of each frame against the one before.
+
+    Sums of blocks of ``STEPS`` frames are summed first, so that no task takes all frames.
+    """
+    rows = steps.withColumn("block", F.floor(F.col("frame") / STEPS))
+    before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # one row a block
+    blocks = rows.groupBy("block").agg(F.sum("dy").alias("y"), F.sum("dx").alias("x"))
+    blocks = blocks.select("block", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c) for c in ("y", "x")])
+    within = Window.partitionBy("block").orderBy("frame").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.select("frame", "block", *[F.sum(c).over(within).alias(c) for c in ("dy", "dx")])
+    return rows.join(blocks, "block").select("frame", (F.col("dy") + F.col("y")).alias("dy"), (F.col("dx") + F.col("x")).alias("dx"))

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fluora.functions.shared import checkpoint, cut
+from fluora.operators.graph import map_to_rois
+from fluora.operators.imaging import centroids
 from fluora.operators.traces import robust
 
 
@@ -47,6 +49,28 @@ def _cross(t: Column, y: Column, t2: Column, y2: Column, level: Column) -> Colum
 
 def spikes(traces: DataFrame, k: float = 3.0, fraction: float = 0.5, duration: int = 3) -> DataFrame:
     """One row per spike: times, width, height, area and whether it is cut by its bounds."""
+    return measured(traces, k, fraction, duration).drop("level", "lo", "hi")
+
+
+def located(found: DataFrame, labels: DataFrame, rois: DataFrame) -> DataFrame:
+    """Spikes with (signal, x, y): the trace's name and the centre of its region, null where it has none.
+
+    labels has (ord, label), a row for each trace in order; rois (roi_id, xs, ys, left, top, width, height).
+    """
+    at = map_to_rois(labels, rois.select("roi_id"), leading=False).join(centroids(rois), "roi_id", "left")
+    at = at.select(F.col("label").alias("trace"), "x", "y")
+    return found.join(at, "trace", "left").withColumn("signal", F.col("trace"))
+
+
+def summary(found: DataFrame, labels: DataFrame) -> DataFrame:
+    """(signals, spikes, empty, unmapped, truncated): counts of a run, from located spikes; unmapped signals among those with spikes."""
+    per = found.groupBy("trace").agg(F.count("*").alias("n"), F.bool_and(F.col("x").isNull()).alias("lost"), F.count_if("truncated").alias("cut"))
+    rows = labels.select(F.col("label").alias("trace")).join(per, "trace", "left")
+    return rows.agg(F.count("*").alias("signals"), F.coalesce(F.sum("n"), F.lit(0)).alias("spikes"), F.count_if(F.col("n").isNull()).alias("empty"), F.count_if("lost").alias("unmapped"), F.coalesce(F.sum("cut"), F.lit(0)).alias("truncated"))
+
+
+def measured(traces: DataFrame, k: float = 3.0, fraction: float = 0.5, duration: int = 3) -> DataFrame:
+    """``spikes`` with the level at which a spike is measured and the frames (lo, hi) it is measured between."""
     traces = cut(traces.select("trace", "frame", "t", "y"))
     tops = checkpoint(bounds(traces, checkpoint(apexes(traces, k, duration)))).withColumnRenamed("frame", "apex").withColumnRenamed("y", "top")
     order = Window.partitionBy("trace").orderBy("frame")
@@ -70,7 +94,7 @@ def spikes(traces: DataFrame, k: float = 3.0, fraction: float = 0.5, duration: i
     )
     left, right = F.col("j").isNotNull(), F.col("k").isNotNull()
     flanks = flanks.select(
-        "trace", "spike", "baseline", "spike_time_s", (F.col("top") - F.col("baseline")).alias("max_height"), (~left | ~right).alias("truncated"),
+        "trace", "spike", "baseline", "level", "spike_time_s", (F.col("top") - F.col("baseline")).alias("max_height"), (~left | ~right).alias("truncated"),
         F.when(left, _cross(F.col("j.t"), F.col("j.y"), F.col("j.t_after"), F.col("j.y_after"), F.col("level"))).otherwise(F.col("a.t")).alias("start_s"),
         F.when(left, F.col("level")).otherwise(F.col("a.y")).alias("start_y"),
         F.when(left, F.col("j.frame")).otherwise(F.col("a.frame")).alias("after"),
@@ -87,4 +111,4 @@ def spikes(traces: DataFrame, k: float = 3.0, fraction: float = 0.5, duration: i
     slab = lambda t1, y1, t2, y2: (t2 - t1) * ((y1 + y2) / 2 - F.col("baseline"))
     whole = slab(F.col("start_s"), F.col("start_y"), F.col("end_s"), F.col("end_y"))
     parts = slab(F.col("start_s"), F.col("start_y"), F.col("p.t"), F.col("p.y")) + F.coalesce("body", F.lit(0.0)) + slab(F.col("q.t"), F.col("q.y"), F.col("end_s"), F.col("end_y"))
-    return out.select("trace", F.col("spike").alias("spike_index"), "start_s", "end_s", (F.col("end_s") - F.col("start_s")).alias("width_s"), "spike_time_s", "max_height", F.when(F.col("p").isNull(), whole).otherwise(parts).alias("auc"), "truncated")
+    return out.select("trace", F.col("spike").alias("spike_index"), "start_s", "end_s", (F.col("end_s") - F.col("start_s")).alias("width_s"), "spike_time_s", "max_height", F.when(F.col("p").isNull(), whole).otherwise(parts).alias("auc"), "truncated", "level", F.col("after").alias("lo"), F.col("before").alias("hi"))

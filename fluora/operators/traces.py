@@ -106,3 +106,16 @@ def sliding_median(traces: DataFrame, window: int) -> DataFrame:
     half = window // 2
     order = Window.partitionBy("trace").orderBy("frame").rowsBetween(-half, half)
     return traces.withColumn("median", F.percentile("y", 0.5).over(order))
+
+
+def timed(traces: DataFrame, times: DataFrame | None, fps: float) -> DataFrame:
+    """Adds ``t``: the recording's own time of a frame (frame, t), where there is any, else frame / fps."""
+    if times is None or times.isEmpty():
+        return traces.withColumn("t", F.col("frame") / F.lit(float(fps)))
+    return traces.join(times.select("frame", "t"), "frame", "left")
+
+
+def run_summary(traces: DataFrame) -> DataFrame:
+    """(traces, all_missing, some_missing): how many traces there are, lack every sample, or lack some."""
+    rows = cleaned(traces).groupBy("trace").agg(F.count("y").alias("n"), F.count("*").alias("all"))
+    return rows.agg(F.count("*").alias("traces"), F.count_if(F.col("n") == 0).alias("all_missing"), F.count_if((F.col("n") > 0) & (F.col("n") < F.col("all"))).alias("some_missing"))

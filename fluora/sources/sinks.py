@@ -26,6 +26,24 @@ def write_traces(traces: DataFrame, names: list[str], path: str) -> None:
     head.unionByName(rows).repartitionByRange("frame").sortWithinPartitions("frame").select("line").write.text(path)
 
 
+def write_table(cells: DataFrame, traces: DataFrame, path: str, dropped: DataFrame | None = None) -> None:
+    """The table that cells (col_ord, name, frame, cell) came from, with the samples of traces (trace, frame, y) in place of theirs.
+
+    All other columns stay as they were; those of ``dropped`` (trace) go. Text files whose lines follow each other in the
+    order of the files, the header first. A line's cells meet in one row, as a line is one value of the file.
+    """
+    if dropped is not None:
+        cells = cells.join(dropped.select(F.col("trace").alias("name")), "name", "left_anti")
+    new = traces.select(F.col("trace").alias("name"), "frame", F.coalesce(F.col("y").cast("string"), F.lit("")).alias("new"))
+    rows = cells.join(new, ["name", "frame"], "left").select("frame", "col_ord", F.coalesce("new", "cell").alias("cell"))
+    head = cells.select(F.lit(-1).cast("long").alias("frame"), "col_ord", F.col("name").alias("cell")).distinct()
+    quoted = F.concat(F.lit('"'), F.replace("cell", F.lit('"'), F.lit('""')), F.lit('"'))
+    rows = head.unionByName(rows).withColumn("cell", F.when(F.col("cell").rlike('[,"]'), quoted).otherwise(F.col("cell")))
+    lines = rows.groupBy("frame").agg(F.sort_array(F.collect_list(F.struct("col_ord", "cell"))).alias("s"))
+    lines = lines.select("frame", F.array_join("s.cell", ",").alias("line"))
+    lines.repartitionByRange("frame").sortWithinPartitions("frame").select("line").write.text(path)
+
+
 def matrix_lines(matrix: DataFrame) -> DataFrame:
     """(i, line): a row of the matrix (i, j, value) with its label and numbers of six decimals."""
     rows = matrix.groupBy("i").agg(F.sort_array(F.collect_list(F.struct("j", "value"))).alias("s"))

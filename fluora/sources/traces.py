@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import struct
 import zipfile
 from collections.abc import Iterator
@@ -26,18 +27,24 @@ def header(spark: SparkSession, path: str) -> list[str]:
     """The column names of a CSV file, from its first line; repeated names get a numbered suffix after a dot."""
     first = spark.read.text(path).limit(1).collect()
     names, seen = [], {}
-    for name in (first[0][0] if first else "").rstrip("\r").split(","):
-        name = name.strip('"')
+    for name in next(csv.reader([(first[0][0] if first else "").rstrip("\r")]), [""]):
         n = seen.get(name, 0)
         seen[name] = n + 1
         names.append(f"{name}.{n}" if n else name)
     return names
 
 
+def _cells(line: Column) -> Column:
+    """The cells of a CSV line; lines without quotes are split at commas."""
+    quoted = F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(r',("[^"]*(?:""[^"]*)*"|[^,]*)'), 1)
+    plain = F.transform(quoted, lambda c: F.when(c.startswith('"'), F.replace(F.substr(c, F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))).otherwise(c))
+    return F.when(line.contains('"'), plain).otherwise(F.split(line, ",", -1))
+
+
 def wide_csv(spark: SparkSession, path: str) -> DataFrame:
     """(col_ord, name, frame, y, cell) of a wide CSV: lines are split and exploded, never inferred column by column.
 
-    Frames are the lines in file order. Quoted files go through the CSV reader's splitting of a line.
+    Frames are the lines in file order. Quoted cells may hold commas and doubled quotes, but no line breaks.
     """
     names = header(spark, path)
     place = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("n"))
@@ -48,12 +55,21 @@ def wide_csv(spark: SparkSession, path: str) -> DataFrame:
     starts = counts.select("chunk", (F.sum("n").over(Window.orderBy("chunk")) - F.col("n")).alias("start"))
     within = F.row_number().over(Window.partitionBy("chunk").orderBy("place.n"))
     rows = part.withColumn("within", within).join(F.broadcast(starts), "chunk").withColumn("line", F.col("start") + F.col("within") - 1)
-    cells = rows.where("line > 0").select((F.col("line") - 1).alias("frame"), F.posexplode(F.split(F.regexp_replace("value", "\r$", ""), ",", -1)).alias("col_ord", "cell"))
+    cells = rows.where("line > 0").select((F.col("line") - 1).alias("frame"), F.posexplode(_cells(F.regexp_replace("value", "\r$", ""))).alias("col_ord", "cell"))
     cells = cells.where(F.col("col_ord") < len(names))
     name = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("col_ord") + 1)
     return cells.select("col_ord", name.alias("name"), "frame", number(F.col("cell")).alias("y"), "cell")
 
 
+def times(cells: DataFrame) -> DataFrame:
+    """(frame, t) of the first of the columns ``time_s`` and ``time`` that has a finite number in every frame, else empty."""
+    frames = cells.select("frame").distinct().count()
+    rows = cells.where(F.trim("name").isin("time_s", "time") & F.col("y").isNotNull() & (F.abs("y") < float("inf")))
+    full = {r["name"] for r in rows.groupBy(F.trim("name").alias("name")).agg(F.countDistinct("frame").alias("n")).where(F.col("n") == frames).collect()}
+    name = next((n for n in ("time_s", "time") if n in full), "")
+    return rows.where(F.trim("name") == name).select("frame", F.col("y").alias("t"))
+
+
 def numeric_columns(cells: DataFrame) -> DataFrame:
     """(col_ord, name) of the columns whose cells are all numbers or missing, metadata names left out."""
     from fluora.functions.columns import ignored

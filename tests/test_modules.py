@@ -1,6 +1,11 @@
+import json
+
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
-from fluora.operators import imaging
+from fluora.functions import columns
+from fluora.operators import imaging, previews, traces
 from fluora.plans import modules
 from fluora.plans.pipeline import Context, execute
 from fluora.sources import video
@@ -63,3 +68,88 @@ def test_warp_ovals_somas(spark):
     assert len(got) == 1 and abs(got[0].x - 9) < 0.5
     steps = spark.createDataFrame([(0, 0, 0), (1, 1, 2), (2, -3, 1)], "frame long, dy int, dx int")
     assert [(r.dy, r.dx) for r in imaging.summed_steps(steps).orderBy("frame").collect()] == [(0, 0), (1, 2), (-2, 3)]
+
+
+ROI = "roi_id int, name string, xs array<double>, ys array<double>, left double, top double, width double, height double"
+
+
+def test_spikes_and_graph_have_places(spark):
+    rows = [(f"{n}_mean", f, 5.0 if f in (10, 11, 12, 13) else 1.0 + (f % 3) * 0.01) for n in (2, 1) for f in range(40)]
+    rows = spark.createDataFrame(rows, "trace string, frame long, y double")
+    rois = spark.createDataFrame([(1, "a", [0.0, 4.0, 2.0], [0.0, 0.0, 3.0], None, None, None, None), (2, "b", [], [], 6.0, 2.0, 2.0, 4.0)], ROI)
+    times = spark.createDataFrame([(f, 100.0 + f) for f in range(40)], "frame long, t double")
+    out = modules.spike_analysis({"traces": rows, "rois": rois, "times": times, "metrics": "MEAN"})
+    got = {r.signal: (r.x, r.y, r.spike_time_s) for r in out["spikes"].collect()}
+    assert got == {"1_mean": (2.0, 1.0, 110.0), "2_mean": (7.0, 4.0, 110.0)}
+    assert tuple(out["summary"].first()) == (2, 2, 0, 0, 0)
+    assert {r.spike_time_s for r in modules.spike_analysis({"traces": rows})["spikes"].collect()} == {1.0}
+    matrix = spark.createDataFrame([("1", "2", 0.5)], "i string, j string, value double")
+    labels = spark.createDataFrame([(0, "1"), (1, "2")], "ord int, label string")
+    out = modules.connectivity_graph({"matrix": matrix, "labels": labels, "rois": rois})
+    graph = json.loads(out["document"].first().json)["graph"]
+    assert graph["type"] == "neuro-connectivity" and [n["metadata"] for n in graph["nodes"]] == [{"x": 2.0, "y": 1.0, "roi_name": "a", "strength": 0.5}, {"x": 7.0, "y": 4.0, "roi_name": "b", "strength": 0.5}]
+
+
+def test_registration_modes(spark):
+    rng = np.random.default_rng(4)
+    first = rng.random((12, 10))
+    places = [(0, 0), (1, 2), (3, 1), (2, -2)]
+    frames = spark.createDataFrame([(i, np.roll(first, p, (0, 1)).ravel().tolist()) for i, p in enumerate(places)], "frame long, px array<double>")
+    for reference in ("previous", "first"):
+        out = modules.stackreg({"frames": frames, "height": 12, "width": 10, "reference": reference})
+        assert {r.frame: (r.dy, r.dx) for r in out["moves"].collect()} == {i: (-y, -x) for i, (y, x) in enumerate(places)}
+        back = np.array(out["frames"].where("frame = 2").first().px).reshape(12, 10)
+        assert np.allclose(back[:9, :9], first[:9, :9])
+
+
+def test_windowed_background_brute_force(spark, monkeypatch):
+    v = np.random.default_rng(5).random((30, 4))
+    frames = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "frame long, px array<double>")
+    got = {(r.frame, r.pixel): r.median for r in imaging.with_background(frames, 5).collect()}
+    assert len(got) == 120 and all(abs(got[i, p] - np.median(v[max(0, i - 2) : i + 3, p])) < 1e-12 for i in range(30) for p in range(4))
+    assert {r.median for r in imaging.with_background(frames, 30).where("pixel = 1").collect()} == {np.median(v[:, 1])}
+
+
+def test_csv_in_and_out_keeps_columns(spark, tmp_path):
+    up = [9.0 if f in (4, 5, 6) else 1.0 + f % 2 * 0.1 for f in range(12)]
+    lines = ["note,1_mean,2_mean,1_std,time_s"] + [f'"a, ""{f}""",{up[f]},{1.0 + f % 2 * 0.1},{f},{f / 2}' for f in range(12)]
+    (tmp_path / "in.csv").write_text("\n".join(lines) + "\n")
+    modules.main(["select_active", "--input", str(tmp_path / "in.csv"), "--output", str(tmp_path / "out"), "--params", '{"metrics": "mean"}'])
+    text = [line for f in sorted((tmp_path / "out").glob("part-*")) for line in f.read_text().splitlines()]
+    assert text[0] == "note,1_mean,1_std,time_s" and text[1] == '"a, ""0""",1.0,0,0.0' and len(text) == 13
+    modules.main(["spike_analysis", "--input", str(tmp_path / "in.csv"), "--output", str(tmp_path / "spikes"), "--params", '{"metrics": "mean"}'])
+    assert [r.spike_time_s for r in spark.read.option("header", True).csv(str(tmp_path / "spikes")).collect()] == ["2.000000"]
+
+
+def test_previews(spark):
+    up = [9.0 if f in (4, 5, 6) else 1.0 + f % 2 * 0.1 for f in range(20)]
+    rows = spark.createDataFrame([(t, f, y) for t, ys in (("a", up), ("b", [1.0 + f % 2 for f in range(20)]), ("c", [None] * 20)) for f, y in enumerate(ys)], "trace string, frame long, y double")
+    got = previews.active(rows).groupBy("trace", "series").count().collect()
+    assert {(r.trace, r.series): r["count"] for r in got} == {("a", "active"): 20, ("a", "threshold"): 20, ("b", "inactive"): 20, ("b", "threshold"): 20}
+    assert previews.series_names(previews.active(rows)) == ["Original", "active", "threshold", "inactive"]
+    found = {r.place: r.value for r in previews.spiking(rows).where("trace = 'a' and series = 'detected'").collect()}
+    assert found[4] == found[6] == 9.0 and found[10] != 9.0 and len(found) == 20
+    assert {r.series for r in previews.als(rows).select("series").distinct().collect()} == {"baseline", "corrected", "smoothed"}
+    assert previews.band_pass(rows, most=10).groupBy("trace").count().first()["count"] == 10
+
+
+def test_column_selection_and_summaries(spark):
+    names = ["frame", "1_mean", "2_mean", "2_std", "note"]
+    header = spark.createDataFrame(list(enumerate(names)), "col_ord int, name string")
+    assert tuple(columns.metrics_and_neurons(header).first()) == (["mean", "std"], [1, 2])
+    assert [r.name for r in columns.target_columns(header, "STD").collect()] == ["2_std"]
+    assert [r.name for r in columns.column_range(header, 1, 3, "2").collect()] == ["2_mean", "2_std"]
+    found, missing = columns.neuron_columns(header, ["std", "mean"], "2, 7")
+    assert [r.name for r in found.collect()] == ["2_std", "2_mean"] and [r.neuron for r in missing.collect()] == [7]
+    with pytest.raises(ValueError):
+        columns.target_columns(header, "max")
+    rows = spark.createDataFrame([("a", 0, 1.0), ("a", 1, None), ("b", 0, None)], "trace string, frame long, y double")
+    assert tuple(traces.run_summary(rows).first()) == (2, 1, 1)
+
+
+def test_further_metrics(spark, monkeypatch):
+    frames = spark.createDataFrame([(0, [1.0, 2.0, 9.0])], "frame long, px array<double>")
+    masks = spark.createDataFrame([(1, 0), (1, 1), (1, 2)], "roi_id int, pixel int")
+    monkeypatch.setitem(modules.METRICS, "least", lambda v: F.array_min(v))
+    got = {r.trace: r.y for r in modules.generate_signals({"frames": frames, "masks": masks})["traces"].collect()}
+    assert got["1_least"] == 1.0 and got["1_max"] == 9.0
