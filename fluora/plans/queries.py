@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fluora.functions import columns
-from fluora.operators import association, filters, graph, imaging, spikes, traces
+from fluora.operators import association, filters, graph, imaging, previews, spikes, traces
 from fluora.sources import sinks, tables
 
 BINS = 8
@@ -137,23 +137,58 @@ def frame_outliers(spark, sf_dir):
     return imaging.outlier_pixels(tables.vector_frames(spark, sf_dir), 2.0)
 
 
-@query("SELECT unnest(range(0, 48))::INT AS pixel")
+RECTS = """WITH s AS (SELECT s_suppkey AS id, (s_suppkey * 7) % 40 - 4 AS x, (s_suppkey * 5) % 30 - 3 AS y, 1 + s_suppkey % 9 AS w, 1 + s_suppkey % 6 AS h FROM supplier),
+g AS (SELECT a.range AS px, b.range AS py FROM range(32) a CROSS JOIN range(24) b),
+m AS (SELECT id AS roi_id, (py * 32 + px)::INT AS pixel FROM s JOIN g ON px >= x AND px < x + w AND py >= y AND py < y + h)"""
+
+
+@query(f"{RECTS} SELECT roi_id, pixel FROM m")
+def rect_masks(spark, sf_dir):
+    s, k = spark.read.parquet(f"{sf_dir}/supplier.parquet"), F.col("s_suppkey")
+    rois = s.select(k.alias("roi_id"), (k * 7 % 40 - 4).alias("left"), (k * 5 % 30 - 3).alias("top"), (1 + k % 9).alias("width"), (1 + k % 6).alias("height"))
+    return imaging.rect_pixels(rois, 24, 32).select("roi_id", F.col("pixel").cast("int").alias("pixel"))
+
+
+@query(f"{RECTS} SELECT DISTINCT pixel FROM m")
 def mask_union(spark, sf_dir):
-    return imaging.mask_union(tables.block_masks(spark, 0, 3).unionByName(tables.block_masks(spark, 2, 5)))
+    return imaging.mask_union(rect_masks(spark, sf_dir))
 
 
-@query("SELECT unnest(range(0, 16))::INT AS pixel")
+@query(f"{RECTS} SELECT DISTINCT pixel FROM m WHERE roi_id % 2 = 1 AND pixel NOT IN (SELECT pixel FROM m WHERE roi_id % 2 = 0)")
 def mask_difference(spark, sf_dir):
-    return imaging.mask_difference(tables.block_masks(spark, 0, 3), tables.block_masks(spark, 2, 5))
+    """Pixels of regions of odd number that no region of even number has."""
+    masks = rect_masks(spark, sf_dir)
+    return imaging.mask_difference(masks.where("roi_id % 2 = 1"), masks.where("roi_id % 2 = 0"))
 
 
-@query("""WITH s AS (SELECT s_suppkey AS id, (s_suppkey * 7) % 40 - 4 AS x, (s_suppkey * 5) % 30 - 3 AS y, 1 + s_suppkey % 9 AS w, 1 + s_suppkey % 6 AS h FROM supplier),
-g AS (SELECT a.range AS px, b.range AS py FROM range(32) a CROSS JOIN range(24) b)
-SELECT id AS roi_id, (py * 32 + px)::INT AS pixel FROM s JOIN g ON px >= x AND px < x + w AND py >= y AND py < y + h""")
-def rect_masks(spark, sf_dir):
+CORNERS = """p AS (SELECT s_suppkey AS id, (s_suppkey * 7) % 20 + 0.5 AS x, (s_suppkey * 5) % 14 + 0.5 AS y, 2 + s_suppkey % 7 AS a FROM supplier),
+c AS (SELECT id, CASE WHEN id % 2 = 0 THEN x + a / 3 ELSE x + a / 2 END AS x, CASE WHEN id % 2 = 0 THEN y + a / 3 ELSE y + a / 2 END AS y FROM p)"""
+
+
+@query(f"WITH {CORNERS} SELECT id AS roi_id, round(x, 6) AS x, round(y, 6) AS y FROM c")
+def roi_centroids(spark, sf_dir):
+    """Centres of triangles (even numbers) and boxes."""
     s, k = spark.read.parquet(f"{sf_dir}/supplier.parquet"), F.col("s_suppkey")
-    rois = s.select(k.alias("roi_id"), (k * 7 % 40 - 4).alias("left"), (k * 5 % 30 - 3).alias("top"), (1 + k % 9).alias("width"), (1 + k % 6).alias("height"))
-    return imaging.rect_pixels(rois, 24, 32).select("roi_id", F.col("pixel").cast("int").alias("pixel"))
+    x, y, a = (k * 7 % 20 + 0.5).cast("double"), (k * 5 % 14 + 0.5).cast("double"), (2 + k % 7).cast("double")
+    three = lambda *v: F.when(k % 2 == 0, F.array(*v)).otherwise(F.array().cast("array<double>"))
+    rois = s.select(k.alias("roi_id"), three(x, x + a, x).alias("xs"), three(y, y, y + a).alias("ys"), x.alias("left"), y.alias("top"), a.alias("width"), a.alias("height"))
+    return imaging.centroids(rois).select("roi_id", r("x"), r("y"))
+
+
+@query(f"WITH {CORNERS} SELECT id AS roi_id, row_number() OVER (ORDER BY round(y, 6), round(x, 6), id)::INT AS ord FROM c")
+def reading_order(spark, sf_dir):
+    return imaging.reading_order(roi_centroids(spark, sf_dir)).select("roi_id", "ord")
+
+
+@query("SELECT (p_partkey - 1)::BIGINT AS frame, (sum(p_partkey * 7 % 5 - 2) OVER w)::BIGINT AS dy, (sum(p_partkey * 3 % 7 - 3) OVER w)::BIGINT AS dx FROM part WINDOW w AS (ORDER BY p_partkey)")
+def summed_steps(spark, sf_dir):
+    k = F.col("p_partkey")
+    return imaging.summed_steps(spark.read.parquet(f"{sf_dir}/part.parquet").select((k - 1).cast("long").alias("frame"), (k * 7 % 5 - 2).alias("dy"), (k * 3 % 7 - 3).alias("dx")))
+
+
+@query(f"WITH {PX} SELECT frame, pixel::INT AS pixel, round(v, 6) AS v, round(median(v) OVER (PARTITION BY pixel ORDER BY frame ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING), 6) AS median FROM px")
+def windowed_background(spark, sf_dir):
+    return imaging.with_background(tables.vector_frames(spark, sf_dir), 7).select("frame", "pixel", r("v"), r("median"))
 
 
 @query("""WITH s AS (SELECT s_suppkey AS id, (s_suppkey * 7) % 20 + 0.5 AS x, (s_suppkey * 5) % 14 + 0.5 AS y, 2 + s_suppkey % 7 AS a FROM supplier),
@@ -257,8 +292,31 @@ def graph_summary(spark, sf_dir):
 
 @query(f"WITH {PAIRS} SELECT source, target, printf('%.6f', weight) AS weight FROM e WHERE abs(weight) >= 0.5")
 def network_edges(spark, sf_dir):
-    nodes = spark.range(0).select("id")
-    return sinks.network(nodes.selectExpr("id", "'' AS label", "0D AS x", "0D AS y"), weights(spark, sf_dir), 0.5)[0]
+    return sinks.network(network_points(spark, sf_dir), weights(spark, sf_dir), 0.5)[0]
+
+
+def network_points(spark, sf_dir) -> DataFrame:
+    """(id, label, x, y): embeddings as nodes at their first two components."""
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    place = [F.get("embedding", F.lit(i)).cast("double").alias(c) for i, c in enumerate("xy")]
+    return e.select(F.col("vec_id").alias("id"), F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("label"), *place)
+
+
+@query(f"""WITH {PAIRS}, {ENDS}, d AS (SELECT id, count(*) AS n FROM z WHERE abs(weight) >= 0.5 GROUP BY 1)
+SELECT vec_id AS id, 'v' || vec_id AS label, printf('%.6f', embedding[1]::DOUBLE) AS x, printf('%.6f', embedding[2]::DOUBLE) AS y, coalesce(n, 0)::BIGINT AS degree FROM embeddings LEFT JOIN d ON d.id = vec_id""")
+def network_nodes(spark, sf_dir):
+    return sinks.network(network_points(spark, sf_dir), weights(spark, sf_dir), 0.5)[1]
+
+
+@query("""WITH n AS (SELECT (n_nationkey % 20)::BIGINT AS id, max(n_nationkey) AS ord FROM nation GROUP BY 1),
+r AS (SELECT c_nationkey::BIGINT AS source, (c_custkey % 25)::BIGINT AS target, c_acctbal::DOUBLE AS weight FROM customer),
+b AS (SELECT r.*, p.ord AS a, q.ord AS b FROM r LEFT JOIN n p ON p.id = source LEFT JOIN n q ON q.id = target)
+SELECT a::BIGINT AS a, b::BIGINT AS b, weight FROM b WHERE (SELECT bool_and(a IS NOT NULL AND b IS NOT NULL) FROM b) OR (a IS NOT NULL AND b IS NOT NULL AND a <> b)""")
+def linked_edges(spark, sf_dir):
+    """Nodes 20 to 24 repeat the ids 0 to 4, so some ends are unknown and the last of equal ids counts."""
+    nation = spark.read.parquet(f"{sf_dir}/nation.parquet").select((F.col("n_nationkey") % 20).cast("long").alias("id"), F.col("n_nationkey").cast("long").alias("ord"))
+    raw = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_nationkey").cast("long").alias("source"), (F.col("c_custkey") % 25).cast("long").alias("target"), F.col("c_acctbal").cast("double").alias("weight"))
+    return graph.linked_edges(nation, raw)
 
 
 @query("""WITH l AS (SELECT row_number() OVER (ORDER BY s_suppkey) - 1 AS ord, s_suppkey FROM supplier), n AS (SELECT count(*) AS n, count(*) // 2 AS k FROM l),
@@ -276,7 +334,7 @@ def node_positions(spark, sf_dir):
     return graph.positions(graph.map_to_rois(labels, known.select("roi_id")), known).select("ord", r("x"), r("y"))
 
 
-SPIKES = f"""{T2}, {robust_sql(1.5)},
+SPIKES = f"""{robust_sql(1.5)},
 up AS (SELECT trace, frame, y FROM t JOIN lim USING (trace) WHERE sigma > 0 AND y > threshold),
 isl AS (SELECT *, frame - row_number() OVER (PARTITION BY trace ORDER BY frame) AS g FROM up),
 top AS (SELECT *, row_number() OVER (PARTITION BY trace, g ORDER BY y DESC, frame) AS n, count(*) OVER (PARTITION BY trace, g) AS size FROM isl),
@@ -292,18 +350,18 @@ def spike_traces(spark, sf_dir) -> DataFrame:
     return tables.event_traces(spark, sf_dir, "event_type").withColumn("t", F.col("frame").cast("double"))
 
 
-@query(f"WITH {SPIKES} SELECT trace, spike, frame, y FROM apex")
+@query(f"WITH {T2}, {SPIKES} SELECT trace, spike, frame, y FROM apex")
 def spike_apexes(spark, sf_dir):
     return spikes.apexes(spike_traces(spark, sf_dir), 1.5, 2).select("trace", "spike", "frame", "y")
 
 
-@query(f"WITH {SPIKES} SELECT trace, spike, low, high FROM bound")
+@query(f"WITH {T2}, {SPIKES} SELECT trace, spike, low, high FROM bound")
 def spike_bounds(spark, sf_dir):
     rows = spike_traces(spark, sf_dir)
     return spikes.bounds(rows, spikes.apexes(rows, 1.5, 2)).select("trace", "spike", "low", "high")
 
 
-@query(f"""WITH {SPIKES}, lv AS (SELECT *, baseline + 0.5 * (top - baseline) AS lev FROM bound),
+MEASURED = f"""{SPIKES}, lv AS (SELECT *, baseline + 0.5 * (top - baseline) AS lev FROM bound),
 jk AS (SELECT v.trace, v.spike, max(CASE WHEN t.frame < apex AND t.y <= lev THEN t.frame END) AS j, min(CASE WHEN t.frame > apex AND t.y <= lev THEN t.frame END) AS k
   FROM lv v JOIN t ON t.trace = v.trace AND t.frame BETWEEN low AND high GROUP BY 1, 2),
 p AS (SELECT v.*, j, k, CASE WHEN j IS NULL THEN low ELSE j + (lev - a.y) / (b.y - a.y) END AS s, CASE WHEN k IS NULL THEN high ELSE k - 1 + (lev - c.y) / (d.y - c.y) END AS e,
@@ -313,9 +371,15 @@ p AS (SELECT v.*, j, k, CASE WHEN j IS NULL THEN low ELSE j + (lev - a.y) / (b.y
 pt AS (SELECT trace, spike, 0 AS o, s AS x, sy - baseline AS y FROM p UNION ALL SELECT trace, spike, 2, e, ey - baseline FROM p
   UNION ALL SELECT p.trace, spike, 1, t.frame, t.y - baseline FROM p JOIN t ON t.trace = p.trace AND t.frame > coalesce(j, low) AND t.frame < coalesce(k, high)),
 ar AS (SELECT trace, spike, sum((x2 - x) * (y + y2) / 2) AS auc FROM (SELECT trace, spike, x, y, lead(x) OVER w AS x2, lead(y) OVER w AS y2 FROM pt WINDOW w AS (PARTITION BY trace, spike ORDER BY o, x)) GROUP BY 1, 2)
-SELECT trace, spike AS spike_index, round(s, 6) AS start_s, round(e, 6) AS end_s, round(e - s, 6) AS width_s, apex::DOUBLE AS spike_time_s, round(top - baseline, 6) AS max_height, round(auc, 6) AS auc, j IS NULL OR k IS NULL AS truncated FROM p JOIN ar USING (trace, spike)""")
+SELECT trace, spike AS spike_index, round(s, 6) AS start_s, round(e, 6) AS end_s, round(e - s, 6) AS width_s, apex::DOUBLE AS spike_time_s, round(top - baseline, 6) AS max_height, round(auc, 6) AS auc, j IS NULL OR k IS NULL AS truncated FROM p JOIN ar USING (trace, spike)"""
+
+
+@query(f"WITH {T2}, {MEASURED}")
 def spike_table(spark, sf_dir):
-    out = spikes.spikes(spike_traces(spark, sf_dir), 1.5, 0.5, 2)
+    return rounded_spikes(spikes.spikes(spike_traces(spark, sf_dir), 1.5, 0.5, 2))
+
+
+def rounded_spikes(out: DataFrame) -> DataFrame:
     return out.select("trace", "spike_index", r("start_s"), r("end_s"), r("width_s"), "spike_time_s", r("max_height"), r("auc"), "truncated")
 
 
@@ -355,7 +419,21 @@ def bandpass_traces(spark, sf_dir):
     return filters.band_pass(tables.vector_traces(spark, sf_dir)).select("trace", "frame", r("filtered"))
 
 
-@query()
+def thinned_sql(points: int) -> str:
+    """t: traces of event types, cut down to this many points."""
+    return f"""{T2.replace("t AS", "w AS", 1)}, n AS (SELECT trace, count(*) AS n FROM w GROUP BY 1), i AS (SELECT unnest(range(0, {points})) AS i),
+pl AS (SELECT DISTINCT trace, (i * (n - 1)) // {points - 1} AS frame FROM n CROSS JOIN i WHERE n > {points}),
+t AS (SELECT w.trace, row_number() OVER (PARTITION BY w.trace ORDER BY w.frame) - 1 AS frame, y FROM w JOIN n USING (trace) LEFT JOIN pl ON pl.trace = w.trace AND pl.frame = w.frame WHERE n <= {points} OR pl.frame IS NOT NULL)"""
+
+
+@query(f"""WITH {thinned_sql(800)}, {robust_sql(1.0)}, {RUNS}
+SELECT trace, 'threshold' AS series, frame AS place, round(threshold, 8) AS value FROM t JOIN lim USING (trace)
+UNION ALL SELECT trace, CASE WHEN longest >= 3 THEN 'active' ELSE 'inactive' END, frame, round(y, 8) FROM t JOIN runs USING (trace)""")
+def preview_active(spark, sf_dir):
+    return previews.active(tables.event_traces(spark, sf_dir, "event_type"), 1.0, 3).select("trace", "series", "place", r("value", 8))
+
+
+@query(f"WITH {thinned_sql(200)}, {MEASURED}")
 def preview_spikes(spark, sf_dir):
     """Spikes of traces cut down to 200 points, where durations count points."""
     from pyspark.sql import Window
@@ -363,7 +441,7 @@ def preview_spikes(spark, sf_dir):
     rows = traces.decimated(tables.event_traces(spark, sf_dir, "event_type"), 200)
     place = F.row_number().over(Window.partitionBy("trace").orderBy("frame")).cast("long") - 1
     rows = rows.withColumn("frame", place).withColumn("t", F.col("frame").cast("double"))
-    return spikes.spikes(rows, 1.5, 0.5, 2)
+    return rounded_spikes(spikes.spikes(rows, 1.5, 0.5, 2))
 
 
 @query(f"""WITH {PX}, m AS (SELECT pixel, median(v) AS m FROM px GROUP BY 1), d AS (SELECT frame, pixel, v, m, abs(v - m) AS d FROM px JOIN m USING (pixel)),
@@ -390,10 +468,31 @@ def eroded_masks(spark, sf_dir):
     return imaging.eroded(masks, 8, 8).select("image", F.col("pixel").cast("int").alias("pixel"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {PX}, a AS (SELECT frame AS image, pixel, pixel % 8 AS x, pixel // 8 AS y FROM px WHERE v >= 0.1),
+n AS (SELECT a.image, a.pixel AS p, b.pixel AS q FROM a JOIN a b ON a.image = b.image AND abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1),
+r AS (SELECT image, p, q FROM n UNION SELECT r.image, r.p, n.q FROM r JOIN n ON n.image = r.image AND n.p = r.q),
+l AS (SELECT image, p AS pixel, min(q) AS blob FROM r GROUP BY 1, 2)
+SELECT image, blob::BIGINT AS blob, count(*)::BIGINT AS area, round(avg(pixel % 8), 6) AS x, round(avg(pixel // 8), 6) AS y FROM l GROUP BY 1, 2""")
 def mask_blobs(spark, sf_dir):
     masks = imaging.pixels(tables.vector_frames(spark, sf_dir)).where("v >= 0.1").select(F.col("frame").alias("image"), "pixel")
-    return imaging.blobs(masks, 8)
+    return imaging.blobs(masks, 8).select("image", "blob", "area", r("x"), r("y"))
+
+
+@query(f"WITH {NAMES} SELECT col_ord, name, 'mean' AS metric, (col_ord + 1)::INT AS neuron FROM h WHERE name LIKE '%_mean'")
+def target_columns(spark, sf_dir):
+    """Of two metrics that differ in case the one that sorts last counts."""
+    return columns.target_columns(name_table(spark, sf_dir), "MEAN")
+
+
+@query(f"WITH {NAMES} SELECT col_ord, name FROM h WHERE col_ord BETWEEN 10 AND 150 AND contains(name, 'filt')")
+def column_range(spark, sf_dir):
+    return columns.column_range(name_table(spark, sf_dir), 10, 150, "filt")
+
+
+@query(f"WITH {T1}, g AS (SELECT trace, count(*) AS n, sum(CASE WHEN y >= 1 THEN 1 ELSE 0 END) AS k FROM t GROUP BY 1) SELECT count(*)::BIGINT AS traces, sum(CASE WHEN k = 0 THEN 1 ELSE 0 END)::BIGINT AS all_missing, sum(CASE WHEN k > 0 AND k < n THEN 1 ELSE 0 END)::BIGINT AS some_missing FROM g")
+def run_summary(spark, sf_dir):
+    """Samples below 1 count as missing."""
+    return traces.run_summary(tables.event_traces(spark, sf_dir).withColumn("y", F.when(F.col("y") >= 1, F.col("y"))))
 
 
 @query(f"WITH {NAMES}, p AS (SELECT * FROM h WHERE name <> 'frame' AND name NOT LIKE 'Std%' AND name NOT LIKE 'Int%') SELECT col_ord AS ord, name AS label, (col_ord + 1)::INT AS roi_id FROM p")
