@@ -6,8 +6,9 @@ locator where there is one, parses the central directory, finds the data of stor
 and reads index and records by ranges; nothing is extracted. Files are opened through a file system URI, so local, HDFS
 and S3 paths work alike.
 
-Tasks write to names of their own partition and attempt and rename at the end, so that a retried task replaces its
-files. Archives are closed at ``ARCHIVE_BYTES``, so no task holds more than one of that size.
+Tasks write to names of their own partition and attempt, so no attempt touches the files of another, also if its rows come
+in another order. The list of archives is a table that Spark commits one attempt a task to; only archives in it count,
+and files of lost attempts stay unread. Archives are closed at ``ARCHIVE_BYTES``, so no task holds more than one of that size.
 
 Edge cases: null html is an empty payload, null url an empty one; of records with equal payloads those with the largest
 id are responses (all of them if rows repeat); a null id never wins; any payload length works; an empty table gives an
@@ -136,12 +137,11 @@ def write(pages: DataFrame, folder: str, least: int = 0, archive_bytes: int = AR
         data, index = io.BytesIO(), []
 
         def close() -> None:
-            name = f"part-{task.partitionId():06d}-{len(made):04d}.wacz"
+            name = f"part-{task.partitionId():06d}-{task.taskAttemptId()}-{len(made):04d}.wacz"
             out = io.BytesIO()
             pack(data.getvalue(), "".join(index), out)
-            with fs.open_output_stream(f"{path}/.{name}.{task.taskAttemptId()}") as f:
+            with fs.open_output_stream(f"{path}/{name}") as f:
                 f.write(out.getbuffer())
-            fs.move(f"{path}/.{name}.{task.taskAttemptId()}", f"{path}/{name}")
             made.append((f"{folder}/{name}", len(index), out.tell()))
             data.seek(0)
             data.truncate()

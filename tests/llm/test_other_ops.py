@@ -138,3 +138,13 @@ def test_pipeline_stages(spark, tmp_path):
     assert mixed.count() == sum(r.copies for r in mixing.apply(rows, mixing.plan(rows)).collect()) and mixed.columns == docs.columns
     assert p.encode(spark, mixed, "").count() == mixed.count()
     assert [s for s, _ in p.STAGES][-1] == "SentencePiece" and shared_dir(spark)
+
+
+def test_warc_reads_committed_archives_only(spark, tmp_path):
+    pages = spark.createDataFrame([(i, "u", "x" * 10) for i in range(50)], "page_id long, url string, html string")
+    folder = f"file://{tmp_path}/a"
+    made = warc.write(pages, folder)
+    again = warc.write(pages, folder)  # as another attempt of all tasks would, into the same folder
+    first, second = ({r.uri for r in x.collect()} for x in (made, again))
+    assert not first & second
+    assert sorted(r.page_id for r in warc.read(made).collect()) == list(range(50))
