@@ -1,6 +1,6 @@
 """Chat formatting from event logs.
 
-A log row is an event (conversation, sequence number, message, kind, role, text). Events are partitioned by
+A log row is an event (conversation, sequence number, message, kind, role, text), delivered once or more. Events are partitioned by
 conversation and message, sorted by sequence, and folded: ``message`` sets the text, ``delta`` appends to it, ``edit``
 replaces it, ``regenerate`` starts it again. Messages are then ordered within their conversation and rendered.
 
@@ -41,11 +41,14 @@ def unescape(text: Column) -> Column:
 def fold(events: DataFrame) -> DataFrame:
     """Final messages (conv_id, message, role, text, copies) of events (conv_id, seq, message, kind, role, text).
 
-    ``copies`` is the number of ``message`` events of one id, at least 1: repeated rows stay turns of their own.
+    Where logs share message ids, a column ``part`` tells their messages apart. Events that are equal in all of this are
+    deliveries of one event; ``copies`` is the number of ``message`` events of one id, at least 1, so repeated rows stay
+    turns of their own.
     """
     event = F.struct("seq", "kind", F.coalesce("text", F.lit("")).alias("text"))
-    listed = events.groupBy("conv_id", "message").agg(
-        F.sort_array(F.collect_list(event)).alias("events"),
+    part = ["part"] if "part" in events.columns else []
+    listed = events.groupBy("conv_id", "message", *part).agg(
+        F.sort_array(F.collect_set(event)).alias("events"),
         F.coalesce(F.max("role"), F.lit("")).alias("role"),
         F.greatest(F.lit(1), F.count_if(F.col("kind") == "message")).cast("int").alias("copies"),
     )
@@ -87,15 +90,20 @@ def read_back(formatted: DataFrame) -> DataFrame:
 
 
 def events_of(rows: DataFrame) -> DataFrame:
-    """The event log of a table of finished turns: each row is a message event of its own id."""
-    return rows.select(
-        "conv_id",
-        F.col("turn").alias("seq"),
-        F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("message"),
-        F.lit("message").alias("kind"),
-        "role",
-        "text",
-    )
+    """An event log that ends in the turns of a table: user turns as drafts that are edited, others as streams.
+
+    A row's message begins with half of its text. The users' is edited to the whole text; the others' is regenerated,
+    then streamed in two deltas. Rows of one turn are told apart by a hash of role and text.
+    """
+    text, role = F.coalesce("text", F.lit("")), F.coalesce("role", F.lit(""))
+    half = F.floor(F.length("text") / 2).cast("int")
+    first, second = F.substring(F.col("text"), F.lit(1), half), F.substring(F.col("text"), half + 1, F.length("text"))
+    event = lambda seq, kind, of: F.struct(F.lit(seq).alias("seq"), F.lit(kind).alias("kind"), of.alias("text"))
+    edited = F.array(event(0, "message", first), event(1, "edit", F.col("text")))
+    streamed = F.array(event(0, "message", first), event(1, "regenerate", F.lit("")), event(2, "delta", first), event(3, "delta", second))
+    named = rows.select("conv_id", F.col("turn").alias("message"), role.alias("role"), text.alias("text"))
+    log = F.explode(F.when(F.col("role") == "user", edited).otherwise(streamed))
+    return named.select("conv_id", "message", F.xxhash64("role", "text").alias("part"), "role", log.alias("e")).select("conv_id", "e.seq", "message", "part", "e.kind", "role", "e.text")
 
 
 def op10_chat(spark, sf_dir: str) -> DataFrame:
