@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own_dir: str | None = None
-#: Tables that ``cut`` has written and ``drop_cuts`` has not deleted.
-_cuts: list[str] = []
+#: The list that takes the paths of the tables that ``cut`` writes while a ``noted`` block runs.
+_notes: ContextVar[list[str] | None] = ContextVar("notes", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,21 +31,32 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Computes a small table once, in the shared folder; Spark deletes it with the last reference."""
+    """Computes a small table once, in the shared folder; its files stay unless spark.cleaner.referenceTracking.cleanCheckpoints is on."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Writes a table as Parquet to the shared folder and reads it back, which ends its lineage."""
+def cut(df: DataFrame, **options: str) -> DataFrame:
+    """Writes a table as Parquet, with the writer's options, to the shared folder and reads it back, which ends its lineage."""
     path = f"{shared_dir(df.sparkSession)}/fluora-{uuid.uuid4().hex}"
-    _cuts.append(path)
-    df.write.parquet(path)
+    if (paths := _notes.get()) is not None:
+        paths.append(path)
+    df.write.parquet(path, **options)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def drop_cuts(spark: SparkSession) -> None:
-    """Deletes all tables that ``cut`` has written so far: for chains whose results so far are written elsewhere."""
-    while _cuts:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_cuts.pop())
+@contextmanager
+def noted(paths: list[str]) -> Iterator[list[str]]:
+    """Within the block, ``paths`` takes the paths of the tables that ``cut`` writes, and no table of anything else."""
+    before = _notes.set(paths)
+    try:
+        yield paths
+    finally:
+        _notes.reset(before)
+
+
+def drop(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes tables that ``cut`` has written, and empties the list: for callers that have read them for the last time."""
+    while paths:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(paths.pop())
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
