@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fluora.functions.shared import checkpoint, cut, drop_cuts, shared_dir
+from fluora.functions.shared import checkpoint, cut, drop, noted, shared_dir
 
-__all__ = ["checkpoint", "components", "cut", "drop_cuts", "fresh", "let", "shared_dir", "small", "uniform", "window_hashes", "words"]
+__all__ = ["checkpoint", "components", "cut", "drop", "fresh", "let", "noted", "shared_dir", "small", "uniform", "window_hashes", "words"]
 
 #: Word separators besides the space: the control characters tab to carriage return.
 GAPS = "\t\n\x0b\x0c\r"
