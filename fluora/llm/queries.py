@@ -12,13 +12,14 @@ from fluora.llm.line_dedup import op7_line_dedup
 from fluora.llm.lm_scoring import op3_lm_scoring
 from fluora.llm.mixing import op1_mixing
 from fluora.llm.ngram_join import op2_ngram_join
+from fluora.llm.packing import op13_packing
 from fluora.llm.quality import op8_quality
 from fluora.llm.sentencepiece_bpe import op4_sentencepiece
 from fluora.llm.sharding import op5_sharding
 from fluora.llm.topk import op9_topk
 from fluora.llm.warc import op6_warc
 
-OPERATORS = (op1_mixing, op2_ngram_join, op3_lm_scoring, op4_sentencepiece, op5_sharding, op6_warc, op7_line_dedup, op8_quality, op9_topk, op10_chat)
+OPERATORS = (op1_mixing, op2_ngram_join, op3_lm_scoring, op4_sentencepiece, op5_sharding, op6_warc, op7_line_dedup, op8_quality, op9_topk, op10_chat, op13_packing)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
