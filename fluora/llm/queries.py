@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fluora.llm import chat, topk
+from fluora.llm import chat, clustering, topk
 from fluora.llm.chat import op10_chat
+from fluora.llm.clustering import op12_clustering
 from fluora.llm.line_dedup import op7_line_dedup
 from fluora.llm.lm_scoring import op3_lm_scoring
 from fluora.llm.mixing import op1_mixing
@@ -19,7 +20,7 @@ from fluora.llm.sharding import op5_sharding
 from fluora.llm.topk import op9_topk
 from fluora.llm.warc import op6_warc
 
-OPERATORS = (op1_mixing, op2_ngram_join, op3_lm_scoring, op4_sentencepiece, op5_sharding, op6_warc, op7_line_dedup, op8_quality, op9_topk, op10_chat, op13_packing)
+OPERATORS = (op1_mixing, op2_ngram_join, op3_lm_scoring, op4_sentencepiece, op5_sharding, op6_warc, op7_line_dedup, op8_quality, op9_topk, op10_chat, op12_clustering, op13_packing)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -27,4 +28,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_topk": topk.ORACLE, "op10_chat": chat.ORACLE}
+    return {"op9_topk": topk.ORACLE, "op10_chat": chat.ORACLE, "op12_clustering": clustering.ORACLE}
