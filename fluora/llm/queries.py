@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from fluora.llm import chat, clustering, topk
+from fluora.llm.alignment import op11_alignment
 from fluora.llm.chat import op10_chat
 from fluora.llm.clustering import op12_clustering
 from fluora.llm.line_dedup import op7_line_dedup
@@ -20,7 +21,7 @@ from fluora.llm.sharding import op5_sharding
 from fluora.llm.topk import op9_topk
 from fluora.llm.warc import op6_warc
 
-OPERATORS = (op1_mixing, op2_ngram_join, op3_lm_scoring, op4_sentencepiece, op5_sharding, op6_warc, op7_line_dedup, op8_quality, op9_topk, op10_chat, op12_clustering, op13_packing)
+OPERATORS = (op1_mixing, op2_ngram_join, op3_lm_scoring, op4_sentencepiece, op5_sharding, op6_warc, op7_line_dedup, op8_quality, op9_topk, op10_chat, op11_alignment, op12_clustering, op13_packing)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
