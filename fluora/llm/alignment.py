@@ -4,10 +4,10 @@ A text with a space before it is split before runs of white space, at places ove
 entry of either has such a white-space character after another character, and the first tokenizer's pattern always ends a
 unit there. So segments are tokenized and aligned by themselves, each distinct one once, and a document is their chain.
 
-1. Documents are put into lots of bounded bytes and written. 2. Each lot gives its distinct segments with counts, which
-Spark sums over the corpus. 3. Each distinct segment is tokenized both ways and aligned. 4. Links are counted by id pair
-over the corpus, and the counts go back to the segments. 5. Segments are joined to the lots that hold them, and a lot
-composes its documents.
+1. One pass puts documents into lots of bounded bytes and writes them as numbers of a lot's segments, with the segments and
+their counts. 2. Spark sums the counts of each distinct segment over the corpus. 3. Each is tokenized both ways and aligned
+once. 4. Links are counted by id pair over the corpus, and the counts go back to the segments. 5. Segments are joined to
+the lots that hold them, and a lot composes its documents.
 
 A pair's count and a pair's documents are found by aggregates with partial sums and by joins whose large partitions Spark
 can split; a lot's size bounds what a task holds, besides one text.
@@ -22,9 +22,10 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import count
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -34,7 +35,7 @@ from fluora.llm.common import cut
 
 MARK = "▁"
 #: Bytes of text after which a lot is full.
-LOT_BYTES = 16 << 20
+LOT_BYTES = 64 << 20
 #: Rows of a batch that goes to a task.
 BATCH = 1024
 #: The one character in a byte for each that the byte-level vocabulary doesn't spell as itself are numbered from 256.
@@ -122,6 +123,102 @@ class Pair:
 _pairs: dict[tuple[str, str], Pair] = {}
 
 
+def pair(paths: tuple[str, str] | None = None) -> Pair:
+    """One for each two files and worker process."""
+    if paths is None:
+        import public_tokenizers
+
+        paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    if paths not in _pairs:
+        _pairs[paths] = Pair(*paths)
+    return _pairs[paths]
+
+
+def coded(docs: DataFrame, paths: tuple[str, str] | None = None, lot_bytes: int = LOT_BYTES) -> DataFrame:
+    """(lot, doc_id, n, codes, segments, counts), written: a row for each document, and one for each lot's segments.
+
+    codes are a document's n segments by their place in its lot's segments, as packed 32-bit integers. Documents of a task
+    go to a lot in turn, until it is full.
+    """
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(parts: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        two, lot = pair(paths), TaskContext.get().partitionId() << 32
+        names, kinds = ["lot", "doc_id", "n", "codes", "segments", "counts"], [pa.int64(), None, pa.int32(), pa.binary(), pa.list_(pa.string()), pa.list_(pa.int64())]
+        number, counts, size, doc_type = defaultdict(count().__next__), np.zeros(0, np.int64), 0, None
+
+        def batch(*columns) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, k or doc_type) for c, k in zip(columns, kinds, strict=True)], names)
+
+        def told() -> pa.RecordBatch:
+            return batch([lot], [None], [None], [None], [list(number)], [counts[: len(number)].tolist()])
+
+        for some in parts:
+            doc_type, n, codes, at, new = some.column(0).type, [], [], [], []
+            for text in map(pa.StringScalar.as_py, some.column(1)):
+                own = np.fromiter(map(number.__getitem__, two.segments(text)), np.int32)
+                if len(number) > len(counts):
+                    counts = np.concatenate([counts, np.zeros(len(number), np.int64)])
+                np.add.at(counts, own, 1)
+                at.append(lot)
+                n.append(len(own))
+                codes.append(pa.compress(own.tobytes(), "zstd", asbytes=True))
+                size += len((text or "").encode())
+                if size >= lot_bytes:
+                    new.append(told())
+                    lot, size = lot + 1, 0
+                    number, counts = defaultdict(count().__next__), np.zeros(0, np.int64)
+            yield batch(at, some.column(0), n, codes, [None] * len(n), [None] * len(n))
+            yield from new
+        if size or number:
+            yield told()
+
+    schema = f"lot long, doc_id {kind}, n int, codes binary, segments array<string>, counts array<long>"
+    return cut(docs.select("doc_id", "text").mapInArrow(run, schema), compression="zstd")
+
+
+def aligned(self, segments: list[str]) -> Iterator[tuple[list[int], list[int], list[tuple[list[int], list[int]]], list[tuple[int, int]]]]:
+        """For each segment the ids of both tokenizers, the groups between common ends, and the linked ids."""
+        # the second tokenizer puts a space before; a segment that begins with another character gets it taken off again
+        of_b = self.b.encode([s[1:] if s[0] == " " else s for s in segments], num_threads=1)
+        for s, a, b in zip(segments, self.a.encode_batch(segments, add_special_tokens=False), of_b, strict=True):
+            a = a.ids
+            if s == " ":
+                b = [self.space]  # the library puts no space before nothing
+            elif s[0] != " ":
+                if b[0] != self.space:
+                    raise ValueError(f"the second tokenizer merges a space with {s[0]!r}")
+                b = b[1:]
+            if b"".join(map(self.bytes_a.__getitem__, a)) != s.encode() or b"".join(map(self.bytes_b.__getitem__, b)) != s.encode():
+                raise ValueError(f"tokens don't spell {s!r}")
+            groups, links, i, j, end_a, end_b = [], [], 0, 0, len(self.bytes_a[a[0]]), len(self.bytes_b[b[0]])
+            from_i = from_j = 0
+            while True:
+                links.append((a[i], b[j]))
+                step_a, step_b = end_a <= end_b, end_b <= end_a
+                if step_a:
+                    i += 1
+                if step_b:
+                    j += 1
+                if step_a and step_b:
+                    groups.append((a[from_i:i], b[from_j:j]))
+                    from_i, from_j = i, j
+                    if i == len(a):
+                        break
+                if step_a:
+                    end_a += len(self.bytes_a[a[i]])
+                if step_b:
+                    end_b += len(self.bytes_b[b[j]])
+            yield a, b, groups, links
+
+
+_pairs: dict[tuple[str, str], Pair] = {}
+
+
 def pair(paths: tuple[str, str] | None = None) -> Pair:
     """One for each two files and worker process."""
     if paths is None:
@@ -175,20 +272,18 @@ def counted(rows: DataFrame, paths: tuple[str, str] | None = None) -> DataFrame:
 
 
 def aligned(segments: DataFrame, paths: tuple[str, str] | None = None) -> DataFrame:
-    """(segment, n, a, b, groups, links) of (segment, n): ids, groups as text, and linked ids as arrays of (a, b)."""
+    """(segment, n, groups, links) of (segment, n): groups as text ``a1,a2|b1;a3|b2,b3``, and linked ids as a << 32 | b."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         two = pair(paths)
         for part in parts:
-            a, b, groups, links = [], [], [], []
-            for ids_a, ids_b, cuts, met in two.aligned(part.segment.tolist()):
-                a.append(ids_a)
-                b.append(ids_b)
-                groups.append(";".join(f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in cuts))
+            groups, links = [], []
+            for _, _, cuts, met in two.aligned(part.segment.tolist()):
+                groups.append(";".join([f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in cuts]))
                 links.append([x << 32 | y for x, y in met])
-            yield pd.DataFrame({"segment": part.segment, "n": part.n, "a": a, "b": b, "groups": groups, "links": links})
+            yield pd.DataFrame({"segment": part.segment, "n": part.n, "groups": groups, "links": links})
 
-    return segments.mapInPandas(run, "segment string, n long, a array<int>, b array<int>, groups string, links array<long>")
+    return segments.mapInPandas(run, "segment string, n long, groups string, links array<long>")
 
 
 def pair_counts(segments: DataFrame) -> DataFrame:
@@ -201,49 +296,55 @@ def pair_counts(segments: DataFrame) -> DataFrame:
 
 @dataclass
 class Aligned:
-    """What an alignment gives: lots (lot, doc_id, text), which segments they hold, and the segments with their alignment and counts."""
+    """What an alignment gives: coded documents, the segments of their lots (lot, number, segment, n), and the alignment and counts of segments."""
 
-    lots: DataFrame
+    documents: DataFrame
     held: DataFrame
     segments: DataFrame
 
 
 def align(docs: DataFrame, paths: tuple[str, str] | None = None, lot_bytes: int = LOT_BYTES) -> Aligned:
-    """Aligns both tokenizers over all documents; segments are (segment, n_a, n_b, n_groups, n_links, n_best, count_sum, groups)."""
-    rows = lots(docs, lot_bytes)
-    held = cut(counted(rows, paths))
-    told = cut(aligned(held.groupBy("segment").agg(F.sum("n").alias("n")), paths).withColumn("sid", F.monotonically_increasing_id()))
+    """Aligns both tokenizers over all documents; segments are (segment, groups, n_best, count_sum)."""
+    rows = coded(docs, paths, lot_bytes)
+    held = rows.where("segments is not null").select("lot", F.posexplode(F.arrays_zip("segments", "counts")).alias("number", "s")).select("lot", "number", F.col("s.segments").alias("segment"), F.col("s.counts").alias("n"))
+    told = aligned(held.groupBy("segment").agg(F.sum("n").alias("n")), paths).withColumn("sid", F.monotonically_increasing_id())
+    told = cut(told, compression="zstd")
     links = told.select("sid", F.explode("links").alias("link")).join(pair_counts(told), "link")
     sums = links.groupBy("sid").agg(F.count_if("best").alias("n_best"), F.sum("count").alias("count_sum"))
-    n_groups = F.length("groups") - F.length(F.replace("groups", F.lit(";"), F.lit(""))) + 1
-    sizes = told.select("sid", "segment", F.size("a").alias("n_a"), F.size("b").alias("n_b"), n_groups.alias("n_groups"), F.size("links").alias("n_links"), "groups")
-    return Aligned(rows, held, sizes.join(sums, "sid").drop("sid"))
+    return Aligned(rows.where("segments is null").drop("segments", "counts"), held, told.select("sid", "segment", "groups").join(sums, "sid").drop("sid"))
 
 
 SUMS = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
 
 
-def composed(found: Aligned, paths: tuple[str, str] | None = None) -> DataFrame:
+def composed(found: Aligned) -> DataFrame:
     """(doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256) of every document."""
-    kind = found.lots.schema["doc_id"].dataType.simpleString()
+    kind = found.documents.schema["doc_id"].dataType.simpleString()
 
     def run(docs, segments):
         import numpy as np
         import pyarrow as pa
 
-        two, number = pair(paths), {s: i for i, s in enumerate(segments.column("segment").to_pylist())}
-        groups = segments.column("groups").to_pylist()
-        sums = np.stack([segments.column(c).to_numpy().astype(np.int64) for c in SUMS], 1) if number else np.zeros((0, len(SUMS)), np.int64)
+        number, text = segments.column("number").to_numpy(), segments.column("groups").to_pylist()
+        groups, sums = [""] * len(text), np.zeros((len(text), len(SUMS)), np.int64)
+        for i, s in zip(number.tolist(), text, strict=True):
+            groups[i] = s
+        n_groups = np.array([s.count("|") for s in text], np.int64)
+        n_a = np.array([sum(g.count(",", 0, g.index("|")) + 1 for g in s.split(";")) for s in text], np.int64)
+        n_b = np.array([s.count(",") + 2 * s.count("|") for s in text], np.int64) - n_a
+        # within a group each further token of either kind makes one more link
+        for k, values in enumerate((n_a, n_b, n_groups, n_a + n_b - n_groups, segments.column("n_best").to_numpy(), segments.column("count_sum").to_numpy())):
+            sums[number, k] = values
         out, digests = np.zeros((docs.num_rows, len(SUMS)), np.int64), []
-        for i, text in enumerate(docs.column("text")):
-            at = [number[s] for s in two.segments(text.as_py())]
+        for i, (n, codes) in enumerate(zip(docs.column("n").to_pylist(), docs.column("codes").to_pylist(), strict=True)):
+            at = np.frombuffer(pa.decompress(codes, 4 * n, "zstd", asbytes=True), np.int32)
             out[i] = sums[at].sum(0)
-            digests.append(hashlib.sha256(";".join([groups[k] for k in at]).encode()).hexdigest() if at else "")
+            digests.append(hashlib.sha256(";".join([groups[k] for k in at.tolist()]).encode()).hexdigest() if n else "")
         return pa.table([docs.column("doc_id"), *(pa.array(c) for c in out.T), pa.array(digests, pa.string())], ["doc_id", *SUMS, "groups_sha256"])
 
-    told = found.held.select("lot", "segment").join(found.segments, "segment")
+    told = found.held.select(F.col("lot").alias("of"), "number", "segment").join(found.segments, "segment").drop("segment")
     schema = f"doc_id {kind}, {', '.join(f'{c} long' for c in SUMS)}, groups_sha256 string"
-    return found.lots.groupBy("lot").cogroup(told.groupBy("lot")).applyInArrow(run, schema)
+    return found.documents.groupBy("lot").cogroup(told.groupBy("of")).applyInArrow(run, schema)
 
 
 def op11_alignment(spark, sf_dir: str) -> DataFrame:
