@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fluora.operators.tiles import labelled
+
 #: Frames whose moves are summed in one task.
 STEPS = 1 << 14
 
@@ -146,56 +148,10 @@ def reading_order(points: DataFrame) -> DataFrame:
     return points.withColumn("ord", F.row_number().over(Window.orderBy("y", "x", "roi_id")))
 
 
-def _labels(at: np.ndarray, width: int) -> np.ndarray:
-    """For sorted pixels the least pixel of their 8-connected blob."""
-    x, label = at % width, at.copy()
-    while True:
-        new = label.copy()
-        for dy in (-1, 0, 1):
-            for dx in (-1, 0, 1):
-                to = np.searchsorted(at, at + dy * width + dx)
-                ok = (to < len(at)) & (x + dx >= 0) & (x + dx < width)
-                ok[ok] &= at[to[ok]] == (at + dy * width + dx)[ok]
-                new[ok] = np.minimum(new[ok], label[to[ok]])
-        new = np.minimum(new, new[np.searchsorted(at, new)])
-        if (new == label).all():
-            return label
-        label = new
-
-
 def blobs(masks: DataFrame, width: int) -> DataFrame:
-    """(image, blob, area, x, y) of 8-connected pixels (image, pixel): blob is the least pixel of each.
-
-    One image is one group.
-    """
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        at = np.sort(rows.pixel.unique())
-        y, x = np.divmod(at, width)
-        label = _labels(at, width)
-        out = pd.DataFrame({"blob": label, "x": x, "y": y}).groupby("blob").agg(area=("x", "size"), x=("x", "mean"), y=("y", "mean")).reset_index()
-        return out.assign(image=rows.image.iloc[0])[["image", "blob", "area", "x", "y"]]
-
-    return masks.groupBy("image").applyInPandas(run, f"image {masks.schema['image'].dataType.simpleString()}, blob long, area long, x double, y double")
-
-
-def feature_stack(image: np.ndarray) -> np.ndarray:
-    """(h, w, 11): the image; at scales 1, 2 and 4 its blur, gradient and Laplacian; the difference of two blurs."""
-
-    def blur(a: np.ndarray, sigma: float) -> np.ndarray:
-        r = int(3 * sigma + 0.5)
-        k = np.exp(-0.5 * (np.arange(-r, r + 1) / sigma) ** 2)
-        for axis in (0, 1):
-            wide = np.pad(a, [(r, r) if i == axis else (0, 0) for i in (0, 1)], mode="symmetric")
-            a = np.apply_along_axis(lambda v: np.convolve(v, k / k.sum(), "valid"), axis, wide)
-        return a
-
-    soft = {s: blur(image, s) for s in (1, 2, 4)}
-    out = [image]
-    for a in soft.values():
-        gy, gx = np.gradient(a)
-        out += [a, np.hypot(gx, gy), np.gradient(gy, axis=0) + np.gradient(gx, axis=1)]
-    return np.stack([*out, soft[1] - soft[2]], -1).astype(np.float32)
+    """(image, blob, area, x, y) of 8-connected pixels (image, pixel): blob is the least pixel of each."""
+    x, y = F.col("pixel") % width, F.expr(f"pixel div {width}")
+    return labelled(masks, width).groupBy("image", "blob").agg(F.count("*").alias("area"), F.avg(x).alias("x"), F.avg(y).alias("y"))
 
 
 def shift_between(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
@@ -251,15 +207,6 @@ def moved(frames: DataFrame, moves: DataFrame, height: int, width: int) -> DataF
     return frames.join(moves, "frame").select("frame", "px", "dy", "dx").mapInPandas(run, "frame long, px array<double>")
 
 
-def soma_forest(samples: DataFrame, features: list[str], seed: int = 0):
-    """A forest of 40 trees of depth 10 for samples (label, *features): results agree with others in distribution only."""
-    from pyspark.ml.classification import RandomForestClassifier
-    from pyspark.ml.feature import VectorAssembler
-
-    rows = VectorAssembler(inputCols=features, outputCol="features").transform(samples)
-    return RandomForestClassifier(numTrees=40, maxDepth=10, minInstancesPerNode=4, featureSubsetStrategy="sqrt", seed=seed).fit(rows)
-
-
 def oval_pixels(rois: DataFrame, height: int, width: int) -> DataFrame:
     """(roi_id, pixel) inside the ellipses of rois (roi_id, left, top, width, height), as polygons of 360 corners."""
     turn = F.transform(F.sequence(F.lit(0), F.lit(359)), lambda i: i * float(np.pi / 180))
@@ -310,38 +257,12 @@ def floater_masks(frames: DataFrame, width: int, height: int, k: float = 3.0, le
     return dilated(fit.join(kept, ["image", "blob"]).select("image", "pixel"), width, height)
 
 
-def labelled(masks: DataFrame, width: int) -> DataFrame:
-    """(image, pixel, blob) of 8-connected pixels; one image is one group."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        at = np.sort(rows.pixel.unique())
-        return pd.DataFrame({"image": rows.image.iloc[0], "pixel": at, "blob": _labels(at, width)})
-
-    return masks.groupBy("image").applyInPandas(run, f"image {masks.schema['image'].dataType.simpleString()}, pixel long, blob long")
-
-
 def background_filled(frames: DataFrame, masks: DataFrame, window: int = 0) -> DataFrame:
     """(frame, pixel, v): masked pixels (image, pixel) take the temporal median, the others stay."""
     hit = masks.select(F.col("image").alias("frame"), "pixel", F.lit(True).alias("hit"))
     return with_background(frames, window).join(hit, ["frame", "pixel"], "left").select("frame", "pixel", F.when(F.col("hit"), F.col("median")).otherwise(F.col("v")).alias("v"))
 
 
-def somas(image: DataFrame, width: int, height: int, threshold: float = 0.5, least: float = 5, most: float = 40, round_: float = 0.5) -> DataFrame:
-    """(blob, area, x, y) of cell bodies in a probability image (image, pixel, v).
-
-    Pixels at the threshold or above are opened and joined to blobs; of these the ones stay whose equivalent diameter
-    and circularity (4 pi area over the squared number of outer pixel sides) fit.
-    """
-    masks = opened(image.where(F.col("v") >= threshold).select("image", F.col("pixel").cast("long").alias("pixel")), width, height)
-    blobs_ = labelled(masks, width)
-    near = neighbours_in(masks, width, height).join(masks.select("image", F.col("pixel").alias("near"), F.lit(1).alias("in")), ["image", "near"], "left")
-    sides = near.groupBy("image", "pixel").agg((5 - F.count("in")).alias("sides"))
-    rows = blobs_.join(sides, ["image", "pixel"]).groupBy("image", "blob").agg(F.count("*").alias("area"), F.sum("sides").alias("sides"), F.avg(F.col("pixel") % width).alias("x"), F.avg(F.expr(f"pixel div {width}")).alias("y"))
-    size = 2 * F.sqrt(F.col("area") / float(np.pi))
-    circle = 4 * float(np.pi) * F.col("area") / (F.col("sides") * F.col("sides")) * (16 / float(np.pi) ** 2)
-    return rows.where(size.between(least, most) & (circle >= round_)).select("image", "blob", "area", "x", "y")
-
-
 def warped(image: np.ndarray, matrix: np.ndarray) -> np.ndarray:
     """An image seen through a 2 by 3 affine map of target to source places: bilinear, zero outside."""
     h, w = image.shape

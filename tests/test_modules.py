@@ -56,16 +56,13 @@ def test_morphology_and_floaters(spark):
     assert max(r.v for r in out["pixels"].collect() if (r.frame, r.pixel) in hit) < 0.1
 
 
-def test_warp_ovals_somas(spark):
+def test_warp_ovals_steps(spark):
     image = np.arange(16.0).reshape(4, 4)
     assert (imaging.warped(image, np.array([[1, 0, 1], [0, 1, 0]]))[:, :3] == image[:, 1:]).all()
     rois = spark.createDataFrame([(1, 2.0, 2.0, 6.0, 6.0, "oval")], "roi_id int, left double, top double, width double, height double, kind string")
     inside = {r.pixel for r in imaging.oval_pixels(rois, 12, 12).collect()}
     want = {y * 12 + x for y in range(12) for x in range(12) if (x - 5) ** 2 + (y - 5) ** 2 < 8.9}
     assert want <= inside and len(inside - want) <= 4
-    disk = [(0, y * 20 + x, 0.9) for y in range(20) for x in range(20) if (x - 9) ** 2 + (y - 9) ** 2 <= 25]
-    got = imaging.somas(spark.createDataFrame(disk, "image int, pixel int, v double"), 20, 20).collect()
-    assert len(got) == 1 and abs(got[0].x - 9) < 0.5
     steps = spark.createDataFrame([(0, 0, 0), (1, 1, 2), (2, -3, 1)], "frame long, dy int, dx int")
     assert [(r.dy, r.dx) for r in imaging.summed_steps(steps).orderBy("frame").collect()] == [(0, 0), (1, 2), (-2, 3)]
 

@@ -147,5 +147,4 @@ def test_imaging(spark):
     assert (m["max"], m["mean"], m["int"]) == (4, 2.5, 10) and m["std"] == pytest.approx(1.118, abs=1e-3)
     a = np.random.default_rng(0).random((16, 16))
     assert imaging.shift_between(a, np.roll(a, (-3, 2), (0, 1))) == (3, -2)
-    assert imaging.feature_stack(a).shape == (16, 16, 11)
     assert median([1, 2, 3]) == 2
