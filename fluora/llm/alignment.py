@@ -31,11 +31,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fluora.llm.common import cut
+from fluora.llm.common import cut, small
 
 MARK = "▁"
 #: Bytes of text after which a lot is full.
 LOT_BYTES = 64 << 20
+#: Id pairs (17 bytes each) that are broadcast at most; beyond that they are joined by a shuffle.
+PAIRS = 3_000_000
 #: Rows of a batch that goes to a task.
 BATCH = 1024
 #: The one character in a byte for each that the byte-level vocabulary doesn't spell as itself are numbered from 256.
@@ -178,7 +180,9 @@ def coded(docs: DataFrame, paths: tuple[str, str] | None = None, lot_bytes: int
             yield told()
 
     schema = f"lot long, doc_id {kind}, n int, codes binary, segments array<string>, counts array<long>"
-    return cut(docs.select("doc_id", "text").mapInArrow(run, schema), compression="zstd")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    tasks = max(docs.sparkSession.sparkContext.defaultParallelism, -(-size // lot_bytes))  # few lots that aren't full
+    return cut(docs.coalesce(tasks).select("doc_id", "text").mapInArrow(run, schema), compression="zstd")
 
 
 def aligned(self, segments: list[str]) -> Iterator[tuple[list[int], list[int], list[tuple[list[int], list[int]]], list[tuple[int, int]]]]:
@@ -309,7 +313,8 @@ def align(docs: DataFrame, paths: tuple[str, str] | None = None, lot_bytes: int
     held = rows.where("segments is not null").select("lot", F.posexplode(F.arrays_zip("segments", "counts")).alias("number", "s")).select("lot", "number", F.col("s.segments").alias("segment"), F.col("s.counts").alias("n"))
     told = aligned(held.groupBy("segment").agg(F.sum("n").alias("n")), paths).withColumn("sid", F.monotonically_increasing_id())
     told = cut(told, compression="zstd")
-    links = told.select("sid", F.explode("links").alias("link")).join(pair_counts(told), "link")
+    pairs = small(cut(pair_counts(told), compression="zstd"), PAIRS)
+    links = told.select("sid", F.explode("links").alias("link")).join(pairs, "link")
     sums = links.groupBy("sid").agg(F.count_if("best").alias("n_best"), F.sum("count").alias("count_sum"))
     return Aligned(rows.where("segments is null").drop("segments", "counts"), held, told.select("sid", "segment", "groups").join(sums, "sid").drop("sid"))
 

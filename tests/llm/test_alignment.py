@@ -65,13 +65,14 @@ def test_segments_encode_by_themselves():
         assert groups is None or [g for d in done for g in d[2]] == groups
 
 
-def test_align(spark):
+def test_align(spark, monkeypatch):
     rnd = random.Random(6)
     texts = [None, *ODD, *(" ".join(rnd.choice(["the", "of", "Ähre,", "12%", "on\nthe"]) for _ in range(rnd.randint(0, 40))) for _ in range(60))]
     rows = [(i, t) for i, t in enumerate(texts)] + [(3, "same the text")] * 40 + [(None, "no id"), (2**60 + 1, "large id")]
     docs = spark.createDataFrame([(i, t, "clash", 1) for i, t in rows], "doc_id long, text string, SEGMENT string, lot int").repartition(3)
     want = brute(alignment.pair(), rows)
-    for lot_bytes in (1, 300, alignment.LOT_BYTES):
+    for lot_bytes, most in ((1, 0), (300, 10**6), (alignment.LOT_BYTES, 0)):
+        monkeypatch.setattr(alignment, "PAIRS", most)
         found = alignment.align(docs, lot_bytes=lot_bytes)
         assert rows_of(alignment.composed(found)) == want
     assert sum(r.n for r in found.held.collect()) == sum(len(alignment.pair().segments(t)) for _, t in rows)
