@@ -87,20 +87,25 @@ def with_background(frames: DataFrame, window: int = 0) -> DataFrame:
     return rows.where(F.floor((F.col("frame") - first["a"]) / block) == F.col("block")).select("frame", "pixel", "v", "median")
 
 
-def _differences(frames: DataFrame, k: float, window: int = 0) -> DataFrame:
-    diff = with_background(frames, window).select("frame", "pixel", F.abs(F.col("v") - F.col("median")).alias("d"))
+def _differences(background: DataFrame, k: float) -> DataFrame:
+    diff = background.select("frame", "pixel", F.abs(F.col("v") - F.col("median")).alias("d"))
     limit = diff.groupBy("frame").agg((F.avg("d") + k * F.greatest(F.stddev_pop("d"), F.lit(1e-6))).alias("limit"))
     return diff.join(limit, "frame")
 
 
 def outlier_pixels(frames: DataFrame, k: float = 3.0, window: int = 0) -> DataFrame:
     """(frame, n): pixels that differ from the temporal median by more than mean + k population deviations of a frame."""
-    return _differences(frames, k, window).groupBy("frame").agg(F.count_if(F.col("d") > F.col("limit")).alias("n"))
+    return _differences(with_background(frames, window), k).groupBy("frame").agg(F.count_if(F.col("d") > F.col("limit")).alias("n"))
 
 
 def outliers(frames: DataFrame, k: float = 3.0, window: int = 0) -> DataFrame:
     """(image, pixel) of these pixels."""
-    return _differences(frames, k, window).where("d > limit").select(F.col("frame").alias("image"), F.col("pixel").cast("long").alias("pixel"))
+    return outliers_of(with_background(frames, window), k)
+
+
+def outliers_of(background: DataFrame, k: float = 3.0) -> DataFrame:
+    """The same of pixels with their background, as ``with_background`` gives them."""
+    return _differences(background, k).where("d > limit").select(F.col("frame").alias("image"), F.col("pixel").cast("long").alias("pixel"))
 
 
 def rect_pixels(rois: DataFrame, height: int, width: int) -> DataFrame:
@@ -154,59 +159,6 @@ def blobs(masks: DataFrame, width: int) -> DataFrame:
     return labelled(masks, width).groupBy("image", "blob").agg(F.count("*").alias("area"), F.avg(x).alias("x"), F.avg(y).alias("y"))
 
 
-def shift_between(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
-    """(dy, dx) that moves b onto a, by phase correlation."""
-    cross = np.fft.fft2(a) * np.conj(np.fft.fft2(b))
-    peak = np.unravel_index(np.argmax(np.fft.ifft2(cross / np.maximum(np.abs(cross), 1e-12)).real), a.shape)
-    return tuple(int(p - n if p > n // 2 else p) for p, n in zip(peak, a.shape, strict=True))
-
-
-def _moves(rows: DataFrame, height: int, width: int) -> DataFrame:
-    """(frame, dy, dx) of rows (frame, px, ref), where null references give no move."""
-
-    def run(parts):
-        for part in parts:
-            image = lambda p: np.array(p, float).reshape(height, width)
-            moves = [(0, 0) if r is None else shift_between(image(r), image(p)) for p, r in zip(part.px, part.ref, strict=True)]
-            yield pd.DataFrame({"frame": part.frame, "dy": [m[0] for m in moves], "dx": [m[1] for m in moves]})
-
-    return rows.select("frame", "px", "ref").mapInPandas(run, "frame long, dy int, dx int")
-
-
-def registered(frames: DataFrame, height: int, width: int, reference: str = "mean") -> DataFrame:
-    """(frame, dy, dx) of frames (frame, px) against a reference; the first frame isn't moved.
-
-    The reference is the mean frame, the first one, or the previous one, whose moves are summed up to the first frame. A
-    frame meets the previous one by an equal-key join of (number, frame), as windows over whole frames would sort them in one task.
-    """
-    if reference not in ("mean", "first", "previous"):
-        raise ValueError(f"no such reference: {reference}")
-    start = frames.agg(F.min("frame")).first()[0]
-    if start is None:
-        return frames.select(F.col("frame").cast("long").alias("frame"), F.lit(0).alias("dy"), F.lit(0).alias("dx"))
-    if reference == "previous":
-        before = frames.select((F.col("frame") + 1).alias("frame"), F.col("px").alias("ref"))
-        return summed_steps(_moves(frames.join(before, "frame", "left"), height, width))
-    if reference == "first":
-        image = frames.where(F.col("frame") == start).select(F.col("px").alias("ref"))
-    else:
-        means = pixels(frames).groupBy("pixel").agg(F.avg("v").alias("m"))
-        image = means.agg(F.sort_array(F.collect_list(F.struct("pixel", "m"))).alias("s")).select(F.col("s.m").alias("ref"))
-    rows = frames.join(F.broadcast(image))  # one image
-    return _moves(rows.withColumn("ref", F.when(F.col("frame") > start, F.col("ref"))), height, width)
-
-
-def moved(frames: DataFrame, moves: DataFrame, height: int, width: int) -> DataFrame:
-    """(frame, px): frames (frame, px) moved by (frame, dy, dx), bilinear, zero outside."""
-
-    def run(parts):
-        for part in parts:
-            px = [warped(np.array(p, float).reshape(height, width), np.array([[1, 0, -x], [0, 1, -y]])).ravel().tolist() for p, y, x in zip(part.px, part.dy, part.dx, strict=True)]
-            yield pd.DataFrame({"frame": part.frame, "px": px})
-
-    return frames.join(moves, "frame").select("frame", "px", "dy", "dx").mapInPandas(run, "frame long, px array<double>")
-
-
 def oval_pixels(rois: DataFrame, height: int, width: int) -> DataFrame:
     """(roi_id, pixel) inside the ellipses of rois (roi_id, left, top, width, height), as polygons of 360 corners."""
     turn = F.transform(F.sequence(F.lit(0), F.lit(359)), lambda i: i * float(np.pi / 180))
@@ -248,19 +200,19 @@ def opened(masks: DataFrame, width: int, height: int) -> DataFrame:
     return dilated(eroded(masks, width, height), width, height)
 
 
-def floater_masks(frames: DataFrame, width: int, height: int, k: float = 3.0, least: int = 2, most: int = 200, window: int = 0) -> DataFrame:
-    """(image, pixel) of moving particles: outliers against the temporal median, opened, of fitting size, grown by one."""
-    masks = opened(outliers(frames, k, window), width, height)
+def floater_masks(background: DataFrame, width: int, height: int, k: float = 3.0, least: int = 2, most: int = 200) -> DataFrame:
+    """(image, pixel) of moving particles in pixels with their background: outliers, opened, of fitting size, grown by one."""
+    masks = opened(outliers_of(background, k), width, height)
     fit = labelled(masks, width)
     sizes = fit.groupBy("image", "blob").agg(F.count("*").alias("area"))
     kept = sizes.where((F.col("area") >= least) & ((F.lit(most) == 0) | (F.col("area") <= most)))
     return dilated(fit.join(kept, ["image", "blob"]).select("image", "pixel"), width, height)
 
 
-def background_filled(frames: DataFrame, masks: DataFrame, window: int = 0) -> DataFrame:
-    """(frame, pixel, v): masked pixels (image, pixel) take the temporal median, the others stay."""
+def background_filled(background: DataFrame, masks: DataFrame) -> DataFrame:
+    """(frame, pixel, v): of pixels with their background, masked ones (image, pixel) take it, the others stay."""
     hit = masks.select(F.col("image").alias("frame"), "pixel", F.lit(True).alias("hit"))
-    return with_background(frames, window).join(hit, ["frame", "pixel"], "left").select("frame", "pixel", F.when(F.col("hit"), F.col("median")).otherwise(F.col("v")).alias("v"))
+    return background.join(hit, ["frame", "pixel"], "left").select("frame", "pixel", F.when(F.col("hit"), F.col("median")).otherwise(F.col("v")).alias("v"))
 
 
 def warped(image: np.ndarray, matrix: np.ndarray) -> np.ndarray:

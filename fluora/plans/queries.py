@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fluora.functions import columns
-from fluora.operators import association, filters, graph, imaging, previews, spikes, traces
+from fluora.operators import association, filters, graph, imaging, inpainting, previews, registration, segmentation, spikes, tiles, traces
 from fluora.sources import sinks, tables
 
 BINS = 8
@@ -449,7 +449,8 @@ l AS (SELECT frame, avg(d) + 2.0 * greatest(stddev_pop(d), 1e-6) AS l FROM d GRO
 SELECT frame, pixel::INT AS pixel, round(CASE WHEN d > l THEN m ELSE v END, 6) AS v FROM d JOIN l USING (frame)""")
 def background_filled(spark, sf_dir):
     frames = tables.vector_frames(spark, sf_dir)
-    return imaging.background_filled(frames, imaging.outliers(frames, 2.0)).select("frame", "pixel", r("v"))
+    background = imaging.with_background(frames)
+    return imaging.background_filled(background, imaging.outliers_of(background, 2.0)).select("frame", "pixel", r("v"))
 
 
 @query(f"""WITH {PX}, a AS (SELECT frame AS image, pixel FROM px WHERE v >= 0.1), s AS (SELECT * FROM (VALUES (0, 0), (1, 0), (-1, 0), (0, 1), (0, -1)) AS s(dx, dy)),
@@ -508,3 +509,76 @@ def complete_frames(spark, sf_dir):
     """Frames in which no trace lacks a sample; samples below 1 count as missing."""
     rows = tables.event_traces(spark, sf_dir)
     return traces.complete_frames(rows.withColumn("y", F.when(F.col("y") >= 1, F.col("y")))).select("trace", "frame", "y")
+
+
+FULL = "a AS (SELECT frame AS image, pixel, pixel % 8 AS x, pixel // 8 AS y, v, v >= 0.05 AS on FROM px)"
+FAR = "d AS (SELECT a.image, a.pixel, a.x, a.y, min((a.x - b.x) ** 2 + (a.y - b.y) ** 2)::BIGINT AS d2 FROM a LEFT JOIN a b ON b.image = a.image AND NOT b.on WHERE a.on GROUP BY 1, 2, 3, 4)"
+
+
+def _bright(spark, sf_dir) -> DataFrame:
+    return imaging.pixels(tables.vector_frames(spark, sf_dir)).select(F.col("frame").alias("image"), F.col("pixel").cast("long").alias("pixel"), "v")
+
+
+@query(f"WITH {PX}, {FULL}, {FAR} SELECT image, pixel::BIGINT AS pixel, d2 FROM d")
+def mask_distances(spark, sf_dir):
+    """Squared distances of bright pixels to the nearest dark one of their frame."""
+    return segmentation.distances(_bright(spark, sf_dir).where("v >= 0.05"), 8, 8)
+
+
+@query(f"""WITH {PX}, {FULL}, {FAR} SELECT p.image, p.pixel::BIGINT AS pixel FROM d p WHERE NOT EXISTS
+(SELECT 1 FROM d q WHERE q.image = p.image AND abs(p.x - q.x) <= 2 AND abs(p.y - q.y) <= 2 AND coalesce(q.d2, 1000) > coalesce(p.d2, 1000))""")
+def distance_peaks(spark, sf_dir):
+    """Bright pixels as far from the dark as any within two pixels."""
+    return segmentation.peaks(mask_distances(spark, sf_dir), 8, 8, 2)
+
+
+WIDE = "w AS (SELECT (frame - (SELECT min(frame) FROM px)) * 64 + pixel AS pixel, pixel AS x, frame - (SELECT min(frame) FROM px) AS y FROM px WHERE v >= 0.16)"
+
+
+@query(f"""WITH RECURSIVE {PX}, {WIDE}, n AS (SELECT a.pixel AS p, b.pixel AS q FROM w a JOIN w b ON b.y BETWEEN a.y - 1 AND a.y + 1 AND abs(a.x - b.x) <= 1),
+r AS (SELECT p, q FROM n UNION SELECT r.p, n.q FROM r JOIN n ON n.p = r.q)
+SELECT min(q)::BIGINT AS blob, p::BIGINT AS pixel FROM r GROUP BY p""")
+def tiled_blobs(spark, sf_dir):
+    """Bright parts of one large image, whose rows are the vectors, over its tiles of 16 pixels a side."""
+    rows = tables.vector_frames(spark, sf_dir)
+    first = rows.agg(F.min("frame").alias("first"))  # one row
+    rows = imaging.pixels(rows).where("v >= 0.16").join(F.broadcast(first))
+    masks = rows.select(F.lit(0).alias("image"), ((F.col("frame") - F.col("first")) * 64 + F.col("pixel")).alias("pixel"))
+    return tiles.labelled(masks, 64, 16).select("blob", "pixel")
+
+
+@query("""WITH RECURSIVE s AS (SELECT p_partkey AS n, p_partkey * 7 % 4 AS q, p_partkey * 3 % 7 - 3 AS x, p_partkey * 5 % 9 - 4 AS y FROM part),
+m AS (SELECT n, [1, 0, -1, 0][q + 1] AS a, [0, -1, 0, 1][q + 1] AS b, x, [0, 1, 0, -1][q + 1] AS c, [1, 0, -1, 0][q + 1] AS d, y FROM s),
+r AS (SELECT n, a::BIGINT AS a, b::BIGINT AS b, x::BIGINT AS x, c::BIGINT AS c, d::BIGINT AS d, y::BIGINT AS y FROM m WHERE n = (SELECT min(n) FROM m)
+UNION ALL SELECT m.n, r.a * m.a + r.b * m.c, r.a * m.b + r.b * m.d, r.a * m.x + r.b * m.y + r.x, r.c * m.a + r.d * m.c, r.c * m.b + r.d * m.d, r.c * m.x + r.d * m.y + r.y FROM r JOIN m ON m.n = r.n + 1)
+SELECT n::BIGINT AS frame, a, b, x, c, d, y FROM r""")
+def composed_transforms(spark, sf_dir):
+    """Quarter turns and moves of each frame against the one before, composed up to the first."""
+    k = F.col("p_partkey")
+    pick = lambda *v: F.get(F.array(*map(F.lit, v)), k * 7 % 4)
+    m = F.array(pick(1, 0, -1, 0), pick(0, -1, 0, 1), k * 3 % 7 - 3, pick(0, 1, 0, -1), pick(1, 0, -1, 0), k * 5 % 9 - 4).cast("array<double>")
+    steps = spark.read.parquet(f"{sf_dir}/part.parquet").select(k.cast("long").alias("frame"), m.alias("m"))
+    return registration.composed(steps).select("frame", *[F.get("m", F.lit(i)).cast("long").alias(c) for i, c in enumerate("abxcdy")])
+
+
+@query()
+def split_bodies(spark, sf_dir):
+    """Bright parts of each frame split at their necks."""
+    rows = _bright(spark, sf_dir)
+    return segmentation.split(rows.where("v >= 0.0").select("image", "pixel"), segmentation.scaled(rows), 8, 8, 3)
+
+
+@query()
+def body_shapes(spark, sf_dir):
+    """Bright parts of each frame as simplified polygons."""
+    masks = _bright(spark, sf_dir).where("v >= 0.0").select("image", "pixel")
+    regions = tiles.labelled(masks, 8).select("image", F.col("blob").alias("region"), "pixel")
+    return segmentation.shapes(regions, 8, "polygonal", 0, 100, 0.0).select("image", "region", "xs", "ys", r("x"), r("y"), r("area"), r("perimeter"))
+
+
+@query()
+def inpainted_frames(spark, sf_dir):
+    """Frames whose outlying pixels are filled from around them."""
+    frames = tables.vector_frames(spark, sf_dir)
+    masks = imaging.outliers(frames, 2.0).select("image", "pixel")
+    return imaging.pixels(inpainting.inpainted(frames, masks, 8, 8)).select("frame", "pixel", r("v"))

@@ -53,7 +53,11 @@ def test_morphology_and_floaters(spark):
     out = modules.remove_floaters({"frames": frames, "width": 8, "height": 8, "k": 1.5})
     hit = {(r.image, r.pixel) for r in out["masks"].collect()}
     assert (4, 18) in hit and {i for i, _ in hit} == {4}
-    assert max(r.v for r in out["pixels"].collect() if (r.frame, r.pixel) in hit) < 0.1
+    for fill in ("inpaint", "background"):
+        out = modules.remove_floaters({"frames": frames, "width": 8, "height": 8, "k": 1.5, "fill": fill})["frames"].collect()
+        new = {(r.frame, p): v for r in out for p, v in enumerate(r.px)}
+        assert len(new) == 9 * 64 and max(new[h] for h in hit) < 0.1
+        assert all(v == video_[at] for at, v in new.items() if at not in hit)
 
 
 def test_warp_ovals_steps(spark):
@@ -87,18 +91,6 @@ def test_spikes_and_graph_have_places(spark):
     assert graph["type"] == "neuro-connectivity" and [n["metadata"] for n in graph["nodes"]] == [{"x": 2.0, "y": 1.0, "roi_name": "a", "strength": 0.5}, {"x": 7.0, "y": 4.0, "roi_name": "b", "strength": 0.5}]
 
 
-def test_registration_modes(spark):
-    rng = np.random.default_rng(4)
-    first = rng.random((12, 10))
-    places = [(0, 0), (1, 2), (3, 1), (2, -2)]
-    frames = spark.createDataFrame([(i, np.roll(first, p, (0, 1)).ravel().tolist()) for i, p in enumerate(places)], "frame long, px array<double>")
-    for reference in ("previous", "first"):
-        out = modules.stackreg({"frames": frames, "height": 12, "width": 10, "reference": reference})
-        assert {r.frame: (r.dy, r.dx) for r in out["moves"].collect()} == {i: (-y, -x) for i, (y, x) in enumerate(places)}
-        back = np.array(out["frames"].where("frame = 2").first().px).reshape(12, 10)
-        assert np.allclose(back[:9, :9], first[:9, :9])
-
-
 def test_windowed_background_brute_force(spark, monkeypatch):
     v = np.random.default_rng(5).random((30, 4))
     frames = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "frame long, px array<double>")
