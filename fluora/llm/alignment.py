@@ -311,12 +311,11 @@ def align(docs: DataFrame, paths: tuple[str, str] | None = None, lot_bytes: int
     """Aligns both tokenizers over all documents; segments are (segment, groups, n_best, count_sum)."""
     rows = coded(docs, paths, lot_bytes)
     held = rows.where("segments is not null").select("lot", F.posexplode(F.arrays_zip("segments", "counts")).alias("number", "s")).select("lot", "number", F.col("s.segments").alias("segment"), F.col("s.counts").alias("n"))
-    told = aligned(held.groupBy("segment").agg(F.sum("n").alias("n")), paths).withColumn("sid", F.monotonically_increasing_id())
-    told = cut(told, compression="zstd")
+    told = cut(aligned(held.groupBy("segment").agg(F.sum("n").alias("n")), paths), compression="zstd")
     pairs = small(cut(pair_counts(told), compression="zstd"), PAIRS)
-    links = told.select("sid", F.explode("links").alias("link")).join(pairs, "link")
-    sums = links.groupBy("sid").agg(F.count_if("best").alias("n_best"), F.sum("count").alias("count_sum"))
-    return Aligned(rows.where("segments is null").drop("segments", "counts"), held, told.select("sid", "segment", "groups").join(sums, "sid").drop("sid"))
+    links = told.select("segment", F.explode("links").alias("link")).join(pairs, "link")
+    sums = links.groupBy("segment").agg(F.count_if("best").alias("n_best"), F.sum("count").alias("count_sum"))
+    return Aligned(rows.where("segments is null").drop("segments", "counts"), held, told.select("segment", "groups").join(sums, "segment"))
 
 
 SUMS = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
