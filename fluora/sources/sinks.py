@@ -38,7 +38,7 @@ def write_table(cells: DataFrame, traces: DataFrame, path: str, dropped: DataFra
     rows = cells.join(new, ["name", "frame"], "left").select("frame", "col_ord", F.coalesce("new", "cell").alias("cell"))
     head = cells.select(F.lit(-1).cast("long").alias("frame"), "col_ord", F.col("name").alias("cell")).distinct()
     quoted = F.concat(F.lit('"'), F.replace("cell", F.lit('"'), F.lit('""')), F.lit('"'))
-    rows = head.unionByName(rows).withColumn("cell", F.when(F.col("cell").rlike('[,"]'), quoted).otherwise(F.col("cell")))
+    rows = head.unionByName(rows).withColumn("cell", F.when(F.col("cell").rlike('[,"\\n\\r]'), quoted).otherwise(F.col("cell")))
     lines = rows.groupBy("frame").agg(F.sort_array(F.collect_list(F.struct("col_ord", "cell"))).alias("s"))
     lines = lines.select("frame", F.array_join("s.cell", ",").alias("line"))
     lines.repartitionByRange("frame").sortWithinPartitions("frame").select("line").write.text(path)
@@ -50,6 +50,25 @@ def matrix_lines(matrix: DataFrame) -> DataFrame:
     return rows.select("i", F.concat_ws(",", F.col("i").cast("string"), F.transform("s", lambda c: F.format_string("%.6f", c["value"]))).alias("line"))
 
 
+def write_matrix(matrix: DataFrame, path: str, labels: DataFrame | None = None) -> None:
+    """Writes a whole matrix (i, j, value) with a header line of its labels, in the order of ``labels`` (ord, label), else sorted.
+
+    Text files whose lines follow each other in the order of the files. A line holds one row of the matrix.
+    """
+    if labels is None:
+        names = matrix.select(F.col("i").cast("string").alias("label"), F.col("i").alias("ord")).distinct()
+    else:
+        names = labels.select(F.col("label").cast("string").alias("label"), "ord")
+    name = lambda c: F.col(c).cast("string")
+    rows = matrix.select(name("i").alias("i"), name("j").alias("j"), "value").join(names.select(F.col("label").alias("i"), F.col("ord").alias("row")), "i").join(names.select(F.col("label").alias("j"), F.col("ord").alias("at")), "j")
+    quoted = lambda c: F.when(c.rlike('[,"\\n\\r]'), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(c)
+    body = rows.groupBy("i", "row").agg(F.sort_array(F.collect_list(F.struct("at", "value"))).alias("s"))
+    body = body.select(F.lit(1).alias("kind"), F.col("row"), F.concat_ws(",", quoted(F.col("i")), F.transform("s", lambda c: F.format_string("%.6f", c["value"]))).alias("line"))
+    top = names.agg(F.sort_array(F.collect_list(F.struct("ord", "label"))).alias("s"), F.min("ord").alias("row"))
+    top = top.select(F.lit(0).alias("kind"), "row", F.concat(F.lit(","), F.array_join(F.transform("s.label", quoted), ",")).alias("line"))
+    top.unionByName(body).repartitionByRange("kind", "row").sortWithinPartitions("kind", "row").select("line").write.text(path)
+
+
 def metric_file_name(stem: str, metric: str, suffix: str) -> str:
     return f"{stem}_{re.sub(r'[^0-9A-Za-z]', '', metric)}{suffix}"
 

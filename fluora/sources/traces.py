@@ -24,16 +24,49 @@ def number(cell: Column) -> Column:
 
 
 def header(spark: SparkSession, path: str) -> list[str]:
-    """The column names of a CSV file, from its first line; repeated names get a numbered suffix after a dot."""
-    first = spark.read.text(path).limit(1).collect()
+    """The column names of a CSV file, from its first record; repeated names get a numbered suffix after a dot."""
+    lines, n = spark.read.text(path, lineSep="\n"), 1
+    while True:  # on as long as a quoted name is open
+        first = [r[0] for r in lines.limit(n).collect()]
+        text = "\n".join(first)
+        if text.count('"') % 2 == 0 or len(first) < n:
+            break
+        n *= 2
     names, seen = [], {}
-    for name in next(csv.reader([(first[0][0] if first else "").rstrip("\r")]), [""]):
+    for name in next(csv.reader(text.rstrip("\r").splitlines(keepends=True)), [""]):
         n = seen.get(name, 0)
         seen[name] = n + 1
         names.append(f"{name}.{n}" if n else name)
     return names
 
 
+def records(spark: SparkSession, path: str) -> DataFrame:
+    """(record, value): the records of a CSV file, numbered from 0 in file order; quoted cells may hold line breaks.
+
+    Whether a line begins within quotes depends on all quotes before it. Each split counts its quotes, and its records for
+    either case of how it begins; the counts are combined over the splits in order, so splits are read in parallel. Lines
+    of one record are put together again, also over the border of two splits; blank lines between records don't count.
+    """
+    place = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("n"))
+    lines = spark.read.text(path, lineSep="\n").select(place.alias("place"), "value")
+    lines = lines.withColumn("chunk", F.struct("place.file_path", "place.file_block_start"))
+    lines = lines.withColumn("quotes", F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))).withColumn("blank", F.col("value").isin("", "\r"))
+    before = Window.partitionBy("chunk").orderBy("place.n").rowsBetween(Window.unboundedPreceding, -1)
+    lines = lines.withColumn("open", F.coalesce(F.sum("quotes").over(before), F.lit(0)) % 2 == 1)
+    counts = lines.groupBy("chunk").agg(F.sum("quotes").alias("quotes"), F.count_if(F.expr("not open and not blank")).alias("outside"), F.count_if(F.expr("open and not blank")).alias("inside"))
+    ahead = Window.orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)  # a row a split
+    counts = counts.withColumn("opens", F.coalesce(F.sum("quotes").over(ahead), F.lit(0)) % 2 == 1)
+    counts = counts.withColumn("first", F.coalesce(F.sum(F.when(F.col("opens"), F.col("inside")).otherwise(F.col("outside"))).over(ahead), F.lit(0)))
+    rows = lines.drop("quotes").join(counts.select("chunk", "opens", "first"), "chunk")
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    rows = rows.withColumn("within", F.col("open") != F.col("opens")).withColumn("starts", ~F.col("within") & ~F.col("blank"))
+    so_far = Window.partitionBy("chunk").orderBy("place.n").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("record", F.col("first") + F.count_if("starts").over(so_far) - 1).withColumn("part", F.col("within") | (quotes % 2 == 1))
+    whole = rows.where("starts and not part").select("record", "value")
+    broken = rows.where("part").groupBy("record").agg(F.sort_array(F.collect_list(F.struct("place", "value"))).alias("s"))
+    return whole.unionByName(broken.select("record", F.array_join("s.value", "\n").alias("value")))
+
+
 def _cells(line: Column) -> Column:
     """The cells of a CSV line; lines without quotes are split at commas."""
     quoted = F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(r',("[^"]*(?:""[^"]*)*"|[^,]*)'), 1)
@@ -42,20 +75,13 @@ def _cells(line: Column) -> Column:
 
 
 def wide_csv(spark: SparkSession, path: str) -> DataFrame:
-    """(col_ord, name, frame, y, cell) of a wide CSV: lines are split and exploded, never inferred column by column.
+    """(col_ord, name, frame, y, cell) of a wide CSV: records are split and exploded, never inferred column by column.
 
-    Frames are the lines in file order. Quoted cells may hold commas and doubled quotes, but no line breaks.
+    Frames are the records in file order. Quoted cells may hold commas, doubled quotes and line breaks.
     """
     names = header(spark, path)
-    place = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("n"))
-    lines = spark.read.text(path).select(place.alias("place"), F.col("value")).where(F.length("value") > 0)
-    # lines are numbered by sorted ranges: counts of the ranges, then places within them
-    part = lines.withColumn("chunk", F.struct("place.file_path", "place.file_block_start"))
-    counts = part.groupBy("chunk").agg(F.count("*").alias("n"))
-    starts = counts.select("chunk", (F.sum("n").over(Window.orderBy("chunk")) - F.col("n")).alias("start"))
-    within = F.row_number().over(Window.partitionBy("chunk").orderBy("place.n"))
-    rows = part.withColumn("within", within).join(F.broadcast(starts), "chunk").withColumn("line", F.col("start") + F.col("within") - 1)
-    cells = rows.where("line > 0").select((F.col("line") - 1).alias("frame"), F.posexplode(_cells(F.regexp_replace("value", "\r$", ""))).alias("col_ord", "cell"))
+    rows = records(spark, path).where("record > 0")
+    cells = rows.select((F.col("record") - 1).alias("frame"), F.posexplode(_cells(F.regexp_replace("value", "\r$", ""))).alias("col_ord", "cell"))
     cells = cells.where(F.col("col_ord") < len(names))
     name = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("col_ord") + 1)
     return cells.select("col_ord", name.alias("name"), "frame", number(F.col("cell")).alias("y"), "cell")
