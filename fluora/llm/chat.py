@@ -39,32 +39,25 @@ def unescape(text: Column) -> Column:
 
 
 def fold(events: DataFrame) -> DataFrame:
-    """Final messages (conv_id, message, role, text, copies) of events (conv_id, seq, message, kind, role, text).
+    """Final messages (conv_id, message, role, text) of events (conv_id, seq, message, kind, role, text).
 
     Where logs share message ids, a column ``part`` tells their messages apart. Events that are equal in all of this are
-    deliveries of one event; ``copies`` is the number of ``message`` events of one id, at least 1, so repeated rows stay
-    turns of their own.
+    deliveries of one event, of whatever kind.
     """
     event = F.struct("seq", "kind", F.coalesce("text", F.lit("")).alias("text"))
     part = ["part"] if "part" in events.columns else []
-    listed = events.groupBy("conv_id", "message", *part).agg(
-        F.sort_array(F.collect_set(event)).alias("events"),
-        F.coalesce(F.max("role"), F.lit("")).alias("role"),
-        F.greatest(F.lit(1), F.count_if(F.col("kind") == "message")).cast("int").alias("copies"),
-    )
+    listed = events.groupBy("conv_id", "message", *part).agg(F.sort_array(F.collect_set(event)).alias("events"), F.coalesce(F.max("role"), F.lit("")).alias("role"))
     # from the last event that sets the text on, deltas are joined
     numbered = F.transform("events", lambda e, i: F.when(e["kind"] != "delta", i))
     last = F.coalesce(F.array_max(numbered), F.lit(0))
     tail = F.slice("events", F.col("last") + 1, F.size("events"))
     text = F.array_join(F.transform(tail, lambda e: F.when(e["kind"] == "regenerate", F.lit("")).otherwise(e["text"])), "")
-    return listed.withColumn("last", last).select("conv_id", "message", "role", text.alias("text"), "copies")
+    return listed.withColumn("last", last).select("conv_id", "message", "role", text.alias("text"))
 
 
 def render(messages: DataFrame, learn: str = "assistant") -> DataFrame:
     """(conv_id, formatted, mask) of final messages; mask has (head, body, loss) for each turn, in characters."""
-    turn = F.struct("message", "role", "text")
-    many = F.array_repeat(turn, F.col("copies"))
-    turns = messages.groupBy("conv_id").agg(F.sort_array(F.flatten(F.collect_list(many))).alias("turns"))
+    turns = messages.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("message", "role", "text"))).alias("turns"))
     head = lambda t: F.concat(F.lit(START), F.replace(escape(t["role"]), F.lit("\n"), F.lit("\\\n")), F.lit("\n"))
     parts = F.transform("turns", lambda t: F.struct(head(t).alias("head"), escape(t["text"]).alias("body"), (t["role"] == learn).alias("loss")))
     turns = turns.select("conv_id", parts.alias("parts"))
@@ -93,7 +86,8 @@ def events_of(rows: DataFrame) -> DataFrame:
     """An event log that ends in the turns of a table: user turns as drafts that are edited, others as streams.
 
     A row's message begins with half of its text. The users' is edited to the whole text; the others' is regenerated,
-    then streamed in two deltas. Rows of one turn are told apart by a hash of role and text.
+    then streamed in two deltas. Rows of one turn are told apart by a hash of role, text and number of occurrence: equal rows
+    are counted, and each number makes a message of its own.
     """
     text, role = F.coalesce("text", F.lit("")), F.coalesce("role", F.lit(""))
     half = F.floor(F.length("text") / 2).cast("int")
@@ -102,8 +96,9 @@ def events_of(rows: DataFrame) -> DataFrame:
     edited = F.array(event(0, "message", first), event(1, "edit", F.col("text")))
     streamed = F.array(event(0, "message", first), event(1, "regenerate", F.lit("")), event(2, "delta", first), event(3, "delta", second))
     named = rows.select("conv_id", F.col("turn").alias("message"), role.alias("role"), text.alias("text"))
+    named = named.groupBy("conv_id", "message", "role", "text").agg(F.count("*").alias("n")).withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), "n")))
     log = F.explode(F.when(F.col("role") == "user", edited).otherwise(streamed))
-    return named.select("conv_id", "message", F.xxhash64("role", "text").alias("part"), "role", log.alias("e")).select("conv_id", "e.seq", "message", "part", "e.kind", "role", "e.text")
+    return named.select("conv_id", "message", F.xxhash64("role", "text", "nth").alias("part"), "role", log.alias("e")).select("conv_id", "e.seq", "message", "part", "e.kind", "role", "e.text")
 
 
 def op10_chat(spark, sf_dir: str) -> DataFrame:

@@ -9,8 +9,9 @@ number for each document plus one shift for each source, chosen so that the copi
 Sums are made of integers, so results don't depend on the order of rows or on partitions.
 
 Edge cases: a null source is a source of its own, sorted last; documents of size 0 count nothing and take nothing; a
-source whose target is ``cap`` times its size has every document ``cap`` times; rows with one doc_id get the same
-number of copies if their texts are equal; an empty table gives an empty result.
+source whose target is ``cap`` times its size has every document ``cap`` times; rows equal in id, source and text are
+counted and numbered, so that the mix can take some of them (``mix``, which has to find its rows again, takes all of them
+equally often); an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -145,6 +146,13 @@ def sized(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: s
     return cut(docs.select(F.col(doc_id).alias("doc_id"), source_key(source).alias("key"), F.size(words(text)).cast("long").alias("size"), F.xxhash64(F.col(text)).alias("tie")))
 
 
+def numbered(rows: DataFrame) -> DataFrame:
+    """The same rows with ties that differ among equal ones, by their number; equal rows meet as a count, not in one task."""
+    counts = rows.groupBy(*rows.columns).agg(F.count("*").alias("n"))
+    nth = counts.withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), "n")))
+    return cut(nth.withColumn("tie", F.when(F.col("nth") > 1, F.xxhash64("tie", "nth")).otherwise(F.col("tie"))).select(*rows.columns))
+
+
 def plan(rows: DataFrame, weights=(5, 2, 1), share: float = 1.5, cap: int = 2, seed: int = 17) -> DataFrame:
     """The fitted mix of ``rows`` (doc_id, key, size, tie): one row per source."""
     totals = rows.groupBy("key").agg(F.sum("size").alias("total"))
@@ -169,6 +177,6 @@ def mix(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, cap: int = 2, se
 
 def op1_mixing(spark, sf_dir: str) -> DataFrame:
     """Mixes all documents; one row per document with the words that the mix takes of it."""
-    rows = sized(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    rows = numbered(sized(spark.read.parquet(f"{sf_dir}/documents.parquet")))
     out = apply(rows, plan(rows))
     return out.select("doc_id", "size", F.col("total").alias("source_size"), "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", "rate")

@@ -68,6 +68,8 @@ class Encoder:
             rank[p] = r
             self.ids.append(pieces[p])
             self.halves.append(halves or (r, r))
+        if len(self.ids) > 1 << 16 or len(chars) >= 1 << 13:
+            raise ValueError("the model has too many pieces or characters for the packed keys")
         self._trie(rank, chars)
         self.id_of = np.array(self.ids, np.uint32)
         self.slot_key, self.slot_fits = np.full(SLOTS, -1, np.int64), np.zeros(SLOTS, bool)

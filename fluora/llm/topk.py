@@ -1,14 +1,15 @@
 """Exact top-k search by term-at-a-time accumulation.
 
 Vectors become sparse rows of integer terms: component x of dimension d is the weight ``floor(1024 * x)`` of term d.
-Queries are taken in blocks of a fixed size, one pass over the candidates for each block. A task turns each batch of
+Queries are taken in blocks of a fixed size by hash, one pass over the candidates for each block; the driver holds one block. A task turns each batch of
 candidates into postings (for each term the candidates that have it, with weights); every query row scatters its
 weighted postings into a dense array of scores, the k best are picked by partition selection, and Spark merges the
 tasks' best by rank.
 
 Edge cases: vectors that are null, hold a null or non-finite component take no part; missing dimensions of shorter
 vectors count as zero; ties go to the smaller id; rows that share an id are candidates each, but never for a query of
-that id; queries with no other vector give no row; scores are 64-bit integers, and larger ones are refused.
+that id; every query row is answered, also those that repeat; queries with no other vector give no row; scores are 64-bit
+integers, and a pair whose sum might leave them (by the sum of absolute products) takes no part.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fluora.llm.common import cut
+
 #: Queries that one pass serves (64 dimensions of 8 bytes: 16 MB at most in a task).
 BLOCK = 32_768
 #: Candidates whose dense scores a task holds at a time.
@@ -44,7 +47,7 @@ def dense(rows: pd.Series) -> np.ndarray:
     return out
 
 
-def best(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, weights: np.ndarray, k: int) -> Iterator[pd.DataFrame]:
+def best(numbers: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, weights: np.ndarray, k: int) -> Iterator[pd.DataFrame]:
     """The k best candidates of each query, by scattering the postings of the query's terms."""
     order = np.argsort(ids, kind="stable")  # equal scores then keep the smaller ids first
     ids, weights = ids[order], weights[order]
@@ -55,38 +58,41 @@ def best(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, weights: n
     found = []
     d = min(queries.shape[1], weights.shape[1])
     size = lambda m: np.abs(m[:, :d].astype(np.float64))
-    if size(queries).max(initial=0) * size(weights).max(initial=0) * d >= 2**63 and np.where(query_ids[:, None] == ids, 0, size(queries) @ size(weights).T).max() >= 2**63:
-        raise OverflowError("a score is beyond 64 bits")
+    wide = size(queries).max(initial=0) * size(weights).max(initial=0) * d >= 2**63
     scores = np.zeros(len(ids), np.int64)
-    for qid, query in zip(query_ids, queries, strict=True):
+    for i, (qid, query) in enumerate(zip(query_ids, queries, strict=True)):
         scores[:] = 0
-        for d in np.flatnonzero(query[: len(postings)]):
-            at, w = postings[d]
+        for d_ in np.flatnonzero(query[: len(postings)]):
+            at, w = postings[d_]
             if at is None:
-                scores += query[d] * w
+                scores += query[d_] * w
             else:
-                scores[at] += query[d] * w
-        take = min(len(ids), k + int(np.searchsorted(ids, qid, "right") - np.searchsorted(ids, qid, "left")))
+                scores[at] += query[d_] * w
+        fits = ids != qid
+        if wide:
+            fits &= size(weights) @ size(queries[i : i + 1])[0] < 2**63
+        take = min(len(ids), k + len(ids) - int(fits.sum()))
         if take < len(ids):
             edge = np.partition(scores, len(ids) - take)[len(ids) - take]
-            some = np.flatnonzero(scores >= edge)
+            some = np.flatnonzero((scores >= edge) & fits)
         else:
-            some = np.arange(len(ids))
-        some = some[ids[some] != qid]
+            some = np.flatnonzero(fits)
         some = some[np.argsort(-scores[some], kind="stable")][:k]
-        found.append((np.full(len(some), qid), ids[some], scores[some]))
-    yield pd.DataFrame({"query_id": np.concatenate([f[0] for f in found]), "vec_id": np.concatenate([f[1] for f in found]), "score": np.concatenate([f[2] for f in found])})
+        found.append((np.full(len(some), numbers[i]), np.full(len(some), qid), ids[some], scores[some]))
+    names = ("number", "query_id", "vec_id", "score")
+    yield pd.DataFrame({name: np.concatenate([f[i] for f in found]) for i, name in enumerate(names)})
 
 
-def _search(block: pd.DataFrame, k: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+def _search(block: pd.DataFrame, first: int, k: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     query_ids, queries = block.vec_id.to_numpy(np.int64), dense(block.weights)
+    numbers = first + np.arange(len(query_ids))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             for i in range(0, len(part), BATCH):
                 some = part.iloc[i : i + BATCH]
                 if len(some) and len(query_ids):
-                    yield from best(query_ids, queries, some.vec_id.to_numpy(np.int64), dense(some.weights), k)
+                    yield from best(numbers, query_ids, queries, some.vec_id.to_numpy(np.int64), dense(some.weights), k)
 
     return run
 
@@ -94,28 +100,28 @@ def _search(block: pd.DataFrame, k: int) -> Callable[[Iterator[pd.DataFrame]], I
 def search(candidates: DataFrame, queries: DataFrame, k: int = 10, block: int = BLOCK) -> DataFrame:
     """(query_id, rank, vec_id, score): the k candidates with the highest inner product for each query.
 
-    Both tables have (vec_id, weights). The blocks are ranges of query ids, found from a sorted list of block edges.
+    Both tables have (vec_id, weights). Equal query rows are searched once and answered each. Blocks are made by a hash of
+    the row; where there are several, the driver fetches one at a time and writes what it finds before the next.
     """
-    spark = candidates.sparkSession
-    n = queries.count()
-    edges = [None]
-    if n > block:
-        share = [i / -(-n // block) for i in range(1, -(-n // block))]
-        edges += sorted({int(x) for x in queries.approxQuantile("vec_id", share, 0.05 / len(share))})
-    edges.append(None)
-    out = None
-    for low, high in zip(edges, edges[1:], strict=False):
-        part = queries
-        if low is not None:
-            part = part.where(F.col("vec_id") >= low)
-        if high is not None:
-            part = part.where(F.col("vec_id") < high)
-        rows = part.dropDuplicates(["vec_id"]).toPandas() if n else pd.DataFrame({"vec_id": [], "weights": []})
-        scored = candidates.mapInPandas(_search(rows, k), "query_id long, vec_id long, score long")
-        out = scored if out is None else out.unionByName(scored)
-    by_query = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = out.withColumn("rank", F.row_number().over(by_query)).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+    rows = queries.groupBy("vec_id", "weights").agg(F.count("*").alias("n"))
+    blocks = max(1, -(-queries.count() * 9 // (8 * block)))  # a bit more than needed, as hashes fill them unevenly
+    if blocks > 1:
+        rows = cut(rows)
+    out, first = None, 0
+    for b in range(blocks):
+        own = rows.where(F.pmod(F.xxhash64("vec_id", "weights"), F.lit(blocks)) == b).toPandas()  # about ``block`` rows
+        scored = candidates.mapInPandas(_search(own, first, k), "number long, query_id long, vec_id long, score long")
+        by_query = Window.partitionBy("number").orderBy(F.desc("score"), "vec_id")
+        ranked = scored.withColumn("rank", F.row_number().over(by_query)).where(F.col("rank") <= k)
+        if (own.n > 1).any():
+            again = candidates.sparkSession.createDataFrame(pd.DataFrame({"number": first + np.arange(len(own)), "n": own.n})[own.n > 1], "number long, n long")
+            ranked = ranked.join(F.broadcast(again), "number", "left")  # at most a block
+            ranked = ranked.select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.coalesce("n", F.lit(1).cast("long")))))
+        ranked = ranked.select("query_id", "rank", "vec_id", "score")
+        ranked = cut(ranked) if blocks > 1 else ranked
+        out = ranked if out is None else out.unionByName(ranked)
+        first += len(own)
+    return out
 
 
 def op9_topk(spark, sf_dir: str) -> DataFrame:

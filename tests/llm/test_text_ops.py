@@ -346,3 +346,17 @@ def test_sharding_scatters_rows_of_one_id(spark):
     out = sharding.shuffled(rows, 3, bucket_bytes=8000).withColumn("part", F.spark_partition_id())
     assert out.groupBy("part").count().agg(F.max("count")).first()[0] < 1000
     assert sorted((r.shard, r.slot) for r in out.collect()) == [(s, i) for s in range(3) for i in range(1000)]
+
+
+def test_mixing_takes_a_part_of_equal_rows(spark):
+    from fluora.llm import mixing
+
+    docs = spark.createDataFrame([(1, "two words", "a")] * 5000 + [(i, "one more text", "b") for i in range(700)], "doc_id long, text string, source string").repartition(5)
+    rows = mixing.numbered(mixing.sized(docs))
+    assert rows.count() == 5700
+    model = mixing.plan(rows)
+    per = {r.key: r for r in mixing.apply(rows, model).withColumn("taken", F.col("size") * F.col("copies")).groupBy("key", "target").agg(F.sum("taken").alias("taken"), F.max("copies").alias("most")).collect()}
+    for r in per.values():
+        assert abs(r.taken - r.target) <= 3 and r.most <= 2
+    again = mixing.numbered(mixing.sized(docs.repartition(3)))
+    assert again.exceptAll(rows).count() == 0 and rows.exceptAll(again).count() == 0
