@@ -2,7 +2,10 @@
 
 All pairs are the result, so the work is dealt in cells: traces are packed into blocks of ``BLOCK`` by hash, a cell is a
 pair of blocks, and a task makes the matrix product or the joint histograms of one cell. A trace is sent once to each
-cell of its block; no frame-by-frame join of pairs is made. Frames that some trace misses are left out.
+cell of its block; no frame-by-frame join of pairs is made. Only frames count in which every trace has a sample.
+
+Products are made for ``FRAMES`` frames at a time and added up, so a task holds parts of traces, however long they are.
+Histograms hold whole traces, as one small number a frame.
 """
 
 from __future__ import annotations
@@ -12,52 +15,77 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fluora.operators.traces import complete_frames
-
-BLOCK = 256
-
+from fluora.functions.shared import cut
+from fluora.operators.traces import shared_frames
 
-def packed(traces: DataFrame) -> DataFrame:
-    """(trace, ys): the complete frames of each trace in order."""
-    rows = complete_frames(traces).groupBy("trace").agg(F.sort_array(F.collect_list(F.struct("frame", "y"))).alias("s"))
-    return rows.select("trace", F.col("s.y").alias("ys"))
+BLOCK, FRAMES = 256, 4096
 
 
-def _cells(rows: DataFrame) -> DataFrame:
-    blocks = max(1, -(-rows.count() // BLOCK))
+def _cells(rows: DataFrame, n: int) -> DataFrame:
+    """The rows with the cells (low, high) of their trace, for n traces."""
+    blocks = max(1, -(-n // BLOCK))
     block = F.pmod(F.xxhash64("trace"), F.lit(blocks)).cast("int")
     rows = rows.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     return rows.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
 
 
-def _pairs(cell: pd.DataFrame, values: np.ndarray, at: np.ndarray, to: np.ndarray) -> pd.DataFrame:
-    names = cell.trace.to_numpy()
-    a, b = names[at], names[to]
-    return pd.DataFrame({"i": np.minimum(a, b), "j": np.maximum(a, b), "value": values})
+def _sides(cell: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
+    """The rows of both blocks of a cell, each by name."""
+    cell = cell.sort_values("trace")
+    return cell[cell.block == cell.low], cell[cell.block == cell.high]
 
 
-def _places(cell: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    block, low, high = cell.block.to_numpy(), cell.low.iloc[0], cell.high.iloc[0]
-    if low == high:
-        return np.triu_indices(len(cell), 1)
-    left, right = np.flatnonzero(block == low), np.flatnonzero(block == high)
-    return np.repeat(left, len(right)), np.tile(right, len(left))
+def _pairs(left: pd.Series, right: pd.Series, values: np.ndarray, same: bool) -> pd.DataFrame:
+    """(i, j, value) of a cell's matrix, each pair once."""
+    at, to = np.triu_indices(len(left), 1) if same else np.indices(values.shape).reshape(2, -1)
+    a, b = left.to_numpy()[at], right.to_numpy()[to]
+    return pd.DataFrame({"i": np.minimum(a, b), "j": np.maximum(a, b), "value": values[at, to]})
 
 
-def _correlated(cell: pd.DataFrame) -> pd.DataFrame:
-    x = np.array(cell.ys.tolist(), float)
-    x = x - x.mean(1, keepdims=True)
-    norm = np.sqrt((x * x).sum(1))
-    at, to = _places(cell)
+def _correlated(left: pd.DataFrame, right: pd.DataFrame, products: np.ndarray) -> pd.DataFrame:
     with np.errstate(divide="ignore", invalid="ignore"):
-        r = (x @ x.T)[at, to] / (norm[at] * norm[to])
-    return _pairs(cell, np.clip(np.where(np.isfinite(r), r, 0.0), -1, 1), at, to)
+        r = products / np.outer(left.norm, right.norm)
+    return _pairs(left.trace, right.trace, np.clip(np.where(np.isfinite(r), r, 0.0), -1, 1), left.low.iloc[0] == left.high.iloc[0])
 
 
 def pearson(traces: DataFrame) -> DataFrame:
     """(i, j, value) for all pairs i < j: 0 where a trace is constant, within -1 and 1."""
     kind = traces.schema["trace"].dataType.simpleString()
-    return _cells(packed(traces)).groupBy("low", "high").applyInPandas(_correlated, f"i {kind}, j {kind}, value double")
+    rows = shared_frames(traces)
+    mean = rows.groupBy("trace").agg(F.avg("y").alias("mean"))
+    y = F.col("y") - F.col("mean")
+    part = F.floor(F.col("frame") / FRAMES).alias("part")
+    packed = rows.join(mean, "trace").groupBy("trace", part).agg(F.sort_array(F.collect_list(F.struct("frame", y.alias("y")))).alias("s"), F.sum(y * y).alias("square"))
+    packed = cut(packed.select("trace", "part", F.col("s.y").alias("ys"), "square"))
+    sizes = packed.groupBy("trace").agg(F.sqrt(F.sum("square")).alias("norm"))
+    n, parts = sizes.count(), packed.select("part").distinct().count()
+    cells = _cells(packed.drop("square").join(sizes, "trace"), n)
+    out = f"i {kind}, j {kind}, value double"
+
+    def product(left: pd.DataFrame, right: pd.DataFrame) -> np.ndarray:
+        return np.array(left.ys.tolist(), float) @ np.array(right.ys.tolist(), float).T
+
+    def whole(cell: pd.DataFrame) -> pd.DataFrame:
+        left, right = _sides(cell)
+        return _correlated(left, right, product(left, right)) if len(left) and len(right) else pd.DataFrame(columns=["i", "j", "value"])
+
+    if parts == 1:
+        return cells.groupBy("low", "high").applyInPandas(whole, out)
+
+    def partial(cell: pd.DataFrame) -> pd.DataFrame:
+        left, right = _sides(cell)
+        if not (len(left) and len(right)):
+            return pd.DataFrame(columns=["low", "high", "products"])
+        return pd.DataFrame({"low": [cell.low.iloc[0]], "high": [cell.high.iloc[0]], "products": [product(left, right).ravel()]})
+
+    def added(names: pd.DataFrame, sums: pd.DataFrame) -> pd.DataFrame:
+        left, right = _sides(names)
+        if not (len(left) and len(right)):
+            return pd.DataFrame(columns=["i", "j", "value"])
+        return _correlated(left, right, np.sum(sums.products.tolist(), 0).reshape(len(left), len(right)))
+
+    sums = cells.groupBy("low", "high", "part").applyInPandas(partial, "low int, high int, products array<double>")
+    return _cells(sizes, n).groupBy("low", "high").cogroup(sums.groupBy("low", "high")).applyInPandas(added, out)
 
 
 def matrix(pairs: DataFrame, names: DataFrame) -> DataFrame:
@@ -73,7 +101,7 @@ def auto_bins(n: int) -> int:
 
 def binned(traces: DataFrame, bins: int) -> DataFrame:
     """(trace, frame, bin): equal widths between a trace's least and greatest value; 0 for constant traces."""
-    rows = complete_frames(traces)
+    rows = shared_frames(traces)
     span = rows.groupBy("trace").agg(F.min("y").alias("lo"), F.max("y").alias("hi"))
     width = F.when(F.col("hi") > F.col("lo"), F.col("hi") - F.col("lo")).otherwise(1.0)
     place: Column = F.least(F.lit(bins - 1), F.floor((F.col("y") - F.col("lo")) / width * bins).cast("int"))
@@ -89,7 +117,8 @@ def entropies(traces: DataFrame, bins: int) -> DataFrame:
 
 def nmi(traces: DataFrame, bins: int) -> DataFrame:
     """(i, j, value) for all pairs i < j: mutual information over the root of both entropies, from 0 to 1."""
-    codes = binned(traces, bins).groupBy("trace").agg(F.sort_array(F.collect_list(F.struct("frame", "bin"))).alias("s")).select("trace", F.col("s.bin").alias("ys"))
+    codes = binned(traces, bins).groupBy("trace").agg(F.sort_array(F.collect_list(F.struct("frame", F.col("bin").cast("tinyint").alias("bin")))).alias("s")).select("trace", F.col("s.bin").alias("ys"))
+    codes = cut(codes)
     kind = traces.schema["trace"].dataType.simpleString()
 
     def entropy(counts: np.ndarray, n: int) -> np.ndarray:
@@ -97,18 +126,24 @@ def nmi(traces: DataFrame, bins: int) -> DataFrame:
         return -np.where(p > 0, p * np.log(np.where(p > 0, p, 1)), 0).sum(-1)
 
     def cell_nmi(cell: pd.DataFrame) -> pd.DataFrame:
-        x = np.array(cell.ys.tolist(), np.int64)
+        left, right = _sides(cell)
+        if not (len(left) and len(right)):
+            return pd.DataFrame(columns=["i", "j", "value"])
+        x, y = (np.array(side.ys.tolist(), np.int16) for side in (left, right))
         n = x.shape[1]
-        single = entropy(np.stack([np.bincount(row, minlength=bins) for row in x]), n)
-        at, to = _places(cell)
-        out = np.zeros(len(at))
-        for low in range(0, len(at), 2048):
-            a, b = at[low : low + 2048], to[low : low + 2048]
-            code = (x[a] * bins + x[b]) + np.arange(len(a))[:, None] * bins * bins
-            joint = entropy(np.bincount(code.ravel(), minlength=len(a) * bins * bins).reshape(len(a), -1), n)
+        own = [entropy(np.stack([np.bincount(row, minlength=bins) for row in m]), n) for m in (x, y)]
+        same = left.low.iloc[0] == left.high.iloc[0]
+        out = np.zeros((len(x), len(y)))
+        for i in range(len(x)):  # one trace against all of the other block, or those after it
+            others = y[i + 1 :] if same else y
+            if not len(others):
+                continue
+            code = (x[i].astype(np.int64) * bins + others) + np.arange(len(others))[:, None] * bins * bins
+            joint = entropy(np.bincount(code.ravel(), minlength=len(others) * bins * bins).reshape(len(others), -1), n)
             with np.errstate(divide="ignore", invalid="ignore"):
-                v = (single[a] + single[b] - joint) / np.sqrt(single[a] * single[b])
-            out[low : low + 2048] = np.where((single[a] > 0) & (single[b] > 0), np.clip(v, 0, 1), 0)
-        return _pairs(cell, out, at, to)
+                single = own[1][-len(others) :]
+                v = (own[0][i] + single - joint) / np.sqrt(own[0][i] * single)
+            out[i, -len(others) :] = np.where((own[0][i] > 0) & (single > 0), np.clip(v, 0, 1), 0)
+        return _pairs(left.trace, right.trace, out, same)
 
-    return _cells(codes).groupBy("low", "high").applyInPandas(cell_nmi, f"i {kind}, j {kind}, value double")
+    return _cells(codes, codes.count()).groupBy("low", "high").applyInPandas(cell_nmi, f"i {kind}, j {kind}, value double")

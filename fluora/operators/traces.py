@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fluora.functions.shared import cut
+
 #: Frames in a block. Runs are found within blocks and then joined, so that a long trace is not one task's work.
 BLOCK = 1 << 16
 
@@ -17,8 +19,8 @@ def cleaned(traces: DataFrame) -> DataFrame:
 def robust(traces: DataFrame, k: float) -> DataFrame:
     """(trace, baseline, sigma, threshold): median, 1.4826 times the median absolute deviation, baseline + k sigma.
 
-    Where the deviation is zero, sigma is the population standard deviation. Two aggregations with partial results; no
-    trace is sorted.
+    Where the deviation is zero, sigma is the population standard deviation. Two aggregations; exact medians keep the
+    distinct values of a trace in a task.
     """
     base = traces.groupBy("trace").agg(F.median("y").alias("baseline"), F.stddev_pop("y").alias("sd"))
     dev = traces.join(base, "trace").groupBy("trace", "baseline", "sd").agg(F.median(F.abs(F.col("y") - F.col("baseline"))).alias("mad"))
@@ -96,6 +98,15 @@ def complete_frames(traces: DataFrame) -> DataFrame:
     return traces.join(missing, "frame", "left_anti")
 
 
+def shared_frames(traces: DataFrame, least: int = 2) -> DataFrame:
+    """The rows of frames in which every trace has a sample; traces may begin and end anywhere. Too few such frames are an error."""
+    n = traces.select("trace").distinct().count()
+    full = cut(traces.where("y is not null").groupBy("frame").agg(F.count("*").alias("n")).where(F.col("n") == n).select("frame"))
+    if (found := full.count()) < least:
+        raise ValueError(f"not enough complete rows: {found}, of {least} at least")
+    return traces.join(full, "frame", "left_semi")
+
+
 def first_traces(header: DataFrame, n: int) -> DataFrame:
     """The first n columns in file order; header has (col_ord, name)."""
     return header.where(F.col("col_ord") < n)

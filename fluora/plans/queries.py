@@ -206,6 +206,18 @@ n AS (SELECT trace, sqrt(sum(y * y)) AS n FROM c GROUP BY 1), dot AS (SELECT a.t
 e AS (SELECT i AS source, j AS target, round(CASE WHEN p.n * q.n > 0 THEN least(greatest(d / (p.n * q.n), -1), 1) ELSE 0 END, 6) AS weight FROM dot JOIN n p ON p.trace = i JOIN n q ON q.trace = j)"""
 
 
+SHARED = f"""{T1}, f AS (SELECT frame FROM t GROUP BY 1 HAVING count(y) = (SELECT count(DISTINCT trace) FROM t)), s AS (SELECT t.* FROM t JOIN f USING (frame)),
+m AS (SELECT trace, avg(y) AS m FROM s GROUP BY 1), c AS (SELECT trace, frame, y - m AS y FROM s JOIN m USING (trace)), n AS (SELECT trace, sqrt(sum(y * y)) AS n FROM c GROUP BY 1),
+dot AS (SELECT a.trace AS i, b.trace AS j, sum(a.y * b.y) AS d FROM c a JOIN c b ON a.frame = b.frame GROUP BY 1, 2)"""
+
+
+@query(f"WITH {SHARED} SELECT i, j, round(CASE WHEN i = j THEN 1 WHEN p.n * q.n > 0 THEN least(greatest(d / (p.n * q.n), -1), 1) ELSE 0 END, 6) AS value FROM dot JOIN n p ON p.trace = i JOIN n q ON q.trace = j")
+def pearson_ragged(spark, sf_dir):
+    """The whole matrix of traces of unequal length, over the frames that all of them have."""
+    rows = tables.event_traces(spark, sf_dir)
+    return association.matrix(association.pearson(rows), rows.select("trace").distinct()).select("i", "j", r("value"))
+
+
 def weights(spark, sf_dir) -> DataFrame:
     return graph.edges(association.pearson(tables.vector_traces(spark, sf_dir))).select("source", "target", r("weight"))
 

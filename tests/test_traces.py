@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from fluora.functions import columns
 from fluora.operators import association, filters, graph, imaging, spikes, traces
@@ -65,7 +66,7 @@ def test_pearson_and_nmi(spark):
     assert association.nmi(grid, 2).first().value == pytest.approx(0)
     assert association.auto_bins(100) == 9 and association.auto_bins(10**9) == 64
     gap = frame(spark, {"a": [1, None, 3, 4], "b": [1, 2, 3, 5]})
-    assert {len(r.ys) for r in association.packed(gap).collect()} == {3}
+    assert {r["count"] for r in traces.shared_frames(gap).groupBy("trace").count().collect()} == {3}
 
 
 def test_spike_triangle_and_edges(spark):
@@ -146,3 +147,41 @@ def test_imaging(spark):
     m = imaging.roi_metrics(frames, spark.createDataFrame([(1, p) for p in range(4)], "roi_id int, pixel int")).first()
     assert (m["max"], m["mean"], m["int"]) == (4, 2.5, 10) and m["std"] == pytest.approx(1.118, abs=1e-3)
     assert median([1, 2, 3]) == 2
+
+
+def test_pairs_over_shared_frames(spark, monkeypatch):
+    """Traces of unequal length, with missing samples, in several blocks of traces and of frames."""
+    from fluora.operators import association
+
+    rng = np.random.default_rng(7)
+    spans = {f"t{k}": (int(rng.integers(0, 4)), int(rng.integers(30, 40))) for k in range(11)}
+    ys = {k: rng.normal(size=40) for k in spans}
+    ys["t3"][:] = 2.0
+    rows = [(k, f, None if (k, f) == ("t5", 20) else float(ys[k][f])) for k, (a, b) in spans.items() for f in range(a, b)]
+    df = spark.createDataFrame(rows, "trace string, frame long, y double").repartition(3)
+    full = [f for f in range(max(a for a, _ in spans.values()), min(b for _, b in spans.values())) if f != 20]
+    x = np.array([ys[k][full] for k in spans])
+    names = list(spans)
+    for block, frames in ((256, 4096), (3, 4096), (3, 7)):
+        monkeypatch.setattr(association, "BLOCK", block)
+        monkeypatch.setattr(association, "FRAMES", frames)
+        got = {(r.i, r.j): r.value for r in association.pearson(df).collect()}
+        assert len(got) == 55 and all(i < j for i, j in got)
+        for (i, j), v in got.items():
+            want = 0.0 if "t3" in (i, j) else np.corrcoef(x[names.index(i)], x[names.index(j)])[0, 1]
+            assert v == pytest.approx(want, abs=1e-9)
+        mutual = {(r.i, r.j): r.value for r in association.nmi(df, 4).collect()}
+        code = {k: np.minimum(3, ((v - v.min()) / ((v.max() - v.min()) or 1) * 4).astype(int)) for k, v in zip(names, x, strict=True)}
+        h = lambda c: -sum(n / len(full) * np.log(n / len(full)) for n in np.unique(c, return_counts=True)[1])
+        for (i, j), v in mutual.items():
+            a, b = h(code[i]), h(code[j])
+            want = max(0.0, (a + b - h(code[i] * 4 + code[j])) / np.sqrt(a * b)) if a > 0 and b > 0 else 0.0
+            assert v == pytest.approx(want, abs=1e-9)
+        assert len(mutual) == 55
+    with pytest.raises(ValueError, match="not enough complete rows"):
+        association.pearson(df.where("frame < 4 or trace != 't1'"))
+    from fluora.plans import modules
+
+    both = df.withColumn("trace", F.concat("trace", F.lit("mean"))).withColumn("trace", F.regexp_replace("trace", "t(\\d+)mean", "$1_mean")).unionByName(df.withColumn("trace", F.regexp_replace("trace", "t", "max")))
+    one = modules.pearson_matrix({"traces": both, "metric": "me"})["matrix"]
+    assert one.count() == 55 and one.where("not i like '%_mean'").count() == 0
