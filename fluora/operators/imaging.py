@@ -6,6 +6,7 @@ Videos come as frames (frame, px ARRAY<DOUBLE>) or pixels (frame, pixel, v); reg
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -16,6 +17,8 @@ from fluora.operators.tiles import labelled
 
 #: Frames whose moves are summed in one task.
 STEPS = 1 << 14
+#: Pixels of regions (4 bytes each) that are broadcast together.
+MASK_PIXELS = 4_000_000
 
 
 def pixels(frames: DataFrame) -> DataFrame:
@@ -28,11 +31,13 @@ def roi_metrics(frames: DataFrame, masks: DataFrame, more: dict[str, Callable[[C
 
     ``more`` has further metrics by name: functions from the array of a region's values to a number.
 
-    Region masks are packed into arrays and meet the frames once, so pixels are never shuffled; regions without pixels
-    have null metrics.
+    Region masks are packed into arrays, of which all frames meet at most ``MASK_PIXELS`` pixels at a time, so pixels are
+    never shuffled; regions without pixels have null metrics. The result has a row for each frame and region.
     """
-    packed = masks.groupBy("roi_id").agg(F.collect_list("pixel").alias("at"))
-    rows = frames.join(F.broadcast(packed) if masks.count() <= 1_000_000 else packed)
+    packed = masks.groupBy("roi_id").agg(F.collect_list(F.col("pixel").cast("int")).alias("at"))
+    parts = max(1, -(-masks.count() // MASK_PIXELS))
+    some = [packed.where(F.pmod(F.xxhash64("roi_id"), F.lit(parts)) == i) for i in range(parts)]
+    rows = reduce(DataFrame.unionByName, [frames.join(F.broadcast(p)) for p in some])
     values = F.filter(F.transform("at", lambda i: F.get(F.col("px"), i)), lambda v: v.isNotNull())
     rows = rows.select("frame", "roi_id", values.alias("v")).withColumn("n", F.size("v"))
     total = F.aggregate("v", F.lit(0.0), lambda a, v: a + v)

@@ -74,15 +74,18 @@ def _cells(line: Column) -> Column:
     return F.when(line.contains('"'), plain).otherwise(F.split(line, ",", -1))
 
 
-def wide_csv(spark: SparkSession, path: str) -> DataFrame:
+def wide_csv(spark: SparkSession, path: str, only: list[str] | None = None) -> DataFrame:
     """(col_ord, name, frame, y, cell) of a wide CSV: records are split and exploded, never inferred column by column.
 
-    Frames are the records in file order. Quoted cells may hold commas, doubled quotes and line breaks.
+    Frames are the records in file order. Quoted cells may hold commas, doubled quotes and line breaks. With ``only``,
+    other columns' cells are dropped from a record before it is exploded.
     """
     names = header(spark, path)
     rows = records(spark, path).where("record > 0")
-    cells = rows.select((F.col("record") - 1).alias("frame"), F.posexplode(_cells(F.regexp_replace("value", "\r$", ""))).alias("col_ord", "cell"))
-    cells = cells.where(F.col("col_ord") < len(names))
+    wanted = F.array(*[F.lit(only is None or n in only) for n in names])
+    placed = F.transform(_cells(F.regexp_replace("value", "\r$", "")), lambda c, i: F.struct(i.alias("col_ord"), c.alias("cell")))
+    cells = rows.select((F.col("record") - 1).alias("frame"), F.explode(F.filter(placed, lambda s: F.coalesce(F.get(wanted, s["col_ord"]), F.lit(False)))).alias("s"))
+    cells = cells.select("frame", "s.col_ord", "s.cell")
     name = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("col_ord") + 1)
     return cells.select("col_ord", name.alias("name"), "frame", number(F.col("cell")).alias("y"), "cell")
 

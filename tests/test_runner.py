@@ -99,3 +99,19 @@ def test_matrix_file(spark, tmp_path):
     assert back == {(a, b): pytest.approx(v, abs=1e-6) for a, b, v in rows}
     sinks.write_matrix(matrix, str(tmp_path / "n"))
     assert "".join(p.read_text() for p in sorted((tmp_path / "n").glob("part-*"))).splitlines()[0] == ',n10,n2,"odd ""one"", two"'
+
+
+def test_only_wanted_columns_are_exploded(spark, tmp_path):
+    (tmp_path / "t.csv").write_text('a,"b,b",time_s,a\n1,2,3,4\n"x\ny",6,7\n')
+    got = {(r.frame, r.name): r.cell for r in traces.wide_csv(spark, str(tmp_path / "t.csv"), ["b,b", "a"]).collect()}
+    assert got == {(0, "a"): "1", (0, "b,b"): "2", (1, "a"): "x\ny", (1, "b,b"): "6"}
+
+
+def test_region_metrics_in_parts(spark, monkeypatch):
+    from fluora.operators import imaging
+
+    frames = spark.createDataFrame([(f, [float(f * 10 + p) for p in range(9)]) for f in range(4)], "frame long, px array<double>")
+    masks = spark.createDataFrame([(r, (r + k) % 9) for r in range(6) for k in range(r + 1)], "roi_id int, pixel int")
+    whole = sorted(tuple(r) for r in imaging.roi_metrics(frames, masks).collect())
+    monkeypatch.setattr(imaging, "MASK_PIXELS", 5)
+    assert sorted(tuple(r) for r in imaging.roi_metrics(frames, masks).collect()) == whole and len(whole) == 24
