@@ -63,15 +63,24 @@ def active(traces: DataFrame, k: float = 2.5, duration: int = 3) -> DataFrame:
 
 
 def gap_filled(traces: DataFrame) -> DataFrame:
-    """Adds ``filled``: linear between the neighbours of a gap by frame, flat at the ends, null if all are missing."""
-    order = Window.partitionBy("trace").orderBy("frame")
+    """Adds ``filled``: linear between the neighbours of a gap by frame, flat at the ends, null if all are missing.
+
+    Neighbours are looked for within blocks of frames; where a block has none, its neighbours' first and last samples count,
+    carried over the blocks of a trace.
+    """
     point = F.when(F.col("y").isNotNull(), F.struct("frame", "y"))
-    before = F.last(point, True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first(point, True).over(order.rowsBetween(0, Window.unboundedFollowing))
-    rows = traces.withColumn("_a", before).withColumn("_b", after)
+    rows = traces.withColumn("_block", F.expr(f"frame div {BLOCK}")).withColumn("_p", point)
+    edges = rows.groupBy("trace", "_block").agg(F.min("_p").alias("_first"), F.max("_p").alias("_last"))
+    blocks = Window.partitionBy("trace").orderBy("_block")  # a row a block
+    carried = edges.select("trace", "_block", F.last("_last", True).over(blocks.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"), F.first("_first", True).over(blocks.rowsBetween(1, Window.unboundedFollowing)).alias("_after"))
+    order = Window.partitionBy("trace", "_block").orderBy("frame")
+    before = F.last("_p", True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    after = F.first("_p", True).over(order.rowsBetween(0, Window.unboundedFollowing))
+    rows = rows.join(carried, ["trace", "_block"]).withColumn("_a", F.coalesce(before, "_before")).withColumn("_b", F.coalesce(after, "_after"))
     slope = (F.col("_b.y") - F.col("_a.y")) / (F.col("_b.frame") - F.col("_a.frame"))
     value = F.when(F.col("y").isNotNull(), F.col("y")).when(F.col("_a").isNull(), F.col("_b.y")).when(F.col("_b").isNull(), F.col("_a.y"))
-    return rows.withColumn("filled", value.otherwise(F.col("_a.y") + (F.col("frame") - F.col("_a.frame")) * slope)).drop("_a", "_b")
+    rows = rows.withColumn("filled", value.otherwise(F.col("_a.y") + (F.col("frame") - F.col("_a.frame")) * slope))
+    return rows.select(*traces.columns, "filled")
 
 
 def zscored(traces: DataFrame) -> DataFrame:

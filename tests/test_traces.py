@@ -185,3 +185,19 @@ def test_pairs_over_shared_frames(spark, monkeypatch):
     both = df.withColumn("trace", F.concat("trace", F.lit("mean"))).withColumn("trace", F.regexp_replace("trace", "t(\\d+)mean", "$1_mean")).unionByName(df.withColumn("trace", F.regexp_replace("trace", "t", "max")))
     one = modules.pearson_matrix({"traces": both, "metric": "me"})["matrix"]
     assert one.count() == 55 and one.where("not i like '%_mean'").count() == 0
+
+
+def test_gaps_over_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    series = {f"t{k}": [None if rng.random() < share else float(v) for v in rng.normal(size=50)] for k, share in enumerate((0.2, 0.7, 0.93, 1.0))}
+    series["t9"] = [None] * 20 + [1.0] + [None] * 25 + [3.0] + [None] * 9
+    df = frame(spark, series)
+    for block in (1 << 16, 7, 1):
+        monkeypatch.setattr(traces, "BLOCK", block)
+        got = {(r.trace, r.frame): r.filled for r in traces.gap_filled(df).collect()}
+        for k, ys in series.items():
+            at = [i for i, v in enumerate(ys) if v is not None]
+            for i in range(len(ys)):
+                want = np.interp(i, at, [ys[j] for j in at]) if at else None
+                assert got[k, i] == (None if want is None else pytest.approx(want))
+    assert traces.gap_filled(df).columns == [*df.columns, "filled"]
