@@ -73,6 +73,18 @@ def metric_file_name(stem: str, metric: str, suffix: str) -> str:
     return f"{stem}_{re.sub(r'[^0-9A-Za-z]', '', metric)}{suffix}"
 
 
+#: The columns of a spike file, in order.
+SPIKE_COLUMNS = ("signal", "spike_index", "start_s", "end_s", "width_s", "spike_time_s", "max_height", "auc", "x", "y", "truncated")
+
+
+def spike_table(spikes: DataFrame) -> DataFrame:
+    """Spikes in the columns of a spike file: the trace is the signal, and without regions there are no places."""
+    rows = spikes if "signal" in spikes.columns else spikes.withColumn("signal", F.col("trace").cast("string"))
+    for c in ("x", "y"):
+        rows = rows if c in rows.columns else rows.withColumn(c, F.lit(None).cast("double"))
+    return rows.select(*SPIKE_COLUMNS).orderBy("signal", "spike_index")
+
+
 def spike_lines(spikes: DataFrame) -> DataFrame:
     """Spikes with numbers of six decimals as text, empty for missing ones."""
     text = lambda c: F.when(F.col(c).isNull() | F.isnan(c), F.lit("")).otherwise(F.format_string("%.6f", F.col(c)))

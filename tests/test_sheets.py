@@ -75,3 +75,18 @@ def test_command_line_reads_xlsx(spark, tmp_path):
     modules.main(["select_active", "--input", str(tmp_path / "t.xlsx"), "--output", str(tmp_path / "out"), "--params", '{"metrics": "Mean", "k": 2.5}'])
     lines = "".join(p.read_text() for p in sorted((tmp_path / "out").glob("part-*"))).splitlines()
     assert lines[0] == "frame,Mean1,note" and lines[11].startswith("10,6.01,n10")
+
+
+def test_spike_file_of_the_command_line(spark, tmp_path):
+    rows = [["time_s", "Mean1", "Mean2"]] + [[100 + i / 2, *(1.0 + (i % 3) * 0.01 + (4 if at <= i < at + 4 else 0) for at in (10, 20))] for i in range(40)]
+    (tmp_path / "t.csv").write_text("\n".join(",".join(map(str, r)) for r in rows))
+    with zipfile.ZipFile(tmp_path / "r.zip", "w") as z:
+        for i in range(2):
+            z.writestr(f"{i}.roi", traces.encode_roi("rect", left=10 * i, top=4, width=2, height=6))
+    for n, params in enumerate(('{"metrics": "Mean"}', '{"metrics": "Mean", "roi_zip": "' + str(tmp_path / "r.zip") + '"}')):
+        modules.main(["spike_analysis", "--input", str(tmp_path / "t.csv"), "--output", str(tmp_path / f"out{n}"), "--params", params])
+        lines = "".join(p.read_text() for p in sorted((tmp_path / f"out{n}").glob("part-*"))).splitlines()
+        assert lines[0] == "signal,spike_index,start_s,end_s,width_s,spike_time_s,max_height,auc,x,y,truncated"
+        got = {x.split(",")[0]: x.split(",") for x in lines[1:]}
+        assert set(got) == {"Mean1", "Mean2"} and [got[k][5] for k in ("Mean1", "Mean2")] == ["105.500000", "110.000000"]
+        assert [got[k][8:10] for k in ("Mean1", "Mean2")] == ([["", ""]] * 2 if n == 0 else [["1.000000", "7.000000"], ["11.000000", "7.000000"]])
