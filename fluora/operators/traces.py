@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fluora.functions.shared import cut
-
 #: Frames in a block. Runs are found within blocks and then joined, so that a long trace is not one task's work.
 BLOCK = 1 << 16
 
@@ -110,10 +108,11 @@ def complete_frames(traces: DataFrame) -> DataFrame:
 def shared_frames(traces: DataFrame, least: int = 2) -> DataFrame:
     """The rows of frames in which every trace has a sample; traces may begin and end anywhere. Too few such frames are an error."""
     n = traces.select("trace").distinct().count()
-    full = cut(traces.where("y is not null").groupBy("frame").agg(F.count("*").alias("n")).where(F.col("n") == n).select("frame"))
-    if (found := full.count()) < least:
-        raise ValueError(f"not enough complete rows: {found}, of {least} at least")
-    return traces.join(full, "frame", "left_semi")
+    counts = traces.groupBy("frame").agg(F.count("y").alias("n"))
+    seen = counts.agg(F.min("n").alias("least"), F.count_if(F.col("n") == n).alias("full")).first()
+    if seen["full"] < least:
+        raise ValueError(f"not enough complete rows: {seen['full']}, of {least} at least")
+    return traces if seen["least"] == n else traces.join(counts.where(F.col("n") == n).select("frame"), "frame", "left_semi")
 
 
 def first_traces(header: DataFrame, n: int) -> DataFrame:
