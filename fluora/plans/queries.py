@@ -286,7 +286,7 @@ def graph_initial_threshold(spark, sf_dir):
 @query(f"""WITH {PAIRS}, {ENDS}, o AS (SELECT id, other, weight, row_number() OVER (PARTITION BY id ORDER BY abs(weight) DESC, other)::INT AS rank FROM z)
 SELECT id, rank, other, weight FROM o WHERE rank <= 6""")
 def neighbours_of(spark, sf_dir):
-    return graph.neighbours(weights(spark, sf_dir))
+    return graph.pair_neighbours(pairs(spark, sf_dir))
 
 
 @query(f"""WITH {PAIRS}, mx AS (SELECT max(abs(weight)) AS m FROM e), h AS (SELECT least(63, floor(abs(weight) / m * 64))::INT AS bin, count(*)::BIGINT AS n FROM e, mx GROUP BY 1)
