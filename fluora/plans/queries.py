@@ -250,7 +250,7 @@ def trace_entropy(spark, sf_dir):
 x AS (SELECT i, j, ln(sum(n)) - sum(n * ln(n)) / sum(n) AS h FROM k GROUP BY 1, 2)
 SELECT i, j, round(CASE WHEN a.h > 0 AND b.h > 0 THEN least(greatest((a.h + b.h - x.h) / sqrt(a.h * b.h), 0), 1) ELSE 0 END, 6) AS value FROM x JOIN h a ON a.trace = i JOIN h b ON b.trace = j""")
 def nmi_matrix(spark, sf_dir):
-    return association.nmi(tables.vector_traces(spark, sf_dir), BINS).select("i", "j", r("value"))
+    return association.nmi(tables.vector_traces(spark, sf_dir), BINS, DIGITS)
 
 
 @query(f"WITH {PAIRS} SELECT source, target, weight FROM e")
