@@ -298,7 +298,7 @@ def weight_histogram(spark, sf_dir):
 @query(f"""WITH {PAIRS}, mx AS (SELECT max(abs(weight)) AS m FROM e)
 SELECT weight < 0 AS negative, least(15, floor((abs(weight) - 0.1) / (m - 0.1) * 16))::INT AS bucket, count(*)::BIGINT AS n FROM e, mx WHERE abs(weight) >= 0.1 GROUP BY 1, 2""")
 def edge_buckets(spark, sf_dir):
-    return graph.buckets(weights(spark, sf_dir), 0.1)
+    return graph.pair_buckets(pairs(spark, sf_dir), 0.1)
 
 
 @query(f"WITH {PAIRS} SELECT count(*)::BIGINT AS edge_count, round(max(abs(weight)), 4) AS max_abs_weight FROM e")
