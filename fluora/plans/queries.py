@@ -292,7 +292,7 @@ def neighbours_of(spark, sf_dir):
 @query(f"""WITH {PAIRS}, mx AS (SELECT max(abs(weight)) AS m FROM e), h AS (SELECT least(63, floor(abs(weight) / m * 64))::INT AS bin, count(*)::BIGINT AS n FROM e, mx GROUP BY 1)
 SELECT bin, n, round(ln(1 + n) / (SELECT ln(1 + max(n)) FROM h), 6) AS height FROM h""")
 def weight_histogram(spark, sf_dir):
-    return graph.histogram(weights(spark, sf_dir)).select("bin", "n", r("height"))
+    return graph.pair_histogram(pairs(spark, sf_dir)).select("bin", "n", r("height"))
 
 
 @query(f"""WITH {PAIRS}, mx AS (SELECT max(abs(weight)) AS m FROM e)
