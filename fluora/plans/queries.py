@@ -269,7 +269,7 @@ def node_strength(spark, sf_dir):
 @query(f"WITH {PAIRS}, {ENDS} SELECT vec_id AS id, sum(CASE WHEN abs(weight) >= 0.3 THEN 1 ELSE 0 END)::BIGINT AS degree FROM embeddings LEFT JOIN z ON z.id = vec_id GROUP BY 1")
 def node_degree(spark, sf_dir):
     nodes = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("id"))
-    return graph.degrees(weights(spark, sf_dir), nodes, 0.3)
+    return graph.pair_degrees(pairs(spark, sf_dir), nodes, 0.3)
 
 
 @query(f"WITH {PAIRS} SELECT source, target, weight FROM e ORDER BY abs(weight) DESC, source, target LIMIT 40000")
