@@ -263,7 +263,7 @@ ENDS = "z AS (SELECT source AS id, target AS other, weight FROM e UNION ALL SELE
 
 @query(f"WITH {PAIRS}, {ENDS} SELECT id, round(sum(abs(weight)), 6) AS strength FROM z GROUP BY 1")
 def node_strength(spark, sf_dir):
-    return graph.strengths(weights(spark, sf_dir)).select("id", r("strength"))
+    return graph.pair_strengths(pairs(spark, sf_dir), DIGITS).select("id", r("strength"))
 
 
 @query(f"WITH {PAIRS}, {ENDS} SELECT vec_id AS id, sum(CASE WHEN abs(weight) >= 0.3 THEN 1 ELSE 0 END)::BIGINT AS degree FROM embeddings LEFT JOIN z ON z.id = vec_id GROUP BY 1")
