@@ -303,7 +303,7 @@ def edge_buckets(spark, sf_dir):
 
 @query(f"WITH {PAIRS} SELECT count(*)::BIGINT AS edge_count, round(max(abs(weight)), 4) AS max_abs_weight FROM e")
 def graph_summary(spark, sf_dir):
-    return graph.summary(weights(spark, sf_dir))
+    return graph.pair_summary(pairs(spark, sf_dir))
 
 
 @query(f"WITH {PAIRS} SELECT source, target, printf('%.6f', weight) AS weight FROM e WHERE abs(weight) >= 0.5")
