@@ -308,7 +308,7 @@ def graph_summary(spark, sf_dir):
 
 @query(f"WITH {PAIRS} SELECT source, target, printf('%.6f', weight) AS weight FROM e WHERE abs(weight) >= 0.5")
 def network_edges(spark, sf_dir):
-    return sinks.network(network_points(spark, sf_dir), weights(spark, sf_dir), 0.5)[0]
+    return sinks.network(network_points(spark, sf_dir), weights(spark, sf_dir, 0.5), 0.5)[0]
 
 
 def network_points(spark, sf_dir) -> DataFrame:
