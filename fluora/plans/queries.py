@@ -321,7 +321,7 @@ def network_points(spark, sf_dir) -> DataFrame:
 @query(f"""WITH {PAIRS}, {ENDS}, d AS (SELECT id, count(*) AS n FROM z WHERE abs(weight) >= 0.5 GROUP BY 1)
 SELECT vec_id AS id, 'v' || vec_id AS label, printf('%.6f', embedding[1]::DOUBLE) AS x, printf('%.6f', embedding[2]::DOUBLE) AS y, coalesce(n, 0)::BIGINT AS degree FROM embeddings LEFT JOIN d ON d.id = vec_id""")
 def network_nodes(spark, sf_dir):
-    return sinks.network(network_points(spark, sf_dir), weights(spark, sf_dir), 0.5)[1]
+    return sinks.network(network_points(spark, sf_dir), weights(spark, sf_dir, 0.5), 0.5)[1]
 
 
 @query("""WITH n AS (SELECT (n_nationkey % 20)::BIGINT AS id, max(n_nationkey) AS ord FROM nation GROUP BY 1),
