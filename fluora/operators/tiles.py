@@ -5,7 +5,8 @@ Images are rows (image, pixel, ...), pixel being y * width + x.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -18,6 +19,49 @@ from fluora.functions.shared import checkpoint, cut
 SIDE = 256
 
 
+Columns = dict[str, np.ndarray]
+
+
+def by_group(rows: DataFrame, keys: list[str], run: Callable[[Columns], dict | None], schema: str) -> DataFrame:
+    """What ``run`` makes of the columns of each group; it gives arrays or lists by name, or nothing.
+
+    Groups lie one after the other in sorted partitions, so many small ones share a batch, where ``applyInPandas`` makes
+    batches and frames for each; a task holds a batch and its largest group.
+    """
+    fields = [f.strip().split(" ", 1) for f in schema.split(", ")]
+
+    def framed(made: list[dict]) -> pd.DataFrame:
+        out = {}
+        for name, kind in fields:
+            parts = [m[name] for m in made]
+            whole = np.concatenate(parts) if all(isinstance(p, np.ndarray) and p.ndim == 1 for p in parts) else list(chain(*parts))
+            out[name] = pd.array(whole, "Int64") if kind == "long" and isinstance(whole, np.ndarray) and whole.dtype.kind == "f" else whole
+        return pd.DataFrame(out)
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[Columns] = []  # parts of the group that may go on
+        whole = lambda: {c: np.concatenate([h[c] for h in held]) for c in held[0]}
+        for batch in batches:
+            if not len(batch):
+                continue
+            columns = {c: batch[c].to_numpy() for c in batch.columns}
+            new = np.logical_or.reduce([columns[k][1:] != columns[k][:-1] for k in keys])
+            at = [0, *(np.flatnonzero(new) + 1).tolist(), len(batch)]
+            made = []
+            for a, b in zip(at, at[1:], strict=False):
+                part = {c: v[a:b] for c, v in columns.items()}
+                if held and any(held[0][k][0] != part[k][0] for k in keys):
+                    made.append(run(whole()))
+                    held = []
+                held.append(part)
+            if made := [m for m in made if m]:
+                yield framed(made)
+        if held and (last := run(whole())):
+            yield framed([last])
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(each, schema)
+
+
 def windows(image: DataFrame, width: int, height: int, margin: int = 0, side: int = SIDE) -> DataFrame:
     """The rows with (ty, tx), repeated for each tile whose window, ``margin`` pixels larger on all sides, holds the pixel."""
 
@@ -37,25 +81,25 @@ def by_tile(image: DataFrame, width: int, height: int, work: Callable[[np.ndarra
     """
     kind = image.schema["image"].dataType.simpleString()
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        top, left = int(rows.ty.iloc[0]) * side, int(rows.tx.iloc[0]) * side
+    def run(rows: Columns) -> dict:
+        top, left = int(rows["ty"][0]) * side, int(rows["tx"][0]) * side
         bottom, right = min(top + side, height), min(left + side, width)
         y0, y1, x0, x1 = max(top - margin, 0), min(bottom + margin, height), max(left - margin, 0), min(right + margin, width)
         window, there = np.full((y1 - y0, x1 - x0), 0.0 if fill is None else fill), np.zeros((y1 - y0, x1 - x0), bool)
-        y, x = np.divmod(rows.pixel.to_numpy(np.int64), width)
-        window[y - y0, x - x0], there[y - y0, x - x0] = rows.v.to_numpy(float), True
+        y, x = np.divmod(rows["pixel"].astype(np.int64), width)
+        window[y - y0, x - x0], there[y - y0, x - x0] = rows["v"].astype(float), True
         around = ((y0 - top + margin, bottom + margin - y1), (x0 - left + margin, right + margin - x1))
         window = np.pad(window, around, mode="reflect") if fill is None else np.pad(window, around, constant_values=fill)
         there = there[top - y0 : bottom - y0, left - x0 : right - x0]
         yy, xx = np.nonzero(there)
-        out = {"image": rows.image.iloc[0], "pixel": (yy + top) * width + xx + left}
+        out = {"image": np.repeat(rows["image"][:1], len(yy)), "pixel": (yy + top) * width + xx + left}
         for name, values in work(window).items():
             own = values[there]
             out[name] = own if own.ndim == 1 else list(own)
-        return pd.DataFrame(out)
+        return out
 
     rows = windows(image.select("image", "pixel", "v"), width, height, margin, side)
-    return rows.groupBy("image", "ty", "tx").applyInPandas(run, f"image {kind}, pixel long, {schema}")
+    return by_group(rows, ["image", "ty", "tx"], run, f"image {kind}, pixel long, {schema}")
 
 
 def blob_labels(at: np.ndarray, width: int) -> np.ndarray:
@@ -109,14 +153,14 @@ def labelled(masks: DataFrame, width: int, side: int = SIDE) -> DataFrame:
     """
     kind = masks.schema["image"].dataType.simpleString()
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        at = np.sort(rows.pixel.unique())
-        return pd.DataFrame({"image": rows.image.iloc[0], "pixel": at, "blob": blob_labels(at, width)})
+    def run(rows: Columns) -> dict:
+        at = np.unique(rows["pixel"])
+        return {"image": np.repeat(rows["image"][:1], len(at)), "pixel": at, "blob": blob_labels(at, width)}
 
     y, x = F.expr(f"pixel div {width}"), F.col("pixel") % width
     rows = masks.select("image", F.col("pixel").cast("long").alias("pixel"))
     tiled = rows.withColumn("ty", F.floor(y / side)).withColumn("tx", F.floor(x / side))
-    within = cut(tiled.groupBy("image", "ty", "tx").applyInPandas(run, f"image {kind}, pixel long, blob long"))
+    within = cut(by_group(tiled, ["image", "ty", "tx"], run, f"image {kind}, pixel long, blob long"))
     # a pixel in a tile's first row or column, and those before it in other tiles
     place = within.select("image", "pixel", "blob", y.alias("y"), x.alias("x")).where(f"(y > 0 and y % {side} = 0) or (x > 0 and x % {side} = 0) or (x + 1) % {side} = 0")
     step = F.explode(F.array(*[F.struct(F.lit(a).alias("dy"), F.lit(b).alias("dx")) for a, b in ((-1, -1), (-1, 0), (-1, 1), (0, -1))]))

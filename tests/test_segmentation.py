@@ -219,3 +219,19 @@ def test_samples_are_capped_and_seeded(spark):
     rows = [sorted(tuple(r) for r in segmentation.samples(p, masks.where("pixel < 300"), masks.where("pixel >= 200"), 50, 7).selectExpr("label", "features[0]").collect()) for p in (pixels, pixels.repartition(7))]
     assert rows[0] == rows[1] and [sum(r[0] == c for r in rows[0]) for c in (0.0, 1.0)] == [50, 50]
     assert all((v < 300) == (label == 1.0) for label, v in rows[0])
+
+def test_groups_over_batches(spark):
+    """Many groups share a batch, and a group may go over several; nothing is made of some."""
+    from fluora.operators.tiles import by_group
+
+    sizes = [1, 7, 2, 3, 1, 1, 12, 4]
+    rows = [(f"g{k}", k % 2, v) for k, n in enumerate(sizes) for v in range(n)]
+    df = spark.createDataFrame(rows, "image string, part int, v long")
+    seen = lambda c: {"image": c["image"][:1], "n": np.array([len(c["v"])]), "half": np.array([np.nan if len(c["v"]) == 7 else c["v"].sum()]), "all": [c["v"].tolist()]} if len(c["v"]) != 2 else None
+    for size in ("3", "1", "10000"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        try:
+            got = {r.image: (r.n, r.half, sorted(r.all)) for r in by_group(df, ["image", "part"], seen, "image string, n long, half long, all array<long>").collect()}
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        assert got == {f"g{k}": (n, None if n == 7 else n * (n - 1) // 2, list(range(n))) for k, n in enumerate(sizes) if n != 2}
