@@ -9,13 +9,12 @@ from __future__ import annotations
 from collections import deque
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fluora.functions.shared import cut
 from fluora.operators import contours, imaging
-from fluora.operators.tiles import by_tile, labelled
+from fluora.operators.tiles import Columns, by_group, by_tile, labelled
 
 #: Scales of the features, and how far around a pixel the largest reaches.
 SCALES, REACH = (1, 2, 4), 17
@@ -93,7 +92,7 @@ def probability(model, pixels: DataFrame) -> DataFrame:
 
 
 def _strips(rows: DataFrame, keep: str) -> DataFrame:
-    return rows.withColumn("strip", F.floor(F.col(keep) / STRIP)).groupBy("image", "strip")
+    return rows.withColumn("strip", F.floor(F.col(keep) / STRIP))
 
 
 def distances(masks: DataFrame, width: int, height: int) -> DataFrame:
@@ -103,22 +102,22 @@ def distances(masks: DataFrame, width: int, height: int) -> DataFrame:
     """
     kind = masks.schema["image"].dataType.simpleString()
 
-    def columns(rows: pd.DataFrame) -> pd.DataFrame:
-        y, x = np.divmod(rows.pixel.to_numpy(np.int64), width)
-        left = int(rows.strip.iloc[0]) * STRIP
+    def columns(rows: Columns) -> dict:
+        y, x = np.divmod(rows["pixel"].astype(np.int64), width)
+        left = int(rows["strip"][0]) * STRIP
         far = np.zeros((height, STRIP))
         far[y, x - left] = np.inf
         for way in (range(1, height), range(height - 2, -1, -1)):
             for i in way:
                 far[i] = np.minimum(far[i], far[i - 1 if way.step > 0 else i + 1] + 1)
         g = far[y, x - left]
-        return pd.DataFrame({"image": rows.image.iloc[0], "pixel": rows.pixel, "g": np.where(np.isfinite(g), g, -1).astype(np.int64)})
+        return {"image": rows["image"], "pixel": rows["pixel"], "g": np.where(np.isfinite(g), g, -1).astype(np.int64)}
 
-    def along(rows: pd.DataFrame) -> pd.DataFrame:
-        y, x = np.divmod(rows.pixel.to_numpy(np.int64), width)
-        top = int(rows.strip.iloc[0]) * STRIP
+    def along(rows: Columns) -> dict:
+        y, x = np.divmod(rows["pixel"].astype(np.int64), width)
+        top = int(rows["strip"][0]) * STRIP
         f = np.zeros((STRIP, width))
-        g = rows.g.to_numpy(float)
+        g = rows["g"].astype(float)
         f[y - top, x] = np.where(g < 0, np.inf, g * g)
         best = f.copy()
         for k in range(1, width):
@@ -127,11 +126,11 @@ def distances(masks: DataFrame, width: int, height: int) -> DataFrame:
             best[:, k:] = np.minimum(best[:, k:], f[:, :-k] + k * k)
             best[:, :-k] = np.minimum(best[:, :-k], f[:, k:] + k * k)
         d2 = best[y - top, x]
-        return pd.DataFrame({"image": rows.image.iloc[0], "pixel": rows.pixel, "d2": pd.array([int(v) if np.isfinite(v) else None for v in d2], "Int64")})
+        return {"image": rows["image"], "pixel": rows["pixel"], "d2": np.where(np.isfinite(d2), d2, np.nan)}
 
     rows = masks.select("image", F.col("pixel").cast("long").alias("pixel")).distinct()
-    down = _strips(rows.withColumn("x", F.col("pixel") % width), "x").applyInPandas(columns, f"image {kind}, pixel long, g long")
-    return _strips(down.withColumn("y", F.expr(f"pixel div {width}")), "y").applyInPandas(along, f"image {kind}, pixel long, d2 long")
+    down = by_group(_strips(rows.withColumn("x", F.col("pixel") % width), "x"), ["image", "strip"], columns, f"image {kind}, pixel long, g long")
+    return by_group(_strips(down.withColumn("y", F.expr(f"pixel div {width}")), "y"), ["image", "strip"], along, f"image {kind}, pixel long, d2 long")
 
 
 def peaks(far: DataFrame, width: int, height: int, radius: int, side: int = 256) -> DataFrame:
@@ -200,19 +199,19 @@ def split(masks: DataFrame, guide: DataFrame, width: int, height: int, least: in
     ring = ring.join(parts.select("image", "pixel"), ["image", "pixel"], "left_anti").withColumn("seed", F.lit(-2).cast("long"))
     rows = inside.unionByName(ring.select(*inside.columns)).join(guide.select("image", "pixel", "u8"), ["image", "pixel"], "left")
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        y, x = np.divmod(rows.pixel.to_numpy(np.int64), width)
-        seed = rows.seed.to_numpy(np.int64)
+    def run(rows: Columns) -> dict:
+        y, x = np.divmod(rows["pixel"].astype(np.int64), width)
+        seed = rows["seed"].astype(np.int64)
         top, left = y.min() - 1, x.min() - 1
         labels, g = np.full((y.max() - top + 2, x.max() - left + 2), -1, np.int64), np.zeros((y.max() - top + 2, x.max() - left + 2), np.int64)
-        g[y - top, x - left] = rows.u8.fillna(0).to_numpy(np.int64)
+        g[y - top, x - left] = np.nan_to_num(rows["u8"].astype(float)).astype(np.int64)
         edge = (y == 0) | (x == 0) | (y == height - 1) | (x == width - 1)
         labels[y - top, x - left] = np.where(edge, -1, np.where(seed == -2, 1, np.where(seed == -1, 0, seed + 2)))
         out = flooded(g, labels)[y - top, x - left]
         own = (out > 1) & (seed != -2)
-        return pd.DataFrame({"image": rows.image.iloc[0], "region": out[own] - 2, "pixel": rows.pixel[own]})
+        return {"image": rows["image"][own], "region": out[own] - 2, "pixel": rows["pixel"][own]}
 
-    return rows.groupBy("image", "blob").applyInPandas(run, f"image {kind}, region long, pixel long")
+    return by_group(rows, ["image", "blob"], run, f"image {kind}, region long, pixel long")
 
 
 #: What ``shapes`` gives besides the image.
@@ -243,20 +242,20 @@ def shapes(regions: DataFrame, width: int, kind: str = "circular", least: float
     if kind not in ("circular", "rectangular", "polygonal"):
         raise ValueError(f"no such shape: {kind}")
     image = regions.schema["image"].dataType.simpleString()
-    names = [c.split()[0] for c in SHAPE.split(", ")]
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        y, x = np.divmod(rows.pixel.to_numpy(np.int64), width)
+    def run(rows: Columns) -> dict | None:
+        y, x = np.divmod(rows["pixel"].astype(np.int64), width)
         inside = np.zeros((np.ptp(y) + 1, np.ptp(x) + 1), bool)
         inside[y - y.min(), x - x.min()] = True
         points = contours.boundary(inside) + [x.min(), y.min()]
         size, around = abs(contours.area(points)), contours.perimeter(points)
         diameter = 2 * np.sqrt(size / np.pi)
         if not size or not least <= diameter <= most or 4 * np.pi * size / around**2 < round_:
-            return pd.DataFrame(columns=["image", *names])
-        return pd.DataFrame([{"image": rows.image.iloc[0], "region": rows.region.iloc[0], **shape(points, kind), "area": size, "perimeter": around}])[["image", *names]]
+            return None
+        found = {"image": rows["image"][0], "region": rows["region"][0], **shape(points, kind), "area": size, "perimeter": around}
+        return {name: [value] for name, value in found.items()}
 
-    return regions.groupBy("image", "region").applyInPandas(run, f"image {image}, {SHAPE}")
+    return by_group(regions, ["image", "region"], run, f"image {image}, {SHAPE}")
 
 
 def bodies(image: DataFrame, width: int, height: int, threshold: float = 0.5, least: int = 5, most: int = 40, round_: float = 0.5, separate: bool = True, kind: str = "circular") -> DataFrame:
