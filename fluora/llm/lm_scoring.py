@@ -45,7 +45,9 @@ SMOOTH = 0.1
 CONTEXT, DIM, NOISE, ROUNDS, RATE = 3, 16, 48, 4, 0.15
 #: Training tokens to see at least, over several passes of a small corpus.
 EXAMPLES = 4_000_000
-BATCH, STEP, CHUNK = 512, 4096, 4096
+BATCH, STEP = 512, 4096
+#: Tokens that are scored together, and rows of scores at once.
+CHUNK, ROWS = 1 << 17, 2048
 #: Parameters in a piece that is averaged.
 PIECE = 1 << 14
 
@@ -159,26 +161,29 @@ class Model:
             out += self.c[j] * self.r[before[:, j]]
         return out
 
-    def _contrast(self, made: np.ndarray, target: np.ndarray, q: str, b: str, s: str, noise: np.ndarray, edges: np.ndarray, rate: float, rng) -> np.ndarray:
-        """A step of one output layer; returns the slope for the contexts."""
+    def _contrast(self, made: np.ndarray, target: np.ndarray, q: str, b: str, s: str, log_noise: np.ndarray, drawn: np.ndarray, rate: float) -> np.ndarray:
+        """A step of one output layer, whose targets are in order; returns the slope for the contexts."""
         weights, bias, past = getattr(self, q), getattr(self, b), getattr(self, s)
-        drawn = np.minimum(np.searchsorted(edges, rng.random(NOISE)), len(edges) - 1)
-        log_noise = np.log(NOISE * noise)
-        sigmoid = lambda x: 1 / (1 + np.exp(-np.clip(x, -30, 30)))
-        up = 1 - sigmoid((made * weights[target]).sum(1) + bias[target] - log_noise[target])
-        down = sigmoid(made @ weights[drawn].T + bias[drawn] - log_noise[drawn])
-        back = up[:, None] * weights[target] - down @ weights[drawn]
-        rows = np.concatenate([target, drawn])
-        grad = np.concatenate([up[:, None] * made, -(down.T @ made)])
-        self._move(weights, past, rows, grad, rate, bias, np.concatenate([up, -down.sum(0)]))
+        own, noise = weights[target], weights[drawn]
+        up = _falling(np.einsum("ij,ij->i", made, own) + (bias - log_noise)[target])
+        down = made @ -noise.T
+        down += log_noise[drawn] - bias[drawn]
+        down = _falling(down)
+        own *= up[:, None]
+        own -= down @ noise
+        back = own
+        first = _firsts(target)
+        rows = np.concatenate([target[first], drawn])
+        grad = np.concatenate([np.add.reduceat(up[:, None] * made, first, axis=0), -(down.T @ made)])
+        self._move(weights, past, rows, grad, rate, bias, np.concatenate([np.add.reduceat(up, first), -down.sum(0)]))
         return back
 
     @staticmethod
     def _move(weights: np.ndarray, past: np.ndarray, rows: np.ndarray, grad: np.ndarray, rate: float, bias: np.ndarray | None = None, slope: np.ndarray | None = None) -> None:
         """Adagrad by rows: sums the gradients of equal rows, then moves each row once."""
-        order = np.argsort(rows, kind="stable")
+        order = np.argsort(rows.astype(np.uint16) if len(weights) <= 1 << 16 else rows, kind="stable")
         rows = rows[order]
-        first = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
+        first = _firsts(rows)
         rows, total = rows[first], np.add.reduceat(grad[order], first, axis=0)
         past[rows] += (total * total).mean(1)
         size = rate / np.sqrt(past[rows])
@@ -187,38 +192,57 @@ class Model:
             bias[rows] += size * np.add.reduceat(slope[order], first)
 
     def train(self, ids: np.ndarray, starts: np.ndarray, seed: int, rate: float) -> None:
-        """Noise-contrastive steps over all tokens of the joined texts, in random order."""
+        """Noise-contrastive steps over all tokens of the joined texts, in random order; within a step by item, so that equal ones are together."""
         rng = np.random.default_rng(seed)
         before, order = contexts(ids, starts, self.end), rng.permutation(len(ids))
         edges, group_edges = np.cumsum(self.noise), np.cumsum(self.group_noise)
-        log = lambda x: x.astype(np.float32)
-        noise, group_noise = log(self.noise), log(self.group_noise)
+        log_noise, log_group_noise = (np.log(NOISE * x).astype(np.float32) for x in (self.noise, self.group_noise))
+        draw = lambda x: np.minimum(np.searchsorted(x, rng.random(NOISE)), len(x) - 1)
+        small = np.uint16 if len(self.group) <= 1 << 16 else np.int64
         for low in range(0, len(order), STEP):
             at = order[low : low + STEP]
+            at = at[np.argsort(ids[at].astype(small), kind="stable")]
             u, w = before[at], ids[at]
-            made = self.made(u)
-            back = self._contrast(made, w, "q", "b", "sq", noise, edges, rate, rng)
-            back += self._contrast(made, self.group[w], "gq", "gb", "sgq", group_noise, group_edges, rate, rng)
-            self._move(self.r, self.sr, u.T.ravel(), (self.c[:, None, :] * back).reshape(-1, DIM), rate)
-            self.c += rate * np.stack([(back * self.r[u[:, j]]).mean(0) for j in range(CONTEXT)])
+            seen = self.r[u]
+            made = np.einsum("ijk,jk->ik", seen, self.c)
+            back = self._contrast(made, w, "q", "b", "sq", log_noise, draw(edges), rate)
+            back += self._contrast(made, self.group[w], "gq", "gb", "sgq", log_group_noise, draw(group_edges), rate)
+            slope = np.einsum("ik,ijk->jk", back, seen) / len(at)
+            self._move(self.r, self.sr, u.ravel(), (back[:, None, :] * self.c).reshape(-1, DIM), rate)
+            self.c += rate * slope
 
     def log_probs(self, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """log10 probability of every token of the joined texts, normalised over groups and over the items of a group."""
         before, out = contexts(ids, starts, self.end), np.zeros(len(ids))
+        items = np.arange(len(self.group)).astype(np.uint16 if len(self.group) <= 1 << 16 else np.int64)
         for low in range(0, len(ids), CHUNK):
-            w = ids[low : low + CHUNK]
-            made, g = self.made(before[low : low + CHUNK]), self.group[w]
-            score = made @ self.gq.T + self.gb
-            part = _taken(score, g)
-            order = np.argsort(g, kind="stable")
-            cuts = np.searchsorted(g[order], np.arange(self.words + 1))
+            order = np.argsort(items[ids[low : low + CHUNK]], kind="stable")  # by item, so by group: each group is one slice
+            w, made = ids[low : low + CHUNK][order], self.made(before[low : low + CHUNK][order])
+            g, part = self.group[w], np.zeros(len(w))
+            for at in range(0, len(w), ROWS):
+                part[at : at + ROWS] = _taken(made[at : at + ROWS] @ self.gq.T + self.gb, g[at : at + ROWS])
+            cuts = np.searchsorted(g, np.arange(self.words + 1))
             for k in np.flatnonzero(np.diff(cuts)):
-                at, a, b = order[cuts[k] : cuts[k + 1]], self.edges[k], self.edges[k + 1]
-                part[at] += _taken(made[at] @ self.q[a:b].T + self.b[a:b], w[at] - a)
-            out[low : low + CHUNK] = part
+                a, b = self.edges[k], self.edges[k + 1]
+                for at in range(cuts[k], cuts[k + 1], ROWS):
+                    to = min(at + ROWS, cuts[k + 1])
+                    part[at:to] += _taken(made[at:to] @ self.q[a:b].T + self.b[a:b], w[at:to] - a)
+            out[low + order] = part
         return out / np.log(10)
 
 
+def _falling(x: np.ndarray) -> np.ndarray:
+    """1 / (1 + exp(x)), in place."""
+    np.exp(np.minimum(x, 80, out=x), out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
+
+
+def _firsts(rows: np.ndarray) -> np.ndarray:
+    """Where runs of equal numbers begin."""
+    return np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
+
+
 def _taken(score: np.ndarray, at: np.ndarray) -> np.ndarray:
     """The log softmax of each row at one place."""
     own = score[np.arange(len(at)), at].astype(np.float64)
