@@ -15,8 +15,7 @@ into blocks of ``BLOCK`` lines and the left side repeated for each.
 Rarity comes from a table of shingle counts by hash bucket (2**16 buckets, over all lines): any order gives the same
 result, a better one fewer candidates. A shingle is a hash of 57 bits; in a prefix its rarity stands in front.
 
-Shingles are cut, hashed and ordered in numpy over Arrow batches: the form with DataFrame functions only took 516 to 623
-CPU seconds a GB against a budget of 400, two thirds of it in this step. All grouping and joining is DataFrame work.
+All work is DataFrame functions. Whole sets and bitmaps are made for the lines only that share a shingle of their prefixes.
 
 Edge cases: lines without words always stay; null and empty texts stay as they are; rows with one document id and one
 text count as one document, whose lines don't match themselves by number; rows that share an id or have none are told
@@ -25,19 +24,16 @@ apart by a 64-bit hash of their texts; a document can end with an empty text; an
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import reduce
 from math import log2
 from operator import add
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from fluora.llm.common import cut, fresh, let, small
-from fluora.llm.line_shingles import Lines, bitmaps, chunks, mixed
+from fluora.llm.common import cut, fresh, let, small, window_hashes, words
 
+SHINGLE, BITS = 5, 57
 BUCKETS = 1 << 16
 #: Lines of a shingle's group that a task compares a line with at most.
 BLOCK = 1024
@@ -51,82 +47,57 @@ def text_hash(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
-def rarity(docs: DataFrame) -> np.ndarray:
-    """For each bucket a number below 64 that grows with the logarithm of its count of shingles in all lines."""
+def _lines(docs: DataFrame) -> DataFrame:
+    # the outer forms: before others Spark puts filters that compute the array again
+    rows = docs.select("doc_id", text_hash(F.col("text")).alias("text_hash"), F.posexplode_outer(F.split("text", "\n")).alias("line_no", "line"))
+    return rows.where(F.length("line") > 0)
 
-    def run(parts: Iterator) -> Iterator:
-        import pyarrow as pa
 
-        counts = np.zeros(BUCKETS, np.int64)
-        for part in parts:
-            texts = part.column(0).to_pylist()
-            for low, high in chunks(texts):
-                counts += np.bincount((Lines(texts[low:high]).shingles & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
-        some = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(counts[some], pa.int64())], ["bucket", "n"])
-
-    table = np.ones(BUCKETS, np.uint8)
-    for bucket, n in docs.select(_bytes("text")).mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n")).collect():
+def rarity(docs: DataFrame) -> str:
+    """For each bucket a number below 64 that grows with the logarithm of its count of shingles in all lines; joined by commas."""
+    rows = _lines(docs).select(words("line").alias("w"))
+    rows = rows.select("w", F.explode_outer(F.when(F.size("w") > 0, F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("w") - SHINGLE)))).alias("i")).where("i is not null")
+    # a row for each shingle, as that is hashed in generated code
+    h = F.xxhash64(*[F.get("w", F.col("i") + j) for j in range(SHINGLE)])
+    table = [1] * BUCKETS
+    for bucket, n in rows.groupBy(h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("bucket")).count().collect():
         table[bucket] = min(63, 1 + int(2 * log2(1 + n)))
-    return table
+    return ",".join(map(str, table))
+
 
+def shingles(line: Column) -> Column:
+    """Hashes of the five-word windows of a line, repeats included; null for a line without words."""
+    return let(words(line), lambda w: F.when(F.size(w) > 0, window_hashes(w, SHINGLE)))
 
-def _bytes(text: str) -> Column:
-    return F.coalesce(text, F.lit("")).cast("binary").alias("text")
 
+def ranked(hashes: Column, table: str) -> Column:
+    """57 bits of the distinct hashes with their rarity in front, rarest first."""
+    ranks = F.split(F.lit(table), ",").cast("array<bigint>")  # folded into one literal
+    rank = lambda h: F.coalesce(F.get(ranks, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")), F.lit(1).cast("long"))  # noqa: E731  never null, so sorted as primitives
+    keys = F.transform(hashes, lambda h: F.shiftleft(rank(h), BITS).bitwiseOR(F.shiftrightunsigned(h, 64 - BITS)))
+    return F.sort_array(F.array_distinct(keys))
 
-def _prefix(n):
+
+def _prefix(n: Column) -> Column:
     """The length of the prefix of a set of n shingles."""
-    return n - (4 * n + 4) // 5 + 1
+    return n - F.floor((4 * n + 4) / 5).cast("int") + 1
 
 
 def prefixes(docs: DataFrame) -> DataFrame:
-    """(line, doc_id, text_hash, line_no, set_id, n, prefix, bits_*) of all lines with words, computed once; ``line`` numbers them."""
+    """(line, doc_id, text_hash, line_no, set_id, n, prefix) of all lines with words, computed once; ``line`` numbers them."""
     table = rarity(docs)
+    rows = _lines(docs).select("doc_id", "text_hash", "line_no", ranked(shingles(F.col("line")), table).alias("tokens"))
+    n = F.size("tokens")
+    rows = cut(rows.select(F.monotonically_increasing_id().alias("line"), "doc_id", "text_hash", "line_no", F.xxhash64("tokens").alias("set_id"), n.alias("n"), F.slice("tokens", F.lit(1), _prefix(n)).alias("prefix")))
+    return rows.where("n > 0")  # after the cut: a filter before it would split all lines twice
+
 
-    def run(parts: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        for part in parts:
-            texts = part.column(2).to_pylist()
-            for low, high in chunks(texts):
-                lines = Lines(texts[low:high])
-                if not len(lines.text):
-                    continue
-                keys, starts = lines.sets(table)
-                n = np.diff(starts)
-                set_id = mixed(np.add.reduceat(mixed(keys), starts[:-1]) + n.astype(np.uint64))
-                take = _prefix(n)
-                some = np.arange(len(keys)) - np.repeat(starts[:-1], n) < np.repeat(take, n)
-                prefix = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(take)]).astype(np.int32), pa.array(keys[some].view(np.int64)))
-                at = pa.array(lines.text + low)
-                columns = [part.column(0).take(at), part.column(1).take(at), pa.array(lines.number), pa.array(set_id.view(np.int64)), pa.array(n.astype(np.int32)), prefix]
-                columns += [pa.array(b.view(np.int64)) for b in bitmaps(keys, starts[:-1], len(SKETCH))]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "line_no", "set_id", "n", "prefix", *SKETCH])
-
-    rows = docs.select("doc_id", text_hash(F.col("text")).alias("text_hash"), _bytes("text"))
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = rows.mapInArrow(run, f"doc_id {kind}, text_hash long, line_no int, set_id long, n int, prefix array<long>, {', '.join(f'{b} long' for b in SKETCH)}")
-    return cut(rows.select(F.monotonically_increasing_id().alias("line"), "*"))
-
-
-def _tokens(rows: DataFrame) -> DataFrame:
-    """(place, tokens, entries): for the ``words`` of rows (place, entries, words), which are one line each, their shingles."""
-
-    def run(parts: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        for part in parts:
-            texts = part.column(2).to_pylist()
-            for low, high in chunks(texts):
-                lines = Lines(texts[low:high])
-                keys, starts = lines.sets()
-                sets = pa.ListArray.from_arrays(starts.astype(np.int32), pa.array(keys.view(np.int64)))
-                at = pa.array(lines.text + low)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(at), sets, part.column(1).take(at)], ["place", "tokens", "entries"])
-
-    place, entries = rows.schema["place"], rows.schema["entries"]
-    return rows.select("place", "entries", _bytes("words")).mapInArrow(run, StructType([place, StructField("tokens", ArrayType(LongType())), entries]))
+def bitmaps(sets: DataFrame) -> DataFrame:
+    """(line, bits_*): 256 bits for each line of ``sets`` (line, tokens), with those that its shingles choose."""
+    rows = sets.select("line", F.explode("tokens").alias("t"))
+    word = F.shiftrightunsigned("t", 22).bitwiseAND(F.lit(len(SKETCH) - 1))
+    one = F.expr("shiftleft(1L, cast(shiftrightunsigned(t, 16) & 63 as int))")
+    return rows.groupBy("line").agg(*[F.bit_or(F.when(word == i, one).otherwise(F.lit(0).cast("long"))).alias(b) for i, b in enumerate(SKETCH)])
 
 
 def _met(left: DataFrame, right: DataFrame, earlier: bool, exact: bool) -> DataFrame:
@@ -149,16 +120,14 @@ def _met(left: DataFrame, right: DataFrame, earlier: bool, exact: bool) -> DataF
     return left.join(right, hit, "left_semi").drop("block")
 
 
-def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(place, tokens, entries) of the lines of ``wanted`` (place, entry), read from their documents once."""
-    by_line = cut(wanted.groupBy("place").agg(F.collect_set("entry").alias("entries")).select("place.*", "entries"))
-    few = by_line.count() <= BROADCAST
-    by_text = by_line.groupBy(F.col("doc_id").alias("wanted_id"), F.col("text_hash").alias("wanted_hash")).agg(F.collect_list(F.struct("line_no", "entries")).alias("wanted"))
+def _sets(docs: DataFrame, lines: DataFrame) -> DataFrame:
+    """(line, tokens): the sets of ``lines`` (line, place), read from their documents once."""
+    few = lines.count() <= BROADCAST
+    by_text = lines.groupBy(F.col("place.doc_id").alias("wanted_id"), F.col("place.text_hash").alias("wanted_hash")).agg(F.collect_list(F.struct("place.line_no", "line")).alias("wanted"))
     here = docs["doc_id"].eqNullSafe(F.col("wanted_id")) & (text_hash(docs["text"]) == F.col("wanted_hash"))
     some = docs.join(F.broadcast(by_text) if few else by_text, here)
-    picked = let(F.split("text", "\n"), lambda x: F.transform("wanted", lambda w: F.struct(w["line_no"].alias("line_no"), w["entries"].alias("entries"), F.get(x, w["line_no"]).alias("words"))))
-    rows = some.select("doc_id", F.col("wanted_hash").alias("text_hash"), F.explode(picked).alias("p"))
-    return cut(_tokens(rows.select(F.struct("doc_id", "text_hash", "p.line_no").alias("place"), F.col("p.words").alias("words"), F.col("p.entries").alias("entries"))))
+    picked = let(F.split("text", "\n"), lambda x: F.transform("wanted", lambda w: F.struct(w["line"].alias("line"), F.get(x, w["line_no"]).alias("words"))))
+    return cut(some.select(F.explode_outer(picked).alias("p")).select("p.line", F.array_distinct(shingles(F.col("p.words"))).alias("tokens")))
 
 
 def similar_lines(docs: DataFrame, rows: DataFrame) -> DataFrame:
@@ -170,11 +139,12 @@ def similar_lines(docs: DataFrame, rows: DataFrame) -> DataFrame:
     shared = cut(met.withColumn("members", F.bit_xor(F.xxhash64("line")).over(by_token)))
     groups = shared.groupBy("size", "members").agg(F.min("token").alias("token")).select("token")
     shared = cut(shared.join(groups, "token", "left_semi").select("token", "line", "n", "at", "size"))
-    some = cut(rows.join(small(cut(shared.select("line").distinct()), BROADCAST), "line", "left_semi").select("line", F.struct("doc_id", "text_hash", "line_no").alias("place"), *SKETCH))
-    light = cut(shared.join(some, "line").select("token", "place", "n", "at", *SKETCH, F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")))
-    sides = [_met(light, light, side == "left", False).select("place", F.struct("token", "at", "n", "blocks", F.lit(side).alias("side")).alias("entry")) for side in ("left", "right")]
-    sets = _sets(docs, sides[0].unionByName(sides[1]))
-    full = sets.select("place", "tokens", F.explode("entries").alias("e")).select("place", "tokens", "e.*")
+    some = cut(rows.join(small(cut(shared.select("line").distinct()), BROADCAST), "line", "left_semi").select("line", F.struct("doc_id", "text_hash", "line_no").alias("place")))
+    sets = _sets(docs, some)
+    light = cut(shared.join(some, "line").join(bitmaps(sets), "line").select("token", "line", "place", "n", "at", *SKETCH, F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")))
+    sides = [_met(light, light, side == "left", False).select("line", "place", F.struct("token", "at", "n", "blocks", F.lit(side).alias("side")).alias("entry")) for side in ("left", "right")]
+    wanted = cut(sides[0].unionByName(sides[1]).groupBy("line", "place").agg(F.collect_set("entry").alias("entries")))
+    full = cut(wanted.join(sets, "line").select("place", "tokens", "entries")).select("place", "tokens", F.explode("entries").alias("e")).select("place", "tokens", "e.*")
     return cut(_met(full.where("side = 'left'"), full.where("side = 'right'"), True, True).select("place.*"))
 
 

@@ -2,6 +2,8 @@
 
 A word is hashed from prefix sums over the bytes of the batch, a window from the hashes of its words; a line of one to
 four words is one window. A shingle is 57 bits of a 64-bit hash, so that a rarity of six bits fits in front of it.
+
+Line dedup makes its sets with DataFrame functions; this form is what tests compare them with.
 """
 
 from __future__ import annotations
