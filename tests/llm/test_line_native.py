@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from fluora.llm import line_dedup
 from fluora.llm.line_shingles import Lines
 
@@ -48,3 +49,9 @@ def test_sets_are_those_of_the_plain_form(native):
     bits = {r.line: [r[b] for b in line_dedup.SKETCH] for r in line_dedup.bitmaps(sets).collect()}
     for r in sets.collect():
         assert [sum({1 << (t >> 16 & 63) for t in r.tokens if t >> 22 & 3 == i}) for i in range(4)] == [b & (1 << 64) - 1 for b in bits[r.line]]
+
+
+def test_pipeline_stage_goes_without_python(native):
+    rows = [(1, "some words that come twice\nfirst", 32), (2, "second\nsome words that come twice", 33), (3, None, None)]
+    out = corpus_pipeline.dedup_lines(native, native.createDataFrame(rows, "doc_id long, text string, n_chars long"), "")
+    assert {tuple(r) for r in out.collect()} == {rows[0], (2, "second", 6), rows[2]}
