@@ -6,16 +6,19 @@ ordered by rarity, then by hash; two lines of Jaccard similarity 0.8 or more sha
 line goes if an earlier line (by document id, then hash of the text, then line number) has the same set or a similar
 one; whether that earlier line goes itself doesn't matter.
 
-Equal lines are one set before anything is joined: an aggregation by set finds the first line of each, and only that
-line's prefix takes part. Prefix shingles that one set alone has go; of several shingles that the same sets share one is
-enough. Bitmaps of 256 bits drop most of the other pairs that can't be similar. What remains is a left semi join of the lines with themselves by shingle, whose condition filters and verifies:
-it has one row for each line and shingle at most, never rows of pairs. Large groups are salted: their right side is dealt
-into blocks of ``BLOCK`` lines and the left side repeated for each.
+Two rounds find them. The first screens all lines at little cost: its order is by the hash of a shingle's first word, so that
+words are hashed once and only the shingles of the prefix are made, as rows. Lines of equal words are one line before anything is joined:
+an aggregation finds the first of each, and only that line's prefix takes part. A line whose prefix shingles it has alone is
+similar to none and goes. The second round makes the sets of the lines that are left and orders them by rarity; of several
+shingles that the same sets share one is enough. Bitmaps of 256 bits drop most of the other pairs that can't be similar. What
+remains is a left semi join of the lines with themselves by shingle, whose condition filters and verifies: it has one row for
+each line and shingle at most, never rows of pairs. Large groups are salted: their right side is dealt into blocks of
+``BLOCK`` lines and the left side repeated for each.
 
-Rarity comes from a table of shingle counts by hash bucket (2**16 buckets, over all lines): any order gives the same
-result, a better one fewer candidates. A shingle is a hash of 57 bits; in a prefix its rarity stands in front.
+Rarity comes from a table of shingle counts by hash bucket (2**16 buckets, over the sets of the second round): any order gives
+the same result, a better one fewer candidates. A shingle is a hash of 57 bits there; in a prefix its rarity stands in front.
 
-All work is DataFrame functions. Whole sets and bitmaps are made for the lines only that share a shingle of their prefixes.
+All work is DataFrame functions.
 
 Edge cases: lines without words always stay; null and empty texts stay as they are; rows with one document id and one
 text count as one document, whose lines don't match themselves by number; rows that share an id or have none are told
@@ -31,7 +34,7 @@ from operator import add
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fluora.llm.common import cut, fresh, let, small, window_hashes, words
+from fluora.llm.common import cut, drop, fresh, let, noted, small, window_hashes, words
 
 SHINGLE, BITS = 5, 57
 BUCKETS = 1 << 16
@@ -53,14 +56,11 @@ def _lines(docs: DataFrame) -> DataFrame:
     return rows.where(F.length("line") > 0)
 
 
-def rarity(docs: DataFrame) -> str:
-    """For each bucket a number below 64 that grows with the logarithm of its count of shingles in all lines; joined by commas."""
-    rows = _lines(docs).select(words("line").alias("w"))
-    rows = rows.select("w", F.explode_outer(F.when(F.size("w") > 0, F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("w") - SHINGLE)))).alias("i")).where("i is not null")
-    # a row for each shingle, as that is hashed in generated code
-    h = F.xxhash64(*[F.get("w", F.col("i") + j) for j in range(SHINGLE)])
+def rarity(sets: DataFrame) -> str:
+    """For each bucket a number below 64 that grows with the logarithm of its count of shingles in all sets (tokens); joined by commas."""
+    rows = sets.select(F.explode("tokens").alias("t"))
     table = [1] * BUCKETS
-    for bucket, n in rows.groupBy(h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("bucket")).count().collect():
+    for bucket, n in rows.groupBy(F.col("t").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("bucket")).count().collect():
         table[bucket] = min(63, 1 + int(2 * log2(1 + n)))
     return ",".join(map(str, table))
 
@@ -83,13 +83,44 @@ def _prefix(n: Column) -> Column:
     return n - F.floor((4 * n + 4) / 5).cast("int") + 1
 
 
-def prefixes(docs: DataFrame) -> DataFrame:
-    """(line, doc_id, text_hash, line_no, set_id, n, prefix) of all lines with words, computed once; ``line`` numbers them."""
-    table = rarity(docs)
-    rows = _lines(docs).select("doc_id", "text_hash", "line_no", ranked(shingles(F.col("line")), table).alias("tokens"))
+def ordered(sets: DataFrame, *keep: str) -> DataFrame:
+    """(``keep``, set_id, n, prefix) of the sets (tokens), whose shingles are ordered by their rarity among them; computed once."""
+    rows = sets.select(*keep, ranked(F.col("tokens"), rarity(sets)).alias("tokens"))
     n = F.size("tokens")
-    rows = cut(rows.select(F.monotonically_increasing_id().alias("line"), "doc_id", "text_hash", "line_no", F.xxhash64("tokens").alias("set_id"), n.alias("n"), F.slice("tokens", F.lit(1), _prefix(n)).alias("prefix")))
-    return rows.where("n > 0")  # after the cut: a filter before it would split all lines twice
+    return cut(rows.select(*keep, F.xxhash64("tokens").alias("set_id"), n.alias("n"), F.slice("tokens", F.lit(1), _prefix(n)).alias("prefix")))
+
+
+def prefixes(docs: DataFrame) -> DataFrame:
+    """(line, doc_id, text_hash, line_no, set_id, n, prefix) of all lines with words; ``line`` numbers them."""
+    rows = cut(_lines(docs).select(F.monotonically_increasing_id().alias("line"), "doc_id", "text_hash", "line_no", F.array_distinct(shingles(F.col("line"))).alias("tokens")))
+    return ordered(rows.where("tokens is not null"), "line", "doc_id", "text_hash", "line_no")
+
+
+def screened(docs: DataFrame) -> DataFrame:
+    """(line, doc_id, text_hash, line_no, words_id, head, token): the screening shingles of all lines with words, computed once.
+
+    ``line`` numbers the lines, lines of equal words share ``words_id``. The row with ``head`` alone says where a line is; it has
+    no token if the line's first shingle isn't one of them. The shingles are those whose first word is among the line's first by hash: as many different first
+    words as a prefix of all its windows would have shingles, or all. So the prefix of its set in that order is among them.
+    They are rows, as those are hashed in generated code; a shingle may come twice, except in lines of many repeats.
+    """
+    keys = ("line", "doc_id", "text_hash", "line_no", "words_id")
+    rows = _lines(docs).select("doc_id", "text_hash", "line_no", words("line").alias("w"))
+    rows = rows.select(F.monotonically_increasing_id().alias("line"), *keys[1:4], F.xxhash64("w").alias("words_id"), F.transform("w", lambda x: F.xxhash64(x)).alias("h"))
+    n = F.when(F.size("h") > 0, F.greatest(F.lit(1), F.size("h") - (SHINGLE - 1))).otherwise(0)
+    rows = rows.select(*keys, "h", n.alias("n"), F.sort_array(F.array_distinct(F.slice("h", F.lit(1), n))).alias("heads"))
+    starts = F.sequence(F.lit(0), F.col("n") - 1)
+    many = F.col("n") > 2 * F.size("heads")
+    # of lines of many repeats all shingles are taken, each once
+    at = F.when(many, F.array_distinct(F.transform(starts, lambda i: F.xxhash64(*[F.get("h", i + j) for j in range(SHINGLE)])))).when(F.col("n") > 0, starts.cast("array<bigint>"))
+    last = F.get("heads", F.least(_prefix(F.col("n")), F.size("heads")) - 1)
+    rows = rows.select(*keys, "h", many.alias("many"), last.alias("last"), at.alias("at"))
+    rows = rows.select(*keys, "h", "many", "last", F.posexplode_outer("at").alias("place", "at")).where("at is not null")
+    i = F.col("at").cast("int")
+    token = F.when(F.col("many"), F.col("at")).when(F.get("h", i) <= F.col("last"), F.xxhash64(*[F.get("h", i + j) for j in range(SHINGLE)]))
+    rows = rows.where((F.col("place") == 0) | F.col("many") | (F.get("h", i) <= F.col("last")))
+    head = F.col("place") == 0
+    return cut(rows.select("line", *[F.when(head, F.col(c)).alias(c) for c in keys[1:]], head.alias("head"), token.alias("token")))
 
 
 def bitmaps(sets: DataFrame) -> DataFrame:
@@ -130,17 +161,26 @@ def _sets(docs: DataFrame, lines: DataFrame) -> DataFrame:
     return cut(some.select(F.explode_outer(picked).alias("p")).select("p.line", F.array_distinct(shingles(F.col("p.words"))).alias("tokens")))
 
 
-def similar_lines(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, line_no) of the lines of ``rows``, one for each set, that have a similar earlier one."""
+def met_lines(rows: DataFrame) -> DataFrame:
+    """(line, place) of the lines of ``rows`` (``screened``) that share a shingle with another of them, computed once."""
+    by_token = Window.partitionBy("token")
+    # most tokens have one line and go at once
+    met = rows.where("token is not null").select("line", "token").repartition(F.col("token"))
+    met = met.select("line", F.min("line").over(by_token).alias("low"), F.max("line").over(by_token).alias("high")).where("low < high")
+    some = rows.where("head").join(small(cut(met.select("line").distinct()), BROADCAST), "line", "left_semi")
+    return cut(some.select("line", F.struct("doc_id", "text_hash", "line_no").alias("place")))
+
+
+def similar_lines(docs: DataFrame, some: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, line_no) of the lines of ``some`` (line, place), one for each sequence of words, that have a similar earlier one."""
     by_token = Window.partitionBy("token")
-    entries = rows.select("line", "n", F.posexplode("prefix").alias("at", "token")).withColumn("at", F.col("at") + 1)
-    # most tokens have one entry and go at once
+    sets = _sets(docs, some)
+    entries = ordered(sets, "line").select("line", "n", F.posexplode("prefix").alias("at", "token")).withColumn("at", F.col("at") + 1)
     met = entries.repartition(F.col("token")).withColumn("size", F.count("*").over(by_token)).where("size > 1")
     shared = cut(met.withColumn("members", F.bit_xor(F.xxhash64("line")).over(by_token)))
     groups = shared.groupBy("size", "members").agg(F.min("token").alias("token")).select("token")
     shared = cut(shared.join(groups, "token", "left_semi").select("token", "line", "n", "at", "size"))
-    some = cut(rows.join(small(cut(shared.select("line").distinct()), BROADCAST), "line", "left_semi").select("line", F.struct("doc_id", "text_hash", "line_no").alias("place")))
-    sets = _sets(docs, some)
+    sets = cut(sets.join(small(cut(shared.select("line").distinct()), BROADCAST), "line", "left_semi"))
     light = cut(shared.join(some, "line").join(bitmaps(sets), "line").select("token", "line", "place", "n", "at", *SKETCH, F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")))
     sides = [_met(light, light, side == "left", False).select("line", "place", F.struct("token", "at", "n", "blocks", F.lit(side).alias("side")).alias("entry")) for side in ("left", "right")]
     wanted = cut(sides[0].unionByName(sides[1]).groupBy("line", "place").agg(F.collect_set("entry").alias("entries")))
@@ -150,13 +190,20 @@ def similar_lines(docs: DataFrame, rows: DataFrame) -> DataFrame:
 
 def removed(docs: DataFrame) -> DataFrame:
     """(doc_id, text_hash, line_no) of all lines of docs (doc_id, text) that have an earlier match; may hold one twice."""
-    rows = prefixes(docs)
+    with noted([]) as screening:
+        rows = screened(docs)
+    lines = rows.where("head").drop("token")
     place = F.struct("doc_id", "text_hash", "line_no")
-    firsts = rows.groupBy("set_id").agg(F.min(F.struct(place.alias("place"), "line")).alias("first"), F.count("*").alias("many")).where("many > 1")
-    firsts = small(cut(firsts.select("set_id", "first")), BROADCAST)
-    copies = rows.select("set_id", place.alias("place")).join(firsts, "set_id").where("place > first.place").select("place.*")
-    alone = rows.join(firsts, "set_id", "left").where("first is null or line = first.line").drop("first", "set_id")
-    return copies.unionByName(similar_lines(docs, alone))
+    many = small(cut(lines.groupBy("words_id").count().where("count > 1").select("words_id")), BROADCAST)
+    firsts = lines.join(many, "words_id", "left_semi").groupBy("words_id").agg(F.min(F.struct(place.alias("place"), "line")).alias("first"))
+    firsts = small(cut(firsts), BROADCAST)
+    others = lines.select("line", "words_id", place.alias("place")).join(firsts, "words_id").where("line != first.line")
+    others = cut(others.select("line", "place", (F.col("place") > F.col("first.place")).alias("later")))
+    copies = others.where("later").select("place.*")
+    alone = rows.join(small(others.select("line"), BROADCAST), "line", "left_anti")
+    some = met_lines(alone)
+    drop(docs.sparkSession, screening)  # the largest table; nothing reads it any more
+    return copies.unionByName(similar_lines(docs, some))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
